@@ -345,7 +345,7 @@ def _quality_sql() -> str:
 
     def dup(tbl, src, keys):
         k = ", ".join(f'"{x}"' for x in keys)
-        return (f"SELECT '{tbl}', 'dup_{'_'.join(keys)}', CAST(count(*) AS BIGINT) FROM "
+        return (f"SELECT '{tbl}' AS tbl, 'dup_{'_'.join(keys)}' AS check_name, CAST(count(*) AS BIGINT) AS n_bad FROM "
                 f"(SELECT {k} FROM ({src}) t GROUP BY {k} HAVING count(*) > 1) d")
 
     def orphans(tbl, src):
