@@ -10,10 +10,11 @@ from daybars.schemas import BAR_VALUES
 
 
 def latest_bar(bars: DataFrame) -> DataFrame:
-    """Newest bar of every code (top-1 by date, no sort)."""
+    """Newest bar of every code (top-1 by date, no sort). Per-column
+    ``max_by`` on the unique ``(code, date)`` stays a hash aggregate."""
     return (bars.groupBy("code")
-                .agg(F.max_by(F.struct("date", *BAR_VALUES), F.col("date")).alias("b"))
-                .select("code", *[F.col(f"b.{c}").alias(c) for c in ["date", *BAR_VALUES]]))
+                .agg(F.max("date").alias("date"),
+                     *[F.max_by(c, "date").alias(c) for c in BAR_VALUES]))
 
 
 def collected_range(bars: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ history into one task. :func:`with_previous` instead windows over
 ``(code, month)`` groups, which hold at most 31 rows when ``(code, date)``
 is unique and spread even a hot code over many tasks. The first row of each
 group takes its previous bar from the last bar of the code's preceding
-non-empty month, found from a one-row-per-(code, month) aggregate (partial
-aggregation before the shuffle). The big side is shuffled exactly once; the
-join back on ``(code, month)`` reuses that partitioning.
+non-empty month: a one-row-per-(code, month) partial aggregate is shifted to
+the next month and unioned in as a virtual row. No join; the bars are
+shuffled exactly once.
 """
 
 from __future__ import annotations
@@ -26,33 +26,41 @@ from daybars.functions.rates import pct_change
 from daybars.schemas import BAR_VALUES
 
 _BKT = "_bkt"
+_VIRT = "_virtual"
 
 
 def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
                   order: str = "date", prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` (value of the previous existing row of the same key)
-    for every ``c`` in ``cols`` plus ``prev_<order>``."""
+    for every ``c`` in ``cols`` plus ``prev_<order>``.
+
+    ``(key, order)`` must be unique, as it is for bars and features.
+    """
     cols = list(cols)
     carried = [order] + [c for c in cols if c != order]
-    b = bars.withColumn(_BKT, F.trunc(F.col(order), "month"))
-
-    w = Window.partitionBy(key, _BKT).orderBy(order)
-    inner = b.select("*", *[F.lag(c).over(w).alias(f"_in_{c}") for c in carried])
-
-    # Last bar of every (key, month), then the one of the preceding month.
-    last = b.groupBy(key, _BKT).agg(
-        F.max_by(F.struct(*carried), F.col(order)).alias("_last"))
+    month = F.trunc(F.col(order), "month")
+
+    # Last bar of every (key, month): a partial hash aggregate (primitive
+    # max_by), so only one row per group and map task is shuffled.
+    last = bars.groupBy(F.col(key), month.alias(_BKT)).agg(
+        *[F.max_by(c, order).alias(c) for c in carried])
+    # Hand it to the key's next non-empty month as a virtual row. This
+    # window sees one row per (key, month), never a whole history.
     wb = Window.partitionBy(key).orderBy(_BKT)
-    carry = last.select(key, _BKT, F.lag("_last").over(wb).alias("_carry"))
-
-    j = inner.join(carry, [key, _BKT], "left")
-    first_in_month = F.col(f"_in_{order}").isNull()
-    prevs = [
-        F.when(first_in_month, F.col(f"_carry.{c}")).otherwise(F.col(f"_in_{c}"))
-        .alias(f"{prefix}{c}")
-        for c in carried
-    ]
-    return j.select(*[F.col(c) for c in bars.columns], *prevs)
+    virtual = (last.withColumn("_next", F.lead(_BKT).over(wb))
+                   .where(F.col("_next").isNotNull())
+                   .select(key, F.col("_next").alias(_BKT), *carried,
+                           F.lit(True).alias(_VIRT)))
+
+    # The only full shuffle: bars plus virtual rows on (key, month). Every
+    # window group holds at most 31 real rows and one virtual row, whose
+    # date precedes them all, so LAG of the first real row is the carry.
+    rows = bars.select("*", month.alias(_BKT), F.lit(False).alias(_VIRT))
+    u = rows.unionByName(virtual, allowMissingColumns=True)
+    w = Window.partitionBy(key, _BKT).orderBy(order)
+    out = (u.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
+            .where(~F.col(_VIRT)))
+    return out.select(*bars.columns, *[f"{prefix}{c}" for c in carried])
 
 
 def _rates(cur: str = "", prev: str = "prev_") -> list:
@@ -77,14 +85,14 @@ def prev_bar(bars: DataFrame, as_of) -> DataFrame:
     """Latest bar per code strictly before ``as_of``.
 
     Equivalent to the correlated ``MAX(date) ... WHERE date < as_of`` but
-    computed as one partial aggregate (no self-join). The date predicate
-    reaches the Parquet scan.
+    computed as one partial hash aggregate (no self-join): per-column
+    ``max_by`` over a unique ``(code, date)`` picks one consistent row. The
+    date predicate reaches the Parquet scan.
     """
     return (bars.where(F.col("date") < _as_date(as_of))
                 .groupBy("code")
-                .agg(F.max_by(F.struct("date", *BAR_VALUES), F.col("date")).alias("p"))
-                .select("code", F.col("p.date").alias("prev_date"),
-                        *[F.col(f"p.{c}").alias(c) for c in BAR_VALUES]))
+                .agg(F.max("date").alias("prev_date"),
+                     *[F.max_by(c, "date").alias(c) for c in BAR_VALUES]))
 
 
 def features_as_of(bars: DataFrame, as_of) -> DataFrame:
