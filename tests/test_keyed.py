@@ -1,0 +1,49 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from daybars.operators.keyed import cascade_delete, keep_last, upsert, upsert_with_audit
+from daybars.schemas import BARS, MASTER
+from tests.conftest import rows
+
+D = dt.date
+
+
+def bar(code, d, close):
+    return (code, d, close, close, close, close, 1)
+
+
+def test_upsert_golden_and_idempotent(spark):
+    base = spark.createDataFrame([bar("A", D(2025, 1, 1), 1.0), bar("A", D(2025, 1, 2), 2.0)], BARS)
+    ch = spark.createDataFrame([bar("A", D(2025, 1, 1), 9.0)], BARS)
+    once = upsert(base, ch, ["code", "date"])
+    assert rows(once, "code", "date", "close") == [("A", D(2025, 1, 1), 9.0), ("A", D(2025, 1, 2), 2.0)]
+    assert rows(upsert(once, ch, ["code", "date"])) == rows(once)
+
+
+def test_keep_last_later_wins(spark):
+    df = spark.createDataFrame([("A", D(2025, 12, 3), 1.0, 0), ("A", D(2025, 12, 3), 2.0, 1),
+                                ("B", D(2025, 12, 3), 5.0, 7)], "code string, date date, close double, seq int")
+    assert rows(keep_last(df, ["code", "date"], "seq"), "code", "close") == [("A", 2.0), ("B", 5.0)]
+
+
+def test_keep_last_struct_order(spark):
+    df = spark.createDataFrame([("A", 1.0, 2, 0), ("A", 2.0, 1, 9), ("A", 3.0, 2, 1)],
+                               "code string, close double, arrival int, pos int")
+    out = keep_last(df, ["code"], F.struct("arrival", "pos"))
+    assert rows(out, "close") == [(3.0,)]
+
+
+def test_upsert_with_audit(spark):
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    base = spark.createDataFrame([("1", "a", "KOSPI", t0, t0), ("2", "b", "KOSPI", t0, t0)], MASTER)
+    ch = spark.createDataFrame([("2", "B", "KOSDAQ"), ("3", "c", "KOSPI")],
+                               "code string, name string, market_type string")
+    got = rows(upsert_with_audit(base, ch, ["code"], t1))
+    assert got == [("1", "a", "KOSPI", t0, t0), ("2", "B", "KOSDAQ", t0, t1), ("3", "c", "KOSPI", t1, t1)]
+
+
+def test_cascade_delete(spark):
+    bars = spark.createDataFrame([bar("A", D(2025, 1, 1), 1.0), bar("B", D(2025, 1, 1), 1.0)], BARS)
+    removed = spark.createDataFrame([("B",)], "code string")
+    assert rows(cascade_delete(bars, removed), "code") == [("A",)]
