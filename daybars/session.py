@@ -29,7 +29,9 @@ def get_session(master: str | None = None, app: str = "daybars",
 
     On a cluster, ``master`` is left to spark-submit; tests pass ``local[*]``.
     """
-    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    b = (SparkSession.builder.appName(app)
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master:
         b = b.master(master)
     for k, v in RUNTIME_CONF.items():
