@@ -78,8 +78,11 @@ def main():
             ["code", "date"], "seq"),
         "quality_report": lambda: quality_report(master, ev_bars, features_full(ev_bars)),
     }
+    only = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]
     times = {}
     for name, q in queries.items():
+        if only and name not in only:
+            continue
         best = None
         for _ in range(repeat):
             t0 = time.perf_counter()

@@ -2,7 +2,7 @@ from daybars.operators.aggregates import (  # noqa: F401
     code_status, collected_range, count_by_market, latest_bar, market_counts_wide, run_summary,
 )
 from daybars.operators.features import (  # noqa: F401
-    features_as_of, features_full, features_touched, prev_bar, touched_slices, with_previous,
+    features_as_of, features_full, features_touched, prev_bar, touched_months, with_previous,
 )
 from daybars.operators.integrity import (  # noqa: F401
     duplicate_keys, fk_orphans, fk_valid, quality_report,

@@ -29,6 +29,35 @@ _BKT = "_bkt"
 _VIRT = "_virtual"
 
 
+def _month_lasts(bars: DataFrame, key: str, order: str, carried: list) -> DataFrame:
+    """Last row of every (key, month) plus the key's next non-empty month
+    (``_next``). A partial hash aggregate (primitive ``max_by``) and a window
+    over one row per (key, month), never over a whole history."""
+    last = bars.groupBy(F.col(key), F.trunc(F.col(order), "month").alias(_BKT)).agg(
+        *[F.max_by(c, order).alias(c) for c in carried])
+    wb = Window.partitionBy(key).orderBy(_BKT)
+    return last.withColumn("_next", F.lead(_BKT).over(wb))
+
+
+def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
+                   order: str, carried: list, prefix: str) -> DataFrame:
+    """LAG within (key, month) groups, seeded by a virtual row per group that
+    carries the last row of the key's previous non-empty month.
+
+    ``rows`` must have ``_bkt``. The only full shuffle: rows plus virtual
+    rows on (key, month); every group holds at most 31 real rows (unique
+    (key, date)) and one virtual row dated before them all.
+    """
+    virtual = (lasts.where(F.col("_next").isNotNull())
+                    .select(key, F.col("_next").alias(_BKT), *carried,
+                            F.lit(True).alias(_VIRT)))
+    u = rows.withColumn(_VIRT, F.lit(False)).unionByName(virtual, allowMissingColumns=True)
+    w = Window.partitionBy(key, _BKT).orderBy(order)
+    out = (u.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
+            .where(~F.col(_VIRT)))
+    return out.select(*out_cols, *[f"{prefix}{c}" for c in carried])
+
+
 def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
                   order: str = "date", prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` (value of the previous existing row of the same key)
@@ -36,31 +65,10 @@ def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
 
     ``(key, order)`` must be unique, as it is for bars and features.
     """
-    cols = list(cols)
     carried = [order] + [c for c in cols if c != order]
-    month = F.trunc(F.col(order), "month")
-
-    # Last bar of every (key, month): a partial hash aggregate (primitive
-    # max_by), so only one row per group and map task is shuffled.
-    last = bars.groupBy(F.col(key), month.alias(_BKT)).agg(
-        *[F.max_by(c, order).alias(c) for c in carried])
-    # Hand it to the key's next non-empty month as a virtual row. This
-    # window sees one row per (key, month), never a whole history.
-    wb = Window.partitionBy(key).orderBy(_BKT)
-    virtual = (last.withColumn("_next", F.lead(_BKT).over(wb))
-                   .where(F.col("_next").isNotNull())
-                   .select(key, F.col("_next").alias(_BKT), *carried,
-                           F.lit(True).alias(_VIRT)))
-
-    # The only full shuffle: bars plus virtual rows on (key, month). Every
-    # window group holds at most 31 real rows and one virtual row, whose
-    # date precedes them all, so LAG of the first real row is the carry.
-    rows = bars.select("*", month.alias(_BKT), F.lit(False).alias(_VIRT))
-    u = rows.unionByName(virtual, allowMissingColumns=True)
-    w = Window.partitionBy(key, _BKT).orderBy(order)
-    out = (u.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
-            .where(~F.col(_VIRT)))
-    return out.select(*bars.columns, *[f"{prefix}{c}" for c in carried])
+    lasts = _month_lasts(bars, key, order, carried)
+    rows = bars.withColumn(_BKT, F.trunc(F.col(order), "month"))
+    return _lag_in_months(rows, lasts, bars.columns, key, order, carried, prefix)
 
 
 def _rates(cur: str = "", prev: str = "prev_") -> list:
@@ -104,30 +112,60 @@ def features_as_of(bars: DataFrame, as_of) -> DataFrame:
     return today.join(prev, "code", "inner").select("code", "date", *_rates())
 
 
-def touched_slices(bars: DataFrame, changes: DataFrame) -> DataFrame:
-    """The bars whose features a change set can affect: for every changed
-    code, everything from the last bar before its earliest changed date.
+def _touched_lasts(bars: DataFrame, changes: DataFrame, key: str, order: str,
+                   carried: list) -> DataFrame:
+    """Per (key, month) of the merged bars: its last row, whether a change
+    falls in it (``_chg``), whether it must be recomputed (``_touched``: it
+    holds a change, or the previous non-empty month does) and whether it
+    must seed the next month (``_seed``). One partial aggregate over bars
+    plus change keys, one window over one row per (key, month)."""
+    month = F.trunc(F.col(order), "month").alias(_BKT)
+    flagged = (bars.select(key, order, *[c for c in carried if c != order], F.lit(False).alias("_c"))
+                   .unionByName(changes.select(key, order, F.lit(True).alias("_c")),
+                                allowMissingColumns=True))
+    real = F.when(~F.col("_c"), F.col(order))          # NULL ordering: skipped by max_by
+    lasts = flagged.groupBy(F.col(key), month).agg(
+        *[F.max_by(c, real).alias(c) for c in carried], F.max("_c").alias("_chg"))
+    wb = Window.partitionBy(key).orderBy(_BKT)
+    nxt_chg = F.coalesce(F.lead("_chg").over(wb), F.lit(False))
+    prev_chg = F.coalesce(F.lag("_chg").over(wb), F.lit(False))
+    return (lasts.select("*", F.lead(_BKT).over(wb).alias("_next"),
+                         (F.col("_chg") | prev_chg).alias("_touched"),
+                         (F.col("_chg") | nxt_chg).alias("_seed")))
 
-    ``bars`` must already contain the changes (the merged table)."""
-    start = changes.groupBy("code").agg(F.min("date").alias("_chg"))
-    anchor = (bars.join(start, "code", "inner")
-                  .where(F.col("date") < F.col("_chg"))
-                  .groupBy("code").agg(F.max("date").alias("_anchor")))
-    frm = (start.join(anchor, "code", "left")
-                .select("code", F.coalesce("_anchor", "_chg").alias("_from")))
-    return (bars.join(frm, "code", "inner")
-                .where(F.col("date") >= F.col("_from"))
-                .drop("_from"))
+
+def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
+                   order: str = "date") -> DataFrame:
+    """The (key, month) groups whose features a change set can affect: every
+    month holding a changed row, and the key's next non-empty month after
+    it (its first row's previous bar may have changed). ``bars`` is the
+    merged table. Returns (key, _bkt)."""
+    t = _touched_lasts(bars, changes, key, order, [order])
+    return t.where("_touched").select(key, _BKT)
 
 
 def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -> DataFrame:
     """Refresh ``features`` after ``changes`` were merged into ``bars``.
 
-    Recomputes only the touched slices (each changed bar and every later bar
-    of its code) and upserts them; the result equals a full rebuild as long
-    as bars were only added or replaced, never deleted.
+    Recomputes only the touched months (see :func:`touched_months`): every
+    old feature row of a touched month is replaced by the recomputed month
+    (bars are only added or replaced, never deleted, so no row disappears),
+    and rows of other months are kept. The result equals a full rebuild. A
+    daily catch-up touches one or two months per code however long the
+    history is; the month set is small, so both joins against it can be
+    broadcast at run time and the large tables are never shuffled whole.
     """
-    from daybars.operators.keyed import upsert
-
-    fresh = features_full(touched_slices(bars, changes))
-    return upsert(features, fresh, ["code", "date"])
+    key, order = "code", "date"
+    carried = [order, *BAR_VALUES]
+    b = bars.select(key, order, *BAR_VALUES)
+    t = _touched_lasts(b, changes, key, order, carried)
+    months = t.where("_touched").select(key, _BKT)
+    seeds = t.where(F.col("_seed") & F.col("_next").isNotNull())
+    rows = (b.withColumn(_BKT, F.trunc(F.col(order), "month"))
+             .join(months, [key, _BKT], "left_semi"))
+    p = _lag_in_months(rows, seeds, [key, order, *BAR_VALUES], key, order, carried, "prev_")
+    fresh = p.where(F.col("prev_close").isNotNull()).select(key, order, *_rates())
+    kept = (features.withColumn(_BKT, F.trunc(F.col(order), "month"))
+                    .join(months, [key, _BKT], "left_anti")
+                    .drop(_BKT))
+    return kept.unionByName(fresh.select(*features.columns))

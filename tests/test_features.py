@@ -124,3 +124,20 @@ def test_as_of_matches_correlated_sql(spark, as_of):
         WHERE t1.date = DATE '{as_of}'
           AND t2.date = (SELECT MAX(date) FROM gb WHERE date < DATE '{as_of}' AND code = t1.code)""")
     assert rows(features_as_of(b, as_of)) == rows(sql)
+
+
+def test_touched_months_cross_month_successor_and_new_month(spark):
+    # change the last bar of January: February's first row must refresh;
+    # insert a bar into an empty month: the following month must refresh
+    data = [("X", D(2024, 1, 30), 1.0, 1.0, 1.0, 1.0, 1),
+            ("X", D(2024, 1, 31), 2.0, 2.0, 2.0, 2.0, 2),
+            ("X", D(2024, 2, 1), 3.0, 3.0, 3.0, 3.0, 3),
+            ("X", D(2024, 2, 2), 4.0, 4.0, 4.0, 4.0, 4),
+            ("X", D(2024, 5, 6), 5.0, 5.0, 5.0, 5.0, 5),
+            ("X", D(2024, 7, 1), 6.0, 6.0, 6.0, 6.0, 6)]
+    base = spark.createDataFrame(data, BARS)
+    changes = spark.createDataFrame([("X", D(2024, 1, 31), 9.0, 9.0, 9.0, 9.0, 9),
+                                     ("X", D(2024, 6, 15), 7.0, 7.0, 7.0, 7.0, 7)], BARS)
+    merged = upsert(base, changes, ["code", "date"])
+    got = features_touched(features_full(base), merged, changes)
+    assert rows(got) == rows(features_full(merged))
