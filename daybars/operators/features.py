@@ -144,17 +144,9 @@ def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
     return t.where("_touched").select(key, _BKT)
 
 
-def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -> DataFrame:
-    """Refresh ``features`` after ``changes`` were merged into ``bars``.
-
-    Recomputes only the touched months (see :func:`touched_months`): every
-    old feature row of a touched month is replaced by the recomputed month
-    (bars are only added or replaced, never deleted, so no row disappears),
-    and rows of other months are kept. The result equals a full rebuild. A
-    daily catch-up touches one or two months per code however long the
-    history is; the month set is small, so both joins against it can be
-    broadcast at run time and the large tables are never shuffled whole.
-    """
+def touched_refresh(bars: DataFrame, changes: DataFrame):
+    """Recompute the touched months. Returns ``(months, fresh)``: the touched
+    (code, ``_bkt``) pairs and their recomputed feature rows."""
     key, order = "code", "date"
     carried = [order, *BAR_VALUES]
     b = bars.select(key, order, *BAR_VALUES)
@@ -165,7 +157,27 @@ def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -
              .join(months, [key, _BKT], "left_semi"))
     p = _lag_in_months(rows, seeds, [key, order, *BAR_VALUES], key, order, carried, "prev_")
     fresh = p.where(F.col("prev_close").isNotNull()).select(key, order, *_rates())
-    kept = (features.withColumn(_BKT, F.trunc(F.col(order), "month"))
-                    .join(months, [key, _BKT], "left_anti")
+    return months, fresh
+
+
+def replace_months(features: DataFrame, months: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Features outside the touched (code, month) pairs, plus the fresh rows."""
+    kept = (features.withColumn(_BKT, F.trunc(F.col("date"), "month"))
+                    .join(months, ["code", _BKT], "left_anti")
                     .drop(_BKT))
     return kept.unionByName(fresh.select(*features.columns))
+
+
+def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -> DataFrame:
+    """Refresh ``features`` after ``changes`` were merged into ``bars``.
+
+    Recomputes only the touched months (see :func:`touched_months`): every
+    old feature row of a touched month is replaced by the recomputed month
+    (bars are only added or replaced, never deleted, so no row disappears),
+    and rows of other months are kept. The result equals a full rebuild. A
+    daily catch-up touches one or two months per code however long the
+    history is; the month set is small, so both joins against it can be
+    broadcast at run time and the large tables are never shuffled whole.
+    """
+    months, fresh = touched_refresh(bars, changes)
+    return replace_months(features, months, fresh)

@@ -1,7 +1,9 @@
 """User-level jobs over versioned tables.
 
 Each job is a few DataFrame steps ending in one write; tables live under
-roots on shared storage (see ``sources.tables``). A job that dies part-way
+roots on shared storage (see ``sources.tables``). The master is a small
+whole-table; bars and features are month-partitioned, so collection and the
+feature refresh rewrite only the months they touch. A job that dies part-way
 leaves no committed version, so re-running it is always safe.
 """
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from daybars.operators.aggregates import (
     code_status, market_counts_wide, run_summary,
 )
-from daybars.operators.features import features_as_of, features_full, features_touched
+from daybars.operators.features import features_as_of, features_full
 from daybars.operators.keyed import keep_last, upsert, upsert_with_audit
 from daybars.operators.lookup import lookup_bars
 from daybars.operators.planner import plan_full, plan_incremental, plan_modes
@@ -21,7 +23,10 @@ from daybars.sources.master_text import (
     TAIL_WIDTH, read_master_zip, read_masters, split_master_lines, union_markets,
 )
 from daybars.sources.quotes import quote_windows, read_quotes, split_quotes
-from daybars.sources.tables import read_table, write_bars, write_table
+from daybars.sources.tables import (
+    changed_months, merge_months, read_months, read_table, refresh_feature_months, write_months,
+    write_table,
+)
 
 _BAR_COLS = [f.name for f in BARS.fields]
 
@@ -65,7 +70,7 @@ def job_plan(spark: SparkSession, master_root: str, bars_root: str, as_of,
     master = read_table(spark, master_root, MASTER)
     if days is not None:
         return plan_full(master, as_of, days)
-    return plan_incremental(master, read_table(spark, bars_root, BARS), as_of)
+    return plan_incremental(master, read_months(spark, bars_root, BARS), as_of)
 
 
 def job_collect(spark: SparkSession, landing: str, bars_root: str,
@@ -78,8 +83,7 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     parsed, bad = split_quotes(raw)
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
     changes = changes.checkpoint(eager=True)
-    merged = upsert(read_table(spark, bars_root, BARS), changes, ["code", "date"])
-    write_bars(merged, bars_root)
+    merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
     _quarantine(bad, quarantine_root)
     summary = None
     if modes is not None:
@@ -90,10 +94,11 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
 def job_features_full(spark: SparkSession, bars_root: str, features_root: str) -> int:
     """Rebuild every feature row from the full history (existing rows
     that the rebuild does not produce are kept, as with an upsert)."""
-    bars = read_table(spark, bars_root, BARS)
-    old = read_table(spark, features_root, FEATURES)
-    return write_table(upsert(old, features_full(bars), ["code", "date"]), features_root,
-                       sort_by=["code", "date"])
+    bars = read_months(spark, bars_root, BARS)
+    months = changed_months(bars)
+    old = read_months(spark, features_root, FEATURES, months)
+    return write_months(upsert(old, features_full(bars), ["code", "date"]), features_root,
+                        months, sort_by=["code", "date"])
 
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
@@ -105,15 +110,15 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
     which covers multi-day catch-ups. ``as_of_only=True`` reproduces the
     single-date refresh (features for bars dated ``as_of`` only)."""
     master = read_table(spark, master_root, MASTER)
-    modes = plan_modes(master, read_table(spark, bars_root, BARS), as_of)
+    modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of)
     changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root)
-    bars = read_table(spark, bars_root, BARS)
-    feats = read_table(spark, features_root, FEATURES)
+    bars = read_months(spark, bars_root, BARS)
     if as_of_only:
-        new = upsert(feats, features_as_of(bars, as_of), ["code", "date"])
+        fresh = features_as_of(bars, as_of).checkpoint(eager=True)
+        merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
+                     sort_by=["code", "date"])
     else:
-        new = features_touched(feats, bars, changes)
-    write_table(new, features_root, sort_by=["code", "date"])
+        refresh_feature_months(spark, features_root, bars, changes, FEATURES)
     return summary
 
 
@@ -121,7 +126,7 @@ def job_search(spark: SparkSession, master_root: str, bars_root: str, name: str,
                case_sensitive: bool = False) -> DataFrame:
     """Name -> code -> bars, newest first."""
     return lookup_bars(read_table(spark, master_root, MASTER),
-                       read_table(spark, bars_root, BARS), name, case_sensitive)
+                       read_months(spark, bars_root, BARS), name, case_sensitive)
 
 
 def job_master_counts(spark: SparkSession, master_root: str, markets=MARKETS) -> DataFrame:

@@ -3,19 +3,38 @@
 Plain Parquet cannot ``MERGE``, and overwriting a path that the same plan
 reads destroys the input. So each write goes to a fresh version directory
 ``<root>/version-<n>``; a version counts once Spark's commit protocol has
-left its ``_SUCCESS`` marker, and readers take the highest committed one.
-A failed or killed job leaves an uncommitted directory that readers ignore,
-so executor loss never exposes a half-written table. The directory listing
-goes through the Hadoop FileSystem of the path, so the same code works on
-HDFS, object stores and local disk.
+left its ``_SUCCESS`` marker. A failed or killed job leaves an uncommitted
+directory that readers ignore and that no later write reuses, so executor
+or driver loss never exposes a half-written table.
+
+Two layouts:
+
+* whole-table versions (:func:`write_table` / :func:`read_table`) for small
+  tables such as the master;
+* month-partitioned versions (:func:`write_months` / :func:`read_months` /
+  :func:`merge_months`) for bars and features. A version holds only the
+  months it rewrote (``version-<n>/month=YYYY-MM``); the table is, for every
+  month, its newest committed copy. A merge rewrites just the months its
+  change set touches, so a daily catch-up costs one or two months, not the
+  whole history.
+
+Directory listing goes through the Hadoop FileSystem of the path, so the
+same code works on HDFS, object stores and local disk; only metadata (a few
+names per month) reaches the driver.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+from typing import Iterable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _PREFIX = "version-"
+_MONTH = "month"
+_EMPTY = "_EMPTY"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -24,7 +43,7 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def committed_versions(spark: SparkSession, root: str) -> list[int]:
+def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     fs, p, jvm = _fs(spark, root)
     if not fs.exists(p):
         return []
@@ -32,20 +51,32 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(_PREFIX):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            if not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 out.append(int(name[len(_PREFIX):]))
     return sorted(out)
 
 
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    return _versions(spark, root, committed=True)
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
     v = committed_versions(spark, root)
     return v[-1] if v else None
 
 
+def _next_version(spark: SparkSession, root: str) -> int:
+    """One past every version directory, committed or not: a retry after a
+    failure never writes into a directory a dead attempt left behind."""
+    v = _versions(spark, root, committed=False)
+    return (v[-1] if v else 0) + 1
+
+
 def version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/{_PREFIX}{version:010d}"
 
 
+# ------------------------------------------------------------ whole-table
 def read_table(spark: SparkSession, root: str, schema: StructType,
                version: int | None = None) -> DataFrame:
     """The current (or a given) version; an empty frame when none exists."""
@@ -55,24 +86,121 @@ def read_table(spark: SparkSession, root: str, schema: StructType,
     return spark.read.schema(schema).parquet(version_path(root, v))
 
 
-def write_table(df: DataFrame, root: str, sort_by=None, partition_by=None) -> int:
+def write_table(df: DataFrame, root: str, sort_by=None) -> int:
     """Write ``df`` as the next version of ``root``; returns the version.
 
-    ``sort_by`` clusters rows inside each file (min/max statistics then skip
-    row groups on key predicates); ``partition_by`` splits directories.
+    ``sort_by`` clusters rows inside each file, so Parquet min/max statistics
+    skip row groups on key predicates.
     """
     spark = df.sparkSession
-    v = (current_version(spark, root) or 0) + 1
-    out = df
+    v = _next_version(spark, root)
+    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+    out.write.mode("errorifexists").parquet(version_path(root, v))
+    return v
+
+
+# ------------------------------------------------------- month-partitioned
+def month_key(d) -> str:
+    return f"{d.year:04d}-{d.month:02d}"
+
+
+def month_files(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """``{month: (version, path | None)}``: the newest committed copy of every
+    month up to ``version``; path None marks a month rewritten as empty."""
+    fs, _, jvm = _fs(spark, root)
+    out: dict = {}
+    for v in committed_versions(spark, root):
+        if version is not None and v > version:
+            break
+        vp = jvm.org.apache.hadoop.fs.Path(version_path(root, v))
+        for st in fs.listStatus(vp):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith(_MONTH + "="):
+                m = name.split("=", 1)[1]
+                has_data = any(c.getPath().getName().startswith("part-")
+                               for c in fs.listStatus(st.getPath()))
+                out[m] = (v, st.getPath().toString() if has_data else None)
+    return out
+
+
+def read_months(spark: SparkSession, root: str, schema: StructType,
+                months: Iterable | None = None, version: int | None = None) -> DataFrame:
+    """The table (or only ``months``: dates or 'YYYY-MM' keys) as of the
+    newest (or a given) version. Unlisted months are pruned before any file
+    is opened."""
+    files = month_files(spark, root, version)
+    if months is not None:
+        want = {m if isinstance(m, str) else month_key(m) for m in months}
+        files = {m: f for m, f in files.items() if m in want}
+    paths = [p for _, p in sorted(files.values()) if p is not None]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "date",
+                 sort_by: Sequence[str] | None = None) -> int:
+    """Write ``df`` as the new content of ``months`` (every row of ``df``
+    must fall in one of them) in one job; months without rows are marked
+    empty. Returns the version."""
+    spark = df.sparkSession
+    months = sorted({m if isinstance(m, str) else month_key(m) for m in months})
+    v = _next_version(spark, root)
+    vp = version_path(root, v)
+    fs, _, jvm = _fs(spark, vp)
+    # Every rewritten month gets its directory (kept alive by a marker file
+    # on stores without real directories) before the job; a month whose
+    # directory holds no data file after the commit reads as empty.
+    for m in months:
+        d = jvm.org.apache.hadoop.fs.Path(f"{vp}/{_MONTH}={m}")
+        fs.mkdirs(d)
+        fs.create(jvm.org.apache.hadoop.fs.Path(d, _EMPTY)).close()
+    out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM"))
     if sort_by:
-        out = out.sortWithinPartitions(*sort_by)
-    w = out.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(version_path(root, v))
+        # no extra shuffle: each task writes one file per month it holds
+        out = out.sortWithinPartitions(_MONTH, *sort_by)
+    out.write.mode("append").partitionBy(_MONTH).parquet(vp)
     return v
 
 
+def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]:
+    """Distinct months of a change set (a short list: one entry per month,
+    at most a few hundred even for the longest backfill)."""
+    rows = (changes.select(F.trunc(F.col(date_col), "month").alias("m"))
+                   .distinct().collect())
+    return sorted(r["m"] for r in rows)
+
+
+def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Sequence[str],
+                 schema: StructType, date_col: str = "date",
+                 sort_by: Sequence[str] | None = None) -> int:
+    """Keyed upsert of ``changes`` into a month-partitioned table, rewriting
+    only the months the changes fall in. Pass a materialised change set (it
+    is read three times)."""
+    from daybars.operators.keyed import upsert
+
+    months = changed_months(changes, date_col)
+    base = read_months(spark, root, schema, months)
+    merged = upsert(base, changes.select(*schema.fieldNames()), keys)
+    return write_months(merged, root, months, date_col, sort_by)
+
+
 def write_bars(bars: DataFrame, root: str) -> int:
-    """Bars clustered by (code, date) inside files."""
+    """Whole bars table as a new version, clustered by (code, date)."""
     return write_table(bars, root, sort_by=["code", "date"])
+
+
+def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFrame,
+                           changes: DataFrame, schema: StructType) -> int | None:
+    """Refresh a month-partitioned features table after ``changes`` were
+    merged into ``bars``: only the months holding a touched (code, month)
+    are rewritten. Returns the version, or None when nothing was touched."""
+    from daybars.operators.features import _BKT, replace_months, touched_refresh
+
+    months, fresh = touched_refresh(bars, changes)
+    ms = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
+    if not ms:
+        return None
+    old = read_months(spark, features_root, schema, ms)
+    return write_months(replace_months(old, months, fresh), features_root, ms,
+                        sort_by=["code", "date"])

@@ -8,7 +8,8 @@ touched codes are refreshed. Late or corrected bars simply overwrite by key.
 Fault tolerance: ``foreachBatch`` may re-run a batch after a failure. The
 batch body is idempotent (``upsert(upsert(b, c), c) == upsert(b, c)``) and a
 version only becomes visible after its ``_SUCCESS`` commit marker, so a
-retried or half-finished batch never corrupts the tables.
+retried or half-finished batch never corrupts the tables. Bars and features
+are month-partitioned: a micro-batch rewrites only the months it touches.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybars.operators.features import features_touched
-from daybars.operators.keyed import keep_last, upsert
+from daybars.operators.keyed import keep_last
 from daybars.schemas import BARS, FEATURES, QUOTE
 from daybars.sources.quotes import split_quotes
-from daybars.sources.tables import read_table, write_bars, write_table
+from daybars.sources.tables import merge_months, read_months, refresh_feature_months
 
 _BAR_COLS = [f.name for f in BARS.fields]
 
@@ -46,16 +46,16 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
         # Materialise the small change set once so that the merge and the
         # feature refresh do not re-read the landed files.
         changes = changes.checkpoint(eager=True)
-        base = read_table(spark, bars_root, BARS)
-        merged = upsert(base, changes, ["code", "date"])
-        write_bars(merged, bars_root)
-        if features_root is not None:
-            new_bars = read_table(spark, bars_root, BARS)
-            feats = read_table(spark, features_root, FEATURES)
-            write_table(features_touched(feats, new_bars, changes), features_root,
-                        sort_by=["code", "date"])
         if quarantine_root is not None:
-            bad.write.mode("append").parquet(quarantine_root)
+            # one folder per epoch, overwritten on retry: no duplicates
+            bad.write.mode("overwrite").parquet(f"{quarantine_root}/epoch={epoch_id}")
+        if changes.isEmpty():
+            return
+        # Only the months the batch touches are rewritten.
+        merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+        if features_root is not None:
+            refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
+                                   changes, FEATURES)
 
     return run
 
@@ -94,4 +94,4 @@ def demo_catchup(spark: SparkSession, bars: DataFrame, events: DataFrame) -> Dat
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_table(spark, f"{root}/bars", BARS)
+    return read_months(spark, f"{root}/bars", BARS)

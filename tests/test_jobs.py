@@ -13,7 +13,7 @@ from daybars.plans.jobs import (
     job_sync_master,
 )
 from daybars.schemas import BARS, FEATURES, MASTER
-from daybars.sources.tables import read_table
+from daybars.sources.tables import read_months, read_table
 from tests.conftest import SF_SMALL, rows
 from tests.test_master import line
 
@@ -56,8 +56,8 @@ def test_end_to_end(spark, tmp_dir):
     summary = job_daily(spark, "2024-01-30", f"{tmp_dir}/master", f"{tmp_dir}/bars",
                         f"{tmp_dir}/features", f"{tmp_dir}/landing2").first().asDict()
     assert summary["total"] == 150 and summary["failed"] == 0
-    assert rows(read_table(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
-    assert rows(read_table(spark, f"{tmp_dir}/features", FEATURES)) == rows(features_full(bars))
+    assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
+    assert rows(read_months(spark, f"{tmp_dir}/features", FEATURES)) == rows(features_full(bars))
 
     found = job_search(spark, f"{tmp_dir}/master", f"{tmp_dir}/bars", "종목7")
     got = [r["date"] for r in found.collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from daybars.adapters import bars_from_events, load, quote_json_lines, quote_records
 from daybars.operators.features import features_full
 from daybars.schemas import BARS, FEATURES
-from daybars.sources.tables import committed_versions, read_table, version_path, write_table
+from daybars.sources.tables import read_months, committed_versions, read_table, version_path, write_table
 from daybars.streaming.catchup import start_catchup
 from tests.conftest import SF_SMALL, rows
 
@@ -39,13 +39,42 @@ def test_stream_catchup_late_corrections_and_features(spark, tmp_dir):
                       features_root=f"{tmp_dir}/features")
     q.awaitTermination()
     assert q.exception() is None
-    assert rows(read_table(spark, f"{tmp_dir}/bars", BARS)) == rows(prelim)
+    assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(prelim)
     quote_json_lines(quote_records(bars, "2024-01-30", 2)).write.text(f"{land}/d2")
     q = start_catchup(spark, f"{land}/*", f"{tmp_dir}/bars", f"{tmp_dir}/ck",
                       features_root=f"{tmp_dir}/features")
     q.awaitTermination()
     assert q.exception() is None
-    final = read_table(spark, f"{tmp_dir}/bars", BARS)
+    final = read_months(spark, f"{tmp_dir}/bars", BARS)
     assert rows(final) == rows(bars)
-    feats = read_table(spark, f"{tmp_dir}/features", FEATURES)
+    feats = read_months(spark, f"{tmp_dir}/features", FEATURES)
     assert rows(feats) == rows(features_full(bars))
+
+
+def test_month_tables_rewrite_only_touched_months(spark, tmp_dir):
+    from daybars.operators.keyed import upsert
+    from daybars.sources.tables import merge_months, month_files, read_months, write_months
+
+    root = f"{tmp_dir}/bars_m"
+    ev = load(spark, SF_SMALL, "events")
+    bars = bars_from_events(ev)
+    # initial load: January 2024, plus one December bar
+    dec = spark.createDataFrame([("1", D(2023, 12, 29), 1.0, 1.0, 1.0, 1.0, 1)], BARS)
+    v1 = write_months(bars.unionByName(dec), root, ["2023-12", "2024-01"], sort_by=["code", "date"])
+    assert rows(read_months(spark, root, BARS)) == rows(bars.unionByName(dec))
+    # a change set in February and one January correction
+    ch = spark.createDataFrame([("1", D(2024, 2, 1), 2.0, 2.0, 2.0, 2.0, 2),
+                                ("1", D(2024, 1, 2), 9.0, 9.0, 9.0, 9.0, 9)], BARS)
+    v2 = merge_months(spark, root, ch, ["code", "date"], BARS, sort_by=["code", "date"])
+    files = month_files(spark, root)
+    assert {m: v for m, (v, _) in files.items()} == {"2023-12": v1, "2024-01": v2, "2024-02": v2}
+    want = upsert(bars.unionByName(dec), ch, ["code", "date"])
+    assert rows(read_months(spark, root, BARS)) == rows(want)
+    # time travel and month pruning
+    assert rows(read_months(spark, root, BARS, version=v1)) == rows(bars.unionByName(dec))
+    assert rows(read_months(spark, root, BARS, months=["2024-02"])) == rows(ch.where("date >= '2024-02-01'"))
+    # a month rewritten empty disappears; an uncommitted version is ignored
+    write_months(spark.createDataFrame([], BARS), root, ["2023-12"])
+    assert read_months(spark, root, BARS, months=["2023-12"]).count() == 0
+    os.makedirs(f"{root}/version-0000000099/month=2024-01")
+    assert rows(read_months(spark, root, BARS)) == rows(want.where("date >= '2024-01-01'"))
