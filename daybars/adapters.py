@@ -100,12 +100,13 @@ def from_json_lines(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", QUOTE).alias("r")).select("r.*")
 
 
-def master_lines(master: DataFrame, tail: int = TAIL_WIDTH) -> DataFrame:
+def master_lines(master: DataFrame, tail: int = TAIL_WIDTH, keep=()) -> DataFrame:
     """Render master rows as fixed-width lines: code padded to 9, a 12-char
-    standard code, the name padded to 40, then ``tail`` filler characters."""
+    standard code, the name padded to 40, then ``tail`` filler characters.
+    ``keep`` names extra columns to carry along."""
     std = F.concat(F.lit("KR"), F.lpad(F.col("code"), NAME_START - CODE_WIDTH - 2, "0"))
     name = F.concat(F.col("name"), F.repeat(F.lit(" "), F.greatest(F.lit(40) - F.length("name"), F.lit(0))))
     filler = F.rpad(F.concat(F.lit("ST"), F.col("code")), tail, "0")
     return master.select(
         F.concat(F.rpad(F.col("code"), CODE_WIDTH, " "), std, name, filler).alias("line"),
-        "market_type")
+        "market_type", *keep)

@@ -234,6 +234,75 @@ def q_stream_catchup(spark, d):
     return demo_catchup(spark, _bars(spark, d), _events(spark, d))
 
 
+def q_master_quarantine(spark, d):
+    """Fixed-width lines rendered from customer where negative balances lose
+    their name field (empty name range) and nation 0 has a blank name; the
+    parser must quarantine exactly those lines, per market."""
+    c = A.load(spark, d, "customer")
+    m = c.select(F.col("c_custkey").cast("string").alias("code"),
+                 F.when(F.col("c_nationkey") == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("name"),
+                 F.col("c_mktsegment").alias("market_type"), "c_acctbal")
+    lines = A.master_lines(m, keep=["c_acctbal"])
+    no_name = F.concat(F.substring("line", 1, 21), F.substring("line", -MT.TAIL_WIDTH, MT.TAIL_WIDTH))
+    lines = lines.select(F.when(F.col("c_acctbal") < 0, no_name).otherwise(F.col("line")).alias("line"),
+                         "market_type")
+    bad = [MT.split_master_lines(lines.where(F.col("market_type") == s).select("line"), s)[1]
+           for s in SEGMENTS]
+    return reduce(DataFrame.unionByName, bad).select("code", "reason")
+
+
+def _segments(master):
+    return master.select("code", F.col("market_type").alias("_seg"))
+
+
+def q_quotes_quarantine(spark, d):
+    """Responses rendered from bars: HOUSEHOLD codes are answered with a
+    reject, and zero-volume bars carry a malformed date (day 00)."""
+    recs = A.quote_records(_bars(spark, d), AS_OF_MODES).join(_segments(_master(spark, d)), "code", "left")
+    closed = F.col("_seg") == REMOVED_SEGMENT
+    day00 = lambda e: e.withField(
+        "stck_bsop_date",
+        F.when(e["acml_vol"] == "0", F.concat(F.substring(e["stck_bsop_date"], 1, 6), F.lit("00")))
+         .otherwise(e["stck_bsop_date"]))
+    fixed = recs.select(
+        "code", "window_start", "window_end", "fetch_seq",
+        F.when(closed, F.lit("1")).otherwise(F.col("rt_cd")).alias("rt_cd"),
+        F.when(closed, F.lit("segment closed")).otherwise(F.col("msg1")).alias("msg1"),
+        F.when(closed, F.lit(None)).otherwise(F.transform("output2", day00)).alias("output2"))
+    _, bad = QU.split_quotes(A.from_json_lines(A.quote_json_lines(fixed)))
+    return bad.select("code", "window_start", "window_end", "reason")
+
+
+def q_code_status_rejects(spark, d):
+    """Per-code outcome when HOUSEHOLD codes get every window rejected and
+    AUTOMOBILE codes their second window: failed / partial / ok / empty."""
+    master = _master(spark, d)
+    known = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
+    modes = PL.plan_modes(master, known, AS_OF_PLAN)
+    plan = PL.plan_incremental(master, known, AS_OF_PLAN)
+    as_of = F.lit(_dt.date.fromisoformat(AS_OF_PLAN))
+    avail = (_bars(spark, d).join(modes.where(F.col("mode") != "skip").select("code", "start"), "code")
+             .where((F.col("date") >= F.col("start")) & (F.col("date") <= as_of))
+             .select("code", F.floor(F.datediff(as_of, F.col("date")) / PL.WINDOW_DAYS)
+                     .cast("int").alias("i")))
+    answered = avail.groupBy("code", "i").agg(F.count(F.lit(1)).alias("n_bars"))
+    seg = _segments(master)
+    w = plan.join(seg, "code", "left").join(answered, ["code", "i"], "left")
+    rejected = (F.col("_seg") == REMOVED_SEGMENT) | ((F.col("_seg") == "AUTOMOBILE") & (F.col("i") == 1))
+    windows = w.select("code", "i", rejected.alias("rejected"),
+                       F.when(rejected, F.lit(0)).otherwise(F.coalesce("n_bars", F.lit(0)))
+                        .cast("bigint").alias("n_bars"))
+    return AG.code_status(modes, windows)
+
+
+def q_features_full_lineitem(spark, d):
+    return FE.features_full(A.bars_from_lineitem(A.load(spark, d, "lineitem")))
+
+
+def q_market_counts_wide(spark, d):
+    return AG.market_counts_wide(_master(spark, d), SEGMENTS)
+
+
 QUERIES = {
     "bars_daily": q_bars_daily,
     "master_project": q_master_project,
@@ -263,6 +332,11 @@ QUERIES = {
     "run_summary": q_run_summary,
     "collected_range": q_collected_range,
     "stream_catchup": q_stream_catchup,
+    "master_quarantine": q_master_quarantine,
+    "quotes_quarantine": q_quotes_quarantine,
+    "code_status_rejects": q_code_status_rejects,
+    "features_full_lineitem": q_features_full_lineitem,
+    "market_counts_wide": q_market_counts_wide,
 }
 
 
@@ -397,6 +471,74 @@ def _summary_sql() -> str:
     FROM st"""
 
 
+def _quotes_quarantine_sql() -> str:
+    a = AS_OF_MODES
+    return f"""
+    WITH bw AS (
+      SELECT b.code, b.volume, m.market_type AS seg,
+             CAST(floor((DATE '{a}' - b."date") / 100) AS INTEGER) AS i
+      FROM ({BARS}) b LEFT JOIN ({MASTER}) m ON b.code = m.code)
+    SELECT DISTINCT code,
+           strftime(DATE '{a}' - CAST(i * 100 + 99 AS INTEGER), '%Y%m%d') AS window_start,
+           strftime(DATE '{a}' - CAST(i * 100 AS INTEGER), '%Y%m%d') AS window_end,
+           'rejected: segment closed' AS reason
+    FROM bw WHERE seg = '{REMOVED_SEGMENT}'
+    UNION ALL
+    SELECT code,
+           strftime(DATE '{a}' - CAST(i * 100 + 99 AS INTEGER), '%Y%m%d'),
+           strftime(DATE '{a}' - CAST(i * 100 AS INTEGER), '%Y%m%d'),
+           'bad date'
+    FROM bw WHERE coalesce(seg, '') <> '{REMOVED_SEGMENT}' AND volume = 0"""
+
+
+def _code_status_sql() -> str:
+    a = AS_OF_PLAN
+    known = _bars_sql("event_type <> 'purchase'")
+    return f"""
+    WITH lt AS (SELECT code, max("date") AS latest FROM ({known}) k GROUP BY code),
+    r AS (
+      SELECT m.code, m.market_type AS seg,
+             CASE WHEN lt.latest IS NULL THEN 'initial'
+                  WHEN lt.latest + 1 > DATE '{a}' THEN 'skip'
+                  ELSE 'incremental' END AS mode,
+             CASE WHEN lt.latest IS NULL THEN DATE '{a}' - 499 ELSE lt.latest + 1 END AS start
+      FROM ({MASTER}) m LEFT JOIN lt ON m.code = lt.code),
+    win AS (
+      SELECT code, seg, unnest(range(0, CAST(ceil((DATE '{a}' - start + 1) / 100.0) AS BIGINT))) AS i
+      FROM r WHERE mode <> 'skip'),
+    ans AS (
+      SELECT r.code, CAST(floor((DATE '{a}' - b."date") / 100) AS BIGINT) AS i, count(*) AS n
+      FROM r JOIN ({BARS}) b ON b.code = r.code AND b."date" >= r.start AND b."date" <= DATE '{a}'
+      WHERE r.mode <> 'skip' GROUP BY 1, 2),
+    wb AS (
+      SELECT win.code, (win.seg = '{REMOVED_SEGMENT}' OR (win.seg = 'AUTOMOBILE' AND win.i = 1)) AS rejected,
+             coalesce(ans.n, 0) AS n
+      FROM win LEFT JOIN ans ON win.code = ans.code AND win.i = ans.i),
+    per AS (
+      SELECT code, count(*) AS n_win, count(*) FILTER (WHERE rejected) AS n_rej,
+             sum(CASE WHEN rejected THEN 0 ELSE n END) AS n_bars
+      FROM wb GROUP BY code)
+    SELECT r.code, r.mode,
+           CASE WHEN r.mode = 'skip' THEN 'skipped'
+                WHEN coalesce(per.n_win, 0) > 0 AND per.n_rej = per.n_win THEN 'failed'
+                WHEN coalesce(per.n_rej, 0) > 0 THEN 'partial'
+                WHEN coalesce(per.n_bars, 0) = 0 THEN 'empty'
+                ELSE 'ok' END AS status,
+           CAST(coalesce(per.n_win, 0) AS BIGINT) AS n_windows,
+           CAST(coalesce(per.n_bars, 0) AS BIGINT) AS n_bars
+    FROM r LEFT JOIN per ON r.code = per.code"""
+
+
+LINEITEM_BARS = """
+    SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS "date",
+           arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS "open",
+           max(l_extendedprice) AS high,
+           min(l_extendedprice) AS low,
+           arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS "close",
+           CAST(sum(l_quantity) AS BIGINT) AS volume
+    FROM lineitem GROUP BY 1, 2"""
+
+
 def oracle() -> dict[str, str]:
     seg_union = "\nUNION ALL\n".join(
         f"SELECT code, name, '{s}' AS market_type FROM ({MASTER}) m WHERE market_type = '{s}'"
@@ -495,4 +637,15 @@ def oracle() -> dict[str, str]:
         "collected_range": f"""SELECT code, min("date") AS first_date, max("date") AS last_date,
                                       count(*) AS n_days FROM ({BARS}) b GROUP BY code""",
         "stream_catchup": BARS,
+        "master_quarantine": """
+            SELECT CAST(c_custkey AS VARCHAR) AS code,
+                   CASE WHEN c_acctbal < 0 THEN 'short line' ELSE 'blank name' END
+                     || ' (' || c_mktsegment || ')' AS reason
+            FROM customer WHERE c_acctbal < 0 OR c_nationkey = 0""",
+        "quotes_quarantine": _quotes_quarantine_sql(),
+        "code_status_rejects": _code_status_sql(),
+        "features_full_lineitem": _features_sql(LINEITEM_BARS),
+        "market_counts_wide": "SELECT " + ", ".join(
+            f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)
+            + ", count(*) AS total FROM customer",
     }
