@@ -144,17 +144,31 @@ def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
     return t.where("_touched").select(key, _BKT)
 
 
-def touched_refresh(bars: DataFrame, changes: DataFrame):
+def touched_refresh(bars: DataFrame, changes: DataFrame, materialise: bool = False,
+                    month_rows=None):
     """Recompute the touched months. Returns ``(months, fresh)``: the touched
-    (code, ``_bkt``) pairs and their recomputed feature rows."""
+    (code, ``_bkt``) pairs and their recomputed feature rows.
+
+    ``materialise`` checkpoints the touched and seed rows (one row per
+    affected (code, month)) so that callers using ``months`` more than once
+    do not recompute the month aggregate. ``month_rows(months_list)`` may
+    return a month-pruned read of the bars for the recomputed rows; the
+    per-month last-bar aggregate always reads the whole history, since a
+    code's previous non-empty month can be arbitrarily old."""
     key, order = "code", "date"
     carried = [order, *BAR_VALUES]
     b = bars.select(key, order, *BAR_VALUES)
     t = _touched_lasts(b, changes, key, order, carried)
+    if materialise:
+        t = t.where(F.col("_touched") | F.col("_seed")).checkpoint(eager=True)
     months = t.where("_touched").select(key, _BKT)
     seeds = t.where(F.col("_seed") & F.col("_next").isNotNull())
-    rows = (b.withColumn(_BKT, F.trunc(F.col(order), "month"))
-             .join(months, [key, _BKT], "left_semi"))
+    src = b
+    if month_rows is not None:
+        listed = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
+        src = month_rows(listed).select(key, order, *BAR_VALUES)
+    rows = (src.withColumn(_BKT, F.trunc(F.col(order), "month"))
+               .join(months, [key, _BKT], "left_semi"))
     p = _lag_in_months(rows, seeds, [key, order, *BAR_VALUES], key, order, carried, "prev_")
     fresh = p.where(F.col("prev_close").isNotNull()).select(key, order, *_rates())
     return months, fresh

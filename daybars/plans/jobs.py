@@ -118,7 +118,8 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
         merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
                      sort_by=["code", "date"])
     else:
-        refresh_feature_months(spark, features_root, bars, changes, FEATURES)
+        refresh_feature_months(spark, features_root, bars, changes, FEATURES,
+                               bars_root=bars_root, bars_schema=BARS)
     return summary
 
 

@@ -155,10 +155,11 @@ def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "da
         d = jvm.org.apache.hadoop.fs.Path(f"{vp}/{_MONTH}={m}")
         fs.mkdirs(d)
         fs.create(jvm.org.apache.hadoop.fs.Path(d, _EMPTY)).close()
-    out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM"))
-    if sort_by:
-        # no extra shuffle: each task writes one file per month it holds
-        out = out.sortWithinPartitions(_MONTH, *sort_by)
+    # REBALANCE: AQE packs small months into one task and splits a large
+    # month over several, so files come out near the advisory size instead
+    # of one small file per month per input task.
+    out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM")).hint("rebalance", _MONTH)
+    out = out.sortWithinPartitions(_MONTH, *(sort_by or []))
     out.write.mode("append").partitionBy(_MONTH).parquet(vp)
     return v
 
@@ -191,13 +192,25 @@ def write_bars(bars: DataFrame, root: str) -> int:
 
 
 def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFrame,
-                           changes: DataFrame, schema: StructType) -> int | None:
+                           changes: DataFrame, schema: StructType,
+                           bars_root: str | None = None,
+                           bars_schema: StructType | None = None) -> int | None:
     """Refresh a month-partitioned features table after ``changes`` were
     merged into ``bars``: only the months holding a touched (code, month)
-    are rewritten. Returns the version, or None when nothing was touched."""
+    are rewritten. Returns the version, or None when nothing was touched.
+
+    The touched pairs and their seed rows (small: proportional to the change
+    set) are materialised once in the checkpoint folder; listing their months
+    and recomputing them then reuse it. With ``bars_root`` the recomputed rows
+    are read from the touched months only.
+    """
     from daybars.operators.features import _BKT, replace_months, touched_refresh
 
-    months, fresh = touched_refresh(bars, changes)
+    month_rows = None
+    if bars_root is not None:
+        def month_rows(ms):
+            return read_months(spark, bars_root, bars_schema, ms)
+    months, fresh = touched_refresh(bars, changes, materialise=True, month_rows=month_rows)
     ms = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
     if not ms:
         return None

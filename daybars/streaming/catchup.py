@@ -55,7 +55,7 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
         merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
         if features_root is not None:
             refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
-                                   changes, FEATURES)
+                                   changes, FEATURES, bars_root=bars_root, bars_schema=BARS)
 
     return run
 
