@@ -9,6 +9,8 @@ leaves no committed version, so re-running it is always safe.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from daybars.operators.aggregates import (
@@ -31,14 +33,17 @@ from daybars.sources.tables import (
 _BAR_COLS = [f.name for f in BARS.fields]
 
 
-def _quarantine(bad: DataFrame, root: str | None) -> None:
+def _quarantine(bad: DataFrame, root: str | None, run_id: str | None) -> None:
+    """Quarantine rows of one run under ``run=<id>``; a retried run with the
+    same id overwrites its own folder instead of adding duplicates."""
     if root is not None:
-        bad.write.mode("append").parquet(root)
+        rid = run_id or uuid.uuid4().hex
+        bad.write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={rid}")
 
 
 def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts,
                     tail=TAIL_WIDTH, zipped: bool = False,
-                    quarantine_root: str | None = None) -> DataFrame:
+                    quarantine_root: str | None = None, run_id: str | None = None) -> DataFrame:
     """Parse every market's master file, resolve codes listed in several
     markets (last market in ``sources`` order wins), upsert into the master
     table. Returns the per-market counts and their total (one row)."""
@@ -59,7 +64,7 @@ def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts
     changes = keep_last(rows, ["code"], "_prio").drop("_prio")
     base = read_table(spark, master_root, MASTER)
     write_table(upsert_with_audit(base, changes, ["code"], run_ts), master_root, sort_by=["code"])
-    _quarantine(bad, quarantine_root)
+    _quarantine(bad, quarantine_root, run_id)
     return market_counts_wide(rows, markets=tuple(sources))
 
 
@@ -74,7 +79,8 @@ def job_plan(spark: SparkSession, master_root: str, bars_root: str, as_of,
 
 
 def job_collect(spark: SparkSession, landing: str, bars_root: str,
-                modes: DataFrame | None = None, quarantine_root: str | None = None):
+                modes: DataFrame | None = None, quarantine_root: str | None = None,
+                run_id: str | None = None):
     """Parse landed responses, de-duplicate by arrival, upsert into
     the bars table. Returns ``(changes, summary)``; ``changes`` is the
     checkpointed change set (input of the feature refresh), ``summary`` the
@@ -84,7 +90,7 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
     changes = changes.checkpoint(eager=True)
     merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
-    _quarantine(bad, quarantine_root)
+    _quarantine(bad, quarantine_root, run_id)
     summary = None
     if modes is not None:
         summary = run_summary(code_status(modes, quote_windows(raw)))
@@ -103,7 +109,7 @@ def job_features_full(spark: SparkSession, bars_root: str, features_root: str) -
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
               features_root: str, landing: str, quarantine_root: str | None = None,
-              as_of_only: bool = False) -> DataFrame | None:
+              as_of_only: bool = False, run_id: str | None = None) -> DataFrame | None:
     """C4: collect what has landed, then refresh features.
 
     Default: refresh every touched code (each changed bar and its successors),
@@ -111,7 +117,7 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
     single-date refresh (features for bars dated ``as_of`` only)."""
     master = read_table(spark, master_root, MASTER)
     modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of)
-    changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root)
+    changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id)
     bars = read_months(spark, bars_root, BARS)
     if as_of_only:
         fresh = features_as_of(bars, as_of).checkpoint(eager=True)

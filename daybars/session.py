@@ -31,7 +31,9 @@ def get_session(master: str | None = None, app: str = "daybars",
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false"))
+         .config("spark.ui.showConsoleProgress", "false")
+         # checkpoints of per-batch change sets are removed once unreferenced
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         b = b.master(master)
     for k, v in RUNTIME_CONF.items():
