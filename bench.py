@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +27,7 @@ from daybars.operators.keyed import keep_last, upsert  # noqa: E402
 from daybars.operators.lookup import lookup_bars  # noqa: E402
 from daybars.operators.planner import plan_incremental  # noqa: E402
 from daybars.schemas import BARS  # noqa: E402
-from daybars.session import get_session  # noqa: E402
+from daybars.session import get_session, scratch_dir  # noqa: E402
 from daybars.sources.quotes import parse_quotes  # noqa: E402
 from daybars.sources.tables import (  # noqa: E402
     changed_months, merge_months, read_months, refresh_feature_months, write_months,
@@ -43,7 +42,9 @@ def main():
     spark = get_session(f"local[{cpus}]", app="daybars-bench", shuffle_partitions=max(cpus, 8),
                         extra={"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="daybars-bench-")
+    # scratch lives in the session's shared checkpoint folder (a fresh,
+    # never-reused subfolder); a local one is created only when unset
+    scratch = scratch_dir(spark, "bench")
 
     # ---- setup: stored tables
     A.bars_from_events(A.load(spark, sf_dir, "events")).write.parquet(f"{scratch}/ev_bars")

@@ -36,7 +36,9 @@ FEATURES = T.StructType([
 ])
 RATE_COLUMNS = [f"{c}_change_rate" for c in BAR_VALUES]
 
-# one element of a quote response's output2 array; every field is text
+# Field names of the quote response (status, message, bar
+# array and the six bar fields), as the source API returns them.
+# One element of a quote response's output2 array; every field is text.
 QUOTE_ELEMENT = T.StructType([
     T.StructField("stck_bsop_date", T.StringType(), True),
     T.StructField("stck_oprc", T.StringType(), True),
