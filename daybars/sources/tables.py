@@ -50,7 +50,7 @@ def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(_PREFIX):
+        if st.isDirectory() and name.startswith(_PREFIX) and name[len(_PREFIX):].isdigit():
             if not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 out.append(int(name[len(_PREFIX):]))
     return sorted(out)
@@ -217,3 +217,57 @@ def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFr
     old = read_months(spark, features_root, schema, ms)
     return write_months(replace_months(old, months, fresh), features_root, ms,
                         sort_by=["code", "date"])
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete what the newest ``keep`` committed versions no longer reach;
+    returns the deleted paths.
+
+    Month tables keep every month copy that is current as of one of the kept
+    versions (older versions stay readable for in-flight readers while
+    ``keep`` >= 2); whole tables keep their newest ``keep`` versions. Dead
+    attempts (uncommitted directories older than the newest commit) go too;
+    a writer still running always holds a higher number and is untouched.
+    """
+    if keep < 1:
+        raise ValueError("keep must be >= 1")
+    fs, _, jvm = _fs(spark, root)
+    committed = committed_versions(spark, root)
+    if not committed:
+        return []
+    kept_versions = committed[-keep:]
+    path = jvm.org.apache.hadoop.fs.Path
+
+    def month_dirs(v):
+        vp = path(version_path(root, v))
+        return {st.getPath().getName().split("=", 1)[1]: st.getPath().toString()
+                for st in fs.listStatus(vp)
+                if st.isDirectory() and st.getPath().getName().startswith(_MONTH + "=")}
+
+    monthly = any(month_dirs(v) for v in committed)
+    deleted = []
+    if monthly:
+        reachable = set()
+        for v in kept_versions:
+            for m, (mv, _) in month_files(spark, root, version=v).items():
+                reachable.add((mv, m))
+        for v in committed:
+            dirs = month_dirs(v)
+            gone = [m for m in dirs if (v, m) not in reachable]
+            if len(gone) == len(dirs):
+                if v not in kept_versions:
+                    fs.delete(path(version_path(root, v)), True)
+                    deleted.append(version_path(root, v))
+                continue
+            for m in gone:
+                fs.delete(path(dirs[m]), True)
+                deleted.append(dirs[m])
+    else:
+        for v in committed[:-keep]:
+            fs.delete(path(version_path(root, v)), True)
+            deleted.append(version_path(root, v))
+    for v in _versions(spark, root, committed=False):
+        if v < committed[-1] and v not in committed:
+            fs.delete(path(version_path(root, v)), True)
+            deleted.append(version_path(root, v))
+    return deleted

@@ -57,3 +57,24 @@ def test_planner_and_upsert_have_no_cross_join_or_python(spark, tmp_dir):
         p = plan_of(df)
         assert "CartesianProduct" not in p and "NestedLoop" not in p
         assert "Python" not in p
+
+
+def test_touched_refresh_streams_features_without_shuffle(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from daybars.operators.features import features_touched
+
+    bars = stored_bars(spark, tmp_dir)
+    features_full(bars).write.parquet(f"{tmp_dir}/f")
+    feats = spark.read.parquet(f"{tmp_dir}/f")
+    last = bars.agg(F.max("date")).first()[0]
+    changes = bars.where(F.col("date") == F.lit(last)).withColumn("close", F.col("close") + 1)
+    p = plan_of(features_touched(feats, upsert(bars, changes, ["code", "date"]), changes))
+    p = p.split("== Initial Plan ==")[0]
+    lines = p.split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and f"{tmp_dir}/f" in x)
+    above = "\n".join(lines[max(0, scan - 3):scan])
+    # the large features table is filtered by a broadcast anti-join on the
+    # small touched-month set, never shuffled
+    assert "BroadcastHashJoin" in above and "LeftAnti" in above
+    assert "Exchange" not in above

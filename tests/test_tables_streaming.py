@@ -78,3 +78,24 @@ def test_month_tables_rewrite_only_touched_months(spark, tmp_dir):
     assert read_months(spark, root, BARS, months=["2023-12"]).count() == 0
     os.makedirs(f"{root}/version-0000000099/month=2024-01")
     assert rows(read_months(spark, root, BARS)) == rows(want.where("date >= '2024-01-01'"))
+
+
+def test_expire_versions_keeps_current_state(spark, tmp_dir):
+    from daybars.sources.tables import expire_versions, merge_months, read_months, write_months
+
+    root = f"{tmp_dir}/bars_x"
+    jan = spark.createDataFrame([("A", D(2024, 1, d), 1.0, 1.0, 1.0, 1.0, 1) for d in (2, 3)], BARS)
+    feb = spark.createDataFrame([("A", D(2024, 2, 1), 2.0, 2.0, 2.0, 2.0, 2)], BARS)
+    write_months(jan.unionByName(feb), root, ["2024-01", "2024-02"])           # v1
+    ch = spark.createDataFrame([("A", D(2024, 2, 1), 3.0, 3.0, 3.0, 3.0, 3)], BARS)
+    merge_months(spark, root, ch, ["code", "date"], BARS)                        # v2: Feb
+    merge_months(spark, root, ch.withColumn("close", F.lit(4.0)), ["code", "date"], BARS)  # v3: Feb
+    os.makedirs(f"{root}/version-0000000002x", exist_ok=True)                    # foreign name: untouched
+    want = rows(read_months(spark, root, BARS))
+    deleted = expire_versions(spark, root, keep=1)
+    # v1's February copy and all of v2 are unreachable; v1's January stays
+    assert sorted(p.rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[-1] for p in deleted if "month=" in p) == \
+        ["version-0000000001/month=2024-02"]
+    assert any(p.endswith("version-0000000002") for p in deleted)
+    assert rows(read_months(spark, root, BARS)) == want
+    assert expire_versions(spark, root, keep=1) == []
