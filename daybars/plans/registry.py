@@ -303,6 +303,54 @@ def q_market_counts_wide(spark, d):
     return AG.market_counts_wide(_master(spark, d), SEGMENTS)
 
 
+
+def q_job_sync_master(spark, d):
+    """C1 end to end: every segment's master lines written as CP949 files
+    (derived from customer), then parsed and upserted by the sync job."""
+    from daybars.plans.jobs import job_sync_master
+    from daybars.schemas import MASTER
+    from daybars.session import checkpoint_dir, scratch_dir
+    from daybars.sources.tables import read_table
+
+    checkpoint_dir(spark)
+    root = scratch_dir(spark, "sync-master")
+    lines = A.master_lines(_master(spark, d))
+    paths = {}
+    for s in SEGMENTS:
+        p = f"{root}/landing/{s.lower()}.mst"
+        (lines.where(F.col("market_type") == s).select("line").coalesce(1).write
+              .option("encoding", MT.CHARSET).option("sep", "\u0001").option("quote", "")
+              .option("lineSep", "\n").csv(p))
+        paths[s] = p
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    job_sync_master(spark, paths, f"{root}/master", A.ts_ntz(RUN_TS))
+    return read_table(spark, f"{root}/master", MASTER)
+
+
+def q_job_daily_features(spark, d):
+    """C2 + C4 + C5 end to end on month-partitioned tables: a first landing
+    (events before SPLIT_TS) is collected and features are rebuilt; a second
+    landing (all bars, later) is applied by the daily job, which refreshes
+    only the touched months. Returns the features table."""
+    from daybars.plans.jobs import job_collect, job_daily, job_features_full
+    from daybars.schemas import FEATURES
+    from daybars.session import checkpoint_dir, scratch_dir
+    from daybars.sources.tables import read_months, write_table
+
+    checkpoint_dir(spark)
+    root = scratch_dir(spark, "daily")
+    write_table(_master(spark, d).select("code", "name", "market_type",
+                                         F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                                         F.lit(None).cast("timestamp_ntz").alias("updated_at")),
+                f"{root}/master")
+    A.quote_json_lines(A.quote_records(_base_bars(spark, d), AS_OF_MODES, 1)).write.text(f"{root}/landing1")
+    job_collect(spark, f"{root}/landing1", f"{root}/bars")
+    job_features_full(spark, f"{root}/bars", f"{root}/features")
+    A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(f"{root}/landing2")
+    job_daily(spark, AS_OF_MODES, f"{root}/master", f"{root}/bars", f"{root}/features", f"{root}/landing2")
+    return read_months(spark, f"{root}/features", FEATURES)
+
+
 QUERIES = {
     "bars_daily": q_bars_daily,
     "master_project": q_master_project,
@@ -337,6 +385,8 @@ QUERIES = {
     "code_status_rejects": q_code_status_rejects,
     "features_full_lineitem": q_features_full_lineitem,
     "market_counts_wide": q_market_counts_wide,
+    "job_sync_master": q_job_sync_master,
+    "job_daily_features": q_job_daily_features,
 }
 
 
@@ -648,4 +698,9 @@ def oracle() -> dict[str, str]:
         "market_counts_wide": "SELECT " + ", ".join(
             f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)
             + ", count(*) AS total FROM customer",
+        "job_sync_master": f"""
+            SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS market_type,
+                   TIMESTAMP '{RUN_TS}' AS created_at, TIMESTAMP '{RUN_TS}' AS updated_at
+            FROM customer""",
+        "job_daily_features": _features_sql(BARS),
     }
