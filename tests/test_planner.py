@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from daybars.operators.planner import (
     check_days, plan_full, plan_incremental, plan_mode_counts, plan_modes,
@@ -92,4 +91,3 @@ def test_plan_has_no_python(spark, golden):
     master, bars = golden
     plan = plan_incremental(master, bars, AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
-    assert F  # keep import

@@ -2,7 +2,6 @@ import datetime as dt
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from daybars.functions.parse import int_or_zero, num_or_zero, parse_yyyymmdd, format_yyyymmdd
 from daybars.operators.keyed import keep_last
@@ -71,4 +70,3 @@ def test_read_landed_files_later_file_wins(spark, tmp_dir):
     bars, _ = split_quotes(read_quotes(spark, tmp_dir))
     out = keep_last(bars, ["code", "date"], "seq")
     assert [r["close"] for r in out.collect()] == [3.0]
-    assert F
