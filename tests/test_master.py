@@ -85,3 +85,14 @@ def test_two_markets_last_wins(spark, tmp_dir):
     out = keep_last(u, ["code"], "_prio").drop("_prio")
     got = dict((r["code"], r["market_type"]) for r in out.collect())
     assert got == {"111111": "KOSDAQ", "KOSPI": "KOSPI", "KOSDAQ": "KOSDAQ"}
+
+
+def test_reader_keeps_lines_verbatim(spark, tmp_dir):
+    # quotes, backslashes, a leading '#', separators and outer spaces survive
+    # the CSV reader untouched; only empty lines vanish (too short anyway)
+    lines = ["#comment-like", 'say "hi"', 'back\\slash \\" x', "a,b;c\td", "  pad  ", '"whole"', "", "end"]
+    path = os.path.join(tmp_dir, "odd.mst")
+    with open(path, "wb") as f:
+        f.write("\n".join(lines).encode("cp949"))
+    got = [r["line"] for r in read_master_text(spark, path).collect()]
+    assert got == [x for x in lines if x]
