@@ -10,5 +10,6 @@ from daybars.operators.integrity import (  # noqa: F401
 from daybars.operators.keyed import cascade_delete, keep_last, upsert, upsert_with_audit  # noqa: F401
 from daybars.operators.lookup import find_code, lookup_bars  # noqa: F401
 from daybars.operators.planner import (  # noqa: F401
-    check_days, plan_full, plan_incremental, plan_initial, plan_mode_counts, plan_modes,
+    check_days, gap_windows, plan_full, plan_gaps, plan_incremental, plan_initial, plan_mode_counts,
+    plan_modes,
 )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Window length, initial history and allowed backfill range.
@@ -107,3 +107,45 @@ def plan_mode_counts(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
     return (m.groupBy("mode")
              .agg(F.count(F.lit(1)).alias("n_codes"),
                   F.sum(n_win).cast("bigint").alias("n_windows")))
+
+
+def gap_windows(ranges: DataFrame, coverage: DataFrame, mode: str = "gap") -> DataFrame:
+    """Windows for every required day that no answered window covers.
+
+    ``ranges``: code, start, end (required days, inclusive). ``coverage``:
+    code, seg_start, seg_end (answered windows; overlaps allowed). Unlike a
+    plan from MAX(date), a window that failed inside the history is planned
+    again. Coverage is clipped to the required range first, so the running
+    window per code sees at most one row per required day.
+    """
+    r = ranges.select("code", "start", "end")
+    cov = (coverage.select("code", "seg_start", "seg_end").join(r, "code")
+                   .select("code", "start", "end",
+                           F.greatest("seg_start", "start").alias("s"),
+                           F.least("seg_end", "end").alias("e"))
+                   .where(F.col("s") <= F.col("e"))
+                   # one row per (code, start day): a partial aggregate that
+                   # also absorbs repeated fetches of a hot code
+                   .groupBy("code", "s").agg(F.max("e").alias("e"), F.max("start").alias("start"),
+                                             F.max("end").alias("end")))
+    before = Window.partitionBy("code").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.date_add(F.max("e").over(before), 1), F.col("start"))
+    inner = (cov.select("code", "s", reach.alias("gs"))
+                .where(F.col("s") > F.col("gs"))
+                .select("code", F.col("gs").alias("start"), F.date_sub("s", 1).alias("end")))
+    tail = (cov.groupBy("code").agg(F.max("e").alias("last"), F.max("end").alias("end"))
+               .where(F.col("last") < F.col("end"))
+               .select("code", F.date_add("last", 1).alias("start"), "end"))
+    bare = r.join(cov.select("code").distinct(), "code", "left_anti")
+    gaps = inner.unionByName(tail).unionByName(bare.select("code", "start", "end"))
+    return _windows(gaps.withColumn("mode", F.lit(mode)).select("code", "mode", "start", "end"))
+
+
+def plan_gaps(master: DataFrame, coverage: DataFrame, as_of, days: int = INITIAL_DAYS) -> DataFrame:
+    """Coverage-based plan: every code must hold the last ``days`` days up to
+    ``as_of``; plan the days no answered window covers."""
+    check_days(days)
+    end = _date(as_of)
+    r = master.select("code", F.lit(end - _dt.timedelta(days=days - 1)).alias("start"),
+                      F.lit(end).alias("end"))
+    return gap_windows(r, coverage)

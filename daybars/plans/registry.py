@@ -351,6 +351,21 @@ def q_job_daily_features(spark, d):
     return read_months(spark, f"{root}/features", FEATURES)
 
 
+
+def q_plan_gaps(spark, d):
+    """Coverage-based re-plan (D12): required ranges from the incremental
+    plan at AS_OF_PLAN, coverage = the windows that were answered under the
+    reject rule of ``code_status_rejects``; the gaps are exactly the rejected
+    windows, re-cut from each gap's end."""
+    master = _master(spark, d)
+    known = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
+    modes = PL.plan_modes(master, known, AS_OF_PLAN).where(F.col("mode") != "skip")
+    plan = PL.plan_incremental(master, known, AS_OF_PLAN).join(_segments(master), "code", "left")
+    rejected = (F.col("_seg") == REMOVED_SEGMENT) | ((F.col("_seg") == "AUTOMOBILE") & (F.col("i") == 1))
+    coverage = plan.where(~rejected).select("code", "seg_start", "seg_end")
+    return PL.gap_windows(modes, coverage)
+
+
 QUERIES = {
     "bars_daily": q_bars_daily,
     "master_project": q_master_project,
@@ -387,6 +402,7 @@ QUERIES = {
     "market_counts_wide": q_market_counts_wide,
     "job_sync_master": q_job_sync_master,
     "job_daily_features": q_job_daily_features,
+    "plan_gaps": q_plan_gaps,
 }
 
 
@@ -431,9 +447,9 @@ def _upsert_sql(base: str, ch: str, keys=("code", "date")) -> str:
     UNION ALL SELECT * FROM ch"""
 
 
-def _plan_sql(as_of: str, mode_filter: str) -> str:
+def _plan_sql(as_of: str, mode_filter: str, bars: str = BARS) -> str:
     return f"""
-    WITH lt AS (SELECT code, max("date") AS latest FROM ({BARS}) b GROUP BY code),
+    WITH lt AS (SELECT code, max("date") AS latest FROM ({bars}) b GROUP BY code),
     r AS (
       SELECT m.code,
              CASE WHEN lt.latest IS NULL THEN 'initial'
@@ -589,6 +605,20 @@ LINEITEM_BARS = """
     FROM lineitem GROUP BY 1, 2"""
 
 
+def _plan_gaps_sql() -> str:
+    """Rejected windows of the incremental plan: a HOUSEHOLD code's whole
+    range comes back as its original windows; an AUTOMOBILE code's second
+    window comes back alone, as window 0 of its own gap."""
+    return f"""
+    WITH p AS ({_plan_sql(AS_OF_PLAN, "mode <> 'skip'", _bars_sql("event_type <> 'purchase'"))}),
+    s AS ({MASTER})
+    SELECT p.code, 'gap' AS mode, p.i, p.seg_start, p.seg_end
+    FROM p JOIN s ON p.code = s.code WHERE s.market_type = '{REMOVED_SEGMENT}'
+    UNION ALL
+    SELECT p.code, 'gap' AS mode, 0 AS i, p.seg_start, p.seg_end
+    FROM p JOIN s ON p.code = s.code WHERE s.market_type = 'AUTOMOBILE' AND p.i = 1"""
+
+
 def oracle() -> dict[str, str]:
     seg_union = "\nUNION ALL\n".join(
         f"SELECT code, name, '{s}' AS market_type FROM ({MASTER}) m WHERE market_type = '{s}'"
@@ -703,4 +733,5 @@ def oracle() -> dict[str, str]:
                    TIMESTAMP '{RUN_TS}' AS created_at, TIMESTAMP '{RUN_TS}' AS updated_at
             FROM customer""",
         "job_daily_features": _features_sql(BARS),
+        "plan_gaps": _plan_gaps_sql(),
     }

@@ -91,3 +91,27 @@ def test_plan_has_no_python(spark, golden):
     master, bars = golden
     plan = plan_incremental(master, bars, AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_gap_plan_replans_failed_windows(spark):
+    from daybars.operators.planner import gap_windows, plan_gaps
+
+    rng = spark.createDataFrame([("a", D(2025, 1, 1), D(2025, 12, 31)),
+                                 ("b", D(2025, 1, 1), D(2025, 1, 10)),
+                                 ("c", D(2025, 3, 1), D(2025, 3, 31))], "code string, start date, end date")
+    cov = spark.createDataFrame([
+        # a: answered Jan and Jun-Dec with an overlap; Feb-May failed
+        ("a", D(2024, 12, 1), D(2025, 1, 31)), ("a", D(2025, 6, 1), D(2025, 9, 30)),
+        ("a", D(2025, 9, 1), D(2025, 12, 31)),
+        # b: fully answered; c: nothing answered
+        ("b", D(2025, 1, 1), D(2025, 1, 10))], "code string, seg_start date, seg_end date")
+    w = windows(gap_windows(rng, cov))
+    assert "b" not in w
+    assert w["a"] == [(D(2025, 2, 21), D(2025, 5, 31)), (D(2025, 2, 1), D(2025, 2, 20))]
+    assert w["c"] == [(D(2025, 3, 1), D(2025, 3, 31))]
+    # a hole inside the history survives a newer window (unlike MAX(date))
+    master = spark.createDataFrame([("x",)], "code string")
+    cov2 = spark.createDataFrame([("x", D(2025, 11, 20), D(2025, 11, 30)),
+                                  ("x", D(2025, 12, 2), D(2025, 12, 3))], "code string, seg_start date, seg_end date")
+    w2 = windows(plan_gaps(master, cov2, AS_OF, days=14))
+    assert w2["x"] == [(D(2025, 12, 1), D(2025, 12, 1))]
