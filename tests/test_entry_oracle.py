@@ -40,3 +40,8 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(cols) == sorted(ocols)
     assert len(got) == len(want)
     assert digest(cols, got) == digest(ocols, want)
+    # everything stays JVM-side: no Python evaluation node in the plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonUDF",
+                 "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan, node
