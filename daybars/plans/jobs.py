@@ -21,6 +21,7 @@ from daybars.operators.keyed import keep_last, upsert, upsert_with_audit
 from daybars.operators.lookup import lookup_bars
 from daybars.operators.planner import plan_full, plan_incremental, plan_modes
 from daybars.schemas import BARS, FEATURES, MARKETS, MASTER
+from daybars.session import checkpoint_dir
 from daybars.sources.master_text import (
     TAIL_WIDTH, read_master_zip, read_masters, split_master_lines, union_markets,
 )
@@ -60,6 +61,7 @@ def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts
             bad = bad.unionByName(q)
     else:
         rows, bad = read_masters(spark, sources, tail)
+    checkpoint_dir(spark)
     rows = rows.checkpoint(eager=True)       # parsed once; reused below
     changes = keep_last(rows, ["code"], "_prio").drop("_prio")
     base = read_table(spark, master_root, MASTER)
@@ -88,6 +90,7 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     raw = read_quotes(spark, landing)
     parsed, bad = split_quotes(raw)
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
+    checkpoint_dir(spark)
     changes = changes.checkpoint(eager=True)
     merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
     _quarantine(bad, quarantine_root, run_id)
@@ -120,6 +123,7 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
     changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id)
     bars = read_months(spark, bars_root, BARS)
     if as_of_only:
+        checkpoint_dir(spark)
         fresh = features_as_of(bars, as_of).checkpoint(eager=True)
         merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
                      sort_by=["code", "date"])

@@ -205,7 +205,9 @@ def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFr
     are read from the touched months only.
     """
     from daybars.operators.features import _BKT, replace_months, touched_refresh
+    from daybars.session import checkpoint_dir
 
+    checkpoint_dir(spark)
     month_rows = None
     if bars_root is not None:
         def month_rows(ms):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from daybars.operators.keyed import keep_last
 from daybars.schemas import BARS, FEATURES, QUOTE
 from daybars.sources.quotes import split_quotes
+from daybars.session import checkpoint_dir
 from daybars.sources.tables import merge_months, read_months, refresh_feature_months
 
 _BAR_COLS = [f.name for f in BARS.fields]
@@ -41,6 +42,7 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        checkpoint_dir(spark)
         parsed, bad = split_quotes(batch)
         changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
         # Materialise the small change set once so that the merge and the
@@ -81,9 +83,8 @@ def demo_catchup(spark: SparkSession, bars: DataFrame, events: DataFrame) -> Dat
     drained, which must equal ``bars``.
     """
     from daybars.adapters import bars_from_events, quote_json_lines, quote_records
-    from daybars.session import checkpoint_dir, scratch_dir
+    from daybars.session import scratch_dir
 
-    checkpoint_dir(spark)
     root = scratch_dir(spark, "catchup")
     end = "2024-01-30"
     prelim = bars_from_events(events.where(F.col("event_type") != "purchase"))
