@@ -47,5 +47,5 @@ def lookup_bars(master: DataFrame, bars: DataFrame, name: str,
     return (b.select(
                 "code", F.lit(hit["name"]).alias("name"),
                 F.lit(hit["market_type"]).alias("market_type"),
-                "date", *BAR_VALUES, F.row_number().over(w).alias("rn"))
+                "date", *BAR_VALUES, F.row_number().over(w).cast("bigint").alias("rn"))
              .orderBy(F.col("date").desc()))

@@ -115,7 +115,8 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
               as_of_only: bool = False, run_id: str | None = None) -> DataFrame | None:
     """C4: collect what has landed, then refresh features.
 
-    Default: refresh every touched code (each changed bar and its successors),
+    Default: refresh the touched months (each changed bar, its successors
+    and the months they seed),
     which covers multi-day catch-ups. ``as_of_only=True`` reproduces the
     single-date refresh (features for bars dated ``as_of`` only)."""
     master = read_table(spark, master_root, MASTER)
