@@ -30,7 +30,8 @@ from daybars.schemas import BARS  # noqa: E402
 from daybars.session import get_session, scratch_dir  # noqa: E402
 from daybars.sources.quotes import parse_quotes  # noqa: E402
 from daybars.sources.tables import (  # noqa: E402
-    changed_months, merge_months, read_months, refresh_feature_months, write_months,
+    changed_months, merge_months, read_months, read_summary, refresh_feature_months, write_months,
+    write_summary,
 )
 from daybars.schemas import FEATURES  # noqa: E402
 
@@ -70,8 +71,9 @@ def main():
     mid_date = li_bars.agg(F.max("date")).first()[0].replace(day=15)
     # month-partitioned production tables and one day's delivery (the last
     # day's bars, re-priced) for the daily merge + feature refresh path
-    bars_root, feats_root = f"{scratch}/t_bars", f"{scratch}/t_features"
-    write_months(li_bars, bars_root, changed_months(li_bars), sort_by=["code", "date"])
+    bars_root, feats_root, sum_root = f"{scratch}/t_bars", f"{scratch}/t_features", f"{scratch}/t_summary"
+    v0 = write_months(li_bars, bars_root, changed_months(li_bars), sort_by=["code", "date"])
+    write_summary(spark, bars_root, sum_root, changed_months(li_bars), v0, BARS)
     write_months(features_full(li_bars), feats_root, changed_months(li_bars), sort_by=["code", "date"])
     day = (li_bars.where(F.col("date") == F.lit(li_max)).withColumn("close", F.col("close") * 1.02))
     day.write.parquet(f"{scratch}/day")
@@ -96,9 +98,13 @@ def main():
             self.fn()
 
     def daily_merge():
-        merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"])
+        # the production daily path: merge the delivery into its months,
+        # update their summary, refresh the touched feature months
+        v = merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"])
+        write_summary(spark, bars_root, sum_root, changed_months(day), v, BARS)
         refresh_feature_months(spark, feats_root, read_months(spark, bars_root, BARS), day, FEATURES,
-                               bars_root=bars_root, bars_schema=BARS)
+                               bars_root=bars_root, bars_schema=BARS,
+                               summary=read_summary(spark, bars_root, sum_root, BARS))
 
     queries = {
         "features_full": lambda: features_full(li_bars),

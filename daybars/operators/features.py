@@ -21,6 +21,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybars.functions.rates import pct_change
 from daybars.schemas import BAR_VALUES
@@ -28,6 +29,20 @@ from daybars.schemas import BAR_VALUES
 _BKT = "_bkt"
 _VIRT = "_virtual"
 
+# One row per (code, month): the month and its last bar.
+SUMMARY = T.StructType([
+    T.StructField("code", T.StringType(), True),
+    T.StructField(_BKT, T.DateType(), True),
+    T.StructField("date", T.DateType(), True),
+    *[T.StructField(c, T.LongType() if c == "volume" else T.DoubleType(), True) for c in BAR_VALUES],
+])
+
+
+def month_summary(bars: DataFrame) -> DataFrame:
+    """Last bar of every (code, month): a partial hash aggregate."""
+    return bars.groupBy(F.col("code"), F.trunc(F.col("date"), "month").alias(_BKT)).agg(
+        *[F.max_by(c, "date").alias(c) for c in ["date", *BAR_VALUES]])
+
 
 def _month_lasts(bars: DataFrame, key: str, order: str, carried: list) -> DataFrame:
     """Last row of every (key, month) plus the key's next non-empty month
@@ -134,6 +149,22 @@ def _touched_lasts(bars: DataFrame, changes: DataFrame, key: str, order: str,
                          (F.col("_chg") | nxt_chg).alias("_seed")))
 
 
+def _touched_from_summary(summary: DataFrame, changes: DataFrame) -> DataFrame:
+    """Same output as :func:`_touched_lasts`, from a month summary of the
+    merged bars instead of the bars: the change flag is joined onto one row
+    per (code, month) (the flag set is small)."""
+    chg = (changes.select("code", F.trunc(F.col("date"), "month").alias(_BKT)).distinct()
+                  .withColumn("_chg", F.lit(True)))
+    lasts = (summary.join(chg, ["code", _BKT], "left")
+                    .withColumn("_chg", F.coalesce("_chg", F.lit(False))))
+    wb = Window.partitionBy("code").orderBy(_BKT)
+    nxt_chg = F.coalesce(F.lead("_chg").over(wb), F.lit(False))
+    prev_chg = F.coalesce(F.lag("_chg").over(wb), F.lit(False))
+    return (lasts.select("*", F.lead(_BKT).over(wb).alias("_next"),
+                         (F.col("_chg") | prev_chg).alias("_touched"),
+                         (F.col("_chg") | nxt_chg).alias("_seed")))
+
+
 def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
                    order: str = "date") -> DataFrame:
     """The (key, month) groups whose features a change set can affect: every
@@ -145,7 +176,7 @@ def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
 
 
 def touched_refresh(bars: DataFrame, changes: DataFrame, materialise: bool = False,
-                    month_rows=None):
+                    month_rows=None, summary: DataFrame | None = None):
     """Recompute the touched months. Returns ``(months, fresh)``: the touched
     (code, ``_bkt``) pairs and their recomputed feature rows.
 
@@ -154,11 +185,16 @@ def touched_refresh(bars: DataFrame, changes: DataFrame, materialise: bool = Fal
     do not recompute the month aggregate. ``month_rows(months_list)`` may
     return a month-pruned read of the bars for the recomputed rows; the
     per-month last-bar aggregate always reads the whole history, since a
-    code's previous non-empty month can be arbitrarily old."""
+    code's previous non-empty month can be arbitrarily old -- unless a
+    month ``summary`` of the merged bars is given, which replaces it with one
+    row per (code, month)."""
     key, order = "code", "date"
     carried = [order, *BAR_VALUES]
     b = bars.select(key, order, *BAR_VALUES)
-    t = _touched_lasts(b, changes, key, order, carried)
+    if summary is not None:
+        t = _touched_from_summary(summary, changes)
+    else:
+        t = _touched_lasts(b, changes, key, order, carried)
     if materialise:
         t = t.where(F.col("_touched") | F.col("_seed")).checkpoint(eager=True)
     months = t.where("_touched").select(key, _BKT)

@@ -71,11 +71,19 @@ def latest_dates(bars: DataFrame) -> DataFrame:
     return bars.groupBy("code").agg(F.max("date").alias("latest"))
 
 
-def plan_modes(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
+def latest_from_summary(summary: DataFrame) -> DataFrame:
+    """MAX(date) per code from a month summary (one row per code and month)."""
+    return summary.groupBy("code").agg(F.max("date").alias("latest"))
+
+
+def plan_modes(master: DataFrame, bars: DataFrame | None, as_of,
+               latest: DataFrame | None = None) -> DataFrame:
     """Per code: ``initial`` (no bars), ``skip`` (already at/after as_of) or
-    ``incremental``, with the range still to fetch."""
+    ``incremental``, with the range still to fetch. ``latest`` (code,
+    latest) replaces the scan of ``bars`` when given."""
     end = _date(as_of)
-    j = master.select("code").join(latest_dates(bars), "code", "left")
+    lt = latest if latest is not None else latest_dates(bars)
+    j = master.select("code").join(lt, "code", "left")
     start = F.when(F.col("latest").isNull(), F.lit(end - _dt.timedelta(days=INITIAL_DAYS - 1))) \
              .otherwise(F.date_add("latest", 1))
     mode = (F.when(F.col("latest").isNull(), F.lit("initial"))
@@ -91,11 +99,12 @@ def plan_initial(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
     return _windows(m.where(F.col("mode") == "initial"))
 
 
-def plan_incremental(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
+def plan_incremental(master: DataFrame, bars: DataFrame | None, as_of,
+                     latest: DataFrame | None = None) -> DataFrame:
     """Combined plan over all codes: initial windows for new codes, windows
     from the day after the latest bar up to ``as_of`` (inclusive day count)
     for the others; up-to-date codes get none."""
-    m = plan_modes(master, bars, as_of)
+    m = plan_modes(master, bars, as_of, latest)
     return _windows(m.where(F.col("mode") != "skip"))
 
 

@@ -19,7 +19,9 @@ from daybars.operators.aggregates import (
 from daybars.operators.features import features_as_of, features_full
 from daybars.operators.keyed import keep_last, upsert, upsert_with_audit
 from daybars.operators.lookup import lookup_bars
-from daybars.operators.planner import plan_full, plan_incremental, plan_modes
+from daybars.operators.planner import (
+    latest_from_summary, plan_full, plan_incremental, plan_modes,
+)
 from daybars.schemas import BARS, FEATURES, MARKETS, MASTER
 from daybars.session import checkpoint_dir
 from daybars.sources.master_text import (
@@ -27,8 +29,8 @@ from daybars.sources.master_text import (
 )
 from daybars.sources.quotes import quote_windows, read_quotes, split_quotes
 from daybars.sources.tables import (
-    changed_months, merge_months, read_months, read_table, refresh_feature_months, write_months,
-    write_table,
+    changed_months, merge_months, read_months, read_summary, read_table, refresh_feature_months,
+    write_months, write_summary, write_table,
 )
 
 _BAR_COLS = [f.name for f in BARS.fields]
@@ -70,19 +72,27 @@ def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts
     return market_counts_wide(rows, markets=tuple(sources))
 
 
+def _latest(spark, bars_root, summary_root):
+    if summary_root is None:
+        return None
+    return latest_from_summary(read_summary(spark, bars_root, summary_root, BARS))
+
+
 def job_plan(spark: SparkSession, master_root: str, bars_root: str, as_of,
-             days: int | None = None) -> DataFrame:
+             days: int | None = None, summary_root: str | None = None) -> DataFrame:
     """C2/C3 planning: the windows to fetch (incremental, or a ``days``
-    backfill when given)."""
+    backfill when given). With ``summary_root`` the latest date per code
+    comes from the month summary instead of a scan of all bars."""
     master = read_table(spark, master_root, MASTER)
     if days is not None:
         return plan_full(master, as_of, days)
-    return plan_incremental(master, read_months(spark, bars_root, BARS), as_of)
+    return plan_incremental(master, read_months(spark, bars_root, BARS), as_of,
+                            _latest(spark, bars_root, summary_root))
 
 
 def job_collect(spark: SparkSession, landing: str, bars_root: str,
                 modes: DataFrame | None = None, quarantine_root: str | None = None,
-                run_id: str | None = None):
+                run_id: str | None = None, summary_root: str | None = None):
     """Parse landed responses, de-duplicate by arrival, upsert into
     the bars table. Returns ``(changes, summary)``; ``changes`` is the
     checkpointed change set (input of the feature refresh), ``summary`` the
@@ -92,7 +102,9 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
     checkpoint_dir(spark)
     changes = changes.checkpoint(eager=True)
-    merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+    v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+    if summary_root is not None:
+        write_summary(spark, bars_root, summary_root, changed_months(changes), v, BARS)
     _quarantine(bad, quarantine_root, run_id)
     summary = None
     if modes is not None:
@@ -112,16 +124,23 @@ def job_features_full(spark: SparkSession, bars_root: str, features_root: str) -
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
               features_root: str, landing: str, quarantine_root: str | None = None,
-              as_of_only: bool = False, run_id: str | None = None) -> DataFrame | None:
+              as_of_only: bool = False, run_id: str | None = None,
+              summary_root: str | None = None) -> DataFrame | None:
     """C4: collect what has landed, then refresh features.
 
     Default: refresh the touched months (each changed bar, its successors
     and the months they seed),
     which covers multi-day catch-ups. ``as_of_only=True`` reproduces the
-    single-date refresh (features for bars dated ``as_of`` only)."""
+    single-date refresh (features for bars dated ``as_of`` only).
+
+    With ``summary_root`` the month summary is maintained and used, so the
+    planner and the refresh read one row per (code, month) instead of the
+    whole bar history."""
     master = read_table(spark, master_root, MASTER)
-    modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of)
-    changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id)
+    modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of,
+                       _latest(spark, bars_root, summary_root))
+    changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id,
+                                   summary_root)
     bars = read_months(spark, bars_root, BARS)
     if as_of_only:
         checkpoint_dir(spark)
@@ -129,8 +148,9 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
         merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
                      sort_by=["code", "date"])
     else:
+        msum = None if summary_root is None else read_summary(spark, bars_root, summary_root, BARS)
         refresh_feature_months(spark, features_root, bars, changes, FEATURES,
-                               bars_root=bars_root, bars_schema=BARS)
+                               bars_root=bars_root, bars_schema=BARS, summary=msum)
     return summary
 
 

@@ -331,7 +331,8 @@ def q_job_daily_features(spark, d):
     """C2 + C4 + C5 end to end on month-partitioned tables: a first landing
     (events before SPLIT_TS) is collected and features are rebuilt; a second
     landing (all bars, later) is applied by the daily job, which refreshes
-    only the touched months. Returns the features table."""
+    only the touched months from the maintained month summary. Returns the
+    features table."""
     from daybars.plans.jobs import job_collect, job_daily, job_features_full
     from daybars.schemas import FEATURES
     from daybars.session import checkpoint_dir, scratch_dir
@@ -344,10 +345,11 @@ def q_job_daily_features(spark, d):
                                          F.lit(None).cast("timestamp_ntz").alias("updated_at")),
                 f"{root}/master")
     A.quote_json_lines(A.quote_records(_base_bars(spark, d), AS_OF_MODES, 1)).write.text(f"{root}/landing1")
-    job_collect(spark, f"{root}/landing1", f"{root}/bars")
+    job_collect(spark, f"{root}/landing1", f"{root}/bars", summary_root=f"{root}/summary")
     job_features_full(spark, f"{root}/bars", f"{root}/features")
     A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(f"{root}/landing2")
-    job_daily(spark, AS_OF_MODES, f"{root}/master", f"{root}/bars", f"{root}/features", f"{root}/landing2")
+    job_daily(spark, AS_OF_MODES, f"{root}/master", f"{root}/bars", f"{root}/features", f"{root}/landing2",
+              summary_root=f"{root}/summary")
     return read_months(spark, f"{root}/features", FEATURES)
 
 

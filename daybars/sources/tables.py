@@ -139,13 +139,14 @@ def read_months(spark: SparkSession, root: str, schema: StructType,
 
 
 def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None) -> int:
+                 sort_by: Sequence[str] | None = None, version: int | None = None) -> int:
     """Write ``df`` as the new content of ``months`` (every row of ``df``
     must fall in one of them) in one job; months without rows are marked
-    empty. Returns the version."""
+    empty. Returns the version (``version`` forces the number, used to tie
+    a derived table to the version of its source)."""
     spark = df.sparkSession
     months = sorted({m if isinstance(m, str) else month_key(m) for m in months})
-    v = _next_version(spark, root)
+    v = _next_version(spark, root) if version is None else version
     vp = version_path(root, v)
     fs, _, jvm = _fs(spark, vp)
     # Every rewritten month gets its directory (kept alive by a marker file
@@ -194,7 +195,8 @@ def write_bars(bars: DataFrame, root: str) -> int:
 def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFrame,
                            changes: DataFrame, schema: StructType,
                            bars_root: str | None = None,
-                           bars_schema: StructType | None = None) -> int | None:
+                           bars_schema: StructType | None = None,
+                           summary: DataFrame | None = None) -> int | None:
     """Refresh a month-partitioned features table after ``changes`` were
     merged into ``bars``: only the months holding a touched (code, month)
     are rewritten. Returns the version, or None when nothing was touched.
@@ -212,7 +214,8 @@ def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFr
     if bars_root is not None:
         def month_rows(ms):
             return read_months(spark, bars_root, bars_schema, ms)
-    months, fresh = touched_refresh(bars, changes, materialise=True, month_rows=month_rows)
+    months, fresh = touched_refresh(bars, changes, materialise=True, month_rows=month_rows,
+                                    summary=summary)
     ms = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
     if not ms:
         return None
@@ -273,3 +276,60 @@ def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
             fs.delete(path(version_path(root, v)), True)
             deleted.append(version_path(root, v))
     return deleted
+
+
+# ----------------------------------------------------- month summary table
+def write_summary(spark: SparkSession, bars_root: str, summary_root: str, months: Iterable,
+                  version: int, bars_schema: StructType) -> int:
+    """Summarise the given months of bars version ``version`` (one row per
+    (code, month): its last bar) into ``summary_root`` under the same
+    version number."""
+    from daybars.operators.features import month_summary
+
+    bars = read_months(spark, bars_root, bars_schema, months, version=version)
+    return write_months(month_summary(bars), summary_root, months, date_col="_bkt",
+                        sort_by=["code"], version=version)
+
+
+def summary_sources(spark: SparkSession, bars_root: str, summary_root: str):
+    """``(stored, stale)``: summary paths valid for the current bars, and bar
+    month paths whose summary is missing or built from an older version."""
+    bars_files = month_files(spark, bars_root)
+    fs, _, jvm = _fs(spark, summary_root)
+    path = jvm.org.apache.hadoop.fs.Path
+    committed = set(committed_versions(spark, summary_root))
+    stored, stale = [], []
+    for m, (v, bp) in sorted(bars_files.items()):
+        if bp is None:
+            continue
+        sp = f"{version_path(summary_root, v)}/{_MONTH}={m}"
+        if v in committed and fs.exists(path(sp)):
+            if any(st.getPath().getName().startswith("part-") for st in fs.listStatus(path(sp))):
+                stored.append(sp)
+            continue
+        stale.append(bp)
+    return stored, stale
+
+
+def read_summary(spark: SparkSession, bars_root: str, summary_root: str,
+                 bars_schema: StructType) -> DataFrame:
+    """The month summary of the current bars, self-healing: a month's stored
+    summary is used only when it was built from the bars version that is
+    current for that month; other months (a crash between the bars write
+    and the summary write, or no summary yet) are summarised from the bars
+    on the fly. Reads about one row per (code, month) instead of the history.
+    """
+    from daybars.operators.features import SUMMARY, month_summary
+
+    stored, stale = summary_sources(spark, bars_root, summary_root)
+    parts = []
+    if stored:
+        parts.append(spark.read.schema(SUMMARY).parquet(*stored))
+    if stale:
+        parts.append(month_summary(spark.read.schema(bars_schema).parquet(*stale)))
+    if not parts:
+        return spark.createDataFrame([], SUMMARY)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -21,7 +21,9 @@ from daybars.operators.keyed import keep_last
 from daybars.schemas import BARS, FEATURES, QUOTE
 from daybars.sources.quotes import split_quotes
 from daybars.session import checkpoint_dir
-from daybars.sources.tables import merge_months, read_months, refresh_feature_months
+from daybars.sources.tables import (
+    changed_months, merge_months, read_months, read_summary, refresh_feature_months, write_summary,
+)
 
 _BAR_COLS = [f.name for f in BARS.fields]
 
@@ -37,7 +39,7 @@ def quote_stream(spark: SparkSession, landing: str, max_files: int | None = None
 
 
 def make_batch_writer(bars_root: str, features_root: str | None = None,
-                      quarantine_root: str | None = None):
+                      quarantine_root: str | None = None, summary_root: str | None = None):
     """The ``foreachBatch`` body: parse -> keep_last -> upsert -> refresh."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
@@ -54,21 +56,26 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
         if changes.isEmpty():
             return
         # Only the months the batch touches are rewritten.
-        merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+        v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+        msum = None
+        if summary_root is not None:
+            write_summary(spark, bars_root, summary_root, changed_months(changes), v, BARS)
+            msum = read_summary(spark, bars_root, summary_root, BARS)
         if features_root is not None:
             refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
-                                   changes, FEATURES, bars_root=bars_root, bars_schema=BARS)
+                                   changes, FEATURES, bars_root=bars_root, bars_schema=BARS,
+                                   summary=msum)
 
     return run
 
 
 def start_catchup(spark: SparkSession, landing: str, bars_root: str, checkpoint: str,
                   features_root: str | None = None, quarantine_root: str | None = None,
-                  max_files: int | None = None):
+                  max_files: int | None = None, summary_root: str | None = None):
     """Process everything landed so far, then stop (``availableNow``)."""
     return (quote_stream(spark, landing, max_files)
             .writeStream
-            .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root))
+            .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
@@ -91,7 +98,8 @@ def demo_catchup(spark: SparkSession, bars: DataFrame, events: DataFrame) -> Dat
     quote_json_lines(quote_records(prelim, end, fetch_seq=1)).write.text(f"{root}/landing/delivery-0001")
     quote_json_lines(quote_records(bars, end, fetch_seq=2)).write.text(f"{root}/landing/delivery-0002")
     q = start_catchup(spark, f"{root}/landing/*", f"{root}/bars", f"{root}/stream-checkpoint",
-                      features_root=f"{root}/features", max_files=None)
+                      features_root=f"{root}/features", max_files=None,
+                      summary_root=f"{root}/summary")
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -54,7 +54,8 @@ def test_end_to_end(spark, tmp_dir):
     # a later delivery: new days plus corrected old days
     quote_json_lines(quote_records(bars, "2024-01-30", 2)).write.text(f"{tmp_dir}/landing2")
     summary = job_daily(spark, "2024-01-30", f"{tmp_dir}/master", f"{tmp_dir}/bars",
-                        f"{tmp_dir}/features", f"{tmp_dir}/landing2").first().asDict()
+                        f"{tmp_dir}/features", f"{tmp_dir}/landing2",
+                        summary_root=f"{tmp_dir}/summary").first().asDict()
     assert summary["total"] == 150 and summary["failed"] == 0
     assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
     assert rows(read_months(spark, f"{tmp_dir}/features", FEATURES)) == rows(features_full(bars))

@@ -99,3 +99,27 @@ def test_expire_versions_keeps_current_state(spark, tmp_dir):
     assert any(p.endswith("version-0000000002") for p in deleted)
     assert rows(read_months(spark, root, BARS)) == want
     assert expire_versions(spark, root, keep=1) == []
+
+
+def test_month_summary_is_self_healing(spark, tmp_dir):
+    from daybars.operators.features import month_summary
+    from daybars.sources.tables import (
+        changed_months, merge_months, read_months, read_summary, summary_sources, write_months,
+        write_summary,
+    )
+
+    broot, sroot = f"{tmp_dir}/b", f"{tmp_dir}/s"
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    v1 = write_months(bars, broot, changed_months(bars))
+    assert summary_sources(spark, broot, sroot)[0] == []          # nothing stored yet
+    assert rows(read_summary(spark, broot, sroot, BARS)) == rows(month_summary(bars))
+    write_summary(spark, broot, sroot, changed_months(bars), v1, BARS)
+    assert summary_sources(spark, broot, sroot)[1] == []          # all months stored
+    # a merge whose summary write never happened (crash): still correct
+    ch = spark.createDataFrame([("1", D(2024, 2, 3), 5.0, 5.0, 5.0, 5.0, 5),
+                                ("1", D(2024, 1, 5), 7.0, 7.0, 7.0, 7.0, 7)], BARS)
+    merge_months(spark, broot, ch, ["code", "date"], BARS)
+    stored, stale = summary_sources(spark, broot, sroot)
+    assert len(stale) == 2 and stored == []
+    want = rows(month_summary(read_months(spark, broot, BARS)))
+    assert rows(read_summary(spark, broot, sroot, BARS)) == want
