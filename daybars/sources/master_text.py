@@ -46,27 +46,42 @@ def read_master_text(spark: SparkSession, path: str, encoding: str = CHARSET) ->
 
 
 def read_master_zip(spark: SparkSession, path: str, member: str | None = None,
-                    encoding: str = "cp949") -> DataFrame:
+                    encoding: str = "cp949", chunk_lines: int = 50_000) -> DataFrame:
     """Lines of master files packed in zip archives (one archive per row).
 
     Only the inflate step runs in Python (``mapInPandas`` over ``binaryFile``);
-    everything after it is JVM-side.
+    each member is decoded as a stream and emitted in batches of
+    ``chunk_lines`` lines, so memory stays bounded however large it is.
+    Lines split on ``\\n`` only, keeping a trailing ``\\r``; empty lines are
+    dropped, as the text reader does.
     """
     raw = spark.read.format("binaryFile").load(path).select("content")
 
     def inflate(batches):
+        import codecs
         import io
         import zipfile
 
         import pandas as pd
         for pdf in batches:
-            out = []
             for blob in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
                     names = [member] if member else [n for n in z.namelist() if not n.endswith("/")]
                     for n in names:
-                        out.extend(z.read(n).decode(encoding, errors="replace").split("\n"))
-            yield pd.DataFrame({"line": out})
+                        dec = codecs.getincrementaldecoder(encoding)(errors="replace")
+                        out, rest = [], ""
+                        with z.open(n) as f:
+                            for block in iter(lambda: f.read(1 << 20), b""):
+                                parts = (rest + dec.decode(block)).split("\n")
+                                rest = parts.pop()
+                                out.extend(x for x in parts if x)    # like the text reader
+                                if len(out) >= chunk_lines:
+                                    yield pd.DataFrame({"line": out}, dtype=object)
+                                    out = []
+                        rest += dec.decode(b"", final=True)
+                        if rest:
+                            out.append(rest)
+                        yield pd.DataFrame({"line": out}, dtype=object)
 
     return raw.mapInPandas(inflate, "line string")
 

@@ -96,3 +96,18 @@ def test_reader_keeps_lines_verbatim(spark, tmp_dir):
         f.write("\n".join(lines).encode("cp949"))
     got = [r["line"] for r in read_master_text(spark, path).collect()]
     assert got == [x for x in lines if x]
+
+
+def test_zip_streams_in_chunks(spark, tmp_dir):
+    n = 2500
+    text = "\n".join(line(code=str(100000 + i), name=f"종목{i}") for i in range(n)) + "\n"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.mst", text.encode("cp949"))
+    path = os.path.join(tmp_dir, "big.zip")
+    with open(path, "wb") as f:
+        f.write(buf.getvalue())
+    df = read_master_zip(spark, path, chunk_lines=300)
+    got = parse_master_lines(df, "KOSPI")
+    assert got.count() == n
+    assert rows(got.where("code = '100007'"), "name") == [("종목7",)]
