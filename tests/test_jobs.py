@@ -63,3 +63,25 @@ def test_end_to_end(spark, tmp_dir):
     found = job_search(spark, f"{tmp_dir}/master", f"{tmp_dir}/bars", "종목7")
     got = [r["date"] for r in found.collect()]
     assert got == sorted(got, reverse=True) and len(got) == bars.where("code = '7'").count()
+
+
+def test_sync_master_from_zip_archives(spark, tmp_dir):
+    import io
+    import zipfile
+
+    paths = {}
+    for m, codes in [("KOSPI", ["1", "2"]), ("KOSDAQ", ["2", "3"])]:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr(f"{m.lower()}_code.mst",
+                       ("\n".join(line(code=c, name=f"이름{c}") for c in codes) + "\n").encode("cp949"))
+        p = os.path.join(tmp_dir, f"{m}.zip")
+        with open(p, "wb") as f:
+            f.write(buf.getvalue())
+        paths[m] = p
+    counts = job_sync_master(spark, paths, f"{tmp_dir}/m", dt.datetime(2024, 1, 1), zipped=True,
+                             quarantine_root=f"{tmp_dir}/q", run_id="r1").first()
+    assert (counts["kospi"], counts["kosdaq"], counts["total"]) == (2, 2, 4)
+    got = rows(read_table(spark, f"{tmp_dir}/m", MASTER), "code", "market_type")
+    assert got == [("1", "KOSPI"), ("2", "KOSDAQ"), ("3", "KOSDAQ")]
+    assert spark.read.parquet(f"{tmp_dir}/q").count() == 0
