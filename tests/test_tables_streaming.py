@@ -123,3 +123,16 @@ def test_month_summary_is_self_healing(spark, tmp_dir):
     assert len(stale) == 2 and stored == []
     want = rows(month_summary(read_months(spark, broot, BARS)))
     assert rows(read_summary(spark, broot, sroot, BARS)) == want
+
+
+def test_stream_catchup_with_processing_time_trigger(spark, tmp_dir):
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    quote_json_lines(quote_records(bars, "2024-01-30", 1)).write.text(f"{tmp_dir}/land/d1")
+    q = start_catchup(spark, f"{tmp_dir}/land/*", f"{tmp_dir}/bars", f"{tmp_dir}/ck",
+                      summary_root=f"{tmp_dir}/sum", every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert q.exception() is None
+    assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
