@@ -1,5 +1,7 @@
 """Lenient text conversions, all JVM-side built-ins (no Python UDF).
 
+Survey rows: F3 F4 F10 F11 F13 (D1 D15).
+
 ANSI mode is on, so a plain ``cast`` of bad text raises; every conversion
 here goes through ``try_cast`` / ``try_to_date`` and never fails on data.
 """

@@ -1,4 +1,7 @@
-"""Percent change, the one arithmetic rule of the feature table."""
+"""Percent change, the one arithmetic rule of the feature table.
+
+Survey rows: F1 F2 (D2 D3).
+"""
 
 from __future__ import annotations
 

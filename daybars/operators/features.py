@@ -1,5 +1,7 @@
 """Day-over-day change-rate features.
 
+Survey rows: W1 W2 W3 J1 J2 A2 P1 P6 P7 F1 F2.
+
 "Previous" always means the previous *existing* bar of the same code, not
 the previous calendar day.
 

@@ -1,5 +1,7 @@
 """Keyed de-duplication and upsert (merge) as DataFrame transformations.
 
+Survey rows: A4 J6 J7 S6 S7 S8 S9 (D5 D6).
+
 Spark has no ``MERGE`` on plain Parquet; an upsert here is a pure function
 ``(base, changes) -> merged`` that the table sink then writes to a new
 version directory. Both sides shuffle on the key once; keys are unique on

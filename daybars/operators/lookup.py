@@ -1,4 +1,7 @@
-"""Name lookup: name -> code -> that code's bars, newest first."""
+"""Name lookup: name -> code -> that code's bars, newest first.
+
+Survey rows: J3 P4 P5 P11 O2 O4 C6 (D16).
+"""
 
 from __future__ import annotations
 

@@ -1,5 +1,7 @@
 """Gap planner: which date windows still have to be fetched, per code.
 
+Survey rows: G1-G5 J4 F6 F7 F17 F18 F22 P11 (D11, D12).
+
 Windows are at most ``WINDOW_DAYS`` long and are counted back from the end
 date; only the oldest window is clamped to the start. The planner is one
 set-based DataFrame (left join + ``sequence``/``explode``), not a loop over

@@ -1,4 +1,6 @@
-"""User-level jobs over versioned tables.
+"""User-level jobs over versioned tables.
+
+Survey rows: C1-C7 (C4 = collect then touched refresh, D10).
 
 Each job is a few DataFrame steps ending in one write; tables live under
 roots on shared storage (see ``sources.tables``). The master is a small

@@ -1,4 +1,6 @@
-"""Fixed-width master files (S1, S5): text lines -> (code, name, market_type).
+"""Fixed-width master files: text lines -> (code, name, market_type).
+
+Survey rows: S1 S5 U2 P3 P8 P9 F12-F16 Q7 (D7 D13 D14 D15).
 
 Line layout, 0-based half-open character positions after decoding:
 ``[0, 9)`` code, ``[21, len - tail)`` name, last ``tail`` characters ignored.

@@ -1,4 +1,6 @@
-"""Landed quote responses (S2): JSON -> bars + quarantine.
+"""Landed quote responses: JSON -> bars + quarantine.
+
+Survey rows: S2 U1 P2 P3 P10 F3 F10 F11 F19 F20 F21 Q7 (D1 D17).
 
 A landed record is one response plus its request parameters (see
 ``schemas.QUOTE``). Responses with a status other than ``"0"`` are

@@ -1,4 +1,6 @@
-"""Versioned Parquet tables: the sink of every keyed write.
+"""Versioned Parquet tables: the sink of every keyed write.
+
+Survey rows: S3 S4 S6 S7 S8 O1.
 
 Plain Parquet cannot ``MERGE``, and overwriting a path that the same plan
 reads destroys the input. So each write goes to a fresh version directory

@@ -1,4 +1,6 @@
-"""Structured Streaming catch-up of landed quote files (ST1).
+"""Structured Streaming catch-up of landed quote files.
+
+Survey rows: ST1 (with C2 and W3 inside each micro-batch).
 
 New landed files are read once each (the file source tracks them in its
 checkpoint); every micro-batch is parsed, de-duplicated by arrival order and
