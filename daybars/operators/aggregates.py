@@ -1,7 +1,8 @@
-"""Survey rows: A1 A3 A5 A6 A7 O3 C7.
+"""Per-code and per-market aggregates. All are partial (map-side) aggregates
+over column-pruned scans; output is one row per group.
 
-Per-code and per-market aggregates. All are partial (map-side) aggregates
-over column-pruned scans; output is one row per group."""
+Survey rows: A1 A3 A5 A6 A7 O3 C7 (D18).
+"""
 
 from __future__ import annotations
 

@@ -1,8 +1,9 @@
-"""Survey rows: J5 J6 Q1-Q6.
-
-Constraints a Spark table does not enforce: unique keys, NOT NULL,
+"""Constraints a Spark table does not enforce: unique keys, NOT NULL,
 length limits, value domains and foreign keys. Each check is one
-aggregate pass; results are long-form rows ``(tbl, check_name, n_bad)``."""
+aggregate pass; results are long-form rows ``(tbl, check_name, n_bad)``.
+
+Survey rows: J5 J6 Q1-Q6.
+"""
 
 from __future__ import annotations
 
