@@ -129,6 +129,31 @@ def features_as_of(bars: DataFrame, as_of) -> DataFrame:
     return today.join(prev, "code", "inner").select("code", "date", *_rates())
 
 
+def prev_bar_from_summary(summary: DataFrame, month_bars: DataFrame, as_of) -> DataFrame:
+    """:func:`prev_bar` without reading the history: the candidates are each
+    code's month summaries before ``as_of``'s month and the bars of that month
+    dated before ``as_of``; the latest candidate wins. ``month_bars`` needs
+    only the bars of ``as_of``'s month."""
+    d = _as_date(as_of)
+    month = F.trunc(d, "month")
+    cols = ["code", "date", *BAR_VALUES]
+    cand = (summary.where(F.col(_BKT) < month).select(*cols)
+                   .unionByName(month_bars.where((F.col("date") < d) & (F.col("date") >= month))
+                                          .select(*cols)))
+    return (cand.groupBy("code")
+                .agg(F.max("date").alias("prev_date"),
+                     *[F.max_by(c, "date").alias(c) for c in BAR_VALUES]))
+
+
+def features_as_of_summary(summary: DataFrame, month_bars: DataFrame, as_of) -> DataFrame:
+    """:func:`features_as_of` from a month summary plus the bars of
+    ``as_of``'s month: the single-date refresh without a history scan."""
+    today = month_bars.where(F.col("date") == _as_date(as_of)).select("code", "date", *BAR_VALUES)
+    prev = prev_bar_from_summary(summary, month_bars, as_of).select(
+        "code", *[F.col(c).alias(f"prev_{c}") for c in BAR_VALUES])
+    return today.join(prev, "code", "inner").select("code", "date", *_rates())
+
+
 def _touched_lasts(bars: DataFrame, changes: DataFrame, key: str, order: str,
                    carried: list) -> DataFrame:
     """Per (key, month) of the merged bars: its last row, whether a change

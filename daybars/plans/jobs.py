@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from daybars.operators.aggregates import (
     code_status, market_counts_wide, run_summary,
 )
-from daybars.operators.features import features_as_of, features_full
+from daybars.operators.features import features_as_of, features_as_of_summary, features_full
 from daybars.operators.keyed import keep_last, upsert, upsert_with_audit
 from daybars.operators.lookup import lookup_bars
 from daybars.operators.planner import (
@@ -74,6 +74,11 @@ def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts
     return market_counts_wide(rows, markets=tuple(sources))
 
 
+def as_of_date(as_of):
+    import datetime as _dt
+    return _dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+
+
 def _latest(spark, bars_root, summary_root):
     if summary_root is None:
         return None
@@ -146,7 +151,13 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
     bars = read_months(spark, bars_root, BARS)
     if as_of_only:
         checkpoint_dir(spark)
-        fresh = features_as_of(bars, as_of).checkpoint(eager=True)
+        if summary_root is not None:
+            fresh = features_as_of_summary(read_summary(spark, bars_root, summary_root, BARS),
+                                           read_months(spark, bars_root, BARS, [as_of_date(as_of)]),
+                                           as_of)
+        else:
+            fresh = features_as_of(bars, as_of)
+        fresh = fresh.checkpoint(eager=True)
         merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
                      sort_by=["code", "date"])
     else:

@@ -164,3 +164,24 @@ def test_month_buckets_equal_plain_lag_on_random_histories(spark):
     ours = with_previous(bars).select("code", "date", "prev_date", "prev_open", "prev_close",
                                       "prev_high", "prev_low", "prev_volume")
     assert rows(ours) == rows(plain)
+
+
+def test_as_of_from_summary_equals_full_history(spark):
+    from daybars.operators.features import features_as_of_summary, month_summary, prev_bar_from_summary
+    import random
+
+    rnd = random.Random(5)
+    data = []
+    for c in range(60):
+        d = D(2023, 1, 1) + dt.timedelta(days=rnd.randint(0, 200))
+        for _ in range(rnd.randint(1, 30)):
+            d += dt.timedelta(days=rnd.choice([1, 2, 5, 40, 100]))
+            data.append((f"c{c}", d, float(rnd.randint(0, 3)), 1.0, 1.0, float(rnd.randint(0, 3)), rnd.randint(0, 2)))
+    bars = spark.createDataFrame(data, BARS).cache()
+    summ = month_summary(bars).cache()
+    on_bars = [data[i][1] for i in (3, 40, 200, len(data) - 1)]   # dates that have bars
+    for as_of in [D(2023, 6, 1), D(2023, 9, 17), D(2024, 3, 31), D(2025, 1, 1), *on_bars]:
+        month = bars.where(F.trunc("date", "month") == F.lit(as_of.replace(day=1)))
+        assert rows(prev_bar_from_summary(summ, month, as_of)) == rows(prev_bar(bars, as_of))
+        assert rows(features_as_of_summary(summ, month, as_of)) == rows(features_as_of(bars, as_of))
+    assert features_as_of(bars, on_bars[1]).count() > 0

@@ -85,3 +85,22 @@ def test_sync_master_from_zip_archives(spark, tmp_dir):
     got = rows(read_table(spark, f"{tmp_dir}/m", MASTER), "code", "market_type")
     assert got == [("1", "KOSPI"), ("2", "KOSDAQ"), ("3", "KOSDAQ")]
     assert spark.read.parquet(f"{tmp_dir}/q").count() == 0
+
+
+def test_daily_as_of_only_with_summary(spark, tmp_dir):
+    from daybars.operators.features import features_as_of
+    from daybars.sources.tables import write_table
+
+    master = spark.createDataFrame([(str(c), f"n{c}", "KOSPI", None, None) for c in range(150)], MASTER)
+    write_table(master, f"{tmp_dir}/master")
+    ev = load(spark, SF_SMALL, "events")
+    bars = bars_from_events(ev)
+    early = bars_from_events(ev.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")))
+    quote_json_lines(quote_records(early, "2024-01-30", 1)).write.text(f"{tmp_dir}/l1")
+    job_collect(spark, f"{tmp_dir}/l1", f"{tmp_dir}/bars", summary_root=f"{tmp_dir}/sum")
+    quote_json_lines(quote_records(bars, "2024-01-30", 2)).write.text(f"{tmp_dir}/l2")
+    job_daily(spark, "2024-01-30", f"{tmp_dir}/master", f"{tmp_dir}/bars", f"{tmp_dir}/features",
+              f"{tmp_dir}/l2", as_of_only=True, summary_root=f"{tmp_dir}/sum")
+    got = read_months(spark, f"{tmp_dir}/features", FEATURES)
+    # only the as-of date was computed, exactly as the single-date refresh
+    assert rows(got) == rows(features_as_of(bars, "2024-01-30"))
