@@ -368,6 +368,22 @@ def q_plan_gaps(spark, d):
     return PL.gap_windows(modes, coverage)
 
 
+
+def q_month_summary(spark, d):
+    """Last bar of every (code, month), over the multi-year lineitem bars:
+    the summary that replaces history scans in the daily path."""
+    return FE.month_summary(A.bars_from_lineitem(A.load(spark, d, "lineitem")))
+
+
+def q_features_as_of_summary(spark, d):
+    """Single-date features from the month summary plus the bars of the
+    as-of month (no history scan); must equal ``features_as_of``."""
+    bars = _bars(spark, d)
+    as_of = _dt.date.fromisoformat(AS_OF_FEATURES)
+    month = bars.where(F.trunc("date", "month") == F.lit(as_of.replace(day=1)))
+    return FE.features_as_of_summary(FE.month_summary(bars), month, as_of)
+
+
 QUERIES = {
     "bars_daily": q_bars_daily,
     "master_project": q_master_project,
@@ -405,6 +421,8 @@ QUERIES = {
     "job_sync_master": q_job_sync_master,
     "job_daily_features": q_job_daily_features,
     "plan_gaps": q_plan_gaps,
+    "month_summary": q_month_summary,
+    "features_as_of_summary": q_features_as_of_summary,
 }
 
 
@@ -622,6 +640,12 @@ def _plan_gaps_sql() -> str:
 
 
 def oracle() -> dict[str, str]:
+    out = _oracle()
+    out["features_as_of_summary"] = out["features_as_of"]
+    return out
+
+
+def _oracle() -> dict[str, str]:
     seg_union = "\nUNION ALL\n".join(
         f"SELECT code, name, '{s}' AS market_type FROM ({MASTER}) m WHERE market_type = '{s}'"
         for s in SEGMENTS)
@@ -736,4 +760,10 @@ def oracle() -> dict[str, str]:
             FROM customer""",
         "job_daily_features": _features_sql(BARS),
         "plan_gaps": _plan_gaps_sql(),
+        "month_summary": f"""
+            SELECT code, _bkt, "date", "open", "close", high, low, volume FROM (
+              SELECT *, date_trunc('month', "date")::DATE AS _bkt,
+                     row_number() OVER (PARTITION BY code, date_trunc('month', "date")
+                                        ORDER BY "date" DESC) AS rn
+              FROM ({LINEITEM_BARS}) b) t WHERE rn = 1""",
     }
