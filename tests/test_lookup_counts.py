@@ -75,3 +75,15 @@ def test_run_summary_statuses(spark):
     assert st == {"a": "ok", "b": "skipped", "c": "empty", "d": "partial", "e": "failed"}
     s = run_summary(code_status(modes, win)).first().asDict()
     assert s == {"total": 5, "ok": 1, "empty": 1, "skipped": 1, "partial": 1, "failed": 1}
+
+
+def test_lookup_rank_across_months(spark):
+    import random
+    rnd = random.Random(3)
+    days = sorted(rnd.sample(range(0, 900), 120))
+    dates = [D(2023, 1, 1) + dt.timedelta(days=x) for x in days]
+    master = spark.createDataFrame([("9", "Zeta", "KOSPI")], "code string, name string, market_type string")
+    bars = spark.createDataFrame([("9", d, 1.0, 1.0, 1.0, 1.0, 1) for d in dates], BARS)
+    out = lookup_bars(master, bars, "zeta").collect()
+    assert [r["date"] for r in out] == sorted(dates, reverse=True)
+    assert [r["rn"] for r in out] == list(range(1, len(dates) + 1))
