@@ -57,7 +57,8 @@ def _month_lasts(bars: DataFrame, key: str, order: str, carried: list) -> DataFr
 
 
 def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
-                   order: str, carried: list, prefix: str) -> DataFrame:
+                   order: str, carried: list, prefix: str,
+                   cluster_by_month: bool = False) -> DataFrame:
     """LAG within (key, month) groups, seeded by a virtual row per group that
     carries the last row of the key's previous non-empty month.
 
@@ -69,6 +70,12 @@ def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
                     .select(key, F.col("_next").alias(_BKT), *carried,
                             F.lit(True).alias(_VIRT)))
     u = rows.withColumn(_VIRT, F.lit(False)).unionByName(virtual, allowMissingColumns=True)
+    if cluster_by_month:
+        # Range partitioning on (month, key) also satisfies the window's
+        # clustering, so it replaces the hash exchange instead of adding one,
+        # and leaves each task with one or two months: a month-partitioned
+        # write then needs no further shuffle.
+        u = u.repartitionByRange(_BKT, key)
     w = Window.partitionBy(key, _BKT).orderBy(order)
     out = (u.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
             .where(~F.col(_VIRT)))
@@ -76,7 +83,8 @@ def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
 
 
 def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
-                  order: str = "date", prefix: str = "prev_") -> DataFrame:
+                  order: str = "date", prefix: str = "prev_",
+                  cluster_by_month: bool = False) -> DataFrame:
     """Add ``prev_<c>`` (value of the previous existing row of the same key)
     for every ``c`` in ``cols`` plus ``prev_<order>``.
 
@@ -85,7 +93,8 @@ def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
     carried = [order] + [c for c in cols if c != order]
     lasts = _month_lasts(bars, key, order, carried)
     rows = bars.withColumn(_BKT, F.trunc(F.col(order), "month"))
-    return _lag_in_months(rows, lasts, bars.columns, key, order, carried, prefix)
+    return _lag_in_months(rows, lasts, bars.columns, key, order, carried, prefix,
+                          cluster_by_month)
 
 
 def _rates(cur: str = "", prev: str = "prev_") -> list:
@@ -93,9 +102,11 @@ def _rates(cur: str = "", prev: str = "prev_") -> list:
             for c in BAR_VALUES]
 
 
-def features_full(bars: DataFrame) -> DataFrame:
-    """Rates for every bar that has a previous bar (full-history rebuild)."""
-    p = with_previous(bars.select("code", "date", *BAR_VALUES))
+def features_full(bars: DataFrame, cluster_by_month: bool = False) -> DataFrame:
+    """Rates for every bar that has a previous bar (full-history rebuild).
+    ``cluster_by_month`` range-partitions by month for a month-partitioned
+    write (see :func:`_lag_in_months`)."""
+    p = with_previous(bars.select("code", "date", *BAR_VALUES), cluster_by_month=cluster_by_month)
     return (p.where(F.col("prev_close").isNotNull())
              .select("code", "date", *_rates()))
 

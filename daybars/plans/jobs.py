@@ -119,14 +119,24 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     return changes, summary
 
 
-def job_features_full(spark: SparkSession, bars_root: str, features_root: str) -> int:
-    """Rebuild every feature row from the full history (existing rows
-    that the rebuild does not produce are kept, as with an upsert)."""
+def job_features_full(spark: SparkSession, bars_root: str, features_root: str,
+                      keep_unmatched: bool = False) -> int:
+    """Rebuild every feature row from the full history.
+
+    Bars are never deleted except by a cascade that removes the code's
+    features too, so the rebuild reproduces every existing feature row and
+    can replace them: one shuffle (range-partitioned by month, which also
+    serves the window and the month-partitioned write). ``keep_unmatched``
+    keeps old rows the rebuild does not produce (a strict upsert, for
+    tables edited outside these jobs) at the cost of a full anti-join."""
     bars = read_months(spark, bars_root, BARS)
     months = changed_months(bars)
-    old = read_months(spark, features_root, FEATURES, months)
-    return write_months(upsert(old, features_full(bars), ["code", "date"]), features_root,
-                        months, sort_by=["code", "date"])
+    if keep_unmatched:
+        old = read_months(spark, features_root, FEATURES, months)
+        return write_months(upsert(old, features_full(bars), ["code", "date"]), features_root,
+                            months, sort_by=["code", "date"])
+    return write_months(features_full(bars, cluster_by_month=True), features_root, months,
+                        sort_by=["code", "date"], rebalance=False)
 
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,

@@ -141,7 +141,8 @@ def read_months(spark: SparkSession, root: str, schema: StructType,
 
 
 def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None, version: int | None = None) -> int:
+                 sort_by: Sequence[str] | None = None, version: int | None = None,
+                 rebalance: bool = True) -> int:
     """Write ``df`` as the new content of ``months`` (every row of ``df``
     must fall in one of them) in one job; months without rows are marked
     empty. Returns the version (``version`` forces the number, used to tie
@@ -161,7 +162,9 @@ def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "da
     # REBALANCE: AQE packs small months into one task and splits a large
     # month over several, so files come out near the advisory size instead
     # of one small file per month per input task.
-    out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM")).hint("rebalance", _MONTH)
+    out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM"))
+    if rebalance:     # skipped when the input is already clustered by month
+        out = out.hint("rebalance", _MONTH)
     out = out.sortWithinPartitions(_MONTH, *(sort_by or []))
     out.write.mode("append").partitionBy(_MONTH).parquet(vp)
     return v

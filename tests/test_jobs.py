@@ -12,7 +12,7 @@ from daybars.plans.jobs import (
     job_collect, job_daily, job_features_full, job_master_counts, job_plan, job_search,
     job_sync_master,
 )
-from daybars.schemas import BARS, FEATURES, MASTER
+from daybars.schemas import BARS, FEATURES, MASTER  # noqa: F401
 from daybars.sources.tables import read_months, read_table
 from tests.conftest import SF_SMALL, rows
 from tests.test_master import line
@@ -104,3 +104,25 @@ def test_daily_as_of_only_with_summary(spark, tmp_dir):
     got = read_months(spark, f"{tmp_dir}/features", FEATURES)
     # only the as-of date was computed, exactly as the single-date refresh
     assert rows(got) == rows(features_as_of(bars, "2024-01-30"))
+
+
+def test_features_rebuild_replace_and_keep_unmatched(spark, tmp_dir):
+    from daybars.adapters import bars_from_lineitem
+    from daybars.sources.tables import changed_months, month_files, write_months
+
+    bars = bars_from_lineitem(load(spark, SF_SMALL, "lineitem"))
+    write_months(bars, f"{tmp_dir}/bars", changed_months(bars), sort_by=["code", "date"])
+    stray = spark.createDataFrame([("zz", D(1996, 3, 4), 1.0, 1.0, 1.0, 1.0, 1.0)], FEATURES)
+    write_months(stray, f"{tmp_dir}/f", ["1996-03"])
+    job_features_full(spark, f"{tmp_dir}/bars", f"{tmp_dir}/f")
+    got = read_months(spark, f"{tmp_dir}/f", FEATURES)
+    assert rows(got) == rows(features_full(bars))               # replaced
+    # the month-clustered write leaves one or two files per month
+    fs_counts = []
+    for m, (_, path) in month_files(spark, f"{tmp_dir}/f").items():
+        fs_counts.append(len([x for x in os.listdir(path.replace("file:", "")) if x.startswith("part-")]))
+    assert max(fs_counts) <= 2
+    write_months(stray, f"{tmp_dir}/f2", ["1996-03"])
+    job_features_full(spark, f"{tmp_dir}/bars", f"{tmp_dir}/f2", keep_unmatched=True)
+    got2 = read_months(spark, f"{tmp_dir}/f2", FEATURES)
+    assert rows(got2) == rows(features_full(bars).unionByName(stray))
