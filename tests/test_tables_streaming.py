@@ -136,3 +136,18 @@ def test_stream_catchup_with_processing_time_trigger(spark, tmp_dir):
         q.stop()
     assert q.exception() is None
     assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
+
+
+def test_expire_whole_table_versions(spark, tmp_dir):
+    from daybars.schemas import MASTER
+    from daybars.sources.tables import committed_versions, expire_versions, read_table, write_table
+
+    root = f"{tmp_dir}/master"
+    for i in range(4):
+        write_table(spark.createDataFrame([(str(i), "n", "KOSPI", None, None)], MASTER), root)
+    os.makedirs(f"{root}/version-0000000002-x", exist_ok=True)   # not a version: untouched
+    before = rows(read_table(spark, root, MASTER))
+    assert len(expire_versions(spark, root, keep=2)) == 2
+    assert committed_versions(spark, root) == [3, 4]
+    assert os.path.isdir(f"{root}/version-0000000002-x")
+    assert rows(read_table(spark, root, MASTER)) == before
