@@ -18,10 +18,12 @@ from daybars.functions.parse import int_or_zero, num_or_zero, parse_yyyymmdd
 from daybars.schemas import QUOTE
 
 
-def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """Landed responses (JSON lines) with an arrival column ``_arrival``
-    taken from the file's modification time."""
-    return (spark.read.schema(QUOTE).json(path)
+def read_quotes(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Landed responses with an arrival column ``_arrival`` taken from the
+    file's modification time. Default: JSON lines (one response per line,
+    files split across tasks); ``multiline``: one (pretty-printed) response
+    document per file, as an API returns it."""
+    return (spark.read.schema(QUOTE).option("multiLine", str(multiline).lower()).json(path)
                  .withColumn("_arrival", F.col("_metadata.file_modification_time"))
                  .withColumn("_file", F.col("_metadata.file_path")))
 

@@ -30,9 +30,11 @@ from daybars.sources.tables import (
 _BAR_COLS = [f.name for f in BARS.fields]
 
 
-def quote_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Streaming frame of landed responses with their arrival time."""
-    r = spark.readStream.schema(QUOTE)
+def quote_stream(spark: SparkSession, landing: str, max_files: int | None = None,
+                 multiline: bool = False) -> DataFrame:
+    """Streaming frame of landed responses with their arrival time
+    (``multiline``: one response document per file)."""
+    r = spark.readStream.schema(QUOTE).option("multiLine", str(multiline).lower())
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     return (r.json(landing)

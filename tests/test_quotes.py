@@ -70,3 +70,14 @@ def test_read_landed_files_later_file_wins(spark, tmp_dir):
     bars, _ = split_quotes(read_quotes(spark, tmp_dir))
     out = keep_last(bars, ["code", "date"], "seq")
     assert [r["close"] for r in out.collect()] == [3.0]
+
+
+def test_read_pretty_printed_responses(spark, tmp_dir):
+    for i, close in enumerate(["1", "2"]):
+        rec = {"code": f"C{i}", "window_start": "20251201", "window_end": "20251203", "rt_cd": "0",
+               "msg1": "OK", "output2": [{"stck_bsop_date": "20251203", "stck_clpr": close}]}
+        with open(os.path.join(tmp_dir, f"r{i}.json"), "w") as f:
+            json.dump(rec, f, indent=2)
+    bars, bad = split_quotes(read_quotes(spark, tmp_dir, multiline=True))
+    assert sorted((r["code"], r["close"]) for r in bars.collect()) == [("C0", 1.0), ("C1", 2.0)]
+    assert bad.count() == 0
