@@ -99,12 +99,13 @@ def job_plan(spark: SparkSession, master_root: str, bars_root: str, as_of,
 
 def job_collect(spark: SparkSession, landing: str, bars_root: str,
                 modes: DataFrame | None = None, quarantine_root: str | None = None,
-                run_id: str | None = None, summary_root: str | None = None):
+                run_id: str | None = None, summary_root: str | None = None,
+                multiline: bool = False):
     """Parse landed responses, de-duplicate by arrival, upsert into
     the bars table. Returns ``(changes, summary)``; ``changes`` is the
     checkpointed change set (input of the feature refresh), ``summary`` the
     run summary when the plan's ``modes`` are given."""
-    raw = read_quotes(spark, landing)
+    raw = read_quotes(spark, landing, multiline)
     parsed, bad = split_quotes(raw)
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
     checkpoint_dir(spark)
@@ -142,7 +143,7 @@ def job_features_full(spark: SparkSession, bars_root: str, features_root: str,
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
               features_root: str, landing: str, quarantine_root: str | None = None,
               as_of_only: bool = False, run_id: str | None = None,
-              summary_root: str | None = None) -> DataFrame | None:
+              summary_root: str | None = None, multiline: bool = False) -> DataFrame | None:
     """C4: collect what has landed, then refresh features.
 
     Default: refresh the touched months (each changed bar, its successors
@@ -157,7 +158,7 @@ def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
     modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of,
                        _latest(spark, bars_root, summary_root))
     changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id,
-                                   summary_root)
+                                   summary_root, multiline)
     bars = read_months(spark, bars_root, BARS)
     if as_of_only:
         checkpoint_dir(spark)

@@ -76,12 +76,12 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
 def start_catchup(spark: SparkSession, landing: str, bars_root: str, checkpoint: str,
                   features_root: str | None = None, quarantine_root: str | None = None,
                   max_files: int | None = None, summary_root: str | None = None,
-                  every: str | None = None):
+                  every: str | None = None, multiline: bool = False):
     """Process everything landed so far, then stop (``availableNow``); or,
     with ``every`` (e.g. ``"10 minutes"``), keep running and pick up new
     files on that schedule. ``checkpoint`` must be on shared storage: it
     records which files were processed, so a restarted query resumes."""
-    w = (quote_stream(spark, landing, max_files)
+    w = (quote_stream(spark, landing, max_files, multiline)
          .writeStream
          .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root))
          .option("checkpointLocation", checkpoint))
