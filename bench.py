@@ -5,7 +5,7 @@ Setup (not timed): build the stored tables the operators read -- bars from
 bar per supplier and ship day), and the master from ``customer`` -- as
 Parquet in a fresh scratch folder. Each timed query then runs to completion
 through the ``noop`` sink (no driver collect); the best of ``BENCH_REPEAT``
-runs is reported. Prints one JSON line.
+(default 3) runs is reported. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from daybars.schemas import FEATURES  # noqa: E402
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_session(f"local[{cpus}]", app="daybars-bench", shuffle_partitions=max(cpus, 8),
                         extra={"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -100,8 +100,10 @@ def main():
     def daily_merge():
         # the production daily path: merge the delivery into its months,
         # update their summary, refresh the touched feature months
-        v = merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"])
-        write_summary(spark, bars_root, sum_root, changed_months(day), v, BARS)
+        months = changed_months(day)
+        v = merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"],
+                         months=months)
+        write_summary(spark, bars_root, sum_root, months, v, BARS)
         refresh_feature_months(spark, feats_root, read_months(spark, bars_root, BARS), day, FEATURES,
                                bars_root=bars_root, bars_schema=BARS,
                                summary=read_summary(spark, bars_root, sum_root, BARS))

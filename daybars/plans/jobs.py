@@ -110,9 +110,11 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
     changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
     checkpoint_dir(spark)
     changes = changes.checkpoint(eager=True)
-    v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+    months = changed_months(changes)
+    v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"],
+                     months=months)
     if summary_root is not None:
-        write_summary(spark, bars_root, summary_root, changed_months(changes), v, BARS)
+        write_summary(spark, bars_root, summary_root, months, v, BARS)
     _quarantine(bad, quarantine_root, run_id)
     summary = None
     if modes is not None:

@@ -180,13 +180,13 @@ def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]
 
 def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Sequence[str],
                  schema: StructType, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None) -> int:
+                 sort_by: Sequence[str] | None = None, months: Iterable | None = None) -> int:
     """Keyed upsert of ``changes`` into a month-partitioned table, rewriting
-    only the months the changes fall in. Pass a materialised change set (it
-    is read three times)."""
+    only the months the changes fall in (``months`` when the caller already
+    knows them). Pass a materialised change set (it is read more than once)."""
     from daybars.operators.keyed import upsert
 
-    months = changed_months(changes, date_col)
+    months = changed_months(changes, date_col) if months is None else list(months)
     base = read_months(spark, root, schema, months)
     merged = upsert(base, changes.select(*schema.fieldNames()), keys)
     return write_months(merged, root, months, date_col, sort_by)

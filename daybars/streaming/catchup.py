@@ -60,10 +60,12 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
         if changes.isEmpty():
             return
         # Only the months the batch touches are rewritten.
-        v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"])
+        months = changed_months(changes)
+        v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"],
+                         months=months)
         msum = None
         if summary_root is not None:
-            write_summary(spark, bars_root, summary_root, changed_months(changes), v, BARS)
+            write_summary(spark, bars_root, summary_root, months, v, BARS)
             msum = read_summary(spark, bars_root, summary_root, BARS)
         if features_root is not None:
             refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
