@@ -84,14 +84,20 @@ def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
 
 def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
                   order: str = "date", prefix: str = "prev_",
-                  cluster_by_month: bool = False) -> DataFrame:
+                  cluster_by_month: bool = False, summary: DataFrame | None = None) -> DataFrame:
     """Add ``prev_<c>`` (value of the previous existing row of the same key)
     for every ``c`` in ``cols`` plus ``prev_<order>``.
 
-    ``(key, order)`` must be unique, as it is for bars and features.
+    ``(key, order)`` must be unique, as it is for bars and features. A month
+    ``summary`` of the same bars (see :func:`month_summary`) replaces the
+    per-month aggregate, saving the second scan of the bars.
     """
     carried = [order] + [c for c in cols if c != order]
-    lasts = _month_lasts(bars, key, order, carried)
+    if summary is not None:
+        wb = Window.partitionBy(key).orderBy(_BKT)
+        lasts = summary.select(key, _BKT, *carried).withColumn("_next", F.lead(_BKT).over(wb))
+    else:
+        lasts = _month_lasts(bars, key, order, carried)
     rows = bars.withColumn(_BKT, F.trunc(F.col(order), "month"))
     return _lag_in_months(rows, lasts, bars.columns, key, order, carried, prefix,
                           cluster_by_month)
@@ -102,11 +108,14 @@ def _rates(cur: str = "", prev: str = "prev_") -> list:
             for c in BAR_VALUES]
 
 
-def features_full(bars: DataFrame, cluster_by_month: bool = False) -> DataFrame:
+def features_full(bars: DataFrame, cluster_by_month: bool = False,
+                  summary: DataFrame | None = None) -> DataFrame:
     """Rates for every bar that has a previous bar (full-history rebuild).
     ``cluster_by_month`` range-partitions by month for a month-partitioned
-    write (see :func:`_lag_in_months`)."""
-    p = with_previous(bars.select("code", "date", *BAR_VALUES), cluster_by_month=cluster_by_month)
+    write (see :func:`_lag_in_months`); ``summary`` (a month summary of the
+    same bars) saves the second scan."""
+    p = with_previous(bars.select("code", "date", *BAR_VALUES), cluster_by_month=cluster_by_month,
+                      summary=summary)
     return (p.where(F.col("prev_close").isNotNull())
              .select("code", "date", *_rates()))
 

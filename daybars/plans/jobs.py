@@ -123,7 +123,7 @@ def job_collect(spark: SparkSession, landing: str, bars_root: str,
 
 
 def job_features_full(spark: SparkSession, bars_root: str, features_root: str,
-                      keep_unmatched: bool = False) -> int:
+                      keep_unmatched: bool = False, summary_root: str | None = None) -> int:
     """Rebuild every feature row from the full history.
 
     Bars are never deleted except by a cascade that removes the code's
@@ -131,15 +131,17 @@ def job_features_full(spark: SparkSession, bars_root: str, features_root: str,
     can replace them: one shuffle (range-partitioned by month, which also
     serves the window and the month-partitioned write). ``keep_unmatched``
     keeps old rows the rebuild does not produce (a strict upsert, for
-    tables edited outside these jobs) at the cost of a full anti-join."""
+    tables edited outside these jobs) at the cost of a full anti-join.
+    With ``summary_root`` the month summary replaces the second bar scan."""
     bars = read_months(spark, bars_root, BARS)
     months = changed_months(bars)
     if keep_unmatched:
         old = read_months(spark, features_root, FEATURES, months)
         return write_months(upsert(old, features_full(bars), ["code", "date"]), features_root,
                             months, sort_by=["code", "date"])
-    return write_months(features_full(bars, cluster_by_month=True), features_root, months,
-                        sort_by=["code", "date"], rebalance=False)
+    msum = None if summary_root is None else read_summary(spark, bars_root, summary_root, BARS)
+    return write_months(features_full(bars, cluster_by_month=True, summary=msum), features_root,
+                        months, sort_by=["code", "date"], rebalance=False)
 
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,

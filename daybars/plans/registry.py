@@ -346,7 +346,7 @@ def q_job_daily_features(spark, d):
                 f"{root}/master")
     A.quote_json_lines(A.quote_records(_base_bars(spark, d), AS_OF_MODES, 1)).write.text(f"{root}/landing1")
     job_collect(spark, f"{root}/landing1", f"{root}/bars", summary_root=f"{root}/summary")
-    job_features_full(spark, f"{root}/bars", f"{root}/features")
+    job_features_full(spark, f"{root}/bars", f"{root}/features", summary_root=f"{root}/summary")
     A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(f"{root}/landing2")
     job_daily(spark, AS_OF_MODES, f"{root}/master", f"{root}/bars", f"{root}/features", f"{root}/landing2",
               summary_root=f"{root}/summary")

@@ -185,3 +185,11 @@ def test_as_of_from_summary_equals_full_history(spark):
         assert rows(prev_bar_from_summary(summ, month, as_of)) == rows(prev_bar(bars, as_of))
         assert rows(features_as_of_summary(summ, month, as_of)) == rows(features_as_of(bars, as_of))
     assert features_as_of(bars, on_bars[1]).count() > 0
+
+
+def test_features_full_from_summary(spark):
+    from daybars.adapters import bars_from_lineitem
+    from daybars.operators.features import month_summary
+
+    bars = bars_from_lineitem(load(spark, SF_SMALL, "lineitem")).cache()
+    assert rows(features_full(bars, summary=month_summary(bars))) == rows(features_full(bars))
