@@ -78,3 +78,18 @@ def test_touched_refresh_streams_features_without_shuffle(spark, tmp_dir):
     # small touched-month set, never shuffled
     assert "BroadcastHashJoin" in above and "LeftAnti" in above
     assert "Exchange" not in above
+
+
+def test_rebuild_from_summary_scans_bars_once(spark, tmp_dir):
+    from daybars.operators.features import month_summary
+
+    bars = stored_bars(spark, tmp_dir)
+    month_summary(bars).write.parquet(f"{tmp_dir}/s")
+    summ = spark.read.parquet(f"{tmp_dir}/s")
+    p = plan_of(features_full(bars, cluster_by_month=True, summary=summ)).split("== Initial Plan ==")[0]
+    bar_scans = [x for x in p.split("\n") if "FileScan" in x and f"{tmp_dir}/bars" in x]
+    assert len(bar_scans) == 1
+    # the one full shuffle is the month range partitioning; no hash exchange
+    # of the bars and no join
+    assert len(re.findall(r"Exchange rangepartitioning\(_bkt", p)) == 1
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
