@@ -265,7 +265,8 @@ def replace_months(features: DataFrame, months: DataFrame, fresh: DataFrame) ->
     return kept.unionByName(fresh.select(*features.columns))
 
 
-def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -> DataFrame:
+def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame,
+                     summary: DataFrame | None = None) -> DataFrame:
     """Refresh ``features`` after ``changes`` were merged into ``bars``.
 
     Recomputes only the touched months (see :func:`touched_months`): every
@@ -275,6 +276,7 @@ def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame) -
     daily catch-up touches one or two months per code however long the
     history is; the month set is small, so both joins against it can be
     broadcast at run time and the large tables are never shuffled whole.
+    A month ``summary`` of the merged bars replaces their per-month scan.
     """
-    months, fresh = touched_refresh(bars, changes)
+    months, fresh = touched_refresh(bars, changes, summary=summary)
     return replace_months(features, months, fresh)

@@ -193,3 +193,14 @@ def test_features_full_from_summary(spark):
 
     bars = bars_from_lineitem(load(spark, SF_SMALL, "lineitem")).cache()
     assert rows(features_full(bars, summary=month_summary(bars))) == rows(features_full(bars))
+
+
+def test_touched_refresh_from_summary(spark):
+    from daybars.operators.features import month_summary
+
+    ev = load(spark, SF_SMALL, "events")
+    base = bars_from_events(ev.where(F.col("ts") < F.lit("2024-01-18").cast("timestamp_ntz")))
+    changes = bars_from_events(ev.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")))
+    merged = upsert(base, changes, ["code", "date"]).cache()
+    got = features_touched(features_full(base), merged, changes, summary=month_summary(merged))
+    assert rows(got) == rows(features_full(merged))
