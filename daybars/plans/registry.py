@@ -384,6 +384,17 @@ def q_features_as_of_summary(spark, d):
     return FE.features_as_of_summary(FE.month_summary(bars), month, as_of)
 
 
+
+def q_features_touched_summary(spark, d):
+    """``features_touched`` with the month summary of the merged bars in
+    place of their per-month scan; must equal the full recompute."""
+    base = _base_bars(spark, d)
+    changes = _change_bars(spark, d)
+    merged = KY.upsert(base, changes, ["code", "date"])
+    return FE.features_touched(FE.features_full(base), merged, changes,
+                               summary=FE.month_summary(merged))
+
+
 QUERIES = {
     "bars_daily": q_bars_daily,
     "master_project": q_master_project,
@@ -423,6 +434,7 @@ QUERIES = {
     "plan_gaps": q_plan_gaps,
     "month_summary": q_month_summary,
     "features_as_of_summary": q_features_as_of_summary,
+    "features_touched_summary": q_features_touched_summary,
 }
 
 
@@ -642,6 +654,7 @@ def _plan_gaps_sql() -> str:
 def oracle() -> dict[str, str]:
     out = _oracle()
     out["features_as_of_summary"] = out["features_as_of"]
+    out["features_touched_summary"] = out["features_touched"]
     return out
 
 
