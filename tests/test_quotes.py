@@ -81,3 +81,50 @@ def test_read_pretty_printed_responses(spark, tmp_dir):
     bars, bad = split_quotes(read_quotes(spark, tmp_dir, multiline=True))
     assert sorted((r["code"], r["close"]) for r in bars.collect()) == [("C0", 1.0), ("C1", 2.0)]
     assert bad.count() == 0
+
+
+def _float_prefix_model(s):
+    """Independent model of the lenient float rule: skip leading spaces,
+    optional sign, 'Infinity' or digits with an optional fraction and an
+    optional exponent (only when digits follow); no number, NaN or 0 -> 0.0."""
+    if s is None:
+        return 0.0
+    i, n = 0, len(s)
+    while i < n and s[i].isspace():
+        i += 1
+    j = i
+    if j < n and s[j] in "+-":
+        j += 1
+    if s.startswith("Infinity", j):
+        return float(s[i:j + 8])
+    k, digits = j, 0
+    while k < n and s[k].isdigit():
+        k, digits = k + 1, digits + 1
+    if k < n and s[k] == ".":
+        k += 1
+        while k < n and s[k].isdigit():
+            k, digits = k + 1, digits + 1
+    if digits == 0:
+        return 0.0
+    end = k
+    if k < n and s[k] in "eE":
+        e = k + 1
+        if e < n and s[e] in "+-":
+            e += 1
+        if e < n and s[e].isdigit():
+            while e < n and s[e].isdigit():
+                e += 1
+            end = e
+    v = float(s[i:end])
+    return 0.0 if v == 0 or v != v else v
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet=" 0123456789.eE+-xInfity", max_size=10), min_size=150, max_size=150))
+def test_num_or_zero_matches_model(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r["v"] for r in df.select(num_or_zero("s").alias("v")).collect()]
+    assert got == [_float_prefix_model(t) for t in texts]
