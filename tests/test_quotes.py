@@ -128,3 +128,26 @@ def test_num_or_zero_matches_model(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r["v"] for r in df.select(num_or_zero("s").alias("v")).collect()]
     assert got == [_float_prefix_model(t) for t in texts]
+
+
+def _int_prefix_model(s):
+    """Independent model of the lenient integer rule: spaces, sign, leading
+    decimal digits; anything else gives 0."""
+    if s is None:
+        return 0
+    t = s.lstrip()
+    sign, k = 1, 0
+    if t[:1] in ("+", "-"):
+        sign, k = (-1 if t[0] == "-" else 1), 1
+    j = k
+    while j < len(t) and t[j].isdigit():
+        j += 1
+    return sign * int(t[k:j]) if j > k else 0
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet=" 0123456789.eE+-x", max_size=10), min_size=150, max_size=150))
+def test_int_or_zero_matches_model(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r["v"] for r in df.select(int_or_zero("s").alias("v")).collect()]
+    assert got == [_int_prefix_model(t) for t in texts]
