@@ -3,40 +3,48 @@
 Survey rows: S3 S4 S6 S7 S8 O1.
 
 Plain Parquet cannot ``MERGE``, and overwriting a path that the same plan
-reads destroys the input. So each write goes to a fresh version directory
-``<root>/version-<n>``; a version counts once Spark's commit protocol has
-left its ``_SUCCESS`` marker. A failed or killed job leaves an uncommitted
-directory that readers ignore and that no later write reuses, so executor
-or driver loss never exposes a half-written table.
+reads destroys the input. So each write goes to a folder of its own,
+``<root>/data/<uuid>``, and becomes visible by one manifest,
+``<root>/_log/<version>.json``, that names every folder of the table at that
+version. A manifest is published whole and exclusively: of two writers that
+want the same number one gets it, the other looks at what changed and either
+adds its part on top (other months) or fails with :class:`Conflict` (same
+months), on which the merge runs again from the new base. A killed job
+leaves a folder that no manifest names.
 
 Two layouts:
 
-* whole-table versions (:func:`write_table` / :func:`read_table`) for small
-  tables such as the master;
-* month-partitioned versions (:func:`write_months` / :func:`read_months` /
-  :func:`merge_months`) for bars and features. A version holds only the
-  months it rewrote (``version-<n>/month=YYYY-MM``); the table is, for every
-  month, its newest committed copy. A merge rewrites just the months its
-  change set touches, so a daily catch-up costs one or two months, not the
-  whole history.
-
-Directory listing goes through the Hadoop FileSystem of the path, so the
-same code works on HDFS, object stores and local disk; only metadata (a few
-names per month) reaches the driver.
+* whole tables (:func:`write_table` / :func:`read_table`), for the master;
+* month-partitioned tables (:func:`write_months` / :func:`read_months` /
+  :func:`merge_months`) for bars, features, summary and coverage. A commit
+  rewrites only its months; the manifest says where every month now is, so a
+  read costs one small file however many versions there are.
+
+All metadata goes through the Hadoop FileSystem of the path; only names of
+months reach the driver.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from typing import Iterable, Sequence
+import json
+import os
+import time
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_PREFIX = "version-"
 _MONTH = "month"
-_EMPTY = "_EMPTY"
+_ATTEMPTS = 20
+GRACE_HOURS = 24.0
+
+
+class Conflict(RuntimeError):
+    """Another commit changed what this one was built on."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,60 +53,154 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
-    fs, p, jvm = _fs(spark, root)
+# ------------------------------------------------------------- manifests
+def _log(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/_log/{version:010d}.json"
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(_PREFIX) and name[len(_PREFIX):].isdigit():
-            if not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[len(_PREFIX):]))
-    return sorted(out)
+        return None
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def committed_versions(spark: SparkSession, root: str) -> list[int]:
-    return _versions(spark, root, committed=True)
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make ``path`` appear with its whole text, unless it exists already.
+
+    A finished temporary file gets the name without overwriting: a hard link
+    on a local file system, a rename that refuses an existing target
+    elsewhere (atomic on HDFS).
+    """
+    fs, p, jvm = _fs(spark, path)
+    tmp = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    _write_text(spark, tmp, text)
+    tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(_local(tmp), _local(path))
+            except FileExistsError:
+                return False
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(tmp_path, p, none)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(tmp_path, False)
+
+
+def _local(path: str) -> str:
+    u = urlparse(path)
+    return unquote(u.path) if u.scheme == "file" else path
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    v = committed_versions(spark, root)
-    return v[-1] if v else None
+    """The newest version: a hint file, then one look per newer number."""
+    hint = _read_text(spark, f"{root.rstrip('/')}/_log/_latest")
+    v = int(hint) if hint else 0
+    fs, _, jvm = _fs(spark, root)
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(_log(root, v + 1))):
+        v += 1
+    return v or None
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What the table consists of at a version (default: the newest)."""
+    v = current_version(spark, root) if version is None else version
+    if v is None:
+        return {"version": 0, "months": {}}
+    text = _read_text(spark, _log(root, v))
+    if text is None:
+        raise LookupError(f"{root} has no version {v}")
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, root: str, build: Callable[[dict], dict]) -> int:
+    """Publish ``build(newest manifest)`` as the next version."""
+    for _ in range(_ATTEMPTS):
+        base = manifest(spark, root)
+        v = base["version"] + 1
+        if _publish(spark, _log(root, v), json.dumps(build(base) | {"version": v})):
+            _write_text(spark, f"{root.rstrip('/')}/_log/_latest", str(v))
+            return v
+    raise Conflict(f"{root}: no free version after {_ATTEMPTS} attempts")
+
+
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    fs, p, jvm = _fs(spark, f"{root.rstrip('/')}/_log")
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
 
+def _new_folder(root: str) -> str:
+    return f"data/{uuid.uuid4().hex}"
 
-def _next_version(spark: SparkSession, root: str) -> int:
-    """One past every version directory, committed or not: a retry after a
-    failure never writes into a directory a dead attempt left behind."""
-    v = _versions(spark, root, committed=False)
-    return (v[-1] if v else 0) + 1
 
+def _at(root: str, folder: str) -> str:
+    return f"{root.rstrip('/')}/{folder}"
 
-def version_path(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/{_PREFIX}{version:010d}"
+
+def retry_on_conflict(work: Callable[[], object], attempts: int = 5):
+    """Run ``work`` again from the new base when another commit got ahead."""
+    for k in range(attempts):
+        try:
+            return work()
+        except Conflict:
+            if k == attempts - 1:
+                raise
 
 
 # ------------------------------------------------------------ whole-table
 def read_table(spark: SparkSession, root: str, schema: StructType,
                version: int | None = None) -> DataFrame:
     """The current (or a given) version; an empty frame when none exists."""
-    v = current_version(spark, root) if version is None else version
-    if v is None:
+    folder = manifest(spark, root, version).get("table")
+    if folder is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(version_path(root, v))
+    return spark.read.schema(schema).parquet(_at(root, folder))
 
 
-def write_table(df: DataFrame, root: str, sort_by=None) -> int:
+def write_table(df: DataFrame, root: str, sort_by=None, base: int | None = None) -> int:
     """Write ``df`` as the next version of ``root``; returns the version.
 
+    ``base`` is the version ``df`` was built on (0 for none): if another one
+    was committed since, :class:`Conflict` is raised and nothing changes.
     ``sort_by`` clusters rows inside each file, so Parquet min/max statistics
     skip row groups on key predicates.
     """
     spark = df.sparkSession
-    v = _next_version(spark, root)
+    folder = _new_folder(root)
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    out.write.mode("errorifexists").parquet(version_path(root, v))
-    return v
+    out.write.mode("errorifexists").parquet(_at(root, folder))
+
+    def build(newest: dict) -> dict:
+        if base is not None and newest["version"] != base:
+            raise Conflict(f"{root}: built on version {base}, now {newest['version']}")
+        return {"table": folder, "months": {}}
+    return _commit(spark, root, build)
 
 
 # ------------------------------------------------------- month-partitioned
@@ -106,23 +208,15 @@ def month_key(d) -> str:
     return f"{d.year:04d}-{d.month:02d}"
 
 
+def _keys(months: Iterable) -> list[str]:
+    return sorted({m if isinstance(m, str) else month_key(m) for m in months})
+
+
 def month_files(spark: SparkSession, root: str, version: int | None = None) -> dict:
-    """``{month: (version, path | None)}``: the newest committed copy of every
-    month up to ``version``; path None marks a month rewritten as empty."""
-    fs, _, jvm = _fs(spark, root)
-    out: dict = {}
-    for v in committed_versions(spark, root):
-        if version is not None and v > version:
-            break
-        vp = jvm.org.apache.hadoop.fs.Path(version_path(root, v))
-        for st in fs.listStatus(vp):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(_MONTH + "="):
-                m = name.split("=", 1)[1]
-                has_data = any(c.getPath().getName().startswith("part-")
-                               for c in fs.listStatus(st.getPath()))
-                out[m] = (v, st.getPath().toString() if has_data else None)
-    return out
+    """``{month: (version, path | None)}``: where every month is and which
+    version wrote it; path None marks a month rewritten as empty."""
+    return {m: (v, None if folder is None else _at(root, f"{folder}/{_MONTH}={m}"))
+            for m, (v, folder, _) in manifest(spark, root, version)["months"].items()}
 
 
 def read_months(spark: SparkSession, root: str, schema: StructType,
@@ -132,42 +226,49 @@ def read_months(spark: SparkSession, root: str, schema: StructType,
     is opened."""
     files = month_files(spark, root, version)
     if months is not None:
-        want = {m if isinstance(m, str) else month_key(m) for m in months}
+        want = set(_keys(months))
         files = {m: f for m, f in files.items() if m in want}
-    paths = [p for _, p in sorted(files.values()) if p is not None]
+    paths = sorted(p for _, p in files.values() if p is not None)
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*paths)
 
 
 def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None, version: int | None = None,
-                 rebalance: bool = True) -> int:
+                 sort_by: Sequence[str] | None = None, base: int | None = None,
+                 cluster: bool = True, source: dict | None = None) -> int:
     """Write ``df`` as the new content of ``months`` (every row of ``df``
-    must fall in one of them) in one job; months without rows are marked
-    empty. Returns the version (``version`` forces the number, used to tie
-    a derived table to the version of its source)."""
+    must fall in one of them); months without rows become empty. Returns the
+    version.
+
+    base      the version ``df`` was built on (0 for none). If one of the
+              months was committed anew since, :class:`Conflict` is raised;
+              other writers' other months are kept.
+    cluster   deal rows out by range of (month, first sort column), so a
+              month's files hold disjoint ranges of codes; it samples ``df``.
+              Otherwise by month, small months packed together (REBALANCE).
+    source    per month, the version of the table it was derived from.
+    """
     spark = df.sparkSession
-    months = sorted({m if isinstance(m, str) else month_key(m) for m in months})
-    v = _next_version(spark, root) if version is None else version
-    vp = version_path(root, v)
-    fs, _, jvm = _fs(spark, vp)
-    # Every rewritten month gets its directory (kept alive by a marker file
-    # on stores without real directories) before the job; a month whose
-    # directory holds no data file after the commit reads as empty.
-    for m in months:
-        d = jvm.org.apache.hadoop.fs.Path(f"{vp}/{_MONTH}={m}")
-        fs.mkdirs(d)
-        fs.create(jvm.org.apache.hadoop.fs.Path(d, _EMPTY)).close()
-    # REBALANCE: AQE packs small months into one task and splits a large
-    # month over several, so files come out near the advisory size instead
-    # of one small file per month per input task.
+    months = _keys(months)
+    folder = _new_folder(root)
     out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM"))
-    if rebalance:     # skipped when the input is already clustered by month
-        out = out.hint("rebalance", _MONTH)
+    out = out.repartitionByRange(_MONTH, *(sort_by or [])[:1]) if cluster else out.hint("rebalance", _MONTH)
     out = out.sortWithinPartitions(_MONTH, *(sort_by or []))
-    out.write.mode("append").partitionBy(_MONTH).parquet(vp)
-    return v
+    out.write.mode("errorifexists").partitionBy(_MONTH).parquet(_at(root, folder))
+    fs, p, _ = _fs(spark, _at(root, folder))
+    filled = {st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
+              if st.isDirectory() and st.getPath().getName().startswith(_MONTH + "=")}
+
+    def build(newest: dict) -> dict:
+        if base is not None:
+            moved = [m for m in months if newest["months"].get(m, [0])[0] > base]
+            if moved:
+                raise Conflict(f"{root}: {', '.join(moved[:3])} changed after version {base}")
+        v = newest["version"] + 1
+        mine = {m: [v, folder if m in filled else None, (source or {}).get(m)] for m in months}
+        return {"months": newest["months"] | mine}
+    return _commit(spark, root, build)
 
 
 def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]:
@@ -175,7 +276,7 @@ def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]
     at most a few hundred even for the longest backfill)."""
     rows = (changes.select(F.trunc(F.col(date_col), "month").alias("m"))
                    .distinct().collect())
-    return sorted(r["m"] for r in rows)
+    return sorted(r["m"] for r in rows if r["m"] is not None)
 
 
 def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Sequence[str],
@@ -183,13 +284,38 @@ def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Seque
                  sort_by: Sequence[str] | None = None, months: Iterable | None = None) -> int:
     """Keyed upsert of ``changes`` into a month-partitioned table, rewriting
     only the months the changes fall in (``months`` when the caller already
-    knows them). Pass a materialised change set (it is read more than once)."""
+    knows them). Pass a materialised change set (it is read more than once).
+    Runs again from the new base if another writer changed those months."""
     from daybars.operators.keyed import upsert
 
     months = changed_months(changes, date_col) if months is None else list(months)
-    base = read_months(spark, root, schema, months)
-    merged = upsert(base, changes.select(*schema.fieldNames()), keys)
-    return write_months(merged, root, months, date_col, sort_by)
+
+    def work() -> int:
+        base = current_version(spark, root) or 0
+        old = read_months(spark, root, schema, months, version=base or None)
+        merged = upsert(old, changes.select(*schema.fieldNames()), keys)
+        return write_months(merged, root, months, date_col, sort_by, base=base)
+    return retry_on_conflict(work)
+
+
+def delete_keys(spark: SparkSession, root: str, schema: StructType, removed: DataFrame, key: str = "code",
+                date_col: str = "date", sort_by: Sequence[str] | None = None) -> int | None:
+    """Rows whose ``key`` is in ``removed`` go; only months that hold such
+    rows are rewritten. Returns the version, None when there was none."""
+    from daybars.operators.keyed import cascade_delete
+
+    def work() -> int | None:
+        base = current_version(spark, root)
+        if base is None:
+            return None
+        rows = read_months(spark, root, schema, version=base)
+        months = changed_months(rows.join(removed.select(key), key, "left_semi"), date_col)
+        if not months:
+            return None
+        left = cascade_delete(read_months(spark, root, schema, months, version=base), removed, key)
+        source = {m: s for m, (_, _, s) in manifest(spark, root, base)["months"].items()}
+        return write_months(left.select(*schema.fieldNames()), root, months, date_col, sort_by, base=base, source=source)
+    return retry_on_conflict(work)
 
 
 def write_bars(bars: DataFrame, root: str) -> int:
@@ -219,100 +345,98 @@ def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFr
     if bars_root is not None:
         def month_rows(ms):
             return read_months(spark, bars_root, bars_schema, ms)
-    months, fresh = touched_refresh(bars, changes, materialise=True, month_rows=month_rows,
-                                    summary=summary)
-    ms = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
-    if not ms:
-        return None
-    old = read_months(spark, features_root, schema, ms)
-    return write_months(replace_months(old, months, fresh), features_root, ms,
-                        sort_by=["code", "date"])
 
-
-def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
-    """Delete what the newest ``keep`` committed versions no longer reach;
-    returns the deleted paths.
-
-    Month tables keep every month copy that is current as of one of the kept
-    versions (older versions stay readable for in-flight readers while
-    ``keep`` >= 2); whole tables keep their newest ``keep`` versions. Dead
-    attempts (uncommitted directories older than the newest commit) go too;
-    a writer still running always holds a higher number and is untouched.
+    def work() -> int | None:
+        base = current_version(spark, features_root) or 0
+        months, fresh, ms = touched_refresh(bars, changes, materialise=True, month_rows=month_rows,
+                                            summary=summary)
+        if not ms:
+            return None
+        old = read_months(spark, features_root, schema, ms, version=base or None)
+        return write_months(replace_months(old, months, fresh), features_root, ms,
+                            sort_by=["code", "date"], base=base)
+    return retry_on_conflict(work)
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2, grace_hours: float = GRACE_HOURS) -> list[str]:
+    """Delete what the newest ``keep`` versions no longer reach; returns the
+    deleted paths.
+
+    Folders that an expired manifest names and no kept one does go at once.
+    A folder that no manifest names is either a dead attempt or a writer
+    still at work; it goes only when nothing was put into it for
+    ``grace_hours``. Keep at least as many versions as commits may happen
+    while a reader is at work.
     """
     if keep < 1:
         raise ValueError("keep must be >= 1")
-    fs, _, jvm = _fs(spark, root)
-    committed = committed_versions(spark, root)
-    if not committed:
+    versions = committed_versions(spark, root)
+    if not versions:
         return []
-    kept_versions = committed[-keep:]
-    path = jvm.org.apache.hadoop.fs.Path
-
-    def month_dirs(v):
-        vp = path(version_path(root, v))
-        return {st.getPath().getName().split("=", 1)[1]: st.getPath().toString()
-                for st in fs.listStatus(vp)
-                if st.isDirectory() and st.getPath().getName().startswith(_MONTH + "=")}
-
-    monthly = any(month_dirs(v) for v in committed)
+    kept, gone = versions[-keep:], versions[:-keep]
+    named = {v: _folders(manifest(spark, root, v)) for v in versions}
+    reached = set().union(*(named[v] for v in kept))
+    expired = set().union(*(named[v] for v in gone)) - reached if gone else set()
+    fs, p, jvm = _fs(spark, _at(root, "data"))
     deleted = []
-    if monthly:
-        reachable = set()
-        for v in kept_versions:
-            for m, (mv, _) in month_files(spark, root, version=v).items():
-                reachable.add((mv, m))
-        for v in committed:
-            dirs = month_dirs(v)
-            gone = [m for m in dirs if (v, m) not in reachable]
-            if len(gone) == len(dirs):
-                if v not in kept_versions:
-                    fs.delete(path(version_path(root, v)), True)
-                    deleted.append(version_path(root, v))
-                continue
-            for m in gone:
-                fs.delete(path(dirs[m]), True)
-                deleted.append(dirs[m])
-    else:
-        for v in committed[:-keep]:
-            fs.delete(path(version_path(root, v)), True)
-            deleted.append(version_path(root, v))
-    for v in _versions(spark, root, committed=False):
-        if v < committed[-1] and v not in committed:
-            fs.delete(path(version_path(root, v)), True)
-            deleted.append(version_path(root, v))
+    oldest = (time.time() - grace_hours * 3600) * 1000
+    # a fresh look after the folders: what was published meanwhile is kept
+    listed = list(fs.listStatus(p)) if fs.exists(p) else []
+    for v in committed_versions(spark, root):
+        if v not in named:
+            reached |= _folders(manifest(spark, root, v))
+    for st in listed:
+        folder = f"data/{st.getPath().getName()}"
+        if folder in reached:
+            continue
+        if folder in expired or _last_change(fs, st) < oldest:
+            fs.delete(st.getPath(), True)
+            deleted.append(_at(root, folder))
+    for v in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(_log(root, v)), False)
+        deleted.append(_log(root, v))
     return deleted
 
 
+def _folders(m: dict) -> set[str]:
+    return {f for f in [m.get("table"), *(x[1] for x in m["months"].values())] if f}
+
+
+def _last_change(fs, status) -> float:
+    """Newest modification under a folder (a writer's files keep it young)."""
+    newest, files = status.getModificationTime(), fs.listFiles(status.getPath(), True)
+    while files.hasNext():
+        newest = max(newest, files.next().getModificationTime())
+    return newest
+
+
 # ----------------------------------------------------- month summary table
 def write_summary(spark: SparkSession, bars_root: str, summary_root: str, months: Iterable,
                   version: int, bars_schema: StructType) -> int:
     """Summarise the given months of bars version ``version`` (one row per
-    (code, month): its last bar) into ``summary_root`` under the same
-    version number."""
+    (code, month): its last bar); the manifest says which version of the
+    bars each month came from."""
     from daybars.operators.features import month_summary
 
     bars = read_months(spark, bars_root, bars_schema, months, version=version)
+    source = {m: v for m, (v, _) in month_files(spark, bars_root, version).items()}
     return write_months(month_summary(bars), summary_root, months, date_col="_bkt",
-                        sort_by=["code"], version=version)
+                        sort_by=["code"], cluster=False, source=source)
 
 
 def summary_sources(spark: SparkSession, bars_root: str, summary_root: str):
     """``(stored, stale)``: summary paths valid for the current bars, and bar
     month paths whose summary is missing or built from an older version."""
-    bars_files = month_files(spark, bars_root)
-    fs, _, jvm = _fs(spark, summary_root)
-    path = jvm.org.apache.hadoop.fs.Path
-    committed = set(committed_versions(spark, summary_root))
+    have = manifest(spark, summary_root)["months"]
     stored, stale = [], []
-    for m, (v, bp) in sorted(bars_files.items()):
-        if bp is None:
-            continue
-        sp = f"{version_path(summary_root, v)}/{_MONTH}={m}"
-        if v in committed and fs.exists(path(sp)):
-            if any(st.getPath().getName().startswith("part-") for st in fs.listStatus(path(sp))):
-                stored.append(sp)
+    for m, (v, path) in sorted(month_files(spark, bars_root).items()):
+        if path is None:
             continue
-        stale.append(bp)
+        _, folder, source = have.get(m, (None, None, None))
+        if source != v:
+            stale.append(path)
+        elif folder is not None:
+            stored.append(_at(summary_root, f"{folder}/{_MONTH}={m}"))
     return stored, stale
 
 

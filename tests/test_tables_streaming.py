@@ -1,32 +1,118 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from daybars.adapters import bars_from_events, load, quote_json_lines, quote_records
 from daybars.operators.features import features_full
 from daybars.schemas import BARS, FEATURES
-from daybars.sources.tables import read_months, committed_versions, read_table, version_path, write_table
+from daybars.sources import tables
+from daybars.sources.tables import committed_versions, read_months, read_table, write_table
 from daybars.streaming.catchup import start_catchup
 from tests.conftest import SF_SMALL, rows
 
 D = dt.date
 
 
+def one_bar(spark, code="A", day=D(2025, 1, 1), close=1.0):
+    return spark.createDataFrame([(code, day, 1.0, 1.0, 1.0, close, 1)], BARS)
+
+
 def test_versions_and_uncommitted_are_ignored(spark, tmp_dir):
     root = f"{tmp_dir}/bars"
     assert read_table(spark, root, BARS).count() == 0
-    b1 = spark.createDataFrame([("A", D(2025, 1, 1), 1.0, 1.0, 1.0, 1.0, 1)], BARS)
-    assert write_table(b1, root) == 1
-    b2 = b1.withColumn("close", F.lit(2.0))
-    assert write_table(b2, root) == 2
-    # a half-written version (no _SUCCESS) must stay invisible
-    os.makedirs(version_path(root, 3))
+    assert write_table(one_bar(spark), root) == 1
+    assert write_table(one_bar(spark, close=2.0), root) == 2
+    # a killed job's folder, and one that has every file but no manifest
+    os.makedirs(f"{root}/data/dead/_temporary")
+    one_bar(spark, close=9.0).write.parquet(f"{root}/data/dead2")
     assert committed_versions(spark, root) == [1, 2]
     assert [r["close"] for r in read_table(spark, root, BARS).collect()] == [2.0]
     assert [r["close"] for r in read_table(spark, root, BARS, version=1).collect()] == [1.0]
 
 
+def test_reading_costs_the_same_after_many_commits(spark, tmp_dir, monkeypatch):
+    root = f"{tmp_dir}/bars"
+    looked = []
+    real = tables._read_text
+    monkeypatch.setattr(tables, "_read_text", lambda *a: looked.append(a[1]) or real(*a))
+
+    def cost():
+        looked.clear()
+        tables.month_files(spark, root)
+        return len(looked)
+    tables.write_months(one_bar(spark), root, ["2025-01"])
+    first = cost()
+    for k in range(6):
+        tables.write_months(one_bar(spark, day=D(2025, 2 + k, 1)), root, [f"2025-{2 + k:02d}"])
+    assert cost() == first == 2
+    os.remove(f"{root}/_log/_latest")           # a crash between manifest and hint
+    assert len(tables.month_files(spark, root)) == 7
+
+
+def test_interleaved_writers_on_other_months_both_stay(spark, tmp_dir):
+    root = f"{tmp_dir}/bars"
+    base = tables.write_months(one_bar(spark), root, ["2025-01"])
+    feb, mar = one_bar(spark, day=D(2025, 2, 1)), one_bar(spark, day=D(2025, 3, 1))
+    tables.write_months(feb, root, ["2025-02"], base=base)
+    tables.write_months(mar, root, ["2025-03"], base=base)          # built on the older base
+    assert rows(read_months(spark, root, BARS)) == rows(one_bar(spark).unionByName(feb).unionByName(mar))
+
+
+def test_interleaved_writers_on_one_month(spark, tmp_dir, monkeypatch):
+    """The second writer finds its month changed and merges again: no row of
+    either is lost or doubled."""
+    root = f"{tmp_dir}/bars"
+    base = tables.write_months(one_bar(spark, "A"), root, ["2025-01"])
+    with pytest.raises(tables.Conflict):
+        tables.write_months(one_bar(spark, "B"), root, ["2025-01"], base=base - 1)
+    real, raced = tables.write_months, []
+
+    def race(*a, **k):
+        if not raced:                            # another writer commits in between
+            raced.append(1)
+            tables.merge_months(spark, root, one_bar(spark, "B"), ["code", "date"], BARS)
+        return real(*a, **k)
+    monkeypatch.setattr(tables, "write_months", race)
+    both = one_bar(spark, "C").unionByName(one_bar(spark, "A", close=5.0))
+    tables.merge_months(spark, root, both, ["code", "date"], BARS)
+    assert rows(read_months(spark, root, BARS), "code", "close") == [("A", 5.0), ("B", 1.0), ("C", 1.0)]
+
+
+def test_a_version_is_claimed_by_one_writer_only(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_dir}/t/_log/0000000001.json"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: tables._publish(spark, path, str(k)), range(8)))
+    assert won.count(True) == 1
+    assert tables._read_text(spark, path) == str(won.index(True))
+
+
+def test_whole_table_refuses_a_moved_base(spark, tmp_dir):
+    root = f"{tmp_dir}/t"
+    v = write_table(one_bar(spark, "A"), root, base=0)
+    write_table(one_bar(spark, "B"), root, base=v)
+    with pytest.raises(tables.Conflict):
+        write_table(one_bar(spark, "C"), root, base=v)
+    assert rows(read_table(spark, root, BARS), "code") == [("B",)]
+
+
+def test_month_files_hold_disjoint_ranges_of_codes(spark, tmp_dir):
+    root = f"{tmp_dir}/bars"
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.merge_months(spark, root, bars, ["code", "date"], BARS, sort_by=["code", "date"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = (read_months(spark, root, BARS).groupBy(F.input_file_name().alias("f"))
+             .agg(F.min("code").alias("a"), F.max("code").alias("b")).orderBy("a").collect())
+    assert len(files) > 2
+    assert all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
+
+
 def test_stream_catchup_late_corrections_and_features(spark, tmp_dir):
     ev = load(spark, SF_SMALL, "events")
     bars = bars_from_events(ev)
@@ -53,7 +139,7 @@ def test_stream_catchup_late_corrections_and_features(spark, tmp_dir):
 
 def test_month_tables_rewrite_only_touched_months(spark, tmp_dir):
     from daybars.operators.keyed import upsert
-    from daybars.sources.tables import merge_months, month_files, read_months, write_months
+    from daybars.sources.tables import merge_months, month_files, write_months
 
     root = f"{tmp_dir}/bars_m"
     ev = load(spark, SF_SMALL, "events")
@@ -73,32 +159,52 @@ def test_month_tables_rewrite_only_touched_months(spark, tmp_dir):
     # time travel and month pruning
     assert rows(read_months(spark, root, BARS, version=v1)) == rows(bars.unionByName(dec))
     assert rows(read_months(spark, root, BARS, months=["2024-02"])) == rows(ch.where("date >= '2024-02-01'"))
-    # a month rewritten empty disappears; an uncommitted version is ignored
+    # a month rewritten empty disappears
     write_months(spark.createDataFrame([], BARS), root, ["2023-12"])
     assert read_months(spark, root, BARS, months=["2023-12"]).count() == 0
-    os.makedirs(f"{root}/version-0000000099/month=2024-01")
     assert rows(read_months(spark, root, BARS)) == rows(want.where("date >= '2024-01-01'"))
 
 
 def test_expire_versions_keeps_current_state(spark, tmp_dir):
-    from daybars.sources.tables import expire_versions, merge_months, read_months, write_months
+    from daybars.sources.tables import expire_versions, merge_months, write_months
 
     root = f"{tmp_dir}/bars_x"
-    jan = spark.createDataFrame([("A", D(2024, 1, d), 1.0, 1.0, 1.0, 1.0, 1) for d in (2, 3)], BARS)
-    feb = spark.createDataFrame([("A", D(2024, 2, 1), 2.0, 2.0, 2.0, 2.0, 2)], BARS)
-    write_months(jan.unionByName(feb), root, ["2024-01", "2024-02"])           # v1
-    ch = spark.createDataFrame([("A", D(2024, 2, 1), 3.0, 3.0, 3.0, 3.0, 3)], BARS)
-    merge_months(spark, root, ch, ["code", "date"], BARS)                        # v2: Feb
-    merge_months(spark, root, ch.withColumn("close", F.lit(4.0)), ["code", "date"], BARS)  # v3: Feb
-    os.makedirs(f"{root}/version-0000000002x", exist_ok=True)                    # foreign name: untouched
+    jan, feb = one_bar(spark), one_bar(spark, day=D(2025, 2, 1))
+    write_months(jan.unionByName(feb), root, ["2025-01", "2025-02"])                                   # v1
+    ch = one_bar(spark, day=D(2025, 2, 1), close=3.0)
+    merge_months(spark, root, ch, ["code", "date"], BARS)                                                # v2: Feb
+    merge_months(spark, root, ch.withColumn("close", F.lit(4.0)), ["code", "date"], BARS)              # v3: Feb
     want = rows(read_months(spark, root, BARS))
     deleted = expire_versions(spark, root, keep=1)
-    # v1's February copy and all of v2 are unreachable; v1's January stays
-    assert sorted(p.rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[-1] for p in deleted if "month=" in p) == \
-        ["version-0000000001/month=2024-02"]
-    assert any(p.endswith("version-0000000002") for p in deleted)
+    # only v2's folder is out of reach; January is still in v1's
+    assert sum("/data/" in p for p in deleted) == 1 and sum("/_log/" in p for p in deleted) == 2
     assert rows(read_months(spark, root, BARS)) == want
     assert expire_versions(spark, root, keep=1) == []
+    assert merge_months(spark, root, jan, ["code", "date"], BARS) == 4
+
+
+def test_expiry_spares_a_writer_at_work(spark, tmp_dir, monkeypatch):
+    """A writer has its files down but no manifest yet while others commit
+    and expire; afterwards it still commits."""
+    from daybars.sources.tables import expire_versions
+
+    root = f"{tmp_dir}/bars"
+    for k in range(3):
+        tables.write_months(one_bar(spark, close=float(k)), root, ["2025-01"])
+    real = tables._commit
+
+    def slow(*a):
+        monkeypatch.setattr(tables, "_commit", real)
+        tables.write_months(one_bar(spark, close=7.0), root, ["2025-01"])
+        expire_versions(spark, root, keep=1)
+        return real(*a)
+    monkeypatch.setattr(tables, "_commit", slow)
+    tables.write_months(one_bar(spark, "Z", D(2025, 2, 1)), root, ["2025-02"])
+    assert rows(read_months(spark, root, BARS), "code", "close") == [("A", 7.0), ("Z", 1.0)]
+    # a folder that nobody has touched for the grace period goes
+    os.makedirs(f"{root}/data/dead")
+    os.utime(f"{root}/data/dead", (1, 1))
+    assert [p.rsplit("/", 1)[1] for p in expire_versions(spark, root, keep=9)] == ["dead"]
 
 
 def test_month_summary_is_self_healing(spark, tmp_dir):
@@ -140,14 +246,29 @@ def test_stream_catchup_with_processing_time_trigger(spark, tmp_dir):
 
 def test_expire_whole_table_versions(spark, tmp_dir):
     from daybars.schemas import MASTER
-    from daybars.sources.tables import committed_versions, expire_versions, read_table, write_table
+    from daybars.sources.tables import expire_versions
 
     root = f"{tmp_dir}/master"
     for i in range(4):
         write_table(spark.createDataFrame([(str(i), "n", "KOSPI", None, None)], MASTER), root)
-    os.makedirs(f"{root}/version-0000000002-x", exist_ok=True)   # not a version: untouched
     before = rows(read_table(spark, root, MASTER))
-    assert len(expire_versions(spark, root, keep=2)) == 2
+    assert sum("/data/" in p for p in expire_versions(spark, root, keep=2)) == 2
     assert committed_versions(spark, root) == [3, 4]
-    assert os.path.isdir(f"{root}/version-0000000002-x")
     assert rows(read_table(spark, root, MASTER)) == before
+
+
+def test_stream_quarantines_unknown_codes_and_repeats_cleanly(spark, tmp_dir):
+    from daybars.schemas import MASTER
+    from daybars.sources.quotes import read_quotes
+    from daybars.streaming.catchup import make_batch_writer
+
+    write_table(spark.createDataFrame([("1", "n", "KOSPI", None, None)], MASTER), f"{tmp_dir}/m")
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    quote_json_lines(quote_records(bars, "2024-01-30", 1)).write.text(f"{tmp_dir}/land")
+    run = make_batch_writer(f"{tmp_dir}/bars", f"{tmp_dir}/f", f"{tmp_dir}/q", f"{tmp_dir}/s", f"{tmp_dir}/m", "s1")
+    for _ in range(2):                            # the same batch again, as after a failure
+        run(read_quotes(spark, f"{tmp_dir}/land"), 0)
+    stored = read_months(spark, f"{tmp_dir}/bars", BARS)
+    assert rows(stored) == rows(bars.where("code = '1'"))
+    bad = spark.read.parquet(f"{tmp_dir}/q")
+    assert bad.count() + stored.count() == bars.count() and {r["reason"] for r in bad.collect()} == {"unknown code"}
