@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from daybars import adapters as A  # noqa: E402
 from daybars.operators.aggregates import latest_bar  # noqa: E402
 from daybars.operators.features import (  # noqa: E402
-    features_as_of, features_full, features_touched, month_summary,
+    features_as_of, features_full, features_touched,
 )
 from daybars.operators.integrity import quality_report  # noqa: E402
 from daybars.operators.keyed import keep_last, upsert  # noqa: E402
@@ -71,8 +71,6 @@ def main():
     li_feats = spark.read.parquet(f"{scratch}/li_feats")
     A.quote_json_lines(A.quote_records(li_bars, li_max)).write.text(f"{scratch}/li_quotes")
     mid_date = li_bars.agg(F.max("date")).first()[0].replace(day=15)
-    month_summary(li_bars).write.parquet(f"{scratch}/li_summary")
-    li_summary = spark.read.parquet(f"{scratch}/li_summary")
     # month-partitioned production tables and one day's delivery (the last
     # day's bars, re-priced) for the daily merge + feature refresh path
     bars_root, feats_root, sum_root = f"{scratch}/t_bars", f"{scratch}/t_features", f"{scratch}/t_summary"
@@ -115,7 +113,6 @@ def main():
     queries = {
         "features_full": lambda: features_full(li_bars),
         "features_full_events": lambda: features_full(ev_bars),
-        "features_full_summary": lambda: features_full(li_bars, summary=li_summary),
         "features_as_of": lambda: features_as_of(li_bars, mid_date),
         "features_touched": lambda: features_touched(li_feats, li_merged, li_changes),
         "plan_incremental": lambda: plan_incremental(master, ev_bars, "2024-06-01"),

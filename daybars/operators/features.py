@@ -7,14 +7,12 @@ the previous calendar day.
 
 Scale notes
 -----------
-A plain ``LAG() OVER (PARTITION BY code ORDER BY date)`` puts a whole code
-history into one task. :func:`with_previous` instead windows over
-``(code, month)`` groups, which hold at most 31 rows when ``(code, date)``
-is unique and spread even a hot code over many tasks. The first row of each
-group takes its previous bar from the last bar of the code's preceding
-non-empty month: a one-row-per-(code, month) partial aggregate is shifted to
-the next month and unioned in as a virtual row. No join; the bars are
-shuffled exactly once.
+``(code, date)`` is unique, so a code has one row per day, some ten thousand
+in a lifetime, however large the table is. A plain ``LAG`` window over the
+code is therefore bounded per group, and it is one scan and one shuffle.
+A refresh after a change set first restricts everything to the changed codes
+(a small, materialised table that Spark broadcasts), then to the months a
+change can affect.
 """
 
 from __future__ import annotations
@@ -46,61 +44,16 @@ def month_summary(bars: DataFrame) -> DataFrame:
         *[F.max_by(c, "date").alias(c) for c in ["date", *BAR_VALUES]])
 
 
-def _month_lasts(bars: DataFrame, key: str, order: str, carried: list) -> DataFrame:
-    """Last row of every (key, month) plus the key's next non-empty month
-    (``_next``). A partial hash aggregate (primitive ``max_by``) and a window
-    over one row per (key, month), never over a whole history."""
-    last = bars.groupBy(F.col(key), F.trunc(F.col(order), "month").alias(_BKT)).agg(
-        *[F.max_by(c, order).alias(c) for c in carried])
-    wb = Window.partitionBy(key).orderBy(_BKT)
-    return last.withColumn("_next", F.lead(_BKT).over(wb))
-
-
-def _lag_in_months(rows: DataFrame, lasts: DataFrame, out_cols: list, key: str,
-                   order: str, carried: list, prefix: str,
-                   cluster_by_month: bool = False) -> DataFrame:
-    """LAG within (key, month) groups, seeded by a virtual row per group that
-    carries the last row of the key's previous non-empty month.
-
-    ``rows`` must have ``_bkt``. The only full shuffle: rows plus virtual
-    rows on (key, month); every group holds at most 31 real rows (unique
-    (key, date)) and one virtual row dated before them all.
-    """
-    virtual = (lasts.where(F.col("_next").isNotNull())
-                    .select(key, F.col("_next").alias(_BKT), *carried,
-                            F.lit(True).alias(_VIRT)))
-    u = rows.withColumn(_VIRT, F.lit(False)).unionByName(virtual, allowMissingColumns=True)
-    if cluster_by_month:
-        # Range partitioning on (month, key) also satisfies the window's
-        # clustering, so it replaces the hash exchange instead of adding one,
-        # and leaves each task with one or two months: a month-partitioned
-        # write then needs no further shuffle.
-        u = u.repartitionByRange(_BKT, key)
-    w = Window.partitionBy(key, _BKT).orderBy(order)
-    out = (u.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
-            .where(~F.col(_VIRT)))
-    return out.select(*out_cols, *[f"{prefix}{c}" for c in carried])
-
-
 def with_previous(bars: DataFrame, cols=BAR_VALUES, key: str = "code",
-                  order: str = "date", prefix: str = "prev_",
-                  cluster_by_month: bool = False, summary: DataFrame | None = None) -> DataFrame:
+                  order: str = "date", prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` (value of the previous existing row of the same key)
     for every ``c`` in ``cols`` plus ``prev_<order>``.
 
-    ``(key, order)`` must be unique, as it is for bars and features. A month
-    ``summary`` of the same bars (see :func:`month_summary`) replaces the
-    per-month aggregate, saving the second scan of the bars.
+    ``(key, order)`` must be unique, as it is for bars and features.
     """
+    w = Window.partitionBy(key).orderBy(order)
     carried = [order] + [c for c in cols if c != order]
-    if summary is not None:
-        wb = Window.partitionBy(key).orderBy(_BKT)
-        lasts = summary.select(key, _BKT, *carried).withColumn("_next", F.lead(_BKT).over(wb))
-    else:
-        lasts = _month_lasts(bars, key, order, carried)
-    rows = bars.withColumn(_BKT, F.trunc(F.col(order), "month"))
-    return _lag_in_months(rows, lasts, bars.columns, key, order, carried, prefix,
-                          cluster_by_month)
+    return bars.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carried])
 
 
 def _rates(cur: str = "", prev: str = "prev_") -> list:
@@ -108,14 +61,9 @@ def _rates(cur: str = "", prev: str = "prev_") -> list:
             for c in BAR_VALUES]
 
 
-def features_full(bars: DataFrame, cluster_by_month: bool = False,
-                  summary: DataFrame | None = None) -> DataFrame:
-    """Rates for every bar that has a previous bar (full-history rebuild).
-    ``cluster_by_month`` range-partitions by month for a month-partitioned
-    write (see :func:`_lag_in_months`); ``summary`` (a month summary of the
-    same bars) saves the second scan."""
-    p = with_previous(bars.select("code", "date", *BAR_VALUES), cluster_by_month=cluster_by_month,
-                      summary=summary)
+def features_full(bars: DataFrame) -> DataFrame:
+    """Rates for every bar that has a previous bar (full-history rebuild)."""
+    p = with_previous(bars.select("code", "date", *BAR_VALUES))
     return (p.where(F.col("prev_close").isNotNull())
              .select("code", "date", *_rates()))
 
@@ -222,39 +170,58 @@ def touched_months(bars: DataFrame, changes: DataFrame, key: str = "code",
     return t.where("_touched").select(key, _BKT)
 
 
+def changed_codes(changes: DataFrame) -> DataFrame:
+    """The codes of a change set, written to the shared folder: its size is
+    then known, so Spark broadcasts it wherever it is small."""
+    from daybars.session import scratch_dir
+
+    spark = changes.sparkSession
+    path = scratch_dir(spark, "codes")
+    changes.where("code IS NOT NULL").select("code").distinct().write.parquet(path)
+    return spark.read.schema("code string").parquet(path)
+
+
 def touched_refresh(bars: DataFrame, changes: DataFrame, materialise: bool = False,
                     month_rows=None, summary: DataFrame | None = None):
-    """Recompute the touched months. Returns ``(months, fresh)``: the touched
-    (code, ``_bkt``) pairs and their recomputed feature rows.
+    """Recompute the touched months. Returns ``(months, fresh, listed)``: the
+    touched (code, ``_bkt``) pairs, their recomputed feature rows and, with
+    ``materialise``, the list of those months.
 
+    Everything is restricted to the changed codes before it is aggregated.
     ``materialise`` checkpoints the touched and seed rows (one row per
     affected (code, month)) so that callers using ``months`` more than once
     do not recompute the month aggregate. ``month_rows(months_list)`` may
-    return a month-pruned read of the bars for the recomputed rows; the
-    per-month last-bar aggregate always reads the whole history, since a
-    code's previous non-empty month can be arbitrarily old -- unless a
-    month ``summary`` of the merged bars is given, which replaces it with one
-    row per (code, month)."""
+    return a month-pruned read of the bars for the recomputed rows. The last
+    bar before a touched month can be arbitrarily old; a month ``summary`` of
+    the merged bars gives it without reading the changed codes' history."""
     key, order = "code", "date"
     carried = [order, *BAR_VALUES]
-    b = bars.select(key, order, *BAR_VALUES)
+    codes = changed_codes(changes)
+    b = bars.select(key, order, *BAR_VALUES).join(codes, key, "left_semi")
     if summary is not None:
-        t = _touched_from_summary(summary, changes)
+        t = _touched_from_summary(summary.join(codes, key, "left_semi"), changes)
     else:
         t = _touched_lasts(b, changes, key, order, carried)
+    listed = None
     if materialise:
         t = t.where(F.col("_touched") | F.col("_seed")).checkpoint(eager=True)
     months = t.where("_touched").select(key, _BKT)
     seeds = t.where(F.col("_seed") & F.col("_next").isNotNull())
     src = b
-    if month_rows is not None:
+    if materialise:
         listed = sorted(r[_BKT] for r in months.select(_BKT).distinct().collect())
-        src = month_rows(listed).select(key, order, *BAR_VALUES)
+        if month_rows is not None:
+            src = month_rows(listed).select(key, order, *BAR_VALUES).join(codes, key, "left_semi")
     rows = (src.withColumn(_BKT, F.trunc(F.col(order), "month"))
-               .join(months, [key, _BKT], "left_semi"))
-    p = _lag_in_months(rows, seeds, [key, order, *BAR_VALUES], key, order, carried, "prev_")
-    fresh = p.where(F.col("prev_close").isNotNull()).select(key, order, *_rates())
-    return months, fresh
+               .join(months, [key, _BKT], "left_semi").drop(_BKT).withColumn(_VIRT, F.lit(False)))
+    # A seed is the last bar before a touched month; it stands in the window
+    # only to be the previous row. If it was recomputed itself it is there
+    # twice with equal values.
+    rows = rows.unionByName(seeds.select(*rows.columns[:-1], F.lit(True).alias(_VIRT)))
+    w = Window.partitionBy(key).orderBy(order, _VIRT)
+    p = (rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in BAR_VALUES])
+             .where(~F.col(_VIRT) & F.col("prev_close").isNotNull()))
+    return months, p.select(key, order, *_rates()), listed
 
 
 def replace_months(features: DataFrame, months: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -278,5 +245,5 @@ def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame,
     broadcast at run time and the large tables are never shuffled whole.
     A month ``summary`` of the merged bars replaces their per-month scan.
     """
-    months, fresh = touched_refresh(bars, changes, summary=summary)
+    months, fresh, _ = touched_refresh(bars, changes, summary=summary)
     return replace_months(features, months, fresh)

@@ -21,18 +21,60 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_features_full_one_full_shuffle(spark, tmp_dir):
+def test_features_full_is_one_scan_and_one_shuffle(spark, tmp_dir):
     bars = stored_bars(spark, tmp_dir)
     p = plan_of(features_full(bars)).split("== Initial Plan ==")[0]
-    # three exchanges: partial aggregates per (code, month), the one-row-per-
-    # month lead window on code, and the only full-row shuffle, on
-    # (code, month) over the union of bars and virtual rows
-    assert len(re.findall(r"Exchange hashpartitioning\(", p)) == 3
-    full = re.findall(r"Exchange hashpartitioning\(code#\d+, _bkt#\d+, \d+\)[^\n]*\n\s*\+- Union", p)
-    assert len(full) == 1
-    assert "partial_max_by" in p and "SortAggregate" not in p
-    assert "Python" not in p
-    assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+    assert len(re.findall(r"Exchange hashpartitioning\(code#\d+, \d+\)", p)) == 1
+    assert p.count("Exchange") == 1 and p.count("FileScan") == 1
+    assert "Python" not in p and "Join" not in p
+
+
+def executed(spark, action):
+    """Rows read from files and rows shuffled by ``action``, from Spark's
+    status store."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = {s.stageId() for s in stages(store)}
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    new = [s for s in stages(store) if s.stageId() not in before]
+    return sum(s.inputRecords() for s in new), sum(s.shuffleWriteRecords() for s in new)
+
+
+def stages(store):
+    listed = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    return [listed.apply(i) for i in range(listed.size())]
+
+
+def test_refresh_of_one_row_shuffles_its_code_only(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from daybars.operators.features import month_summary, touched_refresh
+
+    bars = stored_bars(spark, tmp_dir)
+    month_summary(bars).write.parquet(f"{tmp_dir}/s")
+    summ = spark.read.parquet(f"{tmp_dir}/s")
+    last = bars.agg(F.max("date")).first()[0]
+    one = bars.where(F.col("date") == F.lit(last)).orderBy("code").limit(1)
+    one.write.parquet(f"{tmp_dir}/one")
+    changes = spark.read.schema(BARS).parquet(f"{tmp_dir}/one")
+    code = changes.first()["code"]
+    own = bars.where(F.col("code") == code).count()
+
+    def refresh():
+        _, fresh, _ = touched_refresh(bars, changes, materialise=True, summary=summ)
+        fresh.collect()
+    _, moved = executed(spark, refresh)
+    assert moved <= 4 * own + 20 < bars.count()
+
+
+def test_rebuild_reads_the_bars_once(spark, tmp_dir):
+    from daybars.plans.jobs import job_features_full
+    from daybars.sources.tables import changed_months, write_months
+
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    write_months(bars, f"{tmp_dir}/b", changed_months(bars), sort_by=["code", "date"])
+    read, _ = executed(spark, lambda: job_features_full(spark, f"{tmp_dir}/b", f"{tmp_dir}/f"))
+    assert read == bars.count()
 
 
 def test_prev_bar_pushes_date_filter_and_aggregates_by_hash(spark, tmp_dir):
@@ -78,18 +120,3 @@ def test_touched_refresh_streams_features_without_shuffle(spark, tmp_dir):
     # small touched-month set, never shuffled
     assert "BroadcastHashJoin" in above and "LeftAnti" in above
     assert "Exchange" not in above
-
-
-def test_rebuild_from_summary_scans_bars_once(spark, tmp_dir):
-    from daybars.operators.features import month_summary
-
-    bars = stored_bars(spark, tmp_dir)
-    month_summary(bars).write.parquet(f"{tmp_dir}/s")
-    summ = spark.read.parquet(f"{tmp_dir}/s")
-    p = plan_of(features_full(bars, cluster_by_month=True, summary=summ)).split("== Initial Plan ==")[0]
-    bar_scans = [x for x in p.split("\n") if "FileScan" in x and f"{tmp_dir}/bars" in x]
-    assert len(bar_scans) == 1
-    # the one full shuffle is the month range partitioning; no hash exchange
-    # of the bars and no join
-    assert len(re.findall(r"Exchange rangepartitioning\(_bkt", p)) == 1
-    assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
