@@ -3,88 +3,137 @@
 Survey rows: S2 U1 P2 P3 P10 F3 F10 F11 F19 F20 F21 Q7 (D1 D17).
 
 A landed record is one response plus its request parameters (see
-``schemas.QUOTE``). Responses with a status other than ``"0"`` are
-quarantined with their message; a missing ``output2`` means zero bars; an
-element with a missing or invalid date is quarantined alone (the rest of
-its window is kept). Numbers parse leniently (bad text -> 0).
+``schemas.QUOTE``). Nothing is lost: every element of every response becomes
+a bar or a quarantine row, and so does every response without elements that
+is not a plain "no bars" answer. Quarantined are text that is not JSON (with
+that text), responses with a status other than ``"0"`` (whole), and elements
+without a code or with a missing or invalid date (alone; the rest of their
+window is kept). Numbers parse leniently (bad text -> 0).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybars.functions.parse import int_or_zero, num_or_zero, parse_yyyymmdd
 from daybars.schemas import QUOTE
 
+CORRUPT = "_corrupt_record"
+_RAW = T.StructType([*QUOTE.fields, T.StructField(CORRUPT, T.StringType())])
+_BARS = ["open", "high", "low", "close", "volume"]
+
 
 def read_quotes(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Landed responses with an arrival column ``_arrival`` taken from the
     file's modification time. Default: JSON lines (one response per line,
     files split across tasks); ``multiline``: one (pretty-printed) response
-    document per file, as an API returns it."""
-    return (spark.read.schema(QUOTE).option("multiLine", str(multiline).lower()).json(path)
-                 .withColumn("_arrival", F.col("_metadata.file_modification_time"))
-                 .withColumn("_file", F.col("_metadata.file_path")))
+    document per file, as an API returns it. Text that is not JSON arrives
+    in ``_corrupt_record``."""
+    return _with_arrival(_options(spark.read, multiline).json(path))
 
 
-def _arrival_cols(raw: DataFrame):
-    cols = raw.columns
-    arrival = F.col("_arrival") if "_arrival" in cols else F.lit(None).cast("timestamp")
-    fname = F.col("_file") if "_file" in cols else F.lit(None).cast("string")
-    return arrival, fname
+def quote_stream(spark: SparkSession, landing: str, max_files: int | None = None,
+                 multiline: bool = False) -> DataFrame:
+    """:func:`read_quotes` as a stream of new files."""
+    r = _options(spark.readStream, multiline)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    return _with_arrival(r.json(landing))
 
 
-def split_quotes(raw: DataFrame):
-    """Parse responses. Returns ``(bars_with_seq, quarantine)``.
+def _options(reader, multiline: bool):
+    return (reader.schema(_RAW).option("columnNameOfCorruptRecord", CORRUPT)
+                  .option("multiLine", str(multiline).lower()))
+
+
+def _with_arrival(raw: DataFrame) -> DataFrame:
+    return (raw.withColumn("_arrival", F.col("_metadata.file_modification_time"))
+               .withColumn("_file", F.col("_metadata.file_path")))
+
 
-    bars_with_seq: code, date, open, high, low, close, volume, seq — where
-    ``seq`` orders duplicates by arrival: file time, file, fetch order, then
-    position in the array (later wins).
+def parse_responses(raw: DataFrame) -> DataFrame:
+    """One row per element of every response (one for a response without
+    elements): the request, ``reason`` (NULL: good), ``raw``, the bar's fields
+    (``date`` NULL where there is no bar) and ``seq``.
+
+    ``seq`` orders elements by arrival: file time, file, fetch order, position
+    in the array (later wins).
     """
-    arrival, fname = _arrival_cols(raw)
-    r = raw.select("code", "window_start", "window_end", "fetch_seq", "rt_cd", "msg1",
-                   "output2", arrival.alias("_arrival"), fname.alias("_file"))
-    ok = F.coalesce(F.col("rt_cd"), F.lit("")) == "0"
-
-    rejected = r.where(~ok).select(
-        F.lit("quote").alias("source"), "code", "window_start", "window_end",
-        F.concat(F.lit("rejected: "), F.coalesce("msg1", F.lit(""))).alias("reason"),
-        F.to_json(F.struct("rt_cd", "msg1")).alias("raw"))
-
-    el = r.where(ok).select(
-        "code", "window_start", "window_end", "fetch_seq", "_arrival", "_file",
-        F.posexplode(F.coalesce("output2", F.array())).alias("pos", "e"))
-    d = parse_yyyymmdd(F.col("e.stck_bsop_date"))
-    el = el.withColumn("_d", d)
-
-    bad_dates = el.where(F.col("_d").isNull()).select(
-        F.lit("quote").alias("source"), "code", "window_start", "window_end",
-        F.lit("bad date").alias("reason"), F.to_json("e").alias("raw"))
-
-    bars = el.where(F.col("_d").isNotNull() & F.col("code").isNotNull()).select(
-        "code", F.col("_d").alias("date"),
-        num_or_zero("e.stck_oprc").alias("open"),
-        num_or_zero("e.stck_hgpr").alias("high"),
-        num_or_zero("e.stck_lwpr").alias("low"),
-        num_or_zero("e.stck_clpr").alias("close"),
-        int_or_zero("e.acml_vol").alias("volume"),
-        F.struct(F.col("_arrival").alias("arrival"), F.col("_file").alias("file"),
-                 F.coalesce("fetch_seq", F.lit(0).cast("bigint")).alias("fetch_seq"),
-                 F.col("pos").alias("pos")).alias("seq"))
-    return bars, rejected.unionByName(bad_dates)
+    have = set(raw.columns)
+    r = raw.select(
+        "code", "window_start", "window_end", "fetch_seq", "rt_cd", "msg1", "output2",
+        *[(F.col(c) if c in have else F.lit(None).cast(kind)).alias(c)
+          for c, kind in ((CORRUPT, "string"), ("_arrival", "timestamp"), ("_file", "string"))])
+    whole = F.to_json(F.struct(*QUOTE.fieldNames()))
+    ok = F.coalesce("rt_cd", F.lit("")) == "0"
+    refused = (F.when(F.col(CORRUPT).isNotNull(), "bad json")
+                .when(~ok, F.concat(F.lit("rejected: "), F.coalesce("msg1", F.lit("")))))
+    elements = F.when(refused.isNull(), F.col("output2"))
+    x = r.select("code", "window_start", "window_end", F.coalesce("fetch_seq", F.lit(0)).alias("fetch_seq"),
+                 refused.alias("refused"), F.coalesce(F.col(CORRUPT), F.when(refused.isNotNull(), whole)).alias("refused_raw"),
+                 "_arrival", "_file", F.when(F.col("code").isNull() & refused.isNull(), whole).alias("response"),
+                 F.posexplode_outer(elements).alias("pos", "e"))
+    date = parse_yyyymmdd(F.col("e.stck_bsop_date"))
+    reason = (F.coalesce("refused", F.when(F.col("code").isNull(), "no code")
+                         .when(F.col("e").isNotNull() & date.isNull(), "bad date")
+                         .when(F.col("e").isNull() & F.col("pos").isNotNull(), "bad date")))
+    raw_text = F.coalesce("refused_raw", F.to_json("e"), F.col("response"))
+    order = F.struct(F.col("_arrival").alias("arrival"), F.col("_file").alias("file"), F.col("fetch_seq").alias("fetch_seq"),
+                     F.coalesce("pos", F.lit(-1)).alias("pos"))
+    return x.select(
+        "code", "window_start", "window_end", reason.alias("reason"),
+        F.when(reason.isNotNull(), raw_text).alias("raw"),
+        F.when(reason.isNull(), date).alias("date"),
+        num_or_zero("e.stck_oprc").alias("open"), num_or_zero("e.stck_hgpr").alias("high"),
+        num_or_zero("e.stck_lwpr").alias("low"), num_or_zero("e.stck_clpr").alias("close"),
+        int_or_zero("e.acml_vol").alias("volume"), order.alias("seq"))
+
+
+def bars_of(parsed: DataFrame) -> DataFrame:
+    """code, date, values and ``seq`` of the good elements."""
+    return parsed.where(F.col("reason").isNull() & F.col("date").isNotNull()).select("code", "date", *_BARS, "seq")
+
+
+def quarantine_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reason").isNotNull()).select(
+        F.lit("quote").alias("source"), "code", "window_start", "window_end", "reason", "raw")
+
+
+def answers_of(parsed: DataFrame) -> DataFrame:
+    """The last answer of every (code, window): ``rejected`` and ``n_bars``,
+    the bars that could be read (a window of bad dates has none)."""
+    one = F.struct("seq.arrival", "seq.file", "seq.fetch_seq")
+    refused = F.col("reason").isNotNull() & F.col("reason").startswith("rejected")
+    per = (parsed.where("code IS NOT NULL").withColumn("response", one)
+                 .groupBy("code", "window_start", "window_end", "response")
+                 .agg(F.bool_or(refused).alias("rejected"),
+                      F.count_if(F.col("reason").isNull() & F.col("date").isNotNull()).alias("n_bars")))
+    last = per.groupBy("code", "window_start", "window_end").agg(
+        F.max(F.struct("response", "rejected", "n_bars")).alias("last"))
+    return last.select("code", parse_yyyymmdd(F.col("window_start")).alias("seg_start"),
+                       parse_yyyymmdd(F.col("window_end")).alias("seg_end"), "last.rejected", "last.n_bars")
+
+
+def split_quotes(raw: DataFrame):
+    """``(bars with seq, quarantine)`` of responses. Callers that need both
+    stage :func:`parse_responses` first, so that the JSON is read once."""
+    parsed = parse_responses(raw)
+    return bars_of(parsed), quarantine_of(parsed)
 
 
 def parse_quotes(raw: DataFrame) -> DataFrame:
     """Bars (with ``seq``) only; see :func:`split_quotes`."""
-    return split_quotes(raw)[0]
+    return bars_of(parse_responses(raw))
+
 
+def stage(parsed: DataFrame) -> DataFrame:
+    """Parsed elements as Parquet in the shared folder: the landing is read
+    once, later steps prune columns and skip row groups."""
+    from daybars.session import scratch_dir
 
-def quote_windows(raw: DataFrame) -> DataFrame:
-    """One row per landed response: code, window, rejected, n_bars — input of
-    the run summary."""
-    ok = F.coalesce(F.col("rt_cd"), F.lit("")) == "0"
-    return raw.select("code", "window_start", "window_end",
-                      (~ok).alias("rejected"),
-                      F.when(ok, F.size(F.coalesce("output2", F.array()))).otherwise(0)
-                       .cast("bigint").alias("n_bars"))
+    spark = parsed.sparkSession
+    path = scratch_dir(spark, "landing")
+    parsed.write.parquet(path)
+    return spark.read.schema(parsed.schema).parquet(path)

@@ -6,7 +6,9 @@ import os
 from daybars.functions.parse import int_or_zero, num_or_zero, parse_yyyymmdd, format_yyyymmdd
 from daybars.operators.keyed import keep_last
 from daybars.schemas import QUOTE
-from daybars.sources.quotes import quote_windows, read_quotes, split_quotes
+from daybars.sources.quotes import (
+    answers_of, bars_of, parse_responses, quarantine_of, read_quotes, split_quotes,
+)
 
 D = dt.date
 
@@ -53,8 +55,38 @@ def test_golden_quote_cases(spark):
                    ("A", D(2025, 12, 3), 12.0, 0.0, 0.0, 70100.0, 10)]
     reasons = sorted((r["code"], r["reason"]) for r in bad.collect())
     assert reasons == [("A", "bad date"), ("A", "bad date"), ("B", "rejected: rate limit")]
-    w = sorted((r["code"], r["rejected"], r["n_bars"]) for r in quote_windows(raw(spark, recs)).collect())
-    assert w == [("A", False, 5), ("B", True, 0), ("C", False, 0)]
+    w = sorted((r["code"], r["rejected"], r["n_bars"]) for r in answers_of(parse_responses(raw(spark, recs))).collect())
+    assert w == [("A", False, 3), ("B", True, 0), ("C", False, 0)]
+    whole = bad.where("code = 'B'").first()["raw"]
+    assert json.loads(whole)["window_start"] == "20251201"     # the whole response
+
+
+def test_nothing_is_lost(spark, tmp_dir):
+    good = {"code": "A", "window_start": "20251201", "window_end": "20251203", "rt_cd": "0", "msg1": "OK",
+            "output2": [{"stck_bsop_date": "20251203", "stck_clpr": "1"}, {"stck_bsop_date": "20251202"}]}
+    with open(os.path.join(tmp_dir, "x.json"), "w") as f:
+        f.write(json.dumps(good) + "\n" + json.dumps(good | {"code": None}) + "\n")
+        f.write('{"code": "B", "output2": [{"stck\n')
+        f.write(json.dumps(good | {"code": None, "output2": []}) + "\n")
+        f.write(json.dumps(good | {"code": "C", "output2": None}) + "\n")
+    parsed = parse_responses(read_quotes(spark, tmp_dir))
+    assert bars_of(parsed).count() == 2
+    bad = sorted((r["reason"], r["raw"]) for r in quarantine_of(parsed).collect())
+    assert [r for r, _ in bad] == ["bad json", "no code", "no code", "no code"]
+    assert bad[0][1] == '{"code": "B", "output2": [{"stck'
+    assert all(t for _, t in bad)
+
+
+def test_last_answer_of_a_window_counts(spark):
+    one = [{"stck_bsop_date": "20251203"}]
+    el = [tuple(x.get(c) for c in ("stck_bsop_date", "stck_oprc", "stck_hgpr", "stck_lwpr", "stck_clpr", "acml_vol")) for x in one]
+    w = ("20251201", "20251203")
+    recs = [("A", *w, 1, "1", "busy", None), ("A", *w, 2, "0", "OK", el),      # answered on retry
+            ("B", *w, 1, "0", "OK", el), ("B", *w, 2, "1", "busy", None),      # rejected in the end
+            ("C", *w, 1, "0", "OK", [("bad",) + (None,) * 5])]                 # nothing readable
+    got = sorted((r["code"], r["seg_start"], r["rejected"], r["n_bars"])
+                 for r in answers_of(parse_responses(raw(spark, recs))).collect())
+    assert got == [("A", D(2025, 12, 1), False, 1), ("B", D(2025, 12, 1), True, 0), ("C", D(2025, 12, 1), False, 0)]
 
 
 def test_read_landed_files_later_file_wins(spark, tmp_dir):
