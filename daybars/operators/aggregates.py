@@ -45,25 +45,28 @@ def market_counts_wide(master: DataFrame, markets=("KOSPI", "KOSDAQ")) -> DataFr
 STATUSES = ("ok", "empty", "skipped", "partial", "failed")
 
 
-def code_status(modes: DataFrame, windows: DataFrame) -> DataFrame:
+def code_status(modes: DataFrame, plan: DataFrame, answers: DataFrame) -> DataFrame:
     """Outcome per code of one collection run.
 
-    ``modes``: code, mode (from the planner). ``windows``: one row per
-    requested window with ``code``, ``rejected`` (bool) and ``n_bars``.
-    skipped = nothing to fetch; failed = every window rejected; partial =
-    some rejected; empty = none rejected but no bars; ok = otherwise.
+    ``modes``: code, mode (from the planner). ``plan``: the windows that were
+    to be fetched (code, seg_start, seg_end). ``answers``: the last answer of
+    every window (code, seg_start, seg_end, ``rejected``, ``n_bars`` that
+    could be read). A planned window without an answer counts as failed.
+    skipped = nothing to fetch; failed = every window failed; partial = some
+    did; empty = none did but there are no bars; ok = otherwise.
     """
-    per_code = windows.groupBy("code").agg(
+    w = window_outcomes(plan, answers)
+    per_code = w.groupBy("code").agg(
         F.count(F.lit(1)).alias("n_win"),
-        F.count_if("rejected").alias("n_rej"),
+        F.count_if(~F.col("answered")).alias("n_bad"),
         F.sum("n_bars").alias("n_bars"))
     j = modes.select("code", "mode").join(per_code, "code", "left")
     n_win = F.coalesce("n_win", F.lit(0))
-    n_rej = F.coalesce("n_rej", F.lit(0))
+    n_bad = F.coalesce("n_bad", F.lit(0))
     n_bars = F.coalesce("n_bars", F.lit(0))
-    status = (F.when(F.col("mode") == "skip", "skipped")
-               .when((n_win > 0) & (n_rej == n_win), "failed")
-               .when(n_rej > 0, "partial")
+    status = (F.when((F.col("mode") == "skip") & (n_win == 0), "skipped")
+               .when((n_win > 0) & (n_bad == n_win), "failed")
+               .when(n_bad > 0, "partial")
                .when(n_bars == 0, "empty")
                .otherwise("ok"))
     return j.select("code", "mode", status.alias("status"),
@@ -71,6 +74,19 @@ def code_status(modes: DataFrame, windows: DataFrame) -> DataFrame:
                     n_bars.cast("bigint").alias("n_bars"))
 
 
+def window_outcomes(plan: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every planned window with ``answered`` and ``n_bars``: an answer whose
+    window holds the planned one counts if it was not a reject in the end. A
+    code has a few windows per run, so the join by code stays small."""
+    keys = ["code", "seg_start", "seg_end"]
+    a = answers.where(~F.col("rejected")).select(
+        F.col("code").alias("a_code"), F.col("seg_start").alias("a_start"), F.col("seg_end").alias("a_end"), "n_bars")
+    j = plan.select(*keys).join(a, (F.col("code") == F.col("a_code")) & (F.col("a_start") <= F.col("seg_start"))
+                                & (F.col("a_end") >= F.col("seg_end")), "left")
+    return j.groupBy(*keys).agg(F.count("a_code").cast("boolean").alias("answered"),
+                                F.coalesce(F.max("n_bars"), F.lit(0)).cast("bigint").alias("n_bars"))
+
+
 def run_summary(status: DataFrame) -> DataFrame:
     """One row: total and per-status counts; the parts always sum to total."""
     return status.agg(

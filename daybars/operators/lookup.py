@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from daybars.schemas import BAR_VALUES
 
-# Fixed value: names compare case-insensitively, ignoring trailing spaces.
-NAME_COLLATION = "UNICODE_CI_RTRIM"
+# Fixed value: names compare without regard to case, accents and trailing
+# spaces, as under the collation of the reference's tables.
+NAME_COLLATION = "UNICODE_CI_AI_RTRIM"
 
 
 def check_name(name) -> str:
@@ -45,18 +46,11 @@ def lookup_bars(master: DataFrame, bars: DataFrame, name: str,
     hit = find_code(master, name, case_sensitive).first()
     if hit is None:
         raise LookupError(f"no code named {name!r}")
-    b = (bars.where(F.col("code") == F.lit(hit["code"]))
-             .withColumn("_m", F.trunc("date", "month")))
-    # Rank newest first without putting the code's whole history in one
-    # task: rank inside each month (at most 31 rows), plus the number of
-    # bars in later months -- a running sum over one row per month.
-    later = Window.orderBy(F.col("_m").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (b.groupBy("_m").agg(F.count(F.lit(1)).alias("_n"))
-                .select("_m", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_off")))
-    in_month = Window.partitionBy("_m").orderBy(F.col("date").desc())
-    return (b.join(offsets, "_m")
-             .select("code", F.lit(hit["name"]).alias("name"),
-                     F.lit(hit["market_type"]).alias("market_type"),
-                     "date", *BAR_VALUES,
-                     (F.col("_off") + F.row_number().over(in_month)).cast("bigint").alias("rn"))
-             .orderBy(F.col("date").desc()))
+    # One code: a row per day, some ten thousand in a lifetime.
+    newest = Window.orderBy(F.col("date").desc())
+    return (bars.where(F.col("code") == F.lit(hit["code"]))
+                .select("code", F.lit(hit["name"]).alias("name"),
+                        F.lit(hit["market_type"]).alias("market_type"),
+                        "date", *BAR_VALUES,
+                        F.row_number().over(newest).cast("bigint").alias("rn"))
+                .orderBy(F.col("date").desc()))

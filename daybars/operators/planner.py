@@ -160,3 +160,15 @@ def plan_gaps(master: DataFrame, coverage: DataFrame, as_of, days: int = INITIAL
     r = master.select("code", F.lit(end - _dt.timedelta(days=days - 1)).alias("start"),
                       F.lit(end).alias("end"))
     return gap_windows(r, coverage)
+
+
+def replan_failed(plan: DataFrame, coverage: DataFrame, master: DataFrame) -> DataFrame:
+    """``plan`` and, as mode ``gap``, every window of ``coverage`` (code,
+    seg_start, seg_end, answered) that has no answer yet, for codes of
+    ``master``. A failed window that lies inside the code's new windows is
+    fetched with them and not planned twice."""
+    first = plan.groupBy("code").agg(F.min("seg_start").alias("from"))
+    failed = (coverage.where(~F.col("answered")).join(master.select("code"), "code", "left_semi")
+                      .join(first, "code", "left")
+                      .where(F.col("from").isNull() | (F.col("seg_start") < F.col("from"))))
+    return plan.unionByName(failed.select("code", F.lit("gap").alias("mode"), F.lit(0).alias("i"), "seg_start", "seg_end"))

@@ -67,6 +67,15 @@ PLAN = T.StructType([
     T.StructField("seg_end", T.DateType(), False),
 ])
 
+# coverage: the last outcome of every window that was ever asked for
+COVERAGE = T.StructType([
+    T.StructField("code", T.StringType(), False),
+    T.StructField("seg_start", T.DateType(), False),
+    T.StructField("seg_end", T.DateType(), False),
+    T.StructField("answered", T.BooleanType(), False),
+    T.StructField("n_bars", T.LongType(), False),
+])
+
 QUARANTINE = T.StructType([
     T.StructField("source", T.StringType(), False),
     T.StructField("code", T.StringType(), True),

@@ -38,6 +38,15 @@ def test_lookup_case_sensitive(spark, data):
     assert {r["code"] for r in out.collect()} == {"000001"}
 
 
+def test_lookup_ignores_accents_and_reads_the_bars_once(spark, data, tmp_dir):
+    _, bars = data
+    master = spark.createDataFrame([("000001", "Café", "KOSPI")], "code string, name string, market_type string")
+    bars.write.parquet(f"{tmp_dir}/bars")
+    out = lookup_bars(master, spark.read.schema(BARS).parquet(f"{tmp_dir}/bars"), "cafe")
+    assert out.count() == 3
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_lookup_not_found_and_validation(spark, data):
     master, bars = data
     with pytest.raises(LookupError):
@@ -68,13 +77,18 @@ def test_counts(spark, data):
 def test_run_summary_statuses(spark):
     modes = spark.createDataFrame([("a", "incremental"), ("b", "skip"), ("c", "initial"),
                                    ("d", "incremental"), ("e", "initial")], "code string, mode string")
-    win = spark.createDataFrame([("a", False, 3), ("c", False, 0), ("c", False, 0),
-                                 ("d", True, 0), ("d", False, 2), ("e", True, 0)],
-                                "code string, rejected boolean, n_bars bigint")
-    st = {r["code"]: r["status"] for r in code_status(modes, win).collect()}
-    assert st == {"a": "ok", "b": "skipped", "c": "empty", "d": "partial", "e": "failed"}
-    s = run_summary(code_status(modes, win)).first().asDict()
-    assert s == {"total": 5, "ok": 1, "empty": 1, "skipped": 1, "partial": 1, "failed": 1}
+    w = [D(2025, 1, 1), D(2025, 1, 9)]
+    plan = spark.createDataFrame([(c, x, x) for c in "acdef" for x in w], "code string, seg_start date, seg_end date")
+    win = spark.createDataFrame(
+        [("a", w[0], w[1], False, 3), ("c", w[0], w[0], False, 0), ("c", w[1], w[1], False, 0),
+         ("d", w[0], w[0], True, 0), ("d", w[1], w[1], False, 2), ("e", w[0], w[0], True, 0)],
+        "code string, seg_start date, seg_end date, rejected boolean, n_bars bigint")
+    modes = modes.unionByName(spark.createDataFrame([("f", "initial")], modes.schema))     # never answered
+    st = {r["code"]: (r["status"], r["n_windows"]) for r in code_status(modes, plan, win).collect()}
+    assert st == {"a": ("ok", 2), "b": ("skipped", 0), "c": ("empty", 2), "d": ("partial", 2), "e": ("failed", 2),
+                  "f": ("failed", 2)}
+    s = run_summary(code_status(modes, plan, win)).first().asDict()
+    assert s == {"total": 6, "ok": 1, "empty": 1, "skipped": 1, "partial": 1, "failed": 2}
 
 
 def test_lookup_rank_across_months(spark):
