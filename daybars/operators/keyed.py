@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 def keep_last(df: DataFrame, keys: Sequence[str], order) -> DataFrame:
     """One row per key: the one with the greatest ``order`` (later wins).
 
-    ``order`` is a column name or Column (use a struct for tie-breaking).
+    ``order`` is a column name or Column (use a struct for tie-breaking); a
+    row without order loses to any other and wins only if it is alone.
     ``max_by`` aggregates partially before the shuffle, so a key holding a
     third of all rows is reduced map-side; ``dropDuplicates`` would not be
     deterministic.
     """
     keys = list(keys)
     order_col = F.col(order) if isinstance(order, str) else order
+    order_col = F.struct(order_col.isNotNull().alias("known"), order_col.alias("order"))
     vals = [c for c in df.columns if c not in keys]
     return (df.groupBy(*keys)
               .agg(F.max_by(F.struct(*vals), order_col).alias("_row"))

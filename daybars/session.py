@@ -55,8 +55,10 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and points at shared storage.
-    Only when it is unset (local tests) do we create one.
+    It must be on storage that the driver and all executors share. Only on a
+    local master (tests), where one machine is all there is, an unset one is
+    made; elsewhere that is an error, since each executor would write to its
+    own disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -66,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d.rsplit("/", 1)[0]
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="daybars-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

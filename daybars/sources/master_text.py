@@ -55,7 +55,8 @@ def read_master_zip(spark: SparkSession, path: str, member: str | None = None,
     each member is decoded as a stream and emitted in batches of
     ``chunk_lines`` lines, so memory stays bounded however large it is.
     Lines split on ``\\n`` only, keeping a trailing ``\\r``; empty lines are
-    dropped, as the text reader does.
+    dropped, as the text reader does. With ``member`` only that entry is read,
+    and an archive without it is an error.
     """
     raw = spark.read.format("binaryFile").load(path).select("content")
 
@@ -68,6 +69,8 @@ def read_master_zip(spark: SparkSession, path: str, member: str | None = None,
         for pdf in batches:
             for blob in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
+                    if member and member not in z.namelist():
+                        raise LookupError(f"no entry {member!r} in the archive, only {z.namelist()[:5]}")
                     names = [member] if member else [n for n in z.namelist() if not n.endswith("/")]
                     for n in names:
                         dec = codecs.getincrementaldecoder(encoding)(errors="replace")

@@ -27,6 +27,11 @@ def test_keep_last_later_wins(spark):
     assert rows(keep_last(df, ["code", "date"], "seq"), "code", "close") == [("A", 2.0), ("B", 5.0)]
 
 
+def test_keep_last_without_order(spark):
+    df = spark.createDataFrame([("A", None, 5), ("B", None, 6), ("B", 0, 7)], "code string, seq int, v int")
+    assert rows(keep_last(df, ["code"], "seq"), "code", "v") == [("A", 5), ("B", 7)]
+
+
 def test_keep_last_struct_order(spark):
     df = spark.createDataFrame([("A", 1.0, 2, 0), ("A", 2.0, 1, 9), ("A", 3.0, 2, 1)],
                                "code string, close double, arrival int, pos int")
