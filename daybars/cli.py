@@ -1,9 +1,10 @@
 """Command line for the jobs, for ``spark-submit`` (or ``python -m daybars.cli``).
 
 Tables live under one root on shared storage: ``<root>/master``,
-``<root>/bars``, ``<root>/features``, ``<root>/summary``,
-``<root>/quarantine``. Every command prints its result as JSON lines
-(``--limit`` caps what is printed, never what is computed).
+``<root>/bars``, ``<root>/features``, ``<root>/summary``, ``<root>/coverage``,
+``<root>/quarantine``. ``plan``, ``search`` and ``collected`` write their
+whole result as JSON lines to ``--out``, from the executors, and print the
+number of rows; the other commands print a result of a few rows.
 """
 
 from __future__ import annotations
@@ -16,29 +17,38 @@ import sys
 
 def _tables(root: str) -> dict:
     r = root.rstrip("/")
-    return {k: f"{r}/{k}" for k in ("master", "bars", "features", "summary", "quarantine")}
+    return {k: f"{r}/{k}" for k in ("master", "bars", "features", "summary", "coverage", "quarantine")}
 
 
-def _print(df, limit: int) -> None:
-    for row in df.toLocalIterator() if limit <= 0 else df.limit(limit).collect():
+def _print(df) -> None:
+    """Results of one row per market, check or run."""
+    for row in df.collect():
         print(json.dumps(row.asDict(), default=str, ensure_ascii=False))
 
 
+def _write(df, out: str) -> None:
+    df.write.mode("errorifexists").json(out)
+    print(json.dumps({"out": out, "rows": df.sparkSession.read.schema(df.schema).json(out).count()}))
+
+
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="daybars")
     p.add_argument("--root", required=True, help="folder holding the tables (shared storage)")
-    p.add_argument("--limit", type=int, default=100, help="rows to print (0: all)")
     sub = p.add_subparsers(dest="cmd", required=True)
 
     s = sub.add_parser("sync-master", help="parse market master files and upsert")
     s.add_argument("--market", action="append", required=True, metavar="NAME=PATH",
                    help="market and file (repeat; later markets win for shared codes)")
     s.add_argument("--zipped", action="store_true")
-    s.add_argument("--run-ts", default=None, help="timestamp of this run (default: now)")
+    s.add_argument("--member", action="append", default=[], metavar="NAME=ENTRY",
+                   help="entry of the market's zip archive")
+    s.add_argument("--run-ts", default=None, help="timestamp of this run (default: now, UTC)")
+    s.add_argument("--run-id", default=None, help="name of the run in the quarantine")
 
     s = sub.add_parser("plan", help="windows still to fetch")
     s.add_argument("--as-of", required=True)
     s.add_argument("--days", type=int, default=None, help="full backfill of N days instead")
+    s.add_argument("--out", required=True, help="folder for the windows (JSON lines)")
 
     s = sub.add_parser("daily", help="collect landed quotes and refresh features")
     s.add_argument("--as-of", required=True)
@@ -51,8 +61,17 @@ def build_parser() -> argparse.ArgumentParser:
     s = sub.add_parser("search", help="bars of a code, by name, newest first")
     s.add_argument("--name", required=True)
     s.add_argument("--case-sensitive", action="store_true")
+    s.add_argument("--out", required=True, help="folder for the bars (JSON lines)")
+
+    s = sub.add_parser("collected", help="first and last date and number of bars per code")
+    s.add_argument("--out", required=True)
 
     sub.add_parser("counts", help="master rows per market and total")
+    s = sub.add_parser("quality", help="integrity checks of the stored tables")
+    s.add_argument("--markets", nargs="+", default=None)
+
+    s = sub.add_parser("remove", help="remove codes with their bars and features")
+    s.add_argument("--codes", required=True, help="text file or folder, one code per line")
 
     s = sub.add_parser("catchup", help="streaming catch-up of landed quote files")
     s.add_argument("--landing", required=True)
@@ -65,7 +84,11 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def main(argv=None, spark=None) -> int:
+    from pyspark.sql import functions as F
+
+    from daybars.functions.parse import utrim
     from daybars.plans import jobs
+    from daybars.schemas import MARKETS
     from daybars.session import get_session
     from daybars.sources.tables import expire_versions
     from daybars.streaming.catchup import start_catchup
@@ -75,32 +98,42 @@ def main(argv=None, spark=None) -> int:
     t = _tables(a.root)
     if a.cmd == "sync-master":
         sources = dict(x.split("=", 1) for x in a.market)
-        run_ts = dt.datetime.fromisoformat(a.run_ts) if a.run_ts else dt.datetime.now()
+        members = dict(x.split("=", 1) for x in a.member)
+        run_ts = (dt.datetime.fromisoformat(a.run_ts) if a.run_ts
+                  else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         _print(jobs.job_sync_master(spark, sources, t["master"], run_ts, zipped=a.zipped,
-                                    quarantine_root=t["quarantine"]), a.limit)
+                                    quarantine_root=t["quarantine"], run_id=a.run_id, members=members))
     elif a.cmd == "plan":
-        _print(jobs.job_plan(spark, t["master"], t["bars"], a.as_of, a.days,
-                             summary_root=t["summary"]), a.limit)
+        _write(jobs.job_plan(spark, t["master"], t["bars"], a.as_of, a.days,
+                             summary_root=t["summary"], coverage_root=t["coverage"]), a.out)
     elif a.cmd == "daily":
-        summary = jobs.job_daily(spark, a.as_of, t["master"], t["bars"], t["features"], a.landing,
-                                 quarantine_root=t["quarantine"], as_of_only=a.as_of_only,
-                                 run_id=a.run_id, summary_root=t["summary"])
-        _print(summary, a.limit)
+        _print(jobs.job_daily(spark, a.as_of, t["master"], t["bars"], t["features"], a.landing,
+                              quarantine_root=t["quarantine"], as_of_only=a.as_of_only,
+                              run_id=a.run_id, summary_root=t["summary"], coverage_root=t["coverage"]))
     elif a.cmd == "rebuild-features":
         print(json.dumps({"features_version": jobs.job_features_full(spark, t["bars"], t["features"])}))
     elif a.cmd == "search":
-        _print(jobs.job_search(spark, t["master"], t["bars"], a.name, a.case_sensitive), a.limit)
+        _write(jobs.job_search(spark, t["master"], t["bars"], a.name, a.case_sensitive), a.out)
+    elif a.cmd == "collected":
+        _write(jobs.job_collected(spark, t["bars"]), a.out)
     elif a.cmd == "counts":
-        _print(jobs.job_master_counts(spark, t["master"]), a.limit)
+        _print(jobs.job_master_counts(spark, t["master"]))
+    elif a.cmd == "quality":
+        _print(jobs.job_quality(spark, t["master"], t["bars"], t["features"], a.markets or MARKETS))
+    elif a.cmd == "remove":
+        codes = spark.read.text(a.codes).select(utrim(F.col("value")).alias("code")).where("code <> ''")
+        jobs.job_remove_codes(spark, codes, t["master"], t["bars"], t["features"], t["summary"], t["coverage"])
+        print(json.dumps({"removed": True}))
     elif a.cmd == "catchup":
         q = start_catchup(spark, a.landing, t["bars"], a.checkpoint, features_root=t["features"],
-                          quarantine_root=t["quarantine"], summary_root=t["summary"], every=a.every)
+                          quarantine_root=t["quarantine"], summary_root=t["summary"], every=a.every,
+                          master_root=t["master"])
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
     elif a.cmd == "expire":
         deleted = []
-        for name in ("master", "bars", "features", "summary"):
+        for name in ("master", "bars", "features", "summary", "coverage"):
             deleted += expire_versions(spark, t[name], a.keep)
         print(json.dumps({"deleted": len(deleted)}))
     return 0

@@ -2,43 +2,51 @@
 
 Survey rows: C1-C7 (C4 = collect then touched refresh, D10).
 
-Each job is a few DataFrame steps ending in one write; tables live under
-roots on shared storage (see ``sources.tables``). The master is a small
-whole-table; bars and features are month-partitioned, so collection and the
-feature refresh rewrite only the months they touch. A job that dies part-way
-leaves no committed version, so re-running it is always safe.
+Each job is a few DataFrame steps ending in one commit per table; tables live
+under roots on shared storage (see ``sources.tables``). The master is a small
+whole table; bars, features, summary and coverage are month-partitioned, so
+collection and the feature refresh rewrite only the months they touch. What
+cannot be stored goes to quarantine before the commit. A job that dies
+part-way leaves no committed version, so re-running it is always safe.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from daybars.operators.aggregates import (
-    code_status, market_counts_wide, run_summary,
+    code_status, collected_range, market_counts_wide, run_summary, window_outcomes,
 )
 from daybars.operators.features import features_as_of, features_as_of_summary, features_full
+from daybars.operators.integrity import fk_orphans, fk_valid, quality_report
 from daybars.operators.keyed import keep_last, upsert, upsert_with_audit
 from daybars.operators.lookup import lookup_bars
 from daybars.operators.planner import (
-    latest_from_summary, plan_full, plan_incremental, plan_modes,
+    latest_from_summary, plan_full, plan_incremental, plan_modes, replan_failed,
 )
-from daybars.schemas import BARS, FEATURES, MARKETS, MASTER
+from daybars.schemas import BARS, COVERAGE, FEATURES, MARKETS, MASTER
 from daybars.session import checkpoint_dir
 from daybars.sources.master_text import (
     TAIL_WIDTH, read_master_zip, read_masters, split_master_lines, union_markets,
 )
-from daybars.sources.quotes import quote_windows, read_quotes, split_quotes
+from daybars.sources.quotes import (
+    answers_of, bars_of, parse_responses, quarantine_of, read_quotes, stage,
+)
 from daybars.sources.tables import (
-    changed_months, merge_months, read_months, read_summary, read_table, refresh_feature_months,
-    write_months, write_summary, write_table,
+    changed_months, current_version, delete_keys, manifest, merge_months, month_files, read_months,
+    read_summary, read_table, refresh_feature_months, retry_on_conflict, write_months,
+    write_summary, write_table,
 )
 
 _BAR_COLS = [f.name for f in BARS.fields]
 
 
-def _quarantine(bad: DataFrame, root: str | None, run_id: str | None) -> None:
+def quarantine(bad: DataFrame, root: str | None, run_id: str | None) -> None:
     """Quarantine rows of one run under ``run=<id>``; a retried run with the
     same id overwrites its own folder instead of adding duplicates."""
     if root is not None:
@@ -48,35 +56,38 @@ def _quarantine(bad: DataFrame, root: str | None, run_id: str | None) -> None:
 
 def job_sync_master(spark: SparkSession, sources: dict, master_root: str, run_ts,
                     tail=TAIL_WIDTH, zipped: bool = False,
-                    quarantine_root: str | None = None, run_id: str | None = None) -> DataFrame:
+                    quarantine_root: str | None = None, run_id: str | None = None,
+                    members: dict | None = None) -> DataFrame:
     """Parse every market's master file, resolve codes listed in several
     markets (last market in ``sources`` order wins), upsert into the master
-    table. Returns the per-market counts and their total (one row)."""
+    table. ``members`` names the entry of each market's zip archive; an
+    archive without it is an error. Returns the per-market counts and their
+    total (one row)."""
+    checkpoint_dir(spark)
     if zipped:
         parts, bads = [], []
         for m, path in sources.items():
             t = tail[m] if isinstance(tail, dict) else tail
-            r, q = split_master_lines(read_master_zip(spark, path), m, t)
+            r, q = split_master_lines(read_master_zip(spark, path, (members or {}).get(m)), m, t)
             parts.append(r)
             bads.append(q)
-        rows = union_markets(parts)
-        bad = bads[0]
-        for q in bads[1:]:
-            bad = bad.unionByName(q)
+        rows, bad = union_markets(parts), reduce(DataFrame.unionByName, bads)
     else:
         rows, bad = read_masters(spark, sources, tail)
-    checkpoint_dir(spark)
     rows = rows.checkpoint(eager=True)       # parsed once; reused below
     changes = keep_last(rows, ["code"], "_prio").drop("_prio")
-    base = read_table(spark, master_root, MASTER)
-    write_table(upsert_with_audit(base, changes, ["code"], run_ts), master_root, sort_by=["code"])
-    _quarantine(bad, quarantine_root, run_id)
+    quarantine(bad, quarantine_root, run_id)
+
+    def work() -> int:
+        base = current_version(spark, master_root) or 0
+        old = read_table(spark, master_root, MASTER, version=base or None)
+        return write_table(upsert_with_audit(old, changes, ["code"], run_ts), master_root, sort_by=["code"], base=base)
+    retry_on_conflict(work)
     return market_counts_wide(rows, markets=tuple(sources))
 
 
-def as_of_date(as_of):
-    import datetime as _dt
-    return _dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+def as_of_date(as_of) -> dt.date:
+    return dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
 
 
 def _latest(spark, bars_root, summary_root):
@@ -86,102 +97,166 @@ def _latest(spark, bars_root, summary_root):
 
 
 def job_plan(spark: SparkSession, master_root: str, bars_root: str, as_of,
-             days: int | None = None, summary_root: str | None = None) -> DataFrame:
+             days: int | None = None, summary_root: str | None = None,
+             coverage_root: str | None = None) -> DataFrame:
     """C2/C3 planning: the windows to fetch (incremental, or a ``days``
     backfill when given). With ``summary_root`` the latest date per code
-    comes from the month summary instead of a scan of all bars."""
+    comes from the month summary instead of a scan of all bars. With
+    ``coverage_root`` every window that was asked for before and not answered
+    since is planned again, also where newer bars have moved past it."""
     master = read_table(spark, master_root, MASTER)
     if days is not None:
         return plan_full(master, as_of, days)
-    return plan_incremental(master, read_months(spark, bars_root, BARS), as_of,
+    plan = plan_incremental(master, read_months(spark, bars_root, BARS), as_of,
                             _latest(spark, bars_root, summary_root))
+    if coverage_root is None:
+        return plan
+    return replan_failed(plan, read_months(spark, coverage_root, COVERAGE), master)
 
 
 def job_collect(spark: SparkSession, landing: str, bars_root: str,
                 modes: DataFrame | None = None, quarantine_root: str | None = None,
                 run_id: str | None = None, summary_root: str | None = None,
-                multiline: bool = False):
-    """Parse landed responses, de-duplicate by arrival, upsert into
-    the bars table. Returns ``(changes, summary)``; ``changes`` is the
-    checkpointed change set (input of the feature refresh), ``summary`` the
-    run summary when the plan's ``modes`` are given."""
-    raw = read_quotes(spark, landing, multiline)
-    parsed, bad = split_quotes(raw)
-    changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
+                multiline: bool = False, plan: DataFrame | None = None,
+                master_root: str | None = None, coverage_root: str | None = None):
+    """Parse landed responses once, de-duplicate by arrival, upsert
+    into the bars table. Returns ``(changes, summary)``: ``changes`` is the
+    stored change set (input of the feature refresh), ``summary`` the run
+    summary when ``modes`` and ``plan`` are given. With ``master_root`` bars of
+    unknown codes go to quarantine. With ``coverage_root`` the outcome of
+    every planned window is kept for the next plan."""
     checkpoint_dir(spark)
-    changes = changes.checkpoint(eager=True)
-    months = changed_months(changes)
-    v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"],
-                     months=months)
-    if summary_root is not None:
-        write_summary(spark, bars_root, summary_root, months, v, BARS)
-    _quarantine(bad, quarantine_root, run_id)
+    parsed = stage(parse_responses(read_quotes(spark, landing, multiline)))
+    # The plan is read before anything is committed: it describes what was
+    # to be fetched for the tables as they are now.
+    outcomes = None
+    if plan is not None:
+        plan = plan.checkpoint(eager=True)
+        outcomes = window_outcomes(plan, answers_of(parsed)).checkpoint(eager=True)
+    changes = store(spark, parsed, bars_root, quarantine_root, run_id, summary_root, master_root)
+    if coverage_root is not None and outcomes is not None:
+        merge_months(spark, coverage_root, outcomes, ["code", "seg_start", "seg_end"], COVERAGE, date_col="seg_end",
+                     sort_by=["code", "seg_end"])
     summary = None
-    if modes is not None:
-        summary = run_summary(code_status(modes, quote_windows(raw)))
+    if modes is not None and plan is not None:
+        summary = run_summary(code_status(modes, plan, answers_of(parsed)))
     return changes, summary
 
 
+def store(spark: SparkSession, parsed: DataFrame, bars_root: str, quarantine_root: str | None = None,
+          run_id: str | None = None, summary_root: str | None = None, master_root: str | None = None) -> DataFrame:
+    """Staged elements into quarantine, bars and summary, in this order;
+    returns the stored change set."""
+    changes = keep_last(bars_of(parsed), ["code", "date"], "seq").select(*_BAR_COLS).checkpoint(eager=True)
+    bad = quarantine_of(parsed)
+    if master_root is not None:
+        master = read_table(spark, master_root, MASTER)
+        text = F.lit(None).cast("string")
+        bad = bad.unionByName(fk_orphans(changes, master).select(
+            F.lit("bars").alias("source"), "code", text.alias("window_start"), text.alias("window_end"),
+            F.lit("unknown code").alias("reason"), F.to_json(F.struct(*_BAR_COLS)).alias("raw")))
+        changes = fk_valid(changes, master).checkpoint(eager=True)
+    quarantine(bad, quarantine_root, run_id)
+    months = changed_months(changes)
+    if months:
+        v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"], months=months)
+        if summary_root is not None:
+            write_summary(spark, bars_root, summary_root, months, v, BARS)
+    return changes
+
+
 def job_features_full(spark: SparkSession, bars_root: str, features_root: str,
-                      keep_unmatched: bool = False, summary_root: str | None = None) -> int:
-    """Rebuild every feature row from the full history.
-
-    Bars are never deleted except by a cascade that removes the code's
-    features too, so the rebuild reproduces every existing feature row and
-    can replace them: one shuffle (range-partitioned by month, which also
-    serves the window and the month-partitioned write). ``keep_unmatched``
-    keeps old rows the rebuild does not produce (a strict upsert, for
-    tables edited outside these jobs) at the cost of a full anti-join.
-    With ``summary_root`` the month summary replaces the second bar scan."""
-    bars = read_months(spark, bars_root, BARS)
-    months = changed_months(bars)
-    if keep_unmatched:
-        old = read_months(spark, features_root, FEATURES, months)
-        return write_months(upsert(old, features_full(bars), ["code", "date"]), features_root,
-                            months, sort_by=["code", "date"])
-    msum = None if summary_root is None else read_summary(spark, bars_root, summary_root, BARS)
-    return write_months(features_full(bars, cluster_by_month=True, summary=msum), features_root,
-                        months, sort_by=["code", "date"], rebalance=False)
+                      keep_unmatched: bool = False) -> int:
+    """Rebuild every feature row from the full history: one scan and one
+    shuffle for the window, one that packs months into files.
+
+    The months written are those of the bars and those of the features, so a
+    month whose bars are gone loses its features. ``keep_unmatched`` keeps
+    old rows the rebuild does not produce (a strict upsert, for tables edited
+    outside these jobs) at the cost of a full anti-join."""
+    def work() -> int:
+        base = current_version(spark, features_root) or 0
+        months = {*month_files(spark, bars_root), *month_files(spark, features_root)}
+        fresh = features_full(read_months(spark, bars_root, BARS))
+        if keep_unmatched:
+            fresh = upsert(read_months(spark, features_root, FEATURES, months), fresh, ["code", "date"])
+        return write_months(fresh, features_root, months, sort_by=["code", "date"], base=base, cluster=False)
+    return retry_on_conflict(work)
 
 
 def job_daily(spark: SparkSession, as_of, master_root: str, bars_root: str,
               features_root: str, landing: str, quarantine_root: str | None = None,
               as_of_only: bool = False, run_id: str | None = None,
-              summary_root: str | None = None, multiline: bool = False) -> DataFrame | None:
+              summary_root: str | None = None, multiline: bool = False,
+              coverage_root: str | None = None) -> DataFrame | None:
     """C4: collect what has landed, then refresh features.
 
     Default: refresh the touched months (each changed bar, its successors
-    and the months they seed),
-    which covers multi-day catch-ups. ``as_of_only=True`` reproduces the
-    single-date refresh (features for bars dated ``as_of`` only).
+    and the months they seed), which covers multi-day catch-ups.
+    ``as_of_only=True`` reproduces the single-date refresh (features for bars
+    dated ``as_of`` only).
 
     With ``summary_root`` the month summary is maintained and used, so the
     planner and the refresh read one row per (code, month) instead of the
-    whole bar history."""
+    whole bar history. With ``coverage_root`` failed windows are planned
+    again next time."""
+    checkpoint_dir(spark)
     master = read_table(spark, master_root, MASTER)
     modes = plan_modes(master, read_months(spark, bars_root, BARS), as_of,
-                       _latest(spark, bars_root, summary_root))
+                       _latest(spark, bars_root, summary_root)).checkpoint(eager=True)
+    plan = job_plan(spark, master_root, bars_root, as_of, summary_root=summary_root, coverage_root=coverage_root)
     changes, summary = job_collect(spark, landing, bars_root, modes, quarantine_root, run_id,
-                                   summary_root, multiline)
-    bars = read_months(spark, bars_root, BARS)
+                                   summary_root, multiline, plan, master_root, coverage_root)
     if as_of_only:
-        checkpoint_dir(spark)
         if summary_root is not None:
             fresh = features_as_of_summary(read_summary(spark, bars_root, summary_root, BARS),
                                            read_months(spark, bars_root, BARS, [as_of_date(as_of)]),
                                            as_of)
         else:
-            fresh = features_as_of(bars, as_of)
-        fresh = fresh.checkpoint(eager=True)
-        merge_months(spark, features_root, fresh, ["code", "date"], FEATURES,
+            fresh = features_as_of(read_months(spark, bars_root, BARS), as_of)
+        merge_months(spark, features_root, fresh.checkpoint(eager=True), ["code", "date"], FEATURES,
                      sort_by=["code", "date"])
     else:
         msum = None if summary_root is None else read_summary(spark, bars_root, summary_root, BARS)
-        refresh_feature_months(spark, features_root, bars, changes, FEATURES,
+        refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS), changes, FEATURES,
                                bars_root=bars_root, bars_schema=BARS, summary=msum)
     return summary
 
 
+def job_remove_codes(spark: SparkSession, codes: DataFrame, master_root: str, bars_root: str, features_root: str,
+                     summary_root: str | None = None, coverage_root: str | None = None) -> None:
+    """Codes leave the master, and with them their bars, features, summary
+    and coverage (ON DELETE CASCADE). Children go first, so a run that dies
+    leaves no orphan and can be repeated."""
+    checkpoint_dir(spark)
+    removed = codes.select("code").distinct().checkpoint(eager=True)
+    if coverage_root is not None:
+        delete_keys(spark, coverage_root, COVERAGE, removed, date_col="seg_end", sort_by=["code", "seg_end"])
+    delete_keys(spark, features_root, FEATURES, removed, sort_by=["code", "date"])
+    before = manifest(spark, bars_root)["months"]
+    v = delete_keys(spark, bars_root, BARS, removed, sort_by=["code", "date"])
+    if summary_root is not None and v is not None:
+        months = [m for m, x in manifest(spark, bars_root, v)["months"].items() if before.get(m) != x]
+        write_summary(spark, bars_root, summary_root, months, v, BARS)
+
+    def work() -> int:
+        base = current_version(spark, master_root) or 0
+        left = read_table(spark, master_root, MASTER, version=base or None).join(removed, "code", "left_anti")
+        return write_table(left.select(*MASTER.fieldNames()), master_root, sort_by=["code"], base=base)
+    retry_on_conflict(work)
+
+
+def job_quality(spark: SparkSession, master_root: str, bars_root: str, features_root: str, markets=MARKETS) -> DataFrame:
+    """Q1-Q6 over the stored tables: rows (tbl, check_name, n_bad)."""
+    return quality_report(read_table(spark, master_root, MASTER), read_months(spark, bars_root, BARS),
+                          read_months(spark, features_root, FEATURES), markets)
+
+
+def job_collected(spark: SparkSession, bars_root: str) -> DataFrame:
+    """First date, last date and number of bars of every code."""
+    return collected_range(read_months(spark, bars_root, BARS))
+
+
 def job_search(spark: SparkSession, master_root: str, bars_root: str, name: str,
                case_sensitive: bool = False) -> DataFrame:
     """Name -> code -> bars, newest first."""

@@ -3,114 +3,77 @@
 Survey rows: ST1 (with C2 and W3 inside each micro-batch).
 
 New landed files are read once each (the file source tracks them in its
-checkpoint); every micro-batch is parsed, de-duplicated by arrival order and
-upserted into the bars table as a new version, then the features of the
-touched codes are refreshed. Late or corrected bars simply overwrite by key.
+checkpoint); every micro-batch is parsed and staged once, de-duplicated by
+arrival order and upserted into the bars table as a new version, then the
+features of the touched codes are refreshed. Late or corrected bars simply
+overwrite by key.
 
 Fault tolerance: ``foreachBatch`` may re-run a batch after a failure. The
-batch body is idempotent (``upsert(upsert(b, c), c) == upsert(b, c)``) and a
-version only becomes visible after its ``_SUCCESS`` commit marker, so a
-retried or half-finished batch never corrupts the tables. Bars and features
-are month-partitioned: a micro-batch rewrites only the months it touches.
+batch body is idempotent (``upsert(upsert(b, c), c) == upsert(b, c)``), its
+quarantine folder is named after the stream and the batch, and a version
+becomes visible by one manifest, so a retried or half-finished batch never
+corrupts the tables. Old versions are expired as the stream goes.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from daybars.operators.keyed import keep_last
-from daybars.schemas import BARS, FEATURES, QUOTE
-from daybars.sources.quotes import split_quotes
+from daybars.plans.jobs import store
+from daybars.schemas import BARS, FEATURES
 from daybars.session import checkpoint_dir
+from daybars.sources.quotes import parse_responses, quote_stream, stage
 from daybars.sources.tables import (
-    changed_months, merge_months, read_months, read_summary, refresh_feature_months, write_summary,
+    expire_versions, read_months, read_summary, refresh_feature_months,
 )
 
-_BAR_COLS = [f.name for f in BARS.fields]
-
-
-def quote_stream(spark: SparkSession, landing: str, max_files: int | None = None,
-                 multiline: bool = False) -> DataFrame:
-    """Streaming frame of landed responses with their arrival time
-    (``multiline``: one response document per file)."""
-    r = spark.readStream.schema(QUOTE).option("multiLine", str(multiline).lower())
-    if max_files:
-        r = r.option("maxFilesPerTrigger", str(max_files))
-    return (r.json(landing)
-             .withColumn("_arrival", F.col("_metadata.file_modification_time"))
-             .withColumn("_file", F.col("_metadata.file_path")))
+MAX_FILES = 1_000       # per micro-batch, so a first load comes in bounded pieces
+EXPIRE_EVERY = 20       # batches
+KEEP_VERSIONS = 50
 
 
 def make_batch_writer(bars_root: str, features_root: str | None = None,
-                      quarantine_root: str | None = None, summary_root: str | None = None):
+                      quarantine_root: str | None = None, summary_root: str | None = None,
+                      master_root: str | None = None, stream: str = "stream"):
     """The ``foreachBatch`` body: parse -> keep_last -> upsert -> refresh."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         checkpoint_dir(spark)
-        parsed, bad = split_quotes(batch)
-        changes = keep_last(parsed, ["code", "date"], "seq").select(*_BAR_COLS)
-        # Materialise the small change set once so that the merge and the
-        # feature refresh do not re-read the landed files.
-        changes = changes.checkpoint(eager=True)
-        if quarantine_root is not None:
-            # one folder per epoch, overwritten on retry: no duplicates
-            bad.write.mode("overwrite").parquet(f"{quarantine_root}/epoch={epoch_id}")
+        parsed = stage(parse_responses(batch))
+        # one folder per stream and batch, overwritten on retry: no duplicates
+        changes = store(spark, parsed, bars_root, quarantine_root, f"{stream}-{epoch_id}", summary_root, master_root)
         if changes.isEmpty():
             return
-        # Only the months the batch touches are rewritten.
-        months = changed_months(changes)
-        v = merge_months(spark, bars_root, changes, ["code", "date"], BARS, sort_by=["code", "date"],
-                         months=months)
-        msum = None
-        if summary_root is not None:
-            write_summary(spark, bars_root, summary_root, months, v, BARS)
-            msum = read_summary(spark, bars_root, summary_root, BARS)
         if features_root is not None:
+            msum = None if summary_root is None else read_summary(spark, bars_root, summary_root, BARS)
             refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
                                    changes, FEATURES, bars_root=bars_root, bars_schema=BARS,
                                    summary=msum)
+        if epoch_id % EXPIRE_EVERY == EXPIRE_EVERY - 1:
+            for root in (bars_root, features_root, summary_root):
+                if root is not None:
+                    expire_versions(spark, root, KEEP_VERSIONS)
 
     return run
 
 
 def start_catchup(spark: SparkSession, landing: str, bars_root: str, checkpoint: str,
                   features_root: str | None = None, quarantine_root: str | None = None,
-                  max_files: int | None = None, summary_root: str | None = None,
-                  every: str | None = None, multiline: bool = False):
+                  max_files: int | None = MAX_FILES, summary_root: str | None = None,
+                  every: str | None = None, multiline: bool = False, master_root: str | None = None):
     """Process everything landed so far, then stop (``availableNow``); or,
     with ``every`` (e.g. ``"10 minutes"``), keep running and pick up new
     files on that schedule. ``checkpoint`` must be on shared storage: it
-    records which files were processed, so a restarted query resumes."""
+    records which files were processed, so a restarted query resumes; it
+    also names the stream in the quarantine. With ``master_root`` bars of
+    unknown codes go to quarantine."""
+    name = f"stream-{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
     w = (quote_stream(spark, landing, max_files, multiline)
          .writeStream
-         .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root))
+         .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root, master_root, name))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
-
-
-def demo_catchup(spark: SparkSession, bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Land two deliveries derived from the driver tables and catch up.
-
-    Delivery 1 holds preliminary bars (built without purchase events: wrong
-    volumes and prices); delivery 2 holds the final bars and lands later, so
-    its values must win. The result is the bars table after the stream has
-    drained, which must equal ``bars``.
-    """
-    from daybars.adapters import bars_from_events, quote_json_lines, quote_records
-    from daybars.session import scratch_dir
-
-    root = scratch_dir(spark, "catchup")
-    end = "2024-01-30"
-    prelim = bars_from_events(events.where(F.col("event_type") != "purchase"))
-    quote_json_lines(quote_records(prelim, end, fetch_seq=1)).write.text(f"{root}/landing/delivery-0001")
-    quote_json_lines(quote_records(bars, end, fetch_seq=2)).write.text(f"{root}/landing/delivery-0002")
-    q = start_catchup(spark, f"{root}/landing/*", f"{root}/bars", f"{root}/stream-checkpoint",
-                      features_root=f"{root}/features", max_files=None,
-                      summary_root=f"{root}/summary")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return read_months(spark, f"{root}/bars", BARS)
