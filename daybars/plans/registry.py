@@ -27,7 +27,11 @@ from daybars.sources import quotes as QU
 # Fixed parameters of the registered queries.
 AS_OF_FEATURES = "2024-01-15"      # features_as_of, prev_bar_asof
 AS_OF_PLAN = "2024-06-01"          # plan_initial, plan_incremental (multi-window)
-AS_OF_MODES = "2024-01-30"         # plan_modes, run_summary (has up-to-date codes)
+AS_OF_MODES = "2024-01-30"         # plan_modes (has up-to-date codes)
+KNOWN_TS = "2024-01-06 00:00:00"   # collection runs: events before this instant are stored already
+AS_OF_RUN = "2024-04-25"           # ... and a window ends inside January
+AS_OF_LATER = "2024-05-10"         # plan_after_failures
+AS_OF_BACKFILL = "2024-09-20"      # job_backfill: its range starts inside the bars
 BACKFILL_DAYS = 250                # plan_full
 SPLIT_TS = "2024-01-21 00:00:00"   # base bars: events before this instant
 CHANGE_TS = "2024-01-15 00:00:00"  # change set: events from this instant
@@ -73,8 +77,13 @@ def q_master_project(spark, d):
 
 
 def q_master_union_markets(spark, d):
-    m = _master(spark, d)
-    per_market = [m.where(F.col("market_type") == s).select("code", "name", F.lit(s).alias("market_type"))
+    """Customers of nation 0 are listed in their own market and in the last
+    one, which must win."""
+    c = A.load(spark, d, "customer")
+    m = A.master_from_customer(c)
+    both = A.master_from_customer(c.where(F.col("c_nationkey") == 0)).withColumn("market_type", F.lit(SEGMENTS[-1]))
+    listed = m.unionByName(both)
+    per_market = [listed.where(F.col("market_type") == s).select("code", "name", F.lit(s).alias("market_type"))
                   for s in SEGMENTS]
     u = MT.union_markets(per_market)
     return KY.keep_last(u, ["code"], "_prio").drop("_prio")
@@ -87,11 +96,23 @@ def q_master_fixed_width(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _dirty(e):
+    """Text the lenient parsers must cope with: numbers with a tail, decimals
+    where an integer is due, and no number at all for quiet days."""
+    quiet = e["acml_vol"] == "0"
+    return (e.withField("stck_clpr", F.concat(e["stck_clpr"], F.lit(" won")))
+             .withField("stck_oprc", F.when(quiet, F.lit("n/a")).otherwise(e["stck_oprc"]))
+             .withField("acml_vol", F.concat(e["acml_vol"], F.lit(".9"))))
+
+
 def q_quotes_parse(spark, d):
-    recs = A.quote_records(_bars(spark, d), AS_OF_MODES)
-    raw = A.from_json_lines(A.quote_json_lines(recs))
-    bars = QU.parse_quotes(raw)
-    return _bars_cols(KY.keep_last(bars, ["code", "date"], "seq"))
+    """Every window is fetched twice; the first answer has prices of 1."""
+    bars = _bars(spark, d)
+    old = A.quote_records(bars.withColumns({c: F.lit(1.0) for c in ("open", "high", "low", "close")}), AS_OF_MODES, 1)
+    new = A.quote_records(bars, AS_OF_MODES, 2)
+    recs = old.unionByName(new.withColumn("output2", F.transform("output2", _dirty)))
+    parsed = QU.parse_quotes(A.from_json_lines(A.quote_json_lines(recs)))
+    return _bars_cols(KY.keep_last(parsed, ["code", "date"], "seq"))
 
 
 def q_date_roundtrip(spark, d):
@@ -199,30 +220,55 @@ def q_quality_report(spark, d):
     return IN.quality_report(_master(spark, d), bars, FE.features_full(bars), markets=SEGMENTS)
 
 
-def _summary_inputs(spark, d):
-    """Plan against bars without purchase-only days, answered from all bars."""
-    master = _master(spark, d)
-    known = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
-    modes = PL.plan_modes(master, known, AS_OF_MODES)
-    plan = PL.plan_incremental(master, known, AS_OF_MODES)
-    # Window index of every available bar inside its code's planned range:
-    # windows are counted back from as_of, so the index is arithmetic and the
-    # answer join is an equi-join on (code, i) rather than a range join.
-    as_of = F.lit(_dt.date.fromisoformat(AS_OF_MODES))
-    avail = (_bars(spark, d).join(modes.where(F.col("mode") != "skip").select("code", "start"), "code")
-             .where((F.col("date") >= F.col("start")) & (F.col("date") <= as_of))
-             .select("code", F.floor(F.datediff(as_of, F.col("date")) / PL.WINDOW_DAYS)
-                     .cast("int").alias("i")))
-    answered = avail.groupBy("code", "i").agg(F.count(F.lit(1)).alias("n_bars"))
-    windows = (plan.join(answered, ["code", "i"], "left")
-                   .select("code", "i", F.lit(False).alias("rejected"),
-                           F.coalesce("n_bars", F.lit(0)).cast("bigint").alias("n_bars")))
-    return modes, windows
+def _known(spark, d):
+    """Bars that are there before a collection run."""
+    return A.bars_from_events(_events(spark, d).where(F.col("ts") < A.ts_ntz(KNOWN_TS)))
+
+
+def _run_inputs(spark, d, as_of):
+    """Modes, plan and landed responses of a run in which every market meets
+    another fate: AUTOMOBILE is rejected and then answered (its second window
+    stays rejected), BUILDING is not answered, FURNITURE is answered with
+    unreadable dates, HOUSEHOLD is rejected, MACHINERY is answered."""
+    master, bars = _master(spark, d), _bars(spark, d)
+    modes = PL.plan_modes(master, _known(spark, d), as_of)
+    plan = PL.plan_incremental(master, _known(spark, d), as_of)
+    end = F.lit(_dt.date.fromisoformat(as_of))
+    # the window of a bar is arithmetic: windows are counted back from as_of
+    i = F.floor(F.datediff(end, F.col("date")) / PL.WINDOW_DAYS).cast("int")
+    element = F.struct(F.date_format("date", "yyyyMMdd").alias("stck_bsop_date"), *[
+        F.col(c).cast("string").alias(n) for c, n in (("open", "stck_oprc"), ("high", "stck_hgpr"), ("low", "stck_lwpr"),
+                                                      ("close", "stck_clpr"), ("volume", "acml_vol"))])
+    found = (bars.join(modes.select("code", "start"), "code").where((F.col("date") >= F.col("start")) & (F.col("date") <= end))
+                 .groupBy("code", i.alias("i")).agg(F.array_sort(F.collect_list(element)).alias("output2")))
+    w = plan.join(_segments(master), "code").join(found, ["code", "i"], "left").withColumn(
+        "output2", F.coalesce("output2", F.array().cast(found.schema["output2"].dataType)))
+    garbled = F.transform("output2", lambda e: e.withField("stck_bsop_date", F.lit("not a date")))
+
+    def answer(rows, seq, rejected=False, output=F.col("output2")):
+        return rows.select(
+            "code", F.date_format("seg_start", "yyyyMMdd").alias("window_start"),
+            F.date_format("seg_end", "yyyyMMdd").alias("window_end"), F.lit(seq).cast("bigint").alias("fetch_seq"),
+            F.lit("1" if rejected else "0").alias("rt_cd"), F.lit("busy" if rejected else "OK").alias("msg1"),
+            (F.lit(None).cast(found.schema["output2"].dataType) if rejected else output).alias("output2"))
+    seg, second = F.col("_seg"), F.col("i") == 1
+    responses = reduce(DataFrame.unionByName, [
+        answer(w.where(seg == "AUTOMOBILE"), 1, rejected=True),
+        answer(w.where((seg == "AUTOMOBILE") & ~second), 2),
+        answer(w.where(seg == "FURNITURE"), 1, output=garbled),
+        answer(w.where(seg == "HOUSEHOLD"), 1, rejected=True),
+        answer(w.where(seg == "MACHINERY"), 1)])
+    return modes, plan, responses
+
+
+def _code_status(spark, d, as_of):
+    modes, plan, responses = _run_inputs(spark, d, as_of)
+    parsed = QU.parse_responses(A.from_json_lines(A.quote_json_lines(responses)))
+    return AG.code_status(modes, plan, QU.answers_of(parsed))
 
 
 def q_run_summary(spark, d):
-    modes, windows = _summary_inputs(spark, d)
-    return AG.run_summary(AG.code_status(modes, windows))
+    return AG.run_summary(_code_status(spark, d, AS_OF_RUN))
 
 
 def q_collected_range(spark, d):
@@ -230,8 +276,24 @@ def q_collected_range(spark, d):
 
 
 def q_stream_catchup(spark, d):
-    from daybars.streaming.catchup import demo_catchup
-    return demo_catchup(spark, _bars(spark, d), _events(spark, d))
+    """Two deliveries; the first has preliminary bars (without purchase
+    events), the later one the final bars, whose values must win. The bars
+    table after the stream has drained equals the final bars."""
+    from daybars.schemas import BARS as BARS_SCHEMA
+    from daybars.session import scratch_dir
+    from daybars.sources.tables import read_months
+    from daybars.streaming.catchup import start_catchup
+
+    root = scratch_dir(spark, "catchup")
+    prelim = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
+    A.quote_json_lines(A.quote_records(prelim, AS_OF_MODES, 1)).write.text(f"{root}/landing/delivery-0001")
+    A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(f"{root}/landing/delivery-0002")
+    q = start_catchup(spark, f"{root}/landing/*", f"{root}/bars", f"{root}/stream-checkpoint",
+                      features_root=f"{root}/features", summary_root=f"{root}/summary")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_months(spark, f"{root}/bars", BARS_SCHEMA)
 
 
 def q_master_quarantine(spark, d):
@@ -274,25 +336,27 @@ def q_quotes_quarantine(spark, d):
 
 
 def q_code_status_rejects(spark, d):
-    """Per-code outcome when HOUSEHOLD codes get every window rejected and
-    AUTOMOBILE codes their second window: failed / partial / ok / empty."""
-    master = _master(spark, d)
-    known = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
-    modes = PL.plan_modes(master, known, AS_OF_PLAN)
-    plan = PL.plan_incremental(master, known, AS_OF_PLAN)
-    as_of = F.lit(_dt.date.fromisoformat(AS_OF_PLAN))
-    avail = (_bars(spark, d).join(modes.where(F.col("mode") != "skip").select("code", "start"), "code")
-             .where((F.col("date") >= F.col("start")) & (F.col("date") <= as_of))
-             .select("code", F.floor(F.datediff(as_of, F.col("date")) / PL.WINDOW_DAYS)
-                     .cast("int").alias("i")))
-    answered = avail.groupBy("code", "i").agg(F.count(F.lit(1)).alias("n_bars"))
-    seg = _segments(master)
-    w = plan.join(seg, "code", "left").join(answered, ["code", "i"], "left")
-    rejected = (F.col("_seg") == REMOVED_SEGMENT) | ((F.col("_seg") == "AUTOMOBILE") & (F.col("i") == 1))
-    windows = w.select("code", "i", rejected.alias("rejected"),
-                       F.when(rejected, F.lit(0)).otherwise(F.coalesce("n_bars", F.lit(0)))
-                        .cast("bigint").alias("n_bars"))
-    return AG.code_status(modes, windows)
+    """Per-code outcome of the run of :func:`_run_inputs`."""
+    return _code_status(spark, d, AS_OF_RUN)
+
+
+def q_quotes_accounting(spark, d):
+    """Landed files in which HOUSEHOLD responses carry no code and FURNITURE
+    lines are cut off: every element (and every cut line) ends up as a bar or
+    in the quarantine. Rows by outcome."""
+    from daybars.session import scratch_dir
+
+    path = scratch_dir(spark, "accounting")
+    recs = A.quote_records(_bars(spark, d), AS_OF_MODES).join(_segments(_master(spark, d)), "code", "left")
+    recs = recs.withColumn("code", F.when(F.coalesce(F.col("_seg") != "HOUSEHOLD", F.lit(True)), F.col("code")))
+    line = F.to_json(F.struct("code", "window_start", "window_end", "fetch_seq", "rt_cd", "msg1", "output2"))
+    cut = F.when(F.col("_seg") == "FURNITURE", F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    recs.select(cut.alias("value")).write.text(path)
+    parsed = QU.stage(QU.parse_responses(QU.read_quotes(spark, path)))
+    bars, bad = QU.bars_of(parsed), QU.quarantine_of(parsed)
+    n = F.count(F.lit(1)).alias("n")
+    return bars.groupBy(F.lit("bar").alias("outcome")).agg(n).unionByName(
+        bad.groupBy(F.col("reason").alias("outcome")).agg(n))
 
 
 def q_features_full_lineitem(spark, d):
@@ -305,8 +369,8 @@ def q_market_counts_wide(spark, d):
 
 
 def q_job_sync_master(spark, d):
-    """C1 end to end: every segment's master lines written as CP949 files
-    (derived from customer), then parsed and upserted by the sync job."""
+    """C1 end to end: every segment's master lines, with Korean names, written
+    as CP949 files, then parsed and upserted by the sync job."""
     from daybars.plans.jobs import job_sync_master
     from daybars.schemas import MASTER
     from daybars.session import checkpoint_dir, scratch_dir
@@ -314,60 +378,167 @@ def q_job_sync_master(spark, d):
 
     checkpoint_dir(spark)
     root = scratch_dir(spark, "sync-master")
-    lines = A.master_lines(_master(spark, d))
+    korean = F.concat(F.lit("고객 "), F.substring("name", 10, 100))
+    lines = A.master_lines(_master(spark, d).withColumn("name", korean))
     paths = {}
     for s in SEGMENTS:
         p = f"{root}/landing/{s.lower()}.mst"
-        (lines.where(F.col("market_type") == s).select("line").coalesce(1).write
+        (lines.where(F.col("market_type") == s).select("line").write
               .option("encoding", MT.CHARSET).option("sep", "\u0001").option("quote", "")
               .option("lineSep", "\n").csv(p))
         paths[s] = p
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     job_sync_master(spark, paths, f"{root}/master", A.ts_ntz(RUN_TS))
     return read_table(spark, f"{root}/master", MASTER)
 
 
+def _stored(spark, d, name):
+    """Roots of a run's tables, with the whole master stored."""
+    from daybars.session import checkpoint_dir, scratch_dir
+    from daybars.sources.tables import write_table
+
+    checkpoint_dir(spark)
+    root = scratch_dir(spark, name)
+    t = {k: f"{root}/{k}" for k in ("master", "bars", "features", "summary", "coverage", "quarantine", "landing1", "landing2")}
+    none = F.lit(None).cast("timestamp_ntz")
+    write_table(_master(spark, d).withColumn("created_at", none).withColumn("updated_at", none), t["master"])
+    return t
+
+
+def _first_load(spark, d, t):
+    """The base bars landed and collected, features rebuilt."""
+    from daybars.plans.jobs import job_collect, job_features_full
+
+    A.quote_json_lines(A.quote_records(_base_bars(spark, d), AS_OF_MODES, 1)).write.text(t["landing1"])
+    job_collect(spark, t["landing1"], t["bars"], summary_root=t["summary"])
+    job_features_full(spark, t["bars"], t["features"])
+
+
 def q_job_daily_features(spark, d):
     """C2 + C4 + C5 end to end on month-partitioned tables: a first landing
     (events before SPLIT_TS) is collected and features are rebuilt; a second
     landing (all bars, later) is applied by the daily job, which refreshes
     only the touched months from the maintained month summary. Returns the
     features table."""
-    from daybars.plans.jobs import job_collect, job_daily, job_features_full
+    from daybars.plans.jobs import job_daily
     from daybars.schemas import FEATURES
-    from daybars.session import checkpoint_dir, scratch_dir
-    from daybars.sources.tables import read_months, write_table
-
-    checkpoint_dir(spark)
-    root = scratch_dir(spark, "daily")
-    write_table(_master(spark, d).select("code", "name", "market_type",
-                                         F.lit(None).cast("timestamp_ntz").alias("created_at"),
-                                         F.lit(None).cast("timestamp_ntz").alias("updated_at")),
-                f"{root}/master")
-    A.quote_json_lines(A.quote_records(_base_bars(spark, d), AS_OF_MODES, 1)).write.text(f"{root}/landing1")
-    job_collect(spark, f"{root}/landing1", f"{root}/bars", summary_root=f"{root}/summary")
-    job_features_full(spark, f"{root}/bars", f"{root}/features", summary_root=f"{root}/summary")
-    A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(f"{root}/landing2")
-    job_daily(spark, AS_OF_MODES, f"{root}/master", f"{root}/bars", f"{root}/features", f"{root}/landing2",
-              summary_root=f"{root}/summary")
-    return read_months(spark, f"{root}/features", FEATURES)
-
+    from daybars.sources.tables import read_months
+
+    t = _stored(spark, d, "daily")
+    _first_load(spark, d, t)
+    A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 2)).write.text(t["landing2"])
+    job_daily(spark, AS_OF_MODES, t["master"], t["bars"], t["features"], t["landing2"], summary_root=t["summary"])
+    return read_months(spark, t["features"], FEATURES)
+
+
+def q_job_daily_orphans(spark, d):
+    """The daily job against a master without one market: its bars are not
+    stored but quarantined. Returns stored and quarantined rows by code."""
+    from daybars.plans.jobs import job_daily, job_remove_codes
+    from daybars.schemas import BARS as BARS_SCHEMA
+    from daybars.sources.tables import read_months
+
+    t = _stored(spark, d, "orphans")
+    gone = _master(spark, d).where(F.col("market_type") == REMOVED_SEGMENT)
+    job_remove_codes(spark, gone, t["master"], t["bars"], t["features"], t["summary"])
+    A.quote_json_lines(A.quote_records(_bars(spark, d), AS_OF_MODES, 1)).write.text(t["landing1"])
+    job_daily(spark, AS_OF_MODES, t["master"], t["bars"], t["features"], t["landing1"],
+              quarantine_root=t["quarantine"], run_id="r1", summary_root=t["summary"])
+    n = F.count(F.lit(1)).alias("n")
+    bad = spark.read.parquet(t["quarantine"]).groupBy("code", F.col("reason").alias("outcome")).agg(n)
+    kept = read_months(spark, t["bars"], BARS_SCHEMA).groupBy("code", F.lit("stored").alias("outcome")).agg(n)
+    return kept.unionByName(bad)
+
+
+def q_job_remove_codes(spark, d):
+    """ON DELETE CASCADE: one market's codes leave master, bars, summary and
+    features. Returns the features that are left."""
+    from daybars.plans.jobs import job_remove_codes
+    from daybars.schemas import FEATURES
+    from daybars.sources.tables import read_months
+
+    t = _stored(spark, d, "remove")
+    _first_load(spark, d, t)
+    gone = _master(spark, d).where(F.col("market_type") == REMOVED_SEGMENT)
+    job_remove_codes(spark, gone, t["master"], t["bars"], t["features"], t["summary"])
+    return read_months(spark, t["features"], FEATURES)
+
+
+def q_job_backfill(spark, d):
+    """C3 end to end: the windows of a full backfill are planned, answered
+    and collected. Returns the bars table."""
+    from daybars.plans.jobs import job_collect, job_plan
+    from daybars.schemas import BARS as BARS_SCHEMA
+    from daybars.sources.tables import read_months
+
+    t = _stored(spark, d, "backfill")
+    plan = job_plan(spark, t["master"], t["bars"], AS_OF_BACKFILL, days=BACKFILL_DAYS)
+    wanted = plan.select("code", "seg_start", "seg_end")
+    bars = _bars(spark, d).join(wanted, "code").where("date BETWEEN seg_start AND seg_end").select(
+        "code", "date", "open", "high", "low", "close", "volume")
+    A.quote_json_lines(A.quote_records(bars, AS_OF_BACKFILL, 1)).write.text(t["landing1"])
+    job_collect(spark, t["landing1"], t["bars"], master_root=t["master"], quarantine_root=t["quarantine"])
+    return read_months(spark, t["bars"], BARS_SCHEMA)
+
+
+def q_plan_after_failures(spark, d):
+    """The run of :func:`_run_inputs` is collected with coverage; the
+    plan of a later day asks again for every window that failed, also where
+    newer bars have moved past it."""
+    from daybars.plans.jobs import job_collect, job_plan
+
+    t = _stored(spark, d, "replan")
+    A.quote_json_lines(A.quote_records(_known(spark, d), AS_OF_MODES, 1)).write.text(t["landing1"])
+    job_collect(spark, t["landing1"], t["bars"])
+    modes, plan, responses = _run_inputs(spark, d, AS_OF_RUN)
+    A.quote_json_lines(responses).write.text(t["landing2"])
+    job_collect(spark, t["landing2"], t["bars"], modes, plan=plan, coverage_root=t["coverage"])
+    return job_plan(spark, t["master"], t["bars"], AS_OF_LATER, coverage_root=t["coverage"]).where(F.col("mode") == "gap")
 
 
 def q_plan_gaps(spark, d):
-    """Coverage-based re-plan (D12): required ranges from the incremental
-    plan at AS_OF_PLAN, coverage = the windows that were answered under the
-    reject rule of ``code_status_rejects``; the gaps are exactly the rejected
-    windows, re-cut from each gap's end."""
+    """Coverage-based re-plan: required ranges from the incremental plan at
+    AS_OF_PLAN, coverage = the windows of all codes but the rejected ones
+    (HOUSEHOLD, and AUTOMOBILE's second window); the gaps are exactly the
+    rejected windows, re-cut from each gap's end."""
     master = _master(spark, d)
-    known = A.bars_from_events(_events(spark, d).where(F.col("event_type") != "purchase"))
-    modes = PL.plan_modes(master, known, AS_OF_PLAN).where(F.col("mode") != "skip")
-    plan = PL.plan_incremental(master, known, AS_OF_PLAN).join(_segments(master), "code", "left")
+    modes = PL.plan_modes(master, _base_bars(spark, d), AS_OF_PLAN).where(F.col("mode") != "skip")
+    plan = PL.plan_incremental(master, _base_bars(spark, d), AS_OF_PLAN).join(_segments(master), "code", "left")
     rejected = (F.col("_seg") == REMOVED_SEGMENT) | ((F.col("_seg") == "AUTOMOBILE") & (F.col("i") == 1))
     coverage = plan.where(~rejected).select("code", "seg_start", "seg_end")
     return PL.gap_windows(modes, coverage)
 
 
+def _faulty(spark, d):
+    """Master, bars and features with every fault the checks look for."""
+    c = A.load(spark, d, "customer")
+    seg = F.col("market_type")
+    m = A.master_from_customer(c)
+    m = m.unionByName(m.where(seg == "BUILDING")).select(
+        F.when(seg == "MACHINERY", F.concat(F.lit("x" * 10), "code")).otherwise(F.col("code")).alias("code"),
+        F.when(seg == "FURNITURE", None).when(seg == "HOUSEHOLD", F.repeat("name", 6)).otherwise(F.col("name")).alias("name"),
+        F.when(seg == "AUTOMOBILE", F.lit("AUTOMOBILES")).otherwise(seg).alias("market_type"))
+    m = m.unionByName(m.where(F.col("name").isNull()).select(F.lit(None).cast("string").alias("code"), "name",
+                                                              F.lit(None).cast("string").alias("market_type")))
+    b = _bars(spark, d)
+    quiet = F.col("volume") == 0
+    b = b.unionByName(b.where(quiet)).select(
+        F.when(F.col("volume") == 2, F.concat(F.lit("y" * 10), "code")).when(F.col("volume") == 3, None).otherwise(F.col("code")).alias("code"),
+        F.when(F.col("volume") >= 3, None).otherwise(F.col("date")).alias("date"),
+        *[F.when(quiet, None).otherwise(F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
+        F.when(F.col("volume") == 1, None).otherwise(F.col("volume")).alias("volume"))
+    f = FE.features_full(_bars(spark, d))
+    up = F.col("close_change_rate") > 0
+    f = f.unionByName(f.where(up)).select(
+        F.when(F.col("open_change_rate") > 500, F.concat(F.lit("z" * 10), "code"))
+         .when(F.col("open_change_rate") < -90, None).otherwise(F.col("code")).alias("code"),
+        F.when(F.col("high_change_rate") < -80, None).otherwise(F.col("date")).alias("date"),
+        *[F.when(up, None).otherwise(F.col(f"{c}_change_rate")).alias(f"{c}_change_rate") for c in BAR_VALUES])
+    return m, b, f
+
+
+def q_quality_faults(spark, d):
+    return IN.quality_report(*_faulty(spark, d), markets=SEGMENTS)
+
 
 def q_month_summary(spark, d):
     """Last bar of every (code, month), over the multi-year lineitem bars:
@@ -435,6 +606,12 @@ QUERIES = {
     "month_summary": q_month_summary,
     "features_as_of_summary": q_features_as_of_summary,
     "features_touched_summary": q_features_touched_summary,
+    "quotes_accounting": q_quotes_accounting,
+    "quality_faults": q_quality_faults,
+    "job_daily_orphans": q_job_daily_orphans,
+    "job_remove_codes": q_job_remove_codes,
+    "job_backfill": q_job_backfill,
+    "plan_after_failures": q_plan_after_failures,
 }
 
 
@@ -500,9 +677,7 @@ def _plan_sql(as_of: str, mode_filter: str, bars: str = BARS) -> str:
     FROM x"""
 
 
-def _quality_sql() -> str:
-    bars = BARS
-    feats = _features_sql(BARS)
+def _quality_sql(master: str, bars: str, feats: str) -> str:
     seg = ", ".join(f"'{s}'" for s in SEGMENTS)
 
     def checks(tbl, src, not_null, lengths=None, domain=None):
@@ -522,10 +697,10 @@ def _quality_sql() -> str:
 
     def orphans(tbl, src):
         return (f"SELECT '{tbl}', 'orphan_code', CAST(count(*) AS BIGINT) FROM ({src}) t "
-                f"WHERE NOT EXISTS (SELECT 1 FROM ({MASTER}) m WHERE m.code = t.code)")
+                f"WHERE NOT EXISTS (SELECT 1 FROM ({master}) m WHERE m.code = t.code)")
 
-    parts = [dup("master", MASTER, ["code"])]
-    parts += checks("master", MASTER, ["code", "name", "market_type"],
+    parts = [dup("master", master, ["code"])]
+    parts += checks("master", master, ["code", "name", "market_type"],
                     {"code": 10, "name": 100, "market_type": 10}, "market_type")
     parts += [dup("bars", bars, ["code", "date"])]
     parts += checks("bars", bars, ["code", "date", "open", "high", "low", "close", "volume"], {"code": 10})
@@ -537,36 +712,90 @@ def _quality_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _summary_sql() -> str:
-    known = _bars_sql("event_type <> 'purchase'")
+def _faulty_sql() -> tuple[str, str, str]:
+    m = f"""
+    SELECT CASE market_type WHEN 'MACHINERY' THEN repeat('x', 10) || code ELSE code END AS code,
+           CASE market_type WHEN 'FURNITURE' THEN NULL WHEN 'HOUSEHOLD' THEN repeat(name, 6) ELSE name END AS name,
+           CASE market_type WHEN 'AUTOMOBILE' THEN 'AUTOMOBILES' ELSE market_type END AS market_type
+    FROM ({MASTER}) m, range(1, CASE market_type WHEN 'BUILDING' THEN 3 ELSE 2 END) r
+    UNION ALL
+    SELECT NULL, NULL, NULL FROM customer WHERE c_mktsegment = 'FURNITURE'"""
+    price = ", ".join(f'CASE WHEN volume = 0 THEN NULL ELSE "{c}" END AS "{c}"' for c in ("open", "high", "low", "close"))
+    b = f"""
+    SELECT CASE volume WHEN 2 THEN repeat('y', 10) || code WHEN 3 THEN NULL ELSE code END AS code,
+           CASE WHEN volume >= 3 THEN NULL ELSE "date" END AS "date", {price},
+           CASE volume WHEN 1 THEN NULL ELSE volume END AS volume
+    FROM ({BARS}) b, range(1, CASE volume WHEN 0 THEN 3 ELSE 2 END) r"""
+    rate = ", ".join(f'CASE WHEN close_change_rate > 0 THEN NULL ELSE {c}_change_rate END AS {c}_change_rate' for c in BAR_VALUES)
+    f = f"""
+    SELECT CASE WHEN open_change_rate > 500 THEN repeat('z', 10) || code
+                WHEN open_change_rate < -90 THEN NULL ELSE code END AS code,
+           CASE WHEN high_change_rate < -80 THEN NULL ELSE "date" END AS "date", {rate}
+    FROM ({_features_sql(BARS)}) f, range(1, CASE WHEN close_change_rate > 0 THEN 3 ELSE 2 END) r"""
+    return m, b, f
+
+
+def _run_sql() -> str:
+    """CTEs of the run of ``_run_inputs``: r (code, seg, mode, start)."""
+    a = AS_OF_RUN
     return f"""
-    WITH lt AS (SELECT code, max("date") AS latest FROM ({known}) k GROUP BY code),
+    known AS ({_bars_sql(f"ts < TIMESTAMP '{KNOWN_TS}'")}),
+    allbars AS ({BARS}),
     r AS (
-      SELECT m.code,
-             CASE WHEN lt.latest IS NULL THEN 'initial'
-                  WHEN lt.latest + 1 > DATE '{AS_OF_MODES}' THEN 'skip'
-                  ELSE 'incremental' END AS mode,
-             CASE WHEN lt.latest IS NULL THEN DATE '{AS_OF_MODES}' - 499
-                  ELSE lt.latest + 1 END AS start
-      FROM ({MASTER}) m LEFT JOIN lt ON m.code = lt.code),
+      SELECT m.code, m.market_type AS seg, max(k."date") AS latest,
+             CASE WHEN max(k."date") IS NULL THEN 'initial' ELSE 'incremental' END AS mode,
+             coalesce(max(k."date") + 1, DATE '{a}' - 499) AS start
+      FROM ({MASTER}) m LEFT JOIN known k ON k.code = m.code GROUP BY 1, 2),
     got AS (
-      SELECT r.code, count(b.code) AS n_bars
-      FROM r LEFT JOIN ({BARS}) b
-        ON b.code = r.code AND b."date" >= r.start AND b."date" <= DATE '{AS_OF_MODES}'
-      WHERE r.mode <> 'skip'
-      GROUP BY r.code),
-    st AS (
-      SELECT r.code, CASE WHEN r.mode = 'skip' THEN 'skipped'
-                          WHEN coalesce(got.n_bars, 0) = 0 THEN 'empty'
-                          ELSE 'ok' END AS status
-      FROM r LEFT JOIN got ON r.code = got.code)
-    SELECT count(*) AS total,
-           count(*) FILTER (WHERE status = 'ok') AS ok,
-           count(*) FILTER (WHERE status = 'empty') AS empty,
-           count(*) FILTER (WHERE status = 'skipped') AS skipped,
-           count(*) FILTER (WHERE status = 'partial') AS partial,
-           count(*) FILTER (WHERE status = 'failed') AS failed
-    FROM st"""
+      SELECT r.code, b."date", (DATE '{a}' - b."date") // 100 AS i
+      FROM r JOIN allbars b ON b.code = r.code
+      WHERE b."date" BETWEEN r.start AND DATE '{a}'
+        AND (seg = 'MACHINERY' OR (seg = 'AUTOMOBILE' AND (DATE '{a}' - b."date") // 100 <> 1)))"""
+
+
+def _code_status_sql() -> str:
+    """What happened to each market, told as such: no windows are built."""
+    return f"""
+    WITH {_run_sql()},
+    n AS (SELECT code, count(*) AS n_bars FROM got GROUP BY code)
+    SELECT r.code, r.mode,
+           CASE WHEN seg IN ('BUILDING', 'HOUSEHOLD') THEN 'failed'
+                WHEN seg = 'FURNITURE' THEN 'empty'
+                WHEN seg = 'AUTOMOBILE' THEN 'partial'
+                WHEN coalesce(n.n_bars, 0) = 0 THEN 'empty' ELSE 'ok' END AS status,
+           CAST(CASE mode WHEN 'initial' THEN 5 ELSE 2 END AS BIGINT) AS n_windows,
+           CAST(coalesce(n.n_bars, 0) AS BIGINT) AS n_bars
+    FROM r LEFT JOIN n ON n.code = r.code"""
+
+
+def _summary_sql() -> str:
+    statuses = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in AG.STATUSES)
+    return f"SELECT count(*) AS total, {statuses} FROM ({_code_status_sql()}) t"
+
+
+def _plan_after_failures_sql() -> str:
+    a, later = AS_OF_RUN, AS_OF_LATER
+    return f"""
+    WITH {_run_sql()},
+    now AS (
+      SELECT r.code, r.seg, r.start, coalesce(greatest(r.latest, max(g."date")) + 1, DATE '{later}' - 499) AS due
+      FROM r LEFT JOIN got g ON g.code = r.code GROUP BY r.code, r.seg, r.start, r.latest),
+    asked AS (
+      SELECT now.*, i, greatest(DATE '{a}' - CAST(i * 100 + 99 AS INTEGER), start) AS seg_start,
+             DATE '{a}' - CAST(i * 100 AS INTEGER) AS seg_end
+      FROM now, range(0, 5) w(i) WHERE DATE '{a}' - CAST(i * 100 AS INTEGER) >= start)
+    SELECT code, 'gap' AS mode, 0 AS i, seg_start, seg_end FROM asked
+    WHERE seg_start < due AND (seg IN ('BUILDING', 'HOUSEHOLD') OR (seg = 'AUTOMOBILE' AND i = 1))"""
+
+
+def _accounting_sql() -> str:
+    return f"""
+    WITH b AS (SELECT b.code, b."date", m.market_type AS seg, (DATE '{AS_OF_MODES}' - b."date") // 100 AS i
+               FROM ({BARS}) b LEFT JOIN ({MASTER}) m ON m.code = b.code)
+    SELECT CASE seg WHEN 'HOUSEHOLD' THEN 'no code' WHEN 'FURNITURE' THEN 'bad json' ELSE 'bar' END AS outcome,
+           CASE seg WHEN 'FURNITURE' THEN count(DISTINCT (code, i)) ELSE count(*) END AS n
+    FROM (SELECT code, i, CASE WHEN seg IN ('HOUSEHOLD', 'FURNITURE') THEN seg ELSE '' END AS seg FROM b) t
+    GROUP BY seg"""
 
 
 def _quotes_quarantine_sql() -> str:
@@ -589,44 +818,6 @@ def _quotes_quarantine_sql() -> str:
     FROM bw WHERE coalesce(seg, '') <> '{REMOVED_SEGMENT}' AND volume = 0"""
 
 
-def _code_status_sql() -> str:
-    a = AS_OF_PLAN
-    known = _bars_sql("event_type <> 'purchase'")
-    return f"""
-    WITH lt AS (SELECT code, max("date") AS latest FROM ({known}) k GROUP BY code),
-    r AS (
-      SELECT m.code, m.market_type AS seg,
-             CASE WHEN lt.latest IS NULL THEN 'initial'
-                  WHEN lt.latest + 1 > DATE '{a}' THEN 'skip'
-                  ELSE 'incremental' END AS mode,
-             CASE WHEN lt.latest IS NULL THEN DATE '{a}' - 499 ELSE lt.latest + 1 END AS start
-      FROM ({MASTER}) m LEFT JOIN lt ON m.code = lt.code),
-    win AS (
-      SELECT code, seg, unnest(range(0, CAST(ceil((DATE '{a}' - start + 1) / 100.0) AS BIGINT))) AS i
-      FROM r WHERE mode <> 'skip'),
-    ans AS (
-      SELECT r.code, CAST(floor((DATE '{a}' - b."date") / 100) AS BIGINT) AS i, count(*) AS n
-      FROM r JOIN ({BARS}) b ON b.code = r.code AND b."date" >= r.start AND b."date" <= DATE '{a}'
-      WHERE r.mode <> 'skip' GROUP BY 1, 2),
-    wb AS (
-      SELECT win.code, (win.seg = '{REMOVED_SEGMENT}' OR (win.seg = 'AUTOMOBILE' AND win.i = 1)) AS rejected,
-             coalesce(ans.n, 0) AS n
-      FROM win LEFT JOIN ans ON win.code = ans.code AND win.i = ans.i),
-    per AS (
-      SELECT code, count(*) AS n_win, count(*) FILTER (WHERE rejected) AS n_rej,
-             sum(CASE WHEN rejected THEN 0 ELSE n END) AS n_bars
-      FROM wb GROUP BY code)
-    SELECT r.code, r.mode,
-           CASE WHEN r.mode = 'skip' THEN 'skipped'
-                WHEN coalesce(per.n_win, 0) > 0 AND per.n_rej = per.n_win THEN 'failed'
-                WHEN coalesce(per.n_rej, 0) > 0 THEN 'partial'
-                WHEN coalesce(per.n_bars, 0) = 0 THEN 'empty'
-                ELSE 'ok' END AS status,
-           CAST(coalesce(per.n_win, 0) AS BIGINT) AS n_windows,
-           CAST(coalesce(per.n_bars, 0) AS BIGINT) AS n_bars
-    FROM r LEFT JOIN per ON r.code = per.code"""
-
-
 LINEITEM_BARS = """
     SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS "date",
            arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS "open",
@@ -642,7 +833,7 @@ def _plan_gaps_sql() -> str:
     range comes back as its original windows; an AUTOMOBILE code's second
     window comes back alone, as window 0 of its own gap."""
     return f"""
-    WITH p AS ({_plan_sql(AS_OF_PLAN, "mode <> 'skip'", _bars_sql("event_type <> 'purchase'"))}),
+    WITH p AS ({_plan_sql(AS_OF_PLAN, "mode <> 'skip'", BASE_BARS)}),
     s AS ({MASTER})
     SELECT p.code, 'gap' AS mode, p.i, p.seg_start, p.seg_end
     FROM p JOIN s ON p.code = s.code WHERE s.market_type = '{REMOVED_SEGMENT}'
@@ -651,6 +842,22 @@ def _plan_gaps_sql() -> str:
     FROM p JOIN s ON p.code = s.code WHERE s.market_type = 'AUTOMOBILE' AND p.i = 1"""
 
 
+def _daily_bars_sql() -> str:
+    """First load: all base bars; the daily delivery: known codes only."""
+    live = f"SELECT * FROM ({BARS}) b WHERE code IN (SELECT code FROM ({MASTER}) m)"
+    return _upsert_sql(BASE_BARS, live)
+
+
+def _features_as_of_sql() -> str:
+    """The previous bar through an as-of join on the day before."""
+    rates = ", ".join(f'((n."{c}" - p."{c}") / CASE WHEN p."{c}" <> 0 THEN p."{c}" END) * 100 AS {c}_change_rate'
+                      for c in BAR_VALUES)
+    return f"""
+    WITH n AS (SELECT *, "date" - 1 AS eve FROM ({BARS}) b WHERE "date" = DATE '{AS_OF_FEATURES}')
+    SELECT n.code, n."date", {rates}
+    FROM n ASOF JOIN ({BARS}) p ON p.code = n.code AND n.eve >= p."date" """
+
+
 def oracle() -> dict[str, str]:
     out = _oracle()
     out["features_as_of_summary"] = out["features_as_of"]
@@ -659,16 +866,17 @@ def oracle() -> dict[str, str]:
 
 
 def _oracle() -> dict[str, str]:
-    seg_union = "\nUNION ALL\n".join(
-        f"SELECT code, name, '{s}' AS market_type FROM ({MASTER}) m WHERE market_type = '{s}'"
-        for s in SEGMENTS)
     bar_cols = 'code, "date", "open", high, low, "close", volume'
     return {
         "bars_daily": BARS,
         "master_project": MASTER,
-        "master_union_markets": seg_union,
+        "master_union_markets": f"""
+            SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name,
+                   CASE WHEN c_nationkey = 0 THEN '{SEGMENTS[-1]}' ELSE c_mktsegment END AS market_type
+            FROM customer""",
         "master_fixed_width": MASTER,
-        "quotes_parse": BARS,
+        "quotes_parse": f"""SELECT code, "date", CASE volume WHEN 0 THEN 0.0 ELSE "open" END AS "open", high, low,
+                                   "close", volume FROM ({BARS}) b""",
         "date_roundtrip": f"""SELECT code, "date", strftime("date", '%Y%m%d') AS ymd,
                                      CAST(strptime(strftime("date", '%Y%m%d'), '%Y%m%d') AS DATE) AS date_back
                               FROM ({BARS}) b""",
@@ -732,18 +940,7 @@ def _oracle() -> dict[str, str]:
             FROM b WHERE b."date" = (SELECT max(b2."date") FROM b b2
                                      WHERE b2.code = b.code AND b2."date" < DATE '{AS_OF_FEATURES}')""",
         "features_full": _features_sql(BARS),
-        "features_as_of": f"""
-            WITH sp AS ({BARS})
-            SELECT t1.code, t1."date",
-                   ((t1."open" - t2."open") / NULLIF(t2."open", 0)) * 100 AS open_change_rate,
-                   ((t1."close" - t2."close") / NULLIF(t2."close", 0)) * 100 AS close_change_rate,
-                   ((t1.high - t2.high) / NULLIF(t2.high, 0)) * 100 AS high_change_rate,
-                   ((t1.low - t2.low) / NULLIF(t2.low, 0)) * 100 AS low_change_rate,
-                   ((t1.volume - t2.volume) / NULLIF(t2.volume, 0)) * 100 AS volume_change_rate
-            FROM sp t1 JOIN sp t2 ON t1.code = t2.code
-            WHERE t1."date" = DATE '{AS_OF_FEATURES}'
-              AND t2."date" = (SELECT max("date") FROM sp WHERE "date" < DATE '{AS_OF_FEATURES}'
-                               AND code = t1.code)""",
+        "features_as_of": _features_as_of_sql(),
         "features_touched": _features_sql(_upsert_sql(BASE_BARS, CHANGE_BARS)),
         "fk_valid": f"""SELECT * FROM ({BARS}) b WHERE EXISTS (
                           SELECT 1 FROM ({MASTER}) m WHERE m.code = b.code AND m.market_type <> '{REMOVED_SEGMENT}')""",
@@ -751,7 +948,19 @@ def _oracle() -> dict[str, str]:
                           SELECT 1 FROM ({MASTER}) m WHERE m.code = b.code AND m.market_type <> '{REMOVED_SEGMENT}')""",
         "cascade_delete": f"""SELECT * FROM ({_features_sql(BARS)}) f WHERE NOT EXISTS (
                           SELECT 1 FROM ({MASTER}) m WHERE m.code = f.code AND m.market_type = '{REMOVED_SEGMENT}')""",
-        "quality_report": _quality_sql(),
+        "quality_report": _quality_sql(MASTER, BARS, _features_sql(BARS)),
+        "quality_faults": _quality_sql(*_faulty_sql()),
+        "quotes_accounting": _accounting_sql(),
+        "plan_after_failures": _plan_after_failures_sql(),
+        "job_backfill": f"""SELECT b.* FROM ({BARS}) b JOIN ({MASTER}) m ON m.code = b.code
+                            WHERE "date" > DATE '{AS_OF_BACKFILL}' - {BACKFILL_DAYS}""",
+        "job_daily_orphans": f"""
+            SELECT b.code, CASE WHEN m.market_type <> '{REMOVED_SEGMENT}' THEN 'stored' ELSE 'unknown code' END AS outcome,
+                   count(*) AS n
+            FROM ({BARS}) b LEFT JOIN ({MASTER}) m ON m.code = b.code GROUP BY 1, 2""",
+        "job_remove_codes": f"""
+            SELECT * FROM ({_features_sql(BASE_BARS)}) f WHERE code NOT IN (
+              SELECT code FROM ({MASTER}) m WHERE market_type = '{REMOVED_SEGMENT}')""",
         "run_summary": _summary_sql(),
         "collected_range": f"""SELECT code, min("date") AS first_date, max("date") AS last_date,
                                       count(*) AS n_days FROM ({BARS}) b GROUP BY code""",
@@ -768,10 +977,10 @@ def _oracle() -> dict[str, str]:
             f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)
             + ", count(*) AS total FROM customer",
         "job_sync_master": f"""
-            SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS market_type,
+            SELECT CAST(c_custkey AS VARCHAR) AS code, '고객 ' || substr(c_name, 10) AS name, c_mktsegment AS market_type,
                    TIMESTAMP '{RUN_TS}' AS created_at, TIMESTAMP '{RUN_TS}' AS updated_at
             FROM customer""",
-        "job_daily_features": _features_sql(BARS),
+        "job_daily_features": _features_sql(_daily_bars_sql()),
         "plan_gaps": _plan_gaps_sql(),
         "month_summary": f"""
             SELECT code, _bkt, "date", "open", "close", high, low, volume FROM (
