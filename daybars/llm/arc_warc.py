@@ -204,8 +204,10 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN
     firsts = (seen.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
               .agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
               .select("payload_digest", F.col("first.record_id").alias("refers_to")))
-    again = seen.select("payload_digest", "record_id").join(firsts, "payload_digest").where(
-        "record_id <> refers_to").select("record_id", "refers_to")
+    # Written first, so its size is known: while few records are revisits Spark
+    # broadcasts them, and the payloads are not shuffled.
+    again = materialize(seen.select("payload_digest", "record_id").join(firsts, "payload_digest").where(
+        "record_id <> refers_to").select("record_id", "refers_to"), "arc-again")
     full = read_arc(spark, arc).where("error IS NULL").withColumn("record_id", _record_id())
     rows = full.join(again, "record_id", "left")
     rows.select(_warc_text().alias("value")).write.options(**_GZIP).option("lineSep", "\r\n\r\n").text(warc)
