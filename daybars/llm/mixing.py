@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from daybars.llm.common import materialize
 
 BLOCK = 16
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 MAX_REPEAT = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,10 +79,14 @@ def sainte_lague(rows: DataFrame, group: list[str], key: list[str], weight: str,
     most = F.when(F.col("_off") < 0, F.least(most, F.col("_s"))).otherwise(most).cast("int")
     step = F.explode_outer(F.when(most > 0, F.sequence(F.lit(0), most - 1)))
     c = r.select("*", step.alias("_k"))
-    quotient = F.when(F.col("_off") > 0, -F.col("_w") / (2 * (F.col("_s") + F.col("_k")) + 1)).otherwise(
-        F.col("_w") / (2 * (F.col("_s") - F.col("_k")) - 1))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(
-        quotient.asc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key], "_k"))
+    # of equal quotients the first key keeps its seat, the last one loses it
+    gain = F.col("_w") / (2 * (F.col("_s") + F.col("_k")) + 1)
+    loss = F.col("_w") / (2 * (F.col("_s") - F.col("_k")) - 1)
+    gained = F.row_number().over(Window.partitionBy(*group).orderBy(
+        gain.desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key], "_k"))
+    lost = F.row_number().over(Window.partitionBy(*group).orderBy(
+        loss.asc_nulls_last(), *[F.col(k).desc_nulls_first() for k in key], "_k"))
+    rank = F.when(F.col("_off") > 0, gained).otherwise(lost)
     c = c.withColumn("_hit", (F.col("_k").isNotNull() & (rank <= F.abs("_off"))).cast("long"))
     change = c.groupBy(*rows.columns, "_s", "_off").agg(F.sum("_hit").alias("_hits"))
     return change.select(*rows.columns, (F.col("_s") + F.signum("_off").cast("long") * F.col("_hits")).alias(out))
