@@ -23,6 +23,7 @@ each scanned; an empty corpus fits no trees.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -230,6 +231,10 @@ def listed(s: Column) -> Column:
                                                              x["end"].cast("string"))), ",")
 
 
+def _is(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def _fold() -> Column:
     return F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(4))
 
@@ -238,7 +243,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = candidates(docs.select("doc_id", "text", _fold().alias("fold")))
     found = materialize(found.select("doc_id", "fold", "base", "candidates"), "pii")
     model = fit(found)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(spans(model)).alias("spans"))
 
