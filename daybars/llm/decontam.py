@@ -177,17 +177,20 @@ def cut_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     A cut runs from the first hit word of a span to its last one; what
     stands around it is joined by one blank.
     """
-    slices = ngram_slices(bench, n=n)
     out = docs
-    for s in slices:
-        @F.pandas_udf("string")
-        def cut(batches: Iterator[pd.Series], s: Broadcast = s) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([cut_text(t, s.value) for t in texts], dtype=object)
-        out = out.withColumn("text", cut(F.col("text")))
+    for grams in ngram_slices(bench, n=n):
+        out = out.withColumn("text", _cutter(grams)(F.col("text")))
     return out
 
 
+def _cutter(grams: Broadcast) -> Column:
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([cut_text(t, grams.value) for t in texts], dtype=object)
+    return cut.asNondeterministic()
+
+
 def cut_text(text: str | None, grams: NgramSet) -> str | None:
     _, spans, _ = grams.scan(text)
     if not spans:
