@@ -105,7 +105,7 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
         back[gamma["ctx"]] = gamma["back"]
         lower = np.tile(prob, CLASSES)      # the first class of the context is dropped
         prob = share + np.repeat(back, CLASSES) * lower
-    return np.log(np.maximum(prob, 1e-7)).astype(np.float16)
+    return np.log(np.maximum(prob, 1e-30)).astype(np.float16)
 
 
 def _level(counts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
