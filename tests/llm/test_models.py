@@ -1,0 +1,200 @@
+"""Quality classifier, language ID and the pipeline."""
+
+import math
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from daybars.llm import kn_quality, langid, pii, simhash_dedup
+from tests.llm.conftest import ODD, texts_of
+from tests.llm.test_scans import hits
+
+SF = "/root/testdata/sf0.01"
+
+
+# Kneser-Ney
+
+def reference_model(texts):
+    """Interpolated modified Kneser-Ney over dicts, from the definition."""
+    order, classes = kn_quality.ORDER, kn_quality.classes()
+
+    def symbols(t):
+        return [0] * (order - 1) + [int(classes[ord(c)]) for c in t] + [0]
+    counts = {order: Counter()}
+    for t in texts:
+        s = symbols(t)
+        counts[order].update(tuple(s[i:i + order]) for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        discount[k] = [min(i, max(0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+
+    contexts = {}
+    for k, c in counts.items():
+        for g, v in c.items():
+            total, held = contexts.get((k, g[:-1]), (0, 0.0))
+            contexts[k, g[:-1]] = total + v, held + discount[k][min(v, 3) - 1]
+
+    def prob(g):
+        if not g:
+            return 1 / kn_quality.CLASSES
+        k, lower = len(g), prob(g[1:])
+        if (k, g[:-1]) not in contexts:
+            return lower
+        total, held = contexts[k, g[:-1]]
+        v = counts[k].get(g, 0)
+        return (v - discount[k][min(v, 3) - 1] if v else 0) / total + held / total * lower
+
+    def perplexity(t):
+        s = symbols(t)
+        logs = [math.log(prob(tuple(s[i:i + order]))) for i in range(len(s) - order + 1)]
+        return math.exp(-sum(logs) / len(logs))
+    return perplexity
+
+
+def test_perplexity_matches_the_definition(spark, small_docs):
+    texts = [t for _, t in texts_of(small_docs) if t][:60]
+    table = kn_quality.kneser_ney(kn_quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
+    want = reference_model(texts)
+    for t in [*texts[:5], "UNSEEN!! words", "x", "\U0001f600", "中文"]:
+        assert math.isclose(kn_quality.perplexity(t, table), want(t), rel_tol=5e-3)
+
+
+def test_probabilities_add_up(spark):
+    import numpy as np
+    table = kn_quality.kneser_ney(kn_quality.count_grams(spark.createDataFrame([("abc abd abe",), ("b",)], "text string")))
+    sums = np.exp(table.astype(np.float64)).reshape(-1, kn_quality.CLASSES).sum(1)
+    assert abs(sums - 1).max() < 0.02
+
+
+def test_long_texts_are_scored_whole(spark, monkeypatch, small_docs):
+    text = " ".join(t for _, t in texts_of(small_docs) if t)[:30_000]
+    table = kn_quality.kneser_ney(kn_quality.count_grams(spark.createDataFrame([(text[:9_000],)], "text string")))
+    whole = kn_quality.perplexity(text, table)
+    monkeypatch.setattr(kn_quality, "_CHUNK", 1_000)
+    assert math.isclose(kn_quality.perplexity(text, table), whole, rel_tol=1e-9)
+
+
+def test_classifier_on_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = kn_quality.report(docs, labels)
+    assert got.count() == docs.count()
+    seen = {r["quality"]: r["kept"] for r in got.join(labels, "doc_id").where("toxic = 0").groupBy("quality").agg(
+        F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert seen[1] > 0.95 and seen[0] < 0.3
+
+
+def test_classifier_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, None), (4, None, 0), (None, 1, 0), (9, 1, 1)],
+                                   "doc_id long, quality long, toxic long")
+    for model_labels in (labels, labels.limit(0)):
+        got = kn_quality.report(odd_docs, model_labels).collect()
+        assert len(got) == len(ODD)
+        if model_labels is not labels:
+            assert all(r["keep"] and r["perplexity"] is None for r in got)
+    assert all(not r["keep"] for r in kn_quality.report(odd_docs, labels).collect() if r["perplexity"] is None)
+    wide = odd_docs.withColumn("_ppl", F.lit("x")).withColumn("_keep", F.lit(1)).withColumn("_lang", F.lit(1))
+    assert kn_quality.keep_good(wide, labels).columns == wide.columns
+    assert kn_quality.report(no_docs, labels).collect() == []
+
+
+# language ID
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.report(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+    test = [r for r in rows if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert sum(r["lang"] == r["lang_pred"] for r in test) >= 0.95 * len(test) > 0
+
+
+def test_language_odd_rows(spark, odd_docs, no_docs):
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.report(odd_docs).collect()}
+    assert {(1, "und"), (2, "und"), (5, "und")} <= got
+    assert langid.report(no_docs).collect() == []
+    blank = odd_docs.withColumn("lang", F.lit(None).cast("string")).withColumn("score", F.lit(1)).withColumn("p", F.lit(1))
+    assert {(r["lang_pred"], r["score"]) for r in langid.report(blank).collect()} == {("und", 0.0)}
+
+
+def test_prediction_ignores_its_own_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(~langid.held_out(F.col("doc_id")), F.col("lang")))
+    one, two = (sorted(map(tuple, langid.report(d).collect())) for d in (docs, hidden))
+    assert one == two
+
+
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    text = "Das ist ein Satz mit Umlauten: über Öl und Äpfel. " * 40
+    ids, counts = langid.features(text)
+    monkeypatch.setattr(langid, "_CHUNK", 97)
+    again = langid.features(text)
+    assert (ids == again[0]).all() and (counts == again[1]).all()
+
+
+# pipeline
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Input and output of every stage at a small size."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        got = corpus_pipeline.materialize(stage(spark, docs, SF), f"t-{name}")
+        out.append((name, docs, got))
+        docs = got
+    return out
+
+
+def test_pipeline_stages_do_their_work(spark, stages):
+    by = {name: (a, b) for name, a, b in stages}
+    assert [name for name, *_ in stages] == ["quality", "near_dedup", "decontaminate", "redact_pii", "mix_sources"]
+    for name, a, b in stages[:-1]:
+        assert b.columns == a.columns, name
+    a, b = by["quality"]
+    keep = {r["doc_id"] for r in kn_quality.report(a, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
+    assert {r["doc_id"] for r in b.collect()} == keep
+    a, b = by["near_dedup"]
+    from tests.llm.test_dedup import roots, simhash
+    rows = texts_of(a)
+    root = roots([simhash(t) for _, t in rows], 4)
+    least = {}
+    for d, t in rows:
+        least[root[simhash(t)]] = min(d, least.get(root[simhash(t)], d))
+    assert sorted(d for d, _ in texts_of(b)) == sorted(least.values())
+    a, b = by["decontaminate"]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    assert sorted(d for d, _ in texts_of(b)) == sorted(d for d, t in texts_of(a) if not hits(t, items)[4])
+    a, b = by["redact_pii"]
+    from tests.llm.test_scans import base_spans
+    before, after = dict(texts_of(a)), dict(texts_of(b))
+    assert before.keys() == after.keys()
+    assert all(not base_spans(t) for t in after.values())
+    assert sum(before[d] != after[d] for d in before) == sum(bool(base_spans(t)) for t in before.values())
+    a, b = by["mix_sources"]
+    assert set(a.columns) < set(b.columns) and b.where("taken <= 0 OR taken > 3 * size").isEmpty()
+
+
+def test_run_is_the_chain_of_stages(spark, stages):
+    got = sorted((r["doc_id"], r["text"], r["taken"]) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted((r["doc_id"], r["text"], r["taken"]) for r in stages[-1][2].collect())
+
+
+def test_pipeline_odd_rows(spark, odd_docs, no_docs):
+    """Every stage takes odd and empty inputs of its own."""
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd_docs, no_docs):
+            got = stage(spark, docs.withColumn("note", F.lit("kept")), SF)
+            assert {"note", *docs.columns} <= set(got.columns), name
+            got.collect()
+
+
+def test_pipeline_native_stages_without_python(spark, small_docs):
+    plan = pii.redact(small_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert simhash_dedup.drop_near_duplicates(small_docs).columns == small_docs.columns
