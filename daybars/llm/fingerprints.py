@@ -37,9 +37,8 @@ def terms(text: Column) -> Column:
     return F.split(F.lower(text), r"[\x09-\x0D\x20]+")
 
 
-def votes(term: Column) -> list[Column]:
+def votes(h: Column) -> list[Column]:
     """32 sums; sum j holds the votes of bits j (low half) and j + 32."""
-    h = F.when(term.isNotNull(), F.xxhash64(term))
     return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"v{j}") for j in range(32)]
 
 
@@ -60,9 +59,9 @@ def fingerprint(texts: DataFrame, keys: list[str], text_col: str = "text") -> Da
     ``copies`` says how many they are.
     """
     rows = texts.select(*keys, F.posexplode(terms(F.coalesce(text_col, F.lit("")))).alias("pos", "raw"))
-    rows = rows.withColumn("term", F.nullif("raw", F.lit("")))
-    sums = rows.groupBy(*keys).agg(F.count("term").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"),
-                                   *votes(F.col("term")))
+    rows = rows.select(*keys, "pos", F.when(F.col("raw") != "", F.xxhash64("raw")).alias("h64"))
+    sums = rows.groupBy(*keys).agg(F.count("h64").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"),
+                                   *votes(F.col("h64")))
     return sums.select(*keys, "copies", F.coalesce(majority(), F.lit(0).cast("long")).alias("fp"))
 
 
