@@ -3,21 +3,24 @@
 1. Strict patterns (email, ip, card, phone) with their validity checks give
    the base spans.
 2. High-recall generators propose overlapping candidates: any run around an
-   "@" and any longer run of digits with separators.
+   "@", any longer run of digits with separators, anything shaped like a
+   phone number, and anything shaped like a card number. They also see what
+   the strict patterns lose, such as a phone number with a card behind it.
 3. A candidate's format and context become a few small integers. Candidates
    are counted by feature vector over the whole corpus (the number of vectors
    is bounded by the product of the feature ranges, ``MAX_VECTORS``), labelled
    by whether a base span lies in them, and boosted trees are fitted to those
    weighted vectors.
-4. The calibrated threshold of a generator is the least score from which on
-   the candidates of the fold left out of training are right in at least
-   ``PRECISION`` of cases. Candidates above it that meet no base span become
-   spans of kind ``contact`` or ``number``; without such a threshold none do.
+4. Scores are calibrated by isotonic regression on the fold left out of
+   training. A generator's threshold is the least score whose calibrated
+   share of validated candidates is at least ``PRECISION``. Candidates above
+   it that meet no base span become spans of the generator's kind; without
+   such a threshold none do.
 
 Patterns start only at the edge of a run (or where the last match ended) and
-use possessive quantifiers, which finds the same matches in linear time.
-Null and empty texts have no spans and stay as they are; repeated rows are
-each scanned; an empty corpus fits no trees.
+use possessive or bounded quantifiers, so they take linear time. Null and
+empty texts have no spans and stay as they are; repeated rows are each
+scanned; an empty corpus fits no trees.
 """
 
 from __future__ import annotations
@@ -36,16 +39,20 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-KINDS = ("email", "ip", "card", "phone", "contact", "number")
-# generators
-AROUND_AT = r"(?<![^\s@])[^\s@]++@[^\s@]++"
-DIGITS = r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9](?:[\x20()./+-]{0,3}+[0-9]){6,40}+"
+KINDS = ("email", "ip", "card", "phone", "contact", "number", "phone_like", "card_like")
+N_BASE = 4
+# generators, in the order of the kinds after the base ones
+GENERATORS = (
+    r"(?<![^\s@])[^\s@]++@[^\s@]++",
+    r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9](?:[\x20()./+-]{0,3}+[0-9]){6,40}+(?![0-9A-Za-z])",
+    r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?![0-9])",
+    r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9])")
 CONTEXT = (r"(?i)(phone|tel|call|fax|mobile|cell)", r"(?i)(card|visa|amex|credit|debit)",
            r"(?i)(ssn|iban|account|passport|licen[cs]e)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(mail|contact)")
 BEFORE = 24
-FEATURES = {"generator": 2, "digits": 5, "gaps": 4, "plus": 2, "dots": 4, "luhn": 2, "before": 6, "domain": 2}
+FEATURES = {"generator": len(GENERATORS), "digits": 5, "gaps": 4, "plus": 2, "dots": 4, "luhn": 2, "before": 6, "domain": 2}
 MAX_VECTORS = math.prod(FEATURES.values())
-ROUNDS, RATE, PRECISION, MIN_HELD = 20, 0.3, 0.99, 50
+ROUNDS, RATE, PRECISION, MIN_HELD = 20, 0.3, 0.95, 20
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -122,25 +129,26 @@ def candidates(docs: DataFrame, text_col: str = "text", base: str = "base", out:
     text = F.col(text_col)
     has = {"@": F.coalesce(F.instr(text, "@") > 0, F.lit(False)), "+": F.coalesce(F.instr(text, "+") > 0, F.lit(False)),
            "9": F.coalesce(text.rlike("[0-9]"), F.lit(False))}
-    raw = [fresh(docs, f"_raw{k}") for k in range(6)]
-    for name, (pattern, need) in zip(raw, ((EMAIL, "@"), (IP, "9"), (CARD, "9"), (PHONE, "+"), (AROUND_AT, "@"), (DIGITS, "9")),
-                                     strict=True):
+    patterns = [*zip((EMAIL, IP, CARD, PHONE), "@99+", strict=True),
+                *zip(GENERATORS, "@9+9", strict=True)]
+    raw = [fresh(docs, f"_raw{k}") for k in range(len(patterns))]
+    for name, (pattern, need) in zip(raw, patterns, strict=True):
         docs = docs.withColumn(name, _matches(text, pattern, has[need]))
-    docs = docs.withColumn(base, F.concat(*[_spans(F.col(raw[k]), k) for k in range(4)]))
+    docs = docs.withColumn(base, F.concat(*[_spans(F.col(raw[k]), k) for k in range(N_BASE)]))
 
     def one(column: str, generator: int) -> Column:
         return F.transform(F.col(column), lambda m: F.struct(
             m["start"].alias("start"), (m["start"] + F.char_length(m["body"])).alias("end"),
             _features(text, m, generator).alias("f"),
             _meets(F.col(base), m["start"], m["start"] + F.char_length(m["body"])).alias("hit")))
-    return docs.withColumn(out, F.concat(one(raw[4], 0), one(raw[5], 1))).drop(*raw)
+    return docs.withColumn(out, F.concat(*[one(c, g) for g, c in enumerate(raw[N_BASE:])])).drop(*raw)
 
 
 @dataclass
 class Model:
     """Additive stumps of two levels; a leaf is (conditions, value)."""
     leaves: list[tuple[tuple[tuple[str, int, bool], ...], float]]
-    thresholds: dict[int, float]      # by generator; missing: select nothing
+    thresholds: dict[int, float]      # by generator; none: select nothing
 
     def score(self, f: Column) -> Column:
         total = F.lit(0.0)
@@ -172,18 +180,33 @@ def fit(found: DataFrame, column: str = "candidates") -> Model:
     pos, neg = [r["FalseTrue"] for r in rows], [r["FalseFalse"] for r in rows]
     leaves, scores = boost(vectors, pos, neg)
     limits = {}
-    for g in range(FEATURES["generator"]):
-        own = sorted(((s, r["TrueTrue"], r["TrueFalse"]) for s, v, r in zip(scores, vectors, rows, strict=True)
-                      if v["generator"] == g), reverse=True)
-        right = wrong = 0
-        for k, (s, p, n) in enumerate(own):
-            right, wrong = right + p, wrong + n
-            last = k + 1 == len(own) or own[k + 1][0] < s
-            if last and right + wrong >= MIN_HELD and right >= PRECISION * (right + wrong):
-                limits[g] = s
+    for g in range(len(GENERATORS)):
+        least = threshold([(s, r["TrueTrue"], r["TrueFalse"]) for s, v, r in zip(scores, vectors, rows, strict=True)
+                           if v["generator"] == g])
+        if least is not None:
+            limits[g] = least
     return Model(leaves, limits)
 
 
+def threshold(held: list[tuple[float, int, int]]) -> float | None:
+    """Least score that isotonic regression gives PRECISION, of (score,
+    right, wrong); pools of fewer than MIN_HELD candidates prove nothing."""
+    pools: list[list[float]] = []            # falling scores: least score, right, wrong
+    for s, right, wrong in sorted(held, reverse=True):
+        if not right + wrong:
+            continue
+        pools.append([s, right, wrong])
+        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or _share(pools[-2]) <= _share(pools[-1])):
+            s, right, wrong = pools.pop()
+            pools[-1] = [s, pools[-1][1] + right, pools[-1][2] + wrong]
+    good = [p[0] for p in pools if _share(p) >= PRECISION and p[1] + p[2] >= MIN_HELD]
+    return min(good, default=None)
+
+
+def _share(pool: list[float]) -> float:
+    return pool[1] / (pool[1] + pool[2])
+
+
 def boost(vectors: list[dict], pos: list[int], neg: list[int]) -> tuple[list, list[float]]:
     """Newton boosting of two-level trees on weighted 0/1 outcomes."""
     n, scores, leaves = len(vectors), [0.0] * len(vectors), []
@@ -221,7 +244,7 @@ def spans(model: Model, base: str = "base", column: str = "candidates") -> Colum
     if not model.thresholds:
         return F.col(base)
     extra = F.transform(F.filter(column, lambda c: model.selects(c) & ~c["hit"]), lambda c: F.struct(
-        (c["f"]["generator"] + 4).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+        (c["f"]["generator"] + N_BASE).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return F.concat(F.col(base), F.array_sort(extra))
 
 
@@ -243,7 +266,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = candidates(docs.select("doc_id", "text", _fold().alias("fold")))
     found = materialize(found.select("doc_id", "fold", "base", "candidates"), "pii")
     model = fit(found)
-    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(spans(model)).alias("spans"))
 
