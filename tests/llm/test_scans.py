@@ -174,6 +174,23 @@ def test_boosting_separates_and_adds_above_the_threshold():
         s for s, p in zip(scores, pos, strict=True) if not p)
 
 
+def test_thresholds_are_calibrated():
+    assert pii.threshold([(2.0, 300, 2), (1.0, 50, 50), (0.0, 0, 400)]) == 2.0
+    assert pii.threshold([(2.0, 30, 6), (1.0, 400, 2), (0.0, 0, 9)]) == 1.0       # pooled: 430 of 438
+    assert pii.threshold([(2.0, 5, 0)]) is None and pii.threshold([]) is None
+    assert pii.threshold([(2.0, 90, 10)]) is None
+
+
+def test_candidates_beyond_the_patterns(spark):
+    """A phone number with a card behind it is lost to both patterns; the
+    shapes are known from where they stand alone, so both are found."""
+    rows = [(i, f"see +1 (200) 555-{1000 + i} now, card 4111111111111111, order 123456{i:04d}") for i in range(400)]
+    rows.append((1000, "see +1 (605) 555-9305 4012888888881881 today"))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7] == "card:32:48,phone:4:21"        # the order number is no personal data
+    assert got[1000] == "phone_like:4:21,card_like:22:38"
+
+
 # decontamination
 
 def hits(doc, items, n=10):
