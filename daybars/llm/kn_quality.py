@@ -91,21 +91,48 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """Log probability of each n-gram's last class after the others."""
+    """Log probability of each n-gram's last class after the others.
+
+    The highest order is filled one first class at a time, so the driver
+    holds the finished table (32 MB) and pieces of 1 MB.
+    """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = materialize(levels[k + 1].groupBy((F.col("gram") % CLASSES ** k).alias("gram"))
                                 .agg(F.count("*").alias("n")), "kn-level")
-    prob = np.full(1, 1.0 / CLASSES, np.float32)
-    for k in range(1, ORDER + 1):
-        alpha, gamma = _level(levels[k])
-        share = np.zeros(CLASSES ** k, np.float32)
-        share[alpha["gram"]] = alpha["share"]
-        back = np.ones(CLASSES ** (k - 1), np.float32)
-        back[gamma["ctx"]] = gamma["back"]
-        lower = np.tile(prob, CLASSES)      # the first class of the context is dropped
-        prob = share + np.repeat(back, CLASSES) * lower
-    return np.log(np.maximum(prob, 1e-30)).astype(np.float16)
+    lower = np.full(1, 1.0 / CLASSES, np.float32)
+    for k in range(1, ORDER):
+        lower = np.concatenate(list(_probabilities(*_level(levels[k]), lower, k)))
+    table = np.empty(CLASSES ** ORDER, np.float16)
+    size = CLASSES ** (ORDER - 1)
+    for c, part in enumerate(_probabilities(*_level(levels[ORDER]), lower, ORDER)):
+        table[c * size:(c + 1) * size] = np.log(np.maximum(part, 1e-30))
+    return table
+
+
+def _probabilities(share: pd.DataFrame, back: pd.DataFrame, lower: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Interpolated probabilities of order ``k``, for each first class.
+
+    An n-gram without its first class is an n-gram of the order below, so
+    ``lower`` is the same for every first class (order 1 has no context).
+    """
+    size, contexts = CLASSES ** (k - 1), CLASSES ** max(k - 2, 0)
+    share, back = share.sort_values("gram"), back.sort_values("ctx")
+    if k == 1:
+        part = np.full(CLASSES, lower[0] * (back["back"].iloc[0] if len(back) else 1.0), np.float32)
+        part[share["gram"]] += share["share"]
+        yield part
+        return
+    grams, values = share["gram"].to_numpy(), share["share"].to_numpy(np.float32)
+    ctx, weights = back["ctx"].to_numpy(), back["back"].to_numpy(np.float32)
+    for c in range(CLASSES):
+        a, b = np.searchsorted(grams, (c * size, (c + 1) * size))
+        i, j = np.searchsorted(ctx, (c * contexts, (c + 1) * contexts))
+        weight = np.ones(contexts, np.float32)
+        weight[ctx[i:j] - c * contexts] = weights[i:j]
+        part = np.repeat(weight, CLASSES) * lower
+        part[grams[a:b] - c * size] += values[a:b]
+        yield part
 
 
 def _level(counts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
