@@ -490,8 +490,9 @@ def q_plan_after_failures(spark, d):
     A.quote_json_lines(A.quote_records(_known(spark, d), AS_OF_MODES, 1)).write.text(t["landing1"])
     job_collect(spark, t["landing1"], t["bars"])
     modes, plan, responses = _run_inputs(spark, d, AS_OF_RUN)
-    A.quote_json_lines(responses).write.text(t["landing2"])
-    job_collect(spark, t["landing2"], t["bars"], modes, plan=plan, coverage_root=t["coverage"])
+    for seq in (1, 2):          # retries land after what they repeat
+        A.quote_json_lines(responses.where(F.col("fetch_seq") == seq)).write.text(f"{t['landing2']}/{seq}")
+    job_collect(spark, f"{t['landing2']}/*", t["bars"], modes, plan=plan, coverage_root=t["coverage"])
     return job_plan(spark, t["master"], t["bars"], AS_OF_LATER, coverage_root=t["coverage"]).where(F.col("mode") == "gap")
 
 
