@@ -1,21 +1,21 @@
-"""Quality classifier: interpolated modified Kneser-Ney over characters.
+"""Quality classifier: interpolated modified Kneser-Ney over code points.
 
-The model has order 4 over 64 character classes. It is counted on trusted
-text (labelled good and not toxic): each task counts its own batches, the
-counts are summed by n-gram, lower orders are continuation counts of the next
-higher one, and each order is joined with the statistics of its contexts;
-all of this is sharded by n-gram. The class count bounds the model at 64^4
-entries whatever the corpus, so its final table (32 MB of log probabilities)
-is broadcast, and scoring a document shuffles nothing.
+``kn_model`` counts n-grams of order 4 on trusted text (labelled good and not
+toxic) and scores every document by a model of the folds it is not in, so a
+trusted document is never scored by a model that has seen it.
 
 A document is kept if its perplexity lies between two quantiles of the
-trusted documents of its language that the model was not trained on.
-Languages with fewer than ``MIN_DOCS`` such documents, and null, use the
-quantiles over all of them.
+trusted documents of its language. Languages with fewer than ``MIN_DOCS`` such
+documents, and null, use the quantiles over all of them.
 
 Without trusted text there is no model and every document is kept with null
-perplexity. With a model, null and empty texts are rejected. Repeated rows get
-the same verdict; rows without id or with a null label train nothing.
+perplexity. With trusted text in one fold only, nothing can be left out: its
+model scores every document and all with text are kept. Otherwise null and
+empty texts are rejected. Repeated rows get the same verdict; rows without id
+or with a null label train nothing.
+
+The model over 64 character classes below (``classes`` to ``perplexity``) is
+used by no query; tests hold it.
 """
 
 from __future__ import annotations
@@ -23,23 +23,21 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybars.llm import kn_model
 from daybars.llm.common import fresh, materialize
 
 CLASSES = 64
 ORDER = 4
 LOW, HIGH = 0.0005, 0.995
 MIN_DOCS = 50
-FOLDS = 4                       # one of so many is kept from training, for the quantiles
 MAX_BROADCAST_IDS = 4_000_000   # 32 MB of trusted ids; beyond, a shuffled join
 _CHUNK = 1 << 20
 
@@ -162,71 +160,57 @@ def perplexity(text: str | None, table: np.ndarray) -> float | None:
     return math.exp(-total / n)
 
 
-def scorer(table: Broadcast, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([perplexity(t, table.value) for t in texts], dtype="float64")
-    return run.asNondeterministic()(text)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Documents labelled good and not toxic, as column ``id``."""
+    ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("id")).distinct()
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-@dataclass
-class Model:
-    table: Broadcast | None
-    limits: DataFrame | None     # lang, low, high
-    low: float | None = None
-    high: float | None = None
+def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.where("text <> ''").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
-def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, lang, fold) of documents labelled good and not toxic."""
-    ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("id")).distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
-    return docs.where("text <> ''").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(
-        "text", "lang", fold.alias("fold"))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    trusted = trusted_text(docs, labels)
-    counts = materialize(count_grams(trusted.where("fold <> 0").select("text")), "kn-counts")
-    if counts.isEmpty():
-        return Model(None, None)
-    table = docs.sparkSession.sparkContext.broadcast(kneser_ney(counts))
-    held = materialize(trusted.where("fold = 0").select("lang", scorer(table, F.col("text")).alias("ppl")), "kn-held")
-    if held.isEmpty():
-        return Model(table, None, 0.0, math.inf)
-    every = held.agg(F.percentile_approx("ppl", [LOW, HIGH], 100_000)).first()[0]
-    limits = (held.where("lang IS NOT NULL").groupBy("lang")
-              .agg(F.percentile_approx("ppl", [LOW, HIGH], 100_000).alias("q"), F.count("*").alias("n"))
-              .where(F.col("n") >= MIN_DOCS).select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
-    return Model(table, materialize(limits, "kn-limits"), *every)
-
-
-def classify(docs: DataFrame, model: Model, ppl: str = "perplexity", keep: str = "keep") -> DataFrame:
-    """``docs`` with perplexity and verdict."""
-    if model.table is None:
-        return docs.withColumn(ppl, F.lit(None).cast("double")).withColumn(keep, F.lit(True))
-    low, high = F.lit(model.low), F.lit(model.high)
-    out = docs.withColumn(ppl, scorer(model.table, F.col("text")))
-    if model.limits is not None:
-        lang, lo, hi = (fresh(docs, c) for c in ("_lang", "_low", "_high"))
-        # one row per language with MIN_DOCS documents; Spark broadcasts it while it is small
-        out = out.join(model.limits.toDF(lang, lo, hi), F.col("lang") == F.col(lang), "left")
-        low, high = F.coalesce(F.col(lo), low), F.coalesce(F.col(hi), high)
-        return out.withColumn(keep, F.coalesce(F.col(ppl).between(low, high), F.lit(False))).drop(lang, lo, hi)
-    return out.withColumn(keep, F.coalesce(F.col(ppl).between(low, high), F.lit(False)))
+def scored(docs: DataFrame, ids: DataFrame, ppl: str) -> tuple[DataFrame, bool] | None:
+    """``docs`` with perplexity, and whether no document was scored by a model
+    that had seen it; None without trusted text."""
+    texts = _trusted(docs, ids).select("text", kn_model.fold_of("doc_id").alias("fold"))
+    folds = texts.select("fold").distinct().count()
+    if not folds:
+        return None
+    if folds == 1:
+        texts = texts.withColumn("fold", F.lit(-1))     # nothing is left out
+    tables = kn_model.levels(materialize(kn_model.count_grams(texts), "kn-counts"))
+    return kn_model.score(docs, tables, ppl), folds > 1
+
+
+def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with perplexity and verdict."""
+    ids = trusted_ids(labels)
+    got = scored(docs, ids, ppl)
+    if got is None:
+        return docs.select(columns).withColumn(ppl, F.lit(None).cast("double")).withColumn(keep, F.lit(True))
+    out = materialize(got[0].select(*columns, ppl), "kn-scored")
+    if not got[1]:
+        return out.withColumn(keep, F.col(ppl).isNotNull())
+    held = out.where(F.col(ppl).isNotNull()).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    quantiles = F.percentile_approx(ppl, [LOW, HIGH], 100_000)
+    every = held.agg(quantiles).first()[0]
+    lang, lo, hi = (fresh(out, c) for c in ("_lang", "_low", "_high"))
+    # one row per language; Spark broadcasts it while it is small
+    limits = (held.where("lang IS NOT NULL").groupBy(F.col("lang").alias(lang)).agg(quantiles.alias("q"), F.count("*").alias("n"))
+              .where(F.col("n") >= MIN_DOCS).select(lang, F.col("q")[0].alias(lo), F.col("q")[1].alias(hi)))
+    out = out.join(materialize(limits, "kn-limits"), F.col("lang") == F.col(lang), "left")
+    good = F.col(ppl).between(F.coalesce(F.col(lo), F.lit(every[0])), F.coalesce(F.col(hi), F.lit(every[1])))
+    return out.withColumn(keep, F.coalesce(good, F.lit(False))).drop(lang, lo, hi)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text", "lang")
-    return classify(d, train(d, labels)).select("doc_id", "lang", "perplexity", "keep")
+    return classify(d, labels, "perplexity", "keep", ["doc_id", "lang"])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
     ppl, keep = fresh(docs, "_ppl"), fresh(docs, "_keep")
-    model = train(docs.select("doc_id", "text", "lang"), labels)
-    return classify(docs, model, ppl, keep).where(F.col(keep)).select(docs.columns)
+    return classify(docs, labels, ppl, keep, docs.columns).where(F.col(keep)).select(docs.columns)

@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from daybars.llm import kn_quality, langid, pii, simhash_dedup
+from daybars.llm import kn_model, kn_quality, langid, pii, simhash_dedup
 from tests.llm.conftest import ODD, texts_of
 from tests.llm.test_scans import hits
 
@@ -104,6 +104,80 @@ def test_classifier_odd_rows(spark, odd_docs, no_docs):
     assert kn_quality.report(no_docs, labels).collect() == []
 
 
+def code_point_reference(texts):
+    """The definition over code points; 0 is the boundary."""
+    def symbols(t):
+        return [0] * 3 + [ord(c) + 1 for c in t] + [0]
+    counts = {4: Counter()}
+    for t in texts:
+        s = symbols(t)
+        counts[4].update(tuple(s[i:i + 4]) for i in range(len(s) - 3))
+    discount, contexts = {}, {}
+    for k in (4, 3, 2, 1):
+        if k < 4:
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        n = [sum(v == i for v in counts[k].values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        discount[k] = [min(i, max(0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+        for g, v in counts[k].items():
+            total, held = contexts.get((k, g[:-1]), (0, 0.0))
+            contexts[k, g[:-1]] = total + v, held + discount[k][min(v, 3) - 1]
+
+    def prob(g):
+        if not g:
+            return 1 / 0x110001
+        k, lower = len(g), prob(g[1:])
+        if (k, g[:-1]) not in contexts:
+            return lower
+        total, held = contexts[k, g[:-1]]
+        v = counts[k].get(g, 0)
+        return (v - discount[k][min(v, 3) - 1] if v else 0) / total + held / total * lower
+
+    def perplexity(t):
+        s = symbols(t)
+        logs = [math.log(prob(tuple(s[i:i + 4]))) for i in range(len(s) - 3)]
+        return math.exp(-sum(logs) / len(logs))
+    return perplexity
+
+
+CHINESE = ["天地玄黄宇宙洪荒", "日月盈昃辰宿列张",
+           "寒来暑往秋收冬藏"]
+
+
+def test_windows_do_not_depend_on_pieces(monkeypatch):
+    for text in ("a\U0001f600" * 10, "ab" * 12, "abc"):
+        (h, c), = kn_model.windows(text)
+        for size in (3, 4, 12):
+            with monkeypatch.context() as m:
+                m.setattr(kn_model, "_PIECE", size)
+                got = list(kn_model.windows(text))
+            assert [*zip(h, c)] == [x for a, b in got for x in zip(a, b)]
+
+
+def test_code_points_match_the_definition(spark):
+    texts = [f"{a}{b} {CHINESE[i % 3]}\U0001f600 Plain words, {i % 7}" for i, (a, b) in
+             enumerate((a, b) for a in CHINESE for b in CHINESE * 3)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "Unseen words \u4e2d"), (100, ""), (101, None)], "doc_id long, text string")
+    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", kn_model.fold_of("doc_id").alias("fold")).collect()}
+    trained = docs.where("text <> '' AND doc_id IS NOT NULL").select("text", kn_model.fold_of("doc_id").alias("fold"))
+    got = kn_model.score(docs, kn_model.levels(kn_model.count_grams(trained)), "ppl").collect()
+    assert len(got) == len(texts) + 3
+    for r in got:
+        want = code_point_reference([t for i, t in enumerate(texts) if fold[i] != fold[r["doc_id"]]])
+        assert r["ppl"] is None if not r["text"] else math.isclose(r["ppl"], want(r["text"]), rel_tol=1e-9)
+
+
+def test_scrambled_chinese_is_told_apart(spark):
+    import random
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(CHINESE) for _ in range(30)) for _ in range(80)]
+    bad = ["".join(rng.sample(t, len(t))) for t in texts[:20]]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts + bad)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality long, toxic long")
+    kept = {r["doc_id"]: r["keep"] for r in kn_quality.report(docs, labels).collect()}
+    assert sum(kept[i] for i in range(80)) > 75 and not any(kept[i] for i in range(80, 100))
+
+
 # language ID
 
 def test_language_held_out_accuracy(spark):
