@@ -5,8 +5,8 @@ toxic) and scores every document by a model of the folds it is not in, so a
 trusted document is never scored by a model that has seen it.
 
 A document is kept if its perplexity lies between two quantiles of the
-trusted documents of its language. Languages with fewer than ``MIN_DOCS`` such
-documents, and null, use the quantiles over all of them.
+trusted documents of its language, however few. Languages without any, and
+null, use the quantiles over the trusted documents of all languages.
 
 Without trusted text there is no model and every document is kept with null
 perplexity. With trusted text in one fold only, nothing can be left out: its
@@ -37,7 +37,6 @@ from daybars.llm.common import fresh, materialize
 CLASSES = 64
 ORDER = 4
 LOW, HIGH = 0.0005, 0.995
-MIN_DOCS = 50
 MAX_BROADCAST_IDS = 4_000_000   # 32 MB of trusted ids; beyond, a shuffled join
 _CHUNK = 1 << 20
 
@@ -198,8 +197,8 @@ def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: l
     every = held.agg(quantiles).first()[0]
     lang, lo, hi = (fresh(out, c) for c in ("_lang", "_low", "_high"))
     # one row per language; Spark broadcasts it while it is small
-    limits = (held.where("lang IS NOT NULL").groupBy(F.col("lang").alias(lang)).agg(quantiles.alias("q"), F.count("*").alias("n"))
-              .where(F.col("n") >= MIN_DOCS).select(lang, F.col("q")[0].alias(lo), F.col("q")[1].alias(hi)))
+    limits = (held.where("lang IS NOT NULL").groupBy(F.col("lang").alias(lang)).agg(quantiles.alias("q"))
+              .select(lang, F.col("q")[0].alias(lo), F.col("q")[1].alias(hi)))
     out = out.join(materialize(limits, "kn-limits"), F.col("lang") == F.col(lang), "left")
     good = F.col(ppl).between(F.coalesce(F.col(lo), F.lit(every[0])), F.coalesce(F.col(hi), F.lit(every[1])))
     return out.withColumn(keep, F.coalesce(good, F.lit(False))).drop(lang, lo, hi)

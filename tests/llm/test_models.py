@@ -178,6 +178,22 @@ def test_scrambled_chinese_is_told_apart(spark):
     assert sum(kept[i] for i in range(80)) > 75 and not any(kept[i] for i in range(80, 100))
 
 
+def test_rare_languages_have_limits_of_their_own(spark):
+    """Three trusted documents are enough; a language with none gets the limits of all."""
+    import random
+    rng = random.Random(2)
+
+    def plain():
+        return " ".join(rng.choice(["water", "stone", "river", "under", "light"]) for _ in range(20))
+    odd = ["\u0561\u0562\u0563 \u0564\u0565" * 5, "\u10d0\u10d1\u10d2 \u10d3" * 5, "\u0e01\u0e02\u0e03 \u0e04" * 5]
+    rows = [(i, plain(), "en") for i in range(800)] + [(800 + i, t, "rare") for i, t in enumerate(odd)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality long, toxic long")
+    rows += [(900, plain(), "none"), (901, "\u13a0\u13a1\u13a2 \u13a3" * 5, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["keep"] for r in kn_quality.report(docs, labels).where("doc_id >= 800").collect()}
+    assert kept == {800: True, 801: True, 802: True, 900: True, 901: False}
+
+
 # language ID
 
 def test_language_held_out_accuracy(spark):
