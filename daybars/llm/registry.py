@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from daybars.llm import (
+    ann,
     arc_warc,
     chat,
     decontam,
+    fim,
     fingerprints,
     kn_quality,
     langid,
     license_scan,
     mixing,
+    periodic,
     pii,
     simhash_dedup,
 )
@@ -84,9 +87,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(rows.unionByName(extra))
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return ann.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document."""
+    return periodic.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for fill-in-middle training, and restored."""
+    return fim.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_pii, op3_fingerprints, op4_arc_warc, op5_mixing, op6_quality,
-                            op7_langid, op8_decontamination, op9_simhash_dedup, op10_chat)
+                            op7_langid, op8_decontamination, op9_simhash_dedup, op10_chat, op11_ann,
+                            op12_periodic_runs, op13_fill_in_middle)
 } | {"pipeline": corpus_pipeline.run}
 
 _OP4 = """
@@ -148,6 +167,28 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
   formatted_chars, valid FROM g
 """
 
-ORACLES: dict[str, str] = {"op4_arc_warc": _OP4, "op8_decontamination": _OP8, "op10_chat": _OP10}
+_OP13 = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+r AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS h2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM u),
+c AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 100 THEN 'plain'
+      WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    coalesce(array_to_string(u[1:least(h1, h2)], ''), '') AS p,
+    coalesce(array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], ''), '') AS m,
+    coalesce(array_to_string(u[greatest(h1, h2) + 1:n], ''), '') AS s FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLES: dict[str, str] = {"op4_arc_warc": _OP4, "op8_decontamination": _OP8, "op10_chat": _OP10,
+                           "op13_fill_in_middle": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,136 @@
+"""Learned partitions against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from daybars.llm import ann
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def exact(ids, x, every=20, k=20):
+    """query -> [(id, score)] over ids, each as near as its nearest vector."""
+    out = {}
+    for q in sorted({i for i in ids if i % every == 0}):
+        best = {}
+        for a in (v for i, v in zip(ids, x) if i == q):
+            for i, b in zip(ids, x):
+                if i != q:
+                    s = 0.0
+                    for p, r in zip(a, b):
+                        s += float(p) * float(r)
+                    best[i] = max(best.get(i, -np.inf), s)
+        out[q] = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+def recall(got, want):
+    return sum(len({i for i, _ in got.get(q, [])} & {i for i, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = df.collect()
+    return df, exact([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
+
+
+def test_recall_and_scores(embeddings):
+    df, want = embeddings
+    got = found(ann.report(df))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert recall(got, want) >= 0.9
+    true = {(q, i): s for q, w in want.items() for i, s in w}
+    assert all(true.get((q, i), s) == s for q, v in got.items() for i, s in v)
+    assert all(v == sorted(v, key=lambda p: (-p[1], p[0])) for v in got.values())
+
+
+def test_all_parts_give_the_exact_result(embeddings):
+    df, want = embeddings
+    vectors = ann.vectors_of(df, "vec_id", "embedding")
+    router = ann.train(vectors)
+    indexed = ann.index(vectors, router)
+    assert indexed.count() == df.count() and router.parts == 8
+    assert found(ann.search(indexed, router, indexed.where("id % 20 = 0"), mass=1.1)) == want
+
+
+def test_few_parts_serve_clustered_vectors(spark):
+    """Sixteen far clusters: nearly all of a query's neighbours are in one or two parts."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((16, 32)) * 4
+    x = centres[np.arange(3000) % 16] + 0.3 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    vectors = ann.vectors_of(df, "vec_id", "embedding")
+    router = ann.train(vectors)
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    counts = np.bincount(router.part(x), minlength=router.parts)
+    wanted = ann.routes(router.probabilities(x[::20]), router.mass, counts, 20)
+    assert router.parts == 16 and (wanted @ counts).mean() < 0.3 * len(x)
+    s = x[::20] @ x.T
+    s[np.arange(150), np.arange(150) * 20] = -np.inf
+    want = {20 * q: [(int(i), 0) for i in np.argsort(-s[q])[:20]] for q in range(150)}
+    assert recall(found(ann.report(df)), want) >= 0.9
+
+
+def test_balanced_parts_keep_neighbours_together():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((8, 16))[np.arange(800) % 8] * 3 + 0.2 * rng.standard_normal((800, 16))
+    graph = ann.neighbour_rows(x.astype(np.float32), 0, 800, 10)
+    part = ann.balanced_parts(graph, x, 8)
+    assert np.bincount(part).tolist() == [100] * 8
+    assert (part[graph] == part[:, None]).mean() > 0.6
+
+
+ODD = [
+    (0, [1.0, 0.0, 2.0], 1), (20, [0.5, 0.5, 0.5], 1), (1, None, 1), (2, [], 1), (3, [0.0, 0.0, 0.0], 1),
+    (4, [1.0, None, 0.0], 1), (5, [float("nan"), 1.0, 1.0], 1), (6, [float("inf"), 1.0, 1.0], 1), (None, [1.0, 1.0, 1.0], 1),
+    (7, [3.0], 1), (8, [1.0, 1.0, 1.0, 9.0], None), (9, [1.0, 1.0, 0.0], 1), (10, [1.0, 1.0, 0.0], 1), (10, [1.0, 1.0, 0.0], 1),
+    (11, [1.0, 0.0, 0.0], 1), (11, [0.0, 1.0, 1.0], 1), (40, [-1.0, 0.0, -2.0], 1), (40, [0.0, 0.0, 3.0], 1), (60, [0.0, 0.0, 0.0], 1)]
+
+
+def test_odd_vectors_ties_and_repeated_rows(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    ok = [(i, (v + [0.0] * 4)[:4]) for i, v, _ in ODD
+          if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    want = exact([i for i, _ in ok], [v for _, v in ok])
+    assert found(ann.report(df)) == want
+    assert set(want) == {0, 20, 40}
+    clash = df.withColumn("id", F.lit(1)).withColumn("part", F.lit("a")).withColumn("vector", F.lit(2)).withColumn("row", F.lit(3))
+    assert found(ann.report(clash)) == want
+
+
+def test_hot_id_and_equal_vectors(spark):
+    """A third of all rows is one id; another third are equal vectors."""
+    rng = np.random.default_rng(1)
+    rows = [(60, [1.0, 2.0, 3.0], 0)] * 200 + [(100 + i, [0.1, 0.2, 0.2], 0) for i in range(200)]
+    rows += [(1000 + i, rng.standard_normal(3).astype(np.float32).tolist(), 0) for i in range(200)]
+    got = found(ann.report(spark.createDataFrame(rows, SCHEMA)))
+    want = exact(*zip(*sorted({(i, tuple(v)) for i, v, _ in rows})))
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) == 20 for q in want)
+    assert recall(got, want) >= 0.9
+
+
+def test_blocks_of_one_part_lose_nothing(spark, embeddings, monkeypatch):
+    df, want = embeddings
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 64 * 10)
+    vectors = ann.vectors_of(df, "vec_id", "embedding")
+    router = ann.train(vectors)
+    indexed = ann.index(vectors, router)
+    assert found(ann.search(indexed, router, indexed.where("id % 20 = 0"), mass=1.1)) == want
+
+
+def test_empty_and_single(spark):
+    assert ann.report(spark.createDataFrame([], SCHEMA)).collect() == []
+    one = spark.createDataFrame([(0, [1.0, 2.0], 1)], SCHEMA)
+    assert ann.report(one).collect() == []
+    two = spark.createDataFrame([(0, [1.0, 2.0], 1), (5, [2.0, 0.0], 1)], SCHEMA)
+    assert found(ann.report(two)) == {0: [(5, 2.0)]}

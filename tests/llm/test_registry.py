@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLES) <= set(registry.QUERIES)
     numbers = sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
