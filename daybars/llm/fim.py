@@ -25,7 +25,6 @@ read, so others may have any name.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -44,7 +43,7 @@ ORIGINAL = (PREFIX, MIDDLE, SUFFIX)
 #: A piece holds whole units and ends with the unit that reaches so many characters;
 #: a longer unit is divided.
 CHUNK = 1 << 16
-UNIT = re.compile(r"[^\n]*\n|[^\n]+")
+PARTITION_BYTES = 128 << 20
 
 REPORT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("form", T.StringType()),
@@ -153,12 +152,14 @@ def assembled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"),
                        F.col(text).alias("text")).rdd
     cut = rows.flatMap(lambda r: pieces(r[0], r[1], r[2], seed, fim, spm))
-    return cut.repartitionAndSortWithinPartitions(partitions or _partitions(docs, cut), by_row)
+    return cut.repartitionAndSortWithinPartitions(partitions or _partitions(docs, text), by_row)
 
 
-def _partitions(docs: DataFrame, cut: RDD) -> int:
-    set_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(set_, cut.getNumPartitions())
+def _partitions(docs: DataFrame, text: str) -> int:
+    """As many as the session shuffles into, more if a partition would get more
+    than PARTITION_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
