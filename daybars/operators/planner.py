@@ -120,35 +120,41 @@ def plan_mode_counts(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
                   F.sum(n_win).cast("bigint").alias("n_windows")))
 
 
+def interval_difference(wanted: DataFrame, covered: DataFrame) -> DataFrame:
+    """(code, start, end): the days of ``wanted`` that ``covered`` does not
+    hold, as maximal intervals.
+
+    Both are sets of (code, start, end), days inclusive, which may overlap,
+    touch and repeat; empty intervals (start > end) count for nothing. Every
+    interval is two signed steps; steps of one day are added up before the
+    shuffle, so repeated fetches of a hot code shrink to one row per day, and
+    running sums per code say where something is wanted and nothing covers.
+    """
+    def steps(df, w, c):
+        real = df.where(F.col("start") <= F.col("end"))
+        return (real.select("code", F.col("start").alias("day"), F.lit(w).alias("w"), F.lit(c).alias("c"))
+                    .unionByName(real.select("code", F.date_add("end", 1).alias("day"), F.lit(-w).alias("w"), F.lit(-c).alias("c"))))
+    at = (steps(wanted, 1, 0).unionByName(steps(covered, 0, 1))
+          .groupBy("code", "day").agg(F.sum("w").alias("w"), F.sum("c").alias("c")))
+    order = Window.partitionBy("code").orderBy("day")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # after the last step nothing is wanted, so every opening has its closing
+    open_ = at.select("code", "day", ((F.sum("w").over(so_far) > 0) & (F.sum("c").over(so_far) <= 0)).alias("gap"))
+    turns = (open_.select("*", F.lag("gap", 1, False).over(order).alias("before"))
+                  .where(F.col("gap") != F.col("before")))
+    return (turns.select("code", "gap", F.col("day").alias("start"), F.date_sub(F.lead("day").over(order), 1).alias("end"))
+                 .where("gap").select("code", "start", "end"))
+
+
 def gap_windows(ranges: DataFrame, coverage: DataFrame, mode: str = "gap") -> DataFrame:
     """Windows for every required day that no answered window covers.
 
-    ``ranges``: code, start, end (required days, inclusive). ``coverage``:
-    code, seg_start, seg_end (answered windows; overlaps allowed). Unlike a
-    plan from MAX(date), a window that failed inside the history is planned
-    again. Coverage is clipped to the required range first, so the running
-    window per code sees at most one row per required day.
+    ``ranges``: code, start, end (required days, inclusive; any number a code).
+    ``coverage``: code, seg_start, seg_end (answered windows). Unlike a plan
+    from MAX(date), a window that failed inside the history is planned again.
     """
-    r = ranges.select("code", "start", "end")
-    cov = (coverage.select("code", "seg_start", "seg_end").join(r, "code")
-                   .select("code", "start", "end",
-                           F.greatest("seg_start", "start").alias("s"),
-                           F.least("seg_end", "end").alias("e"))
-                   .where(F.col("s") <= F.col("e"))
-                   # one row per (code, start day): a partial aggregate that
-                   # also absorbs repeated fetches of a hot code
-                   .groupBy("code", "s").agg(F.max("e").alias("e"), F.max("start").alias("start"),
-                                             F.max("end").alias("end")))
-    before = Window.partitionBy("code").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.date_add(F.max("e").over(before), 1), F.col("start"))
-    inner = (cov.select("code", "s", reach.alias("gs"))
-                .where(F.col("s") > F.col("gs"))
-                .select("code", F.col("gs").alias("start"), F.date_sub("s", 1).alias("end")))
-    tail = (cov.groupBy("code").agg(F.max("e").alias("last"), F.max("end").alias("end"))
-               .where(F.col("last") < F.col("end"))
-               .select("code", F.date_add("last", 1).alias("start"), "end"))
-    bare = r.join(cov.select("code").distinct(), "code", "left_anti")
-    gaps = inner.unionByName(tail).unionByName(bare.select("code", "start", "end"))
+    covered = coverage.select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    gaps = interval_difference(ranges.select("code", "start", "end"), covered)
     return _windows(gaps.withColumn("mode", F.lit(mode)).select("code", "mode", "start", "end"))
 
 
@@ -163,12 +169,14 @@ def plan_gaps(master: DataFrame, coverage: DataFrame, as_of, days: int = INITIAL
 
 
 def replan_failed(plan: DataFrame, coverage: DataFrame, master: DataFrame) -> DataFrame:
-    """``plan`` and, as mode ``gap``, every window of ``coverage`` (code,
-    seg_start, seg_end, answered) that has no answer yet, for codes of
-    ``master``. A failed window that lies inside the code's new windows is
-    fetched with them and not planned twice."""
-    first = plan.groupBy("code").agg(F.min("seg_start").alias("from"))
-    failed = (coverage.where(~F.col("answered")).join(master.select("code"), "code", "left_semi")
-                      .join(first, "code", "left")
-                      .where(F.col("from").isNull() | (F.col("seg_start") < F.col("from"))))
-    return plan.unionByName(failed.select("code", F.lit("gap").alias("mode"), F.lit(0).alias("i"), "seg_start", "seg_end"))
+    """``plan`` and, as mode ``gap``, every day of a failed window that no
+    answered window and no window of ``plan`` holds, for codes of ``master``.
+
+    ``coverage`` is (code, seg_start, seg_end, answered). Days that failed
+    several times are planned once; days answered since, by whatever window,
+    are not planned again.
+    """
+    asked = coverage.join(master.select("code"), "code", "left_semi")
+    failed = asked.where(~F.col("answered")).select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    held = asked.where("answered").select("code", "seg_start", "seg_end").unionByName(plan.select("code", "seg_start", "seg_end"))
+    return plan.unionByName(gap_windows(failed, held).select(*plan.columns))

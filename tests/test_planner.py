@@ -115,3 +115,61 @@ def test_gap_plan_replans_failed_windows(spark):
                                   ("x", D(2025, 12, 2), D(2025, 12, 3))], "code string, seg_start date, seg_end date")
     w2 = windows(plan_gaps(master, cov2, AS_OF, days=14))
     assert w2["x"] == [(D(2025, 12, 1), D(2025, 12, 1))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interval_difference_day_by_day(spark, seed):
+    from daybars.operators.planner import interval_difference
+
+    rnd = random.Random(seed)
+    day = lambda k: D(2025, 1, 1) + dt.timedelta(days=k)                    # noqa: E731
+
+    def intervals(n):
+        out = []
+        for _ in range(n):
+            a = rnd.randint(0, 40)
+            out.append((rnd.choice("abcd"), day(a), day(a + rnd.randint(-2, 9))))
+        return out + out[:2]
+    wanted, covered = intervals(14), intervals(10)
+    kind = "code string, start date, end date"
+    got = interval_difference(spark.createDataFrame(wanted, kind), spark.createDataFrame(covered, kind)).collect()
+
+    def days(rows):
+        return {(c, a + dt.timedelta(days=k)) for c, a, b in rows for k in range((b - a).days + 1)}
+    found = [(r["code"], r["start"], r["end"]) for r in got]
+    assert days(found) == days(wanted) - days(covered)
+    assert sum((b - a).days + 1 for _, a, b in found) == len(days(found))      # disjoint
+    assert not {(c, b + dt.timedelta(days=1)) for c, _, b in found} & days(found)   # maximal
+    empty = spark.createDataFrame([], kind)
+    assert interval_difference(empty, empty).collect() == []
+
+
+def test_answered_days_are_not_planned_again(spark):
+    """A code that failed on successive days, whose windows overlap."""
+    from daybars.operators.planner import replan_failed
+    from daybars.schemas import COVERAGE
+
+    d = lambda k: D(2025, 5, k)                                             # noqa: E731
+    master = spark.createDataFrame([("a",), ("b",)], "code string")
+    plan = plan_incremental(master, spark.createDataFrame([(c, d(9), 1.0, 1.0, 1.0, 1.0, 1) for c in "ab"], BARS), d(10))
+
+    def gaps(*outcomes):
+        cov = spark.createDataFrame([(c, d(s), d(e), ok, 0) for c, s, e, ok in outcomes], COVERAGE)
+        return sorted((r["code"], r["seg_start"].day, r["seg_end"].day)
+                      for r in replan_failed(plan, cov, master).where("mode = 'gap'").collect())
+    assert gaps(("a", 1, 1, False), ("a", 1, 2, False), ("a", 1, 5, True)) == []
+    assert gaps(("a", 1, 1, False), ("a", 1, 2, False), ("a", 1, 3, False)) == [("a", 1, 3)]
+    assert gaps(("a", 1, 6, False), ("a", 3, 4, True), ("b", 1, 2, False), ("zz", 1, 2, False)) == [
+        ("a", 1, 2), ("a", 5, 6), ("b", 1, 2)]
+    assert gaps(("a", 8, 10, False)) == [("a", 8, 9)]                       # the plan asks for the 10th
+
+
+def test_failed_stretch_of_many_days_is_cut_into_windows(spark):
+    from daybars.operators.planner import replan_failed
+    from daybars.schemas import COVERAGE
+
+    master = spark.createDataFrame([("a",)], "code string")
+    plan = plan_incremental(master, spark.createDataFrame([("a", AS_OF, 1.0, 1.0, 1.0, 1.0, 1)], BARS), AS_OF)
+    cov = spark.createDataFrame([("a", D(2025, 1, 1), D(2025, 4, 10), False, 0), ("a", D(2025, 3, 1), D(2025, 6, 8), False, 0)], COVERAGE)
+    got = windows(replan_failed(plan, cov, master))["a"]
+    assert got == [(D(2025, 3, 1), D(2025, 6, 8)), (D(2025, 1, 1), D(2025, 2, 28))]
