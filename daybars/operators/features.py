@@ -232,18 +232,75 @@ def replace_months(features: DataFrame, months: DataFrame, fresh: DataFrame) ->
     return kept.unionByName(fresh.select(*features.columns))
 
 
+def changed_since(changes: DataFrame) -> DataFrame:
+    """(code, since): the first changed day of every changed code, written to
+    the shared folder: its size is then known, so Spark broadcasts it wherever
+    it is small."""
+    from daybars.session import scratch_dir
+
+    spark = changes.sparkSession
+    path = scratch_dir(spark, "since")
+    changes.where("code IS NOT NULL").groupBy("code").agg(F.min("date").alias("since")).write.parquet(path)
+    return spark.read.schema("code string, since date").parquet(path)
+
+
+def features_since(bars: DataFrame, since: DataFrame) -> DataFrame:
+    """Features of the given codes from their day ``since`` on.
+
+    Only those days are exchanged, once, for the window. Of everything before
+    them a partial aggregate leaves each code's last bar, which stands in the
+    window to be the first day's previous row.
+    """
+    b = bars.select("code", "date", *BAR_VALUES).join(since, "code")
+    early = F.col("date") < F.col("since")
+    seeds = b.where(early).groupBy("code").agg(*[F.max_by(c, "date").alias(c) for c in ("date", *BAR_VALUES)])
+    rows = (b.where(~early).select("code", "date", *BAR_VALUES, F.lit(True).alias("_wanted"))
+             .unionByName(seeds.withColumn("_wanted", F.lit(False))))
+    p = with_previous(rows).where(F.col("_wanted") & F.col("prev_close").isNotNull())
+    return p.select("code", "date", *_rates())
+
+
 def features_touched(features: DataFrame, bars: DataFrame, changes: DataFrame,
                      summary: DataFrame | None = None) -> DataFrame:
     """Refresh ``features`` after ``changes`` were merged into ``bars``.
 
-    Recomputes only the touched months (see :func:`touched_months`): every
-    old feature row of a touched month is replaced by the recomputed month
-    (bars are only added or replaced, never deleted, so no row disappears),
-    and rows of other months are kept. The result equals a full rebuild. A
-    daily catch-up touches one or two months per code however long the
-    history is; the month set is small, so both joins against it can be
-    broadcast at run time and the large tables are never shuffled whole.
-    A month ``summary`` of the merged bars replaces their per-month scan.
+    Bars are only added or replaced, so a change can alter features of its
+    code from its day on and no others. Those are computed anew
+    (:func:`features_since`); all others are kept, by a comparison with the
+    code's first changed day and without an exchange while the changed codes
+    can be broadcast. The result equals a full rebuild. With a month ``summary``
+    of the merged bars only the touched months are (see :func:`touched_months`),
+    and their previous bars come from the summary.
+    """
+    if summary is not None:
+        months, fresh, _ = touched_refresh(bars, changes, summary=summary)
+        return replace_months(features, months, fresh)
+    since = changed_since(changes)
+    kept = (features.join(since, "code", "left")
+                    .where(F.col("since").isNull() | (F.col("date") < F.col("since"))))
+    return kept.select(*features.columns).unionByName(features_since(bars, since).select(*features.columns))
+
+
+def bars_before(probes: DataFrame, bars: DataFrame, inclusive: bool = False) -> DataFrame:
+    """Every row of ``probes`` (code, date and any other columns) with its
+    code's latest bar before that date (``inclusive``: on or before), as
+    ``prev_date`` and ``prev_<value>``; NULL where there is none. Null codes
+    and dates meet no bar.
+
+    An as-of join against a table of dates: bars and the distinct probed days are
+    one union, exchanged and sorted once by (code, date), in which the last
+    bar is carried forward. A code has one row per day on either side however often
+    it is probed; repeated probes meet their day in an equi-join, which AQE
+    splits where one code is hot.
     """
-    months, fresh, _ = touched_refresh(bars, changes, summary=summary)
-    return replace_months(features, months, fresh)
+    none = [F.lit(None).cast(bars.schema[c].dataType).alias(f"prev_{c}") for c in ("date", *BAR_VALUES)]
+    days = probes.select("code", "date").where("code IS NOT NULL AND date IS NOT NULL").distinct()
+    # at equal dates a probe comes before the bar, inclusive after it
+    place = 0 if inclusive else 1
+    both = (bars.select("code", "date", F.lit(place).alias("_bar"), *[F.col(c).alias(f"prev_{c}") for c in ("date", *BAR_VALUES)])
+                .unionByName(days.select("code", "date", F.lit(1 - place).alias("_bar"), *none)))
+    so_far = Window.partitionBy("code").orderBy("date", "_bar").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.select("code", "date", "_bar", F.last("prev_date", ignorenulls=True).over(so_far).alias("prev_date"),
+                        *[F.last(F.when(F.col("_bar") == place, F.struct(f"prev_{c}")), ignorenulls=True).over(so_far)[f"prev_{c}"].alias(f"prev_{c}")
+                          for c in BAR_VALUES])
+    return probes.join(found.where(F.col("_bar") == 1 - place).drop("_bar"), ["code", "date"], "left")

@@ -14,21 +14,36 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_PRIMITIVE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType,
+              T.TimestampType, T.TimestampNTZType)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order) -> DataFrame:
     """One row per key: the one with the greatest ``order`` (later wins).
 
-    ``order`` is a column name or Column (use a struct for tie-breaking); a
-    row without order loses to any other and wins only if it is alone.
-    ``max_by`` aggregates partially before the shuffle, so a key holding a
-    third of all rows is reduced map-side; ``dropDuplicates`` would not be
-    deterministic.
+    ``order`` is a column name or Column; a row without order loses to any
+    other and wins only if it is alone. ``max_by`` aggregates partially before
+    the shuffle, so a key holding a third of all rows is reduced map-side;
+    ``dropDuplicates`` would not be deterministic.
+
+    Where the order and all values are fixed-width (see
+    ``sources.quotes.ranked`` for a bigint arrival order), each column has a
+    ``max_by`` of its own and the plan is a hash aggregate; all pick the same row, as
+    they see the same orders. Texts and structs need one ``max_by`` over a struct, which
+    sorts.
     """
     keys = list(keys)
     order_col = F.col(order) if isinstance(order, str) else order
-    order_col = F.struct(order_col.isNotNull().alias("known"), order_col.alias("order"))
     vals = [c for c in df.columns if c not in keys]
+    kinds = [df.select(order_col.alias("o")).schema[0].dataType, *(df.schema[c].dataType for c in vals)]
+    if all(isinstance(k, _PRIMITIVE) for k in kinds):
+        known = F.max(order_col).isNotNull()
+        return df.groupBy(*keys).agg(*[
+            F.when(known, F.max_by(c, order_col)).otherwise(F.first(c)).alias(c) for c in vals])
+    order_col = F.struct(order_col.isNotNull().alias("known"), order_col.alias("order"))
     return (df.groupBy(*keys)
               .agg(F.max_by(F.struct(*vals), order_col).alias("_row"))
               .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in vals]))
