@@ -74,8 +74,8 @@ def main():
     # month-partitioned production tables and one day's delivery (the last
     # day's bars, re-priced) for the daily merge + feature refresh path
     bars_root, feats_root, sum_root = f"{scratch}/t_bars", f"{scratch}/t_features", f"{scratch}/t_summary"
-    v0 = write_months(li_bars, bars_root, changed_months(li_bars), sort_by=["code", "date"])
-    write_summary(spark, bars_root, sum_root, changed_months(li_bars), v0, BARS)
+    write_months(li_bars, bars_root, changed_months(li_bars), sort_by=["code", "date"])
+    write_summary(spark, bars_root, sum_root, changed_months(li_bars), BARS)
     write_months(features_full(li_bars), feats_root, changed_months(li_bars), sort_by=["code", "date"])
     day = (li_bars.where(F.col("date") == F.lit(li_max)).withColumn("close", F.col("close") * 1.02))
     day.write.parquet(f"{scratch}/day")
@@ -103,9 +103,8 @@ def main():
         # the production daily path: merge the delivery into its months,
         # update their summary, refresh the touched feature months
         months = changed_months(day)
-        v = merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"],
-                         months=months)
-        write_summary(spark, bars_root, sum_root, months, v, BARS)
+        merge_months(spark, bars_root, day, ["code", "date"], BARS, sort_by=["code", "date"], months=months)
+        write_summary(spark, bars_root, sum_root, months, BARS)
         refresh_feature_months(spark, feats_root, read_months(spark, bars_root, BARS), day, FEATURES,
                                bars_root=bars_root, bars_schema=BARS,
                                summary=read_summary(spark, bars_root, sum_root, BARS))

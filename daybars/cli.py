@@ -2,7 +2,8 @@
 
 Tables live under one root on shared storage: ``<root>/master``,
 ``<root>/bars``, ``<root>/features``, ``<root>/summary``, ``<root>/coverage``,
-``<root>/quarantine``. ``plan``, ``search`` and ``collected`` write their
+``<root>/latest``, ``<root>/names``, ``<root>/checks``, ``<root>/quarantine``; what
+was read of a landing is known under ``<root>/landings``. ``plan``, ``search`` and ``collected`` write their
 whole result as JSON lines to ``--out``, from the executors, and print the
 number of rows; the other commands print a result of a few rows.
 """
@@ -13,11 +14,18 @@ import argparse
 import datetime as dt
 import json
 import sys
+import zlib
 
 
 def _tables(root: str) -> dict:
     r = root.rstrip("/")
-    return {k: f"{r}/{k}" for k in ("master", "bars", "features", "summary", "coverage", "quarantine")}
+    return {k: f"{r}/{k}" for k in ("master", "bars", "features", "summary", "coverage", "latest", "names", "checks", "landings",
+                                   "quarantine")}
+
+
+def _landing(t: dict, landing: str) -> str:
+    """Where the file source keeps what it has read of this landing."""
+    return f"{t['landings']}/{zlib.crc32(landing.rstrip('/').encode()):08x}"
 
 
 def _print(df) -> None:
@@ -49,12 +57,14 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--as-of", required=True)
     s.add_argument("--days", type=int, default=None, help="full backfill of N days instead")
     s.add_argument("--out", required=True, help="folder for the windows (JSON lines)")
+    s.add_argument("--record", action="store_true", help="keep the windows in the coverage as not answered yet")
 
     s = sub.add_parser("daily", help="collect landed quotes and refresh features")
     s.add_argument("--as-of", required=True)
     s.add_argument("--landing", required=True)
     s.add_argument("--as-of-only", action="store_true", help="refresh only bars dated as-of")
     s.add_argument("--run-id", default=None)
+    s.add_argument("--whole-landing", action="store_true", help="read files again that earlier runs have read")
 
     sub.add_parser("rebuild-features", help="recompute every feature row")
 
@@ -78,8 +88,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--every", default=None, help="keep running on this schedule")
 
-    s = sub.add_parser("expire", help="delete table versions no longer reachable")
-    s.add_argument("--keep", type=int, default=2)
+    sub.add_parser("checks", help="constraint counts of all writes so far")
     return p
 
 
@@ -90,7 +99,6 @@ def main(argv=None, spark=None) -> int:
     from daybars.plans import jobs
     from daybars.schemas import MARKETS
     from daybars.session import get_session
-    from daybars.sources.tables import expire_versions
     from daybars.streaming.catchup import start_catchup
 
     a = build_parser().parse_args(argv)
@@ -102,18 +110,22 @@ def main(argv=None, spark=None) -> int:
         run_ts = (dt.datetime.fromisoformat(a.run_ts) if a.run_ts
                   else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         _print(jobs.job_sync_master(spark, sources, t["master"], run_ts, zipped=a.zipped,
-                                    quarantine_root=t["quarantine"], run_id=a.run_id, members=members))
+                                    quarantine_root=t["quarantine"], run_id=a.run_id, members=members,
+                                    names_root=t["names"]))
     elif a.cmd == "plan":
         _write(jobs.job_plan(spark, t["master"], t["bars"], a.as_of, a.days,
-                             summary_root=t["summary"], coverage_root=t["coverage"]), a.out)
+                             coverage_root=t["coverage"], latest_root=t["latest"], record=a.record), a.out)
     elif a.cmd == "daily":
         _print(jobs.job_daily(spark, a.as_of, t["master"], t["bars"], t["features"], a.landing,
                               quarantine_root=t["quarantine"], as_of_only=a.as_of_only,
-                              run_id=a.run_id, summary_root=t["summary"], coverage_root=t["coverage"]))
+                              run_id=a.run_id, summary_root=t["summary"], coverage_root=t["coverage"],
+                              latest_root=t["latest"], checks_root=t["checks"],
+                              landing_checkpoint=None if a.whole_landing else _landing(t, a.landing)))
     elif a.cmd == "rebuild-features":
-        print(json.dumps({"features_version": jobs.job_features_full(spark, t["bars"], t["features"])}))
+        jobs.job_features_full(spark, t["bars"], t["features"])
+        print(json.dumps({"rebuilt": True}))
     elif a.cmd == "search":
-        _write(jobs.job_search(spark, t["master"], t["bars"], a.name, a.case_sensitive), a.out)
+        _write(jobs.job_search(spark, t["master"], t["bars"], a.name, a.case_sensitive, t["names"]), a.out)
     elif a.cmd == "collected":
         _write(jobs.job_collected(spark, t["bars"]), a.out)
     elif a.cmd == "counts":
@@ -122,20 +134,19 @@ def main(argv=None, spark=None) -> int:
         _print(jobs.job_quality(spark, t["master"], t["bars"], t["features"], a.markets or MARKETS))
     elif a.cmd == "remove":
         codes = spark.read.text(a.codes).select(utrim(F.col("value")).alias("code")).where("code <> ''")
-        jobs.job_remove_codes(spark, codes, t["master"], t["bars"], t["features"], t["summary"], t["coverage"])
+        jobs.job_remove_codes(spark, codes, t["master"], t["bars"], t["features"], t["summary"], t["coverage"],
+                              t["latest"], t["names"])
         print(json.dumps({"removed": True}))
     elif a.cmd == "catchup":
         q = start_catchup(spark, a.landing, t["bars"], a.checkpoint, features_root=t["features"],
                           quarantine_root=t["quarantine"], summary_root=t["summary"], every=a.every,
-                          master_root=t["master"])
+                          master_root=t["master"], coverage_root=t["coverage"], latest_root=t["latest"],
+                          checks_root=t["checks"])
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
-    elif a.cmd == "expire":
-        deleted = []
-        for name in ("master", "bars", "features", "summary", "coverage"):
-            deleted += expire_versions(spark, t[name], a.keep)
-        print(json.dumps({"deleted": len(deleted)}))
+    elif a.cmd == "checks":
+        _print(jobs.job_checks(spark, t["checks"]))
     return 0
 
 

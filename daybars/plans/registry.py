@@ -775,18 +775,18 @@ def _summary_sql() -> str:
 
 
 def _plan_after_failures_sql() -> str:
+    from daybars.plans.registry_incremental import gaps_sql
+
     a, later = AS_OF_RUN, AS_OF_LATER
     return f"""
     WITH {_run_sql()},
-    now AS (
-      SELECT r.code, r.seg, r.start, coalesce(greatest(r.latest, max(g."date")) + 1, DATE '{later}' - 499) AS due
-      FROM r LEFT JOIN got g ON g.code = r.code GROUP BY r.code, r.seg, r.start, r.latest),
-    asked AS (
-      SELECT now.*, i, greatest(DATE '{a}' - CAST(i * 100 + 99 AS INTEGER), start) AS seg_start,
-             DATE '{a}' - CAST(i * 100 AS INTEGER) AS seg_end
-      FROM now, range(0, 5) w(i) WHERE DATE '{a}' - CAST(i * 100 AS INTEGER) >= start)
-    SELECT code, 'gap' AS mode, 0 AS i, seg_start, seg_end FROM asked
-    WHERE seg_start < due AND (seg IN ('BUILDING', 'HOUSEHOLD') OR (seg = 'AUTOMOBILE' AND i = 1))"""
+    """ + gaps_sql(f"""
+      SELECT code, greatest(DATE '{a}' - CAST(i * 100 + 99 AS INTEGER), start) AS seg_start,
+             DATE '{a}' - CAST(i * 100 AS INTEGER) AS seg_end,
+             seg IN ('BUILDING', 'HOUSEHOLD') OR (seg = 'AUTOMOBILE' AND i = 1) AS failed
+      FROM r, range(0, 5) w(i) WHERE DATE '{a}' - CAST(i * 100 AS INTEGER) >= start""", f"""
+      SELECT r.code, coalesce(greatest(r.latest, max(g."date")) + 1, DATE '{later}' - 499) AS due
+      FROM r LEFT JOIN got g ON g.code = r.code GROUP BY r.code, r.latest""")
 
 
 def _accounting_sql() -> str:

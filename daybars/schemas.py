@@ -12,6 +12,21 @@ MASTER = T.StructType([
     T.StructField("updated_at", T.TimestampNTZType(), True),
 ])
 
+# name index: one row per code in the order of the lookup collation, name_key
+# numbers its blocks; NAME_BLOCKS has the range of names of each
+NAMES = T.StructType([
+    T.StructField("name_key", T.LongType(), True),
+    T.StructField("code", T.StringType(), True),
+    T.StructField("name", T.StringType(), True),
+    T.StructField("market_type", T.StringType(), True),
+])
+
+NAME_BLOCKS = T.StructType([
+    T.StructField("name_key", T.LongType(), True),
+    T.StructField("first", T.StringType(), True),
+    T.StructField("last", T.StringType(), True),
+])
+
 # bars: one row per (code, date)
 BARS = T.StructType([
     T.StructField("code", T.StringType(), False),

@@ -4,6 +4,5 @@ from daybars.sources.master_text import (  # noqa: F401
 )
 from daybars.sources.quotes import parse_quotes, read_quotes, split_quotes  # noqa: F401
 from daybars.sources.tables import (  # noqa: F401
-    current_version, expire_versions, merge_months, read_months, read_table,
-    refresh_feature_months, write_bars, write_months, write_table,
+    merge_latest, merge_months, read_months, read_table, refresh_feature_months, write_months, write_table,
 )

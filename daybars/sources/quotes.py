@@ -13,7 +13,7 @@ window is kept). Numbers parse leniently (bad text -> 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,10 +104,9 @@ def quarantine_of(parsed: DataFrame) -> DataFrame:
 def answers_of(parsed: DataFrame) -> DataFrame:
     """The last answer of every (code, window): ``rejected`` and ``n_bars``,
     the bars that could be read (a window of bad dates has none)."""
-    one = F.struct("seq.arrival", "seq.file", "seq.fetch_seq")
+    one = F.col("response") if "response" in parsed.columns else F.struct("seq.arrival", "seq.file", "seq.fetch_seq")
     refused = F.col("reason").isNotNull() & F.col("reason").startswith("rejected")
-    per = (parsed.where("code IS NOT NULL").withColumn("response", one)
-                 .groupBy("code", "window_start", "window_end", "response")
+    per = (parsed.where("code IS NOT NULL").groupBy("code", "window_start", "window_end", one.alias("response"))
                  .agg(F.bool_or(refused).alias("rejected"),
                       F.count_if(F.col("reason").isNull() & F.col("date").isNotNull()).alias("n_bars")))
     last = per.groupBy("code", "window_start", "window_end").agg(
@@ -128,12 +127,46 @@ def parse_quotes(raw: DataFrame) -> DataFrame:
     return bars_of(parse_responses(raw))
 
 
-def stage(parsed: DataFrame) -> DataFrame:
+def ranked(parsed: DataFrame) -> DataFrame:
+    """:func:`parse_responses` with ``seq`` as one bigint of the same order, so
+    that keep-last is a hash aggregate and no path is shuffled with a row.
+
+    From the top: rank of the file by (time, path), fetch order, position in the
+    array, each as wide as the data at hand need. Pass staged elements; they
+    are read once more for the widths. The files (one row each) are ranked apart and joined
+    back by size. Where the widths exceed 62 bits ``seq`` stays as it is.
+    """
+    arrival = F.coalesce(F.col("seq.arrival"), F.lit(0).cast("timestamp"))
+    file = F.coalesce(F.col("seq.file"), F.lit(""))
+    files = parsed.select(arrival.alias("_t"), file.alias("_f")).distinct()
+    widest = parsed.agg(F.min("seq.fetch_seq").alias("low"), F.max("seq.fetch_seq").alias("high"),
+                        F.max("seq.pos").alias("pos")).first()
+    if widest["low"] is None:
+        return parsed.withColumns({"seq": F.lit(0).cast("bigint"), "response": F.lit(0).cast("bigint")})
+    pos_bits = (widest["pos"] + 1).bit_length()
+    low_bits = pos_bits + (widest["high"] - widest["low"]).bit_length()
+    # written, so that its size is known and it is broadcast while small
+    numbered = _written(files.withColumn("_rank", F.row_number().over(Window.orderBy("_t", "_f")).cast("bigint")), "files")
+    if low_bits + numbered.count().bit_length() > 62:
+        return parsed
+    packed = (F.shiftleft("_rank", low_bits) + F.shiftleft(F.col("seq.fetch_seq") - F.lit(widest["low"]), pos_bits)
+              + F.col("seq.pos") + 1)
+    joined = parsed.withColumns({"_t": arrival, "_f": file}).join(numbered, ["_t", "_f"])
+    return joined.select(*[c for c in parsed.columns if c != "seq"], packed.alias("seq"),
+                         F.shiftright(packed, pos_bits).alias("response"))
+
+
+def stage(parsed: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Parsed elements as Parquet in the shared folder: the landing is read
-    once, later steps prune columns and skip row groups."""
+    once, later steps prune columns and skip row groups. ``spark`` is the
+    session that reads them (a streamed batch has one of its own)."""
+    return _written(parsed, "landing", spark)
+
+
+def _written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     from daybars.session import scratch_dir
 
-    spark = parsed.sparkSession
-    path = scratch_dir(spark, "landing")
-    parsed.write.parquet(path)
-    return spark.read.schema(parsed.schema).parquet(path)
+    spark = spark or df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

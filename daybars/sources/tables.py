@@ -1,206 +1,86 @@
-"""Versioned Parquet tables: the sink of every keyed write.
-
-Survey rows: S3 S4 S6 S7 S8 O1.
-
-Plain Parquet cannot ``MERGE``, and overwriting a path that the same plan
-reads destroys the input. So each write goes to a folder of its own,
-``<root>/data/<uuid>``, and becomes visible by one manifest,
-``<root>/_log/<version>.json``, that names every folder of the table at that
-version. A manifest is published whole and exclusively: of two writers that
-want the same number one gets it, the other looks at what changed and either
-adds its part on top (other months) or fails with :class:`Conflict` (same
-months), on which the merge runs again from the new base. A killed job
-leaves a folder that no manifest names.
-
-Two layouts:
-
-* whole tables (:func:`write_table` / :func:`read_table`), for the master;
-* month-partitioned tables (:func:`write_months` / :func:`read_months` /
-  :func:`merge_months`) for bars, features, summary and coverage. A commit
-  rewrites only its months; the manifest says where every month now is, so a
-  read costs one small file however many versions there are.
-
-All metadata goes through the Hadoop FileSystem of the path; only names of
-months reach the driver.
+"""Stored tables: Parquet folders that keyed merges rewrite in parts.
+
+Survey rows: S3 S4 S6 S7 S8 O1 J6 Q1-Q5 (checks at write).
+
+A table is a folder partitioned by one column: by ``month`` (bars, features,
+summary, coverage) or, for tables of one row per code (master, latest bars),
+by a constant ``part``. A write replaces whole partitions with Spark's dynamic
+partition overwrite: tasks write beside the table, and the driver puts the finished
+partitions in place at the end. So a plan may read the partitions that it
+replaces, lost executors only repeat tasks, and a job that fails changes nothing.
+Rows reach a table through :func:`merge_months` or :func:`merge_table`, which
+are idempotent: a run that died is run again.
+
+One writer a table at a time; a reader at work while a partition is replaced may
+have to start again. Where a table format is at hand, its ``MERGE INTO`` takes the
+same change sets and lifts both limits.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import json
-import os
-import time
 import uuid
-from collections.abc import Callable, Iterable, Sequence
-from urllib.parse import unquote, urlparse
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_MONTH = "month"
-_ATTEMPTS = 20
-GRACE_HOURS = 24.0
-
-
-class Conflict(RuntimeError):
-    """Another commit changed what this one was built on."""
+_MONTH, _PART = "month", "part"
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-# ------------------------------------------------------------- manifests
-def _log(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/_log/{version:010d}.json"
 
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-def _publish(spark: SparkSession, path: str, text: str) -> bool:
-    """Make ``path`` appear with its whole text, unless it exists already.
-
-    A finished temporary file gets the name without overwriting: a hard link
-    on a local file system, a rename that refuses an existing target
-    elsewhere (atomic on HDFS).
-    """
-    fs, p, jvm = _fs(spark, path)
-    tmp = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
-    _write_text(spark, tmp, text)
-    tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
-    try:
-        if fs.getScheme() == "file":
-            try:
-                os.link(_local(tmp), _local(path))
-            except FileExistsError:
-                return False
-            return True
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(tmp_path, p, none)
-        except Exception:
-            if fs.exists(p):
-                return False
-            raise
-        return True
-    finally:
-        fs.delete(tmp_path, False)
-
-
-def _local(path: str) -> str:
-    u = urlparse(path)
-    return unquote(u.path) if u.scheme == "file" else path
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The newest version: a hint file, then one look per newer number."""
-    hint = _read_text(spark, f"{root.rstrip('/')}/_log/_latest")
-    v = int(hint) if hint else 0
-    fs, _, jvm = _fs(spark, root)
-    while fs.exists(jvm.org.apache.hadoop.fs.Path(_log(root, v + 1))):
-        v += 1
-    return v or None
-
-
-def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
-    """What the table consists of at a version (default: the newest)."""
-    v = current_version(spark, root) if version is None else version
-    if v is None:
-        return {"version": 0, "months": {}}
-    text = _read_text(spark, _log(root, v))
-    if text is None:
-        raise LookupError(f"{root} has no version {v}")
-    return json.loads(text)
-
-
-def _commit(spark: SparkSession, root: str, build: Callable[[dict], dict]) -> int:
-    """Publish ``build(newest manifest)`` as the next version."""
-    for _ in range(_ATTEMPTS):
-        base = manifest(spark, root)
-        v = base["version"] + 1
-        if _publish(spark, _log(root, v), json.dumps(build(base) | {"version": v})):
-            _write_text(spark, f"{root.rstrip('/')}/_log/_latest", str(v))
-            return v
-    raise Conflict(f"{root}: no free version after {_ATTEMPTS} attempts")
-
-
-def committed_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p, jvm = _fs(spark, f"{root.rstrip('/')}/_log")
+def _partitions(spark: SparkSession, root: str, column: str) -> list[str]:
+    fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-
-def _new_folder(root: str) -> str:
-    return f"data/{uuid.uuid4().hex}"
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(column + "="))
 
 
-def _at(root: str, folder: str) -> str:
-    return f"{root.rstrip('/')}/{folder}"
+def _read(spark: SparkSession, root: str, schema: StructType, column: str, values: Iterable[str] | None) -> DataFrame:
+    have = _partitions(spark, root, column)
+    want = have if values is None else sorted(set(have) & set(values))
+    if not want:
+        return spark.createDataFrame([], schema)
+    if values is None:
+        return spark.read.schema(schema).parquet(root).select(*schema.fieldNames())
+    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{column}={v}" for v in want])
 
 
-def retry_on_conflict(work: Callable[[], object], attempts: int = 5):
-    """Run ``work`` again from the new base when another commit got ahead."""
-    for k in range(attempts):
-        try:
-            return work()
-        except Conflict:
-            if k == attempts - 1:
-                raise
+def _replace(out: DataFrame, root: str, column: str, values: Sequence[str]) -> None:
+    """``out`` (with ``column``) becomes the whole content of these partitions;
+    those it has no rows for go."""
+    spark = out.sparkSession
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    writer = out.observe(seen, F.collect_set(column).alias("filled")).write.mode("overwrite")
+    if "code" in out.columns:
+        writer = writer.option("parquet.bloom.filter.enabled#code", "true").option("parquet.bloom.filter.expected.ndv#code", "20000")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(root)
+    filled = set(seen.get["filled"] or [])
+    for v in set(values) & set(_partitions(spark, root, column)) - filled:
+        fs, p = _fs(spark, f"{root.rstrip('/')}/{column}={v}")
+        fs.delete(p, True)
 
 
-# ------------------------------------------------------------ whole-table
-def read_table(spark: SparkSession, root: str, schema: StructType,
-               version: int | None = None) -> DataFrame:
-    """The current (or a given) version; an empty frame when none exists."""
-    folder = manifest(spark, root, version).get("table")
-    if folder is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_at(root, folder))
+# ------------------------------------------------------------ whole tables
+def read_table(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The table; an empty frame when there is none."""
+    return _read(spark, root, schema, _PART, None)
 
 
-def write_table(df: DataFrame, root: str, sort_by=None, base: int | None = None) -> int:
-    """Write ``df`` as the next version of ``root``; returns the version.
+def write_table(df: DataFrame, root: str, sort_by: Sequence[str] | None = None) -> None:
+    """``df`` as the whole table; it may be built on the table itself.
 
-    ``base`` is the version ``df`` was built on (0 for none): if another one
-    was committed since, :class:`Conflict` is raised and nothing changes.
     ``sort_by`` clusters rows inside each file, so Parquet min/max statistics
     skip row groups on key predicates.
     """
-    spark = df.sparkSession
-    folder = _new_folder(root)
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    out.write.mode("errorifexists").parquet(_at(root, folder))
-
-    def build(newest: dict) -> dict:
-        if base is not None and newest["version"] != base:
-            raise Conflict(f"{root}: built on version {base}, now {newest['version']}")
-        return {"table": folder, "months": {}}
-    return _commit(spark, root, build)
+    _replace(out.withColumn(_PART, F.lit("all")), root, _PART, ["all"])
 
 
 # ------------------------------------------------------- month-partitioned
@@ -212,63 +92,34 @@ def _keys(months: Iterable) -> list[str]:
     return sorted({m if isinstance(m, str) else month_key(m) for m in months})
 
 
-def month_files(spark: SparkSession, root: str, version: int | None = None) -> dict:
-    """``{month: (version, path | None)}``: where every month is and which
-    version wrote it; path None marks a month rewritten as empty."""
-    return {m: (v, None if folder is None else _at(root, f"{folder}/{_MONTH}={m}"))
-            for m, (v, folder, _) in manifest(spark, root, version)["months"].items()}
-
-
-def read_months(spark: SparkSession, root: str, schema: StructType,
-                months: Iterable | None = None, version: int | None = None) -> DataFrame:
-    """The table (or only ``months``: dates or 'YYYY-MM' keys) as of the
-    newest (or a given) version. Unlisted months are pruned before any file
-    is opened."""
-    files = month_files(spark, root, version)
-    if months is not None:
-        want = set(_keys(months))
-        files = {m: f for m, f in files.items() if m in want}
-    paths = sorted(p for _, p in files.values() if p is not None)
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
+def stored_months(spark: SparkSession, root: str) -> list[str]:
+    """'YYYY-MM' of every month that has rows."""
+    return _partitions(spark, root, _MONTH)
+
+
+def read_months(spark: SparkSession, root: str, schema: StructType, months: Iterable | None = None) -> DataFrame:
+    """The table, or only ``months`` (dates or 'YYYY-MM' keys): other months
+    are pruned before any file is opened."""
+    return _read(spark, root, schema, _MONTH, None if months is None else _keys(months))
 
 
 def write_months(df: DataFrame, root: str, months: Iterable, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None, base: int | None = None,
-                 cluster: bool = True, source: dict | None = None) -> int:
+                 sort_by: Sequence[str] | None = None, cluster: bool = True) -> None:
     """Write ``df`` as the new content of ``months`` (every row of ``df``
-    must fall in one of them); months without rows become empty. Returns the
-    version.
+    must fall in one of them); months without rows become empty. ``df`` may be
+    built on those months of the table.
 
-    base      the version ``df`` was built on (0 for none). If one of the
-              months was committed anew since, :class:`Conflict` is raised;
-              other writers' other months are kept.
     cluster   deal rows out by range of (month, first sort column), so a
               month's files hold disjoint ranges of codes; it samples ``df``.
               Otherwise by month, small months packed together (REBALANCE).
-    source    per month, the version of the table it was derived from.
+
+    Parquet bloom filters on ``code`` let a search skip the row groups whose
+    range holds its code by chance.
     """
-    spark = df.sparkSession
-    months = _keys(months)
-    folder = _new_folder(root)
     out = df.withColumn(_MONTH, F.date_format(F.col(date_col), "yyyy-MM"))
     out = out.repartitionByRange(_MONTH, *(sort_by or [])[:1]) if cluster else out.hint("rebalance", _MONTH)
     out = out.sortWithinPartitions(_MONTH, *(sort_by or []))
-    out.write.mode("errorifexists").partitionBy(_MONTH).parquet(_at(root, folder))
-    fs, p, _ = _fs(spark, _at(root, folder))
-    filled = {st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
-              if st.isDirectory() and st.getPath().getName().startswith(_MONTH + "=")}
-
-    def build(newest: dict) -> dict:
-        if base is not None:
-            moved = [m for m in months if newest["months"].get(m, [0])[0] > base]
-            if moved:
-                raise Conflict(f"{root}: {', '.join(moved[:3])} changed after version {base}")
-        v = newest["version"] + 1
-        mine = {m: [v, folder if m in filled else None, (source or {}).get(m)] for m in months}
-        return {"months": newest["months"] | mine}
-    return _commit(spark, root, build)
+    _replace(out, root, _MONTH, _keys(months))
 
 
 def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]:
@@ -281,63 +132,96 @@ def changed_months(changes: DataFrame, date_col: str = "date") -> list[_dt.date]
 
 def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Sequence[str],
                  schema: StructType, date_col: str = "date",
-                 sort_by: Sequence[str] | None = None, months: Iterable | None = None) -> int:
+                 sort_by: Sequence[str] | None = None, months: Iterable | None = None) -> None:
     """Keyed upsert of ``changes`` into a month-partitioned table, rewriting
     only the months the changes fall in (``months`` when the caller already
-    knows them). Pass a materialised change set (it is read more than once).
-    Runs again from the new base if another writer changed those months."""
+    knows them). Pass a materialised change set (it is read more than once)."""
     from daybars.operators.keyed import upsert
 
     months = changed_months(changes, date_col) if months is None else list(months)
-
-    def work() -> int:
-        base = current_version(spark, root) or 0
-        old = read_months(spark, root, schema, months, version=base or None)
-        merged = upsert(old, changes.select(*schema.fieldNames()), keys)
-        return write_months(merged, root, months, date_col, sort_by, base=base)
-    return retry_on_conflict(work)
+    if months:
+        old = read_months(spark, root, schema, months)
+        write_months(upsert(old, changes.select(*schema.fieldNames()), keys), root, months, date_col, sort_by)
 
 
 def delete_keys(spark: SparkSession, root: str, schema: StructType, removed: DataFrame, key: str = "code",
-                date_col: str = "date", sort_by: Sequence[str] | None = None) -> int | None:
+                date_col: str = "date", sort_by: Sequence[str] | None = None,
+                where: DataFrame | None = None) -> list[_dt.date]:
     """Rows whose ``key`` is in ``removed`` go; only months that hold such
-    rows are rewritten. Returns the version, None when there was none."""
+    rows are rewritten, and returned. ``where`` (key, date column) says in which months
+    they are, if a smaller table knows; otherwise the keys are scanned."""
     from daybars.operators.keyed import cascade_delete
 
-    def work() -> int | None:
-        base = current_version(spark, root)
-        if base is None:
-            return None
-        rows = read_months(spark, root, schema, version=base)
-        months = changed_months(rows.join(removed.select(key), key, "left_semi"), date_col)
-        if not months:
-            return None
-        left = cascade_delete(read_months(spark, root, schema, months, version=base), removed, key)
-        source = {m: s for m, (_, _, s) in manifest(spark, root, base)["months"].items()}
-        return write_months(left.select(*schema.fieldNames()), root, months, date_col, sort_by, base=base, source=source)
-    return retry_on_conflict(work)
+    rows = read_months(spark, root, schema).select(key, date_col) if where is None else where
+    months = changed_months(rows.join(removed.select(key), key, "left_semi"), date_col)
+    if months:
+        left = cascade_delete(read_months(spark, root, schema, months), removed, key)
+        write_months(left.select(*schema.fieldNames()), root, months, date_col, sort_by)
+    return months
+
+
+# ----------------------------------------------------------- checks at write
+class BrokenConstraint(ValueError):
+    """A change set breaks a constraint of its table; nothing was written."""
 
 
-def write_bars(bars: DataFrame, root: str) -> int:
-    """Whole bars table as a new version, clustered by (code, date)."""
-    return write_table(bars, root, sort_by=["code", "date"])
+def checks_of(schema: StructType, lengths: dict | None = None, domain: tuple | None = None) -> dict[str, Column]:
+    """Counts of rows that break a constraint: NOT NULL of the schema, length
+    limits and a domain (column, values)."""
+    out = {f"null_{f.name}": F.count_if(F.col(f.name).isNull()) for f in schema.fields if not f.nullable}
+    out |= {f"len_{c}": F.count_if(F.length(c) > n) for c, n in (lengths or {}).items() if c in schema.fieldNames()}
+    if domain:
+        out[f"domain_{domain[0]}"] = F.count_if(~F.col(domain[0]).isin(*domain[1]))
+    return out
+
 
+def materialised(df: DataFrame, tbl: str, checks: dict[str, Column] | None = None,
+                 checks_root: str | None = None, run_id: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, with its constraints counted by the
+    write itself.
 
+    Its plan is cut and its size known. The counts are appended to
+    ``checks_root`` as rows (tbl, check_name, n_bad, n_rows, run); any that
+    is not zero raises :class:`BrokenConstraint`. Checked change sets merged into a
+    table that meets its constraints leave one that does, so the table need not be
+    scanned.
+    """
+    from daybars.session import scratch_dir
+
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, tbl)
+    if not checks:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation(f"checks-{uuid.uuid4().hex}")
+    rows = F.count(F.lit(1)).alias("n_rows")
+    df.observe(seen, rows, *[c.alias(k) for k, c in checks.items()]).write.parquet(path)
+    found = seen.get
+    if checks_root is not None:
+        report = [(tbl, k, int(found[k]), int(found["n_rows"]), run_id or "") for k in checks]
+        (spark.createDataFrame(report, "tbl string, check_name string, n_bad bigint, n_rows bigint, run string")
+              .coalesce(1).write.mode("append").parquet(checks_root))
+    bad = {k: found[k] for k in checks if found[k]}
+    if bad:
+        raise BrokenConstraint(f"{tbl}: " + ", ".join(f"{k}: {n}" for k, n in bad.items()))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# ------------------------------------------------------------------ features
 def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFrame,
                            changes: DataFrame, schema: StructType,
                            bars_root: str | None = None,
                            bars_schema: StructType | None = None,
-                           summary: DataFrame | None = None) -> int | None:
+                           summary: DataFrame | None = None) -> list | None:
     """Refresh a month-partitioned features table after ``changes`` were
     merged into ``bars``: only the months holding a touched (code, month)
-    are rewritten. Returns the version, or None when nothing was touched.
+    are rewritten. Returns them, or None when nothing was touched.
 
     The touched pairs and their seed rows (small: proportional to the change
     set) are materialised once in the checkpoint folder; listing their months
     and recomputing them then reuse it. With ``bars_root`` the recomputed rows
     are read from the touched months only.
     """
-    from daybars.operators.features import _BKT, replace_months, touched_refresh
+    from daybars.operators.features import replace_months, touched_refresh
     from daybars.session import checkpoint_dir
 
     checkpoint_dir(spark)
@@ -345,120 +229,52 @@ def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFr
     if bars_root is not None:
         def month_rows(ms):
             return read_months(spark, bars_root, bars_schema, ms)
+    months, fresh, ms = touched_refresh(bars, changes, materialise=True, month_rows=month_rows, summary=summary)
+    if not ms:
+        return None
+    old = read_months(spark, features_root, schema, ms)
+    write_months(replace_months(old, months, fresh), features_root, ms, sort_by=["code", "date"])
+    return ms
 
-    def work() -> int | None:
-        base = current_version(spark, features_root) or 0
-        months, fresh, ms = touched_refresh(bars, changes, materialise=True, month_rows=month_rows,
-                                            summary=summary)
-        if not ms:
-            return None
-        old = read_months(spark, features_root, schema, ms, version=base or None)
-        return write_months(replace_months(old, months, fresh), features_root, ms,
-                            sort_by=["code", "date"], base=base)
-    return retry_on_conflict(work)
-
-
-def expire_versions(spark: SparkSession, root: str, keep: int = 2, grace_hours: float = GRACE_HOURS) -> list[str]:
-    """Delete what the newest ``keep`` versions no longer reach; returns the
-    deleted paths.
-
-    Folders that an expired manifest names and no kept one does go at once.
-    A folder that no manifest names is either a dead attempt or a writer
-    still at work; it goes only when nothing was put into it for
-    ``grace_hours``. Keep at least as many versions as commits may happen
-    while a reader is at work.
-    """
-    if keep < 1:
-        raise ValueError("keep must be >= 1")
-    versions = committed_versions(spark, root)
-    if not versions:
-        return []
-    kept, gone = versions[-keep:], versions[:-keep]
-    named = {v: _folders(manifest(spark, root, v)) for v in versions}
-    reached = set().union(*(named[v] for v in kept))
-    expired = set().union(*(named[v] for v in gone)) - reached if gone else set()
-    fs, p, jvm = _fs(spark, _at(root, "data"))
-    deleted = []
-    oldest = (time.time() - grace_hours * 3600) * 1000
-    # a fresh look after the folders: what was published meanwhile is kept
-    listed = list(fs.listStatus(p)) if fs.exists(p) else []
-    for v in committed_versions(spark, root):
-        if v not in named:
-            reached |= _folders(manifest(spark, root, v))
-    for st in listed:
-        folder = f"data/{st.getPath().getName()}"
-        if folder in reached:
-            continue
-        if folder in expired or _last_change(fs, st) < oldest:
-            fs.delete(st.getPath(), True)
-            deleted.append(_at(root, folder))
-    for v in gone:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(_log(root, v)), False)
-        deleted.append(_log(root, v))
-    return deleted
-
-
-def _folders(m: dict) -> set[str]:
-    return {f for f in [m.get("table"), *(x[1] for x in m["months"].values())] if f}
-
-
-def _last_change(fs, status) -> float:
-    """Newest modification under a folder (a writer's files keep it young)."""
-    newest, files = status.getModificationTime(), fs.listFiles(status.getPath(), True)
-    while files.hasNext():
-        newest = max(newest, files.next().getModificationTime())
-    return newest
-
-
-# ----------------------------------------------------- month summary table
+
+# --------------------------------------------- one row per month, one per code
 def write_summary(spark: SparkSession, bars_root: str, summary_root: str, months: Iterable,
-                  version: int, bars_schema: StructType) -> int:
-    """Summarise the given months of bars version ``version`` (one row per
-    (code, month): its last bar); the manifest says which version of the
-    bars each month came from."""
+                  bars_schema: StructType) -> None:
+    """Summarise the given months of the bars: one row per (code, month), its
+    last bar."""
     from daybars.operators.features import month_summary
 
-    bars = read_months(spark, bars_root, bars_schema, months, version=version)
-    source = {m: v for m, (v, _) in month_files(spark, bars_root, version).items()}
-    return write_months(month_summary(bars), summary_root, months, date_col="_bkt",
-                        sort_by=["code"], cluster=False, source=source)
-
-
-def summary_sources(spark: SparkSession, bars_root: str, summary_root: str):
-    """``(stored, stale)``: summary paths valid for the current bars, and bar
-    month paths whose summary is missing or built from an older version."""
-    have = manifest(spark, summary_root)["months"]
-    stored, stale = [], []
-    for m, (v, path) in sorted(month_files(spark, bars_root).items()):
-        if path is None:
-            continue
-        _, folder, source = have.get(m, (None, None, None))
-        if source != v:
-            stale.append(path)
-        elif folder is not None:
-            stored.append(_at(summary_root, f"{folder}/{_MONTH}={m}"))
-    return stored, stale
-
-
-def read_summary(spark: SparkSession, bars_root: str, summary_root: str,
-                 bars_schema: StructType) -> DataFrame:
-    """The month summary of the current bars, self-healing: a month's stored
-    summary is used only when it was built from the bars version that is
-    current for that month; other months (a crash between the bars write
-    and the summary write, or no summary yet) are summarised from the bars
-    on the fly. Reads about one row per (code, month) instead of the history.
-    """
+    bars = read_months(spark, bars_root, bars_schema, months)
+    write_months(month_summary(bars), summary_root, months, date_col="_bkt", sort_by=["code"], cluster=False)
+
+
+def read_summary(spark: SparkSession, bars_root: str, summary_root: str, bars_schema: StructType) -> DataFrame:
+    """The month summary: about one row per (code, month) instead of the
+    history. Months of bars that have no summary yet are summarised on the fly."""
     from daybars.operators.features import SUMMARY, month_summary
 
-    stored, stale = summary_sources(spark, bars_root, summary_root)
-    parts = []
-    if stored:
-        parts.append(spark.read.schema(SUMMARY).parquet(*stored))
-    if stale:
-        parts.append(month_summary(spark.read.schema(bars_schema).parquet(*stale)))
-    if not parts:
-        return spark.createDataFrame([], SUMMARY)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stored = read_months(spark, summary_root, SUMMARY)
+    missing = set(stored_months(spark, bars_root)) - set(stored_months(spark, summary_root))
+    if not missing:
+        return stored
+    return stored.unionByName(month_summary(read_months(spark, bars_root, bars_schema, missing)))
+
+
+def merge_latest(spark: SparkSession, latest_root: str, changes: DataFrame, schema: StructType) -> None:
+    """Take a change set of bars into the table of every code's latest bar: a
+    change replaces a bar of its own day and any older one."""
+    from daybars.operators.aggregates import latest_bar
+
+    place = F.datediff("date", F.lit(_dt.date(1970, 1, 1))) * 2
+    old = read_table(spark, latest_root, schema).withColumn("_place", place)
+    new = latest_bar(changes).select(*schema.fieldNames()).withColumn("_place", place + 1)
+    vals = [c for c in schema.fieldNames() if c != "code"]
+    merged = old.unionByName(new).groupBy("code").agg(*[F.max_by(c, "_place").alias(c) for c in vals])
+    write_table(merged.select(*schema.fieldNames()), latest_root, sort_by=["code"])
+
+
+def rebuild_latest(spark: SparkSession, bars_root: str, latest_root: str, schema: StructType) -> None:
+    """The latest-bar table from all bars."""
+    from daybars.operators.aggregates import latest_bar
+
+    write_table(latest_bar(read_months(spark, bars_root, schema)).select(*schema.fieldNames()), latest_root, sort_by=["code"])

@@ -9,10 +9,14 @@ features of the touched codes are refreshed. Late or corrected bars simply
 overwrite by key.
 
 Fault tolerance: ``foreachBatch`` may re-run a batch after a failure. The
-batch body is idempotent (``upsert(upsert(b, c), c) == upsert(b, c)``), its
-quarantine folder is named after the stream and the batch, and a version
-becomes visible by one manifest, so a retried or half-finished batch never
-corrupts the tables. Old versions are expired as the stream goes.
+batch body is idempotent (``upsert(upsert(b, c), c) == upsert(b, c)``), and its
+quarantine folder is named after the stream and the batch, so a retried batch
+gives the same tables.
+
+Coverage: every answer that comes by says whether its window was answered or
+rejected, and that is merged into the coverage. Windows that a plan recorded
+there (``job_plan(..., record=True)``) and that no answer ever meets stay open.
+Either kind is planned again.
 """
 
 from __future__ import annotations
@@ -21,30 +25,30 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybars.plans.jobs import store
+from daybars.plans.jobs import answered_windows, merge_coverage, store
 from daybars.schemas import BARS, FEATURES
 from daybars.session import checkpoint_dir
-from daybars.sources.quotes import parse_responses, quote_stream, stage
-from daybars.sources.tables import (
-    expire_versions, read_months, read_summary, refresh_feature_months,
-)
+from daybars.sources.quotes import answers_of, parse_responses, quote_stream, ranked, stage
+from daybars.sources.tables import read_months, read_summary, refresh_feature_months
 
 MAX_FILES = 1_000       # per micro-batch, so a first load comes in bounded pieces
-EXPIRE_EVERY = 20       # batches
-KEEP_VERSIONS = 50
 
 
 def make_batch_writer(bars_root: str, features_root: str | None = None,
                       quarantine_root: str | None = None, summary_root: str | None = None,
-                      master_root: str | None = None, stream: str = "stream"):
+                      master_root: str | None = None, stream: str = "stream", coverage_root: str | None = None,
+                      latest_root: str | None = None, checks_root: str | None = None):
     """The ``foreachBatch`` body: parse -> keep_last -> upsert -> refresh."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         checkpoint_dir(spark)
-        parsed = stage(parse_responses(batch))
+        parsed = ranked(stage(parse_responses(batch)))
         # one folder per stream and batch, overwritten on retry: no duplicates
-        changes = store(spark, parsed, bars_root, quarantine_root, f"{stream}-{epoch_id}", summary_root, master_root)
+        changes = store(spark, parsed, bars_root, quarantine_root, f"{stream}-{epoch_id}", summary_root, master_root,
+                        latest_root, checks_root)
+        if coverage_root is not None:
+            merge_coverage(spark, coverage_root, answered_windows(answers_of(parsed)))
         if changes.isEmpty():
             return
         if features_root is not None:
@@ -52,10 +56,6 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
             refresh_feature_months(spark, features_root, read_months(spark, bars_root, BARS),
                                    changes, FEATURES, bars_root=bars_root, bars_schema=BARS,
                                    summary=msum)
-        if epoch_id % EXPIRE_EVERY == EXPIRE_EVERY - 1:
-            for root in (bars_root, features_root, summary_root):
-                if root is not None:
-                    expire_versions(spark, root, KEEP_VERSIONS)
 
     return run
 
@@ -63,7 +63,8 @@ def make_batch_writer(bars_root: str, features_root: str | None = None,
 def start_catchup(spark: SparkSession, landing: str, bars_root: str, checkpoint: str,
                   features_root: str | None = None, quarantine_root: str | None = None,
                   max_files: int | None = MAX_FILES, summary_root: str | None = None,
-                  every: str | None = None, multiline: bool = False, master_root: str | None = None):
+                  every: str | None = None, multiline: bool = False, master_root: str | None = None,
+                  coverage_root: str | None = None, latest_root: str | None = None, checks_root: str | None = None):
     """Process everything landed so far, then stop (``availableNow``); or,
     with ``every`` (e.g. ``"10 minutes"``), keep running and pick up new
     files on that schedule. ``checkpoint`` must be on shared storage: it
@@ -73,7 +74,8 @@ def start_catchup(spark: SparkSession, landing: str, bars_root: str, checkpoint:
     name = f"stream-{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
     w = (quote_stream(spark, landing, max_files, multiline)
          .writeStream
-         .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root, master_root, name))
+         .foreachBatch(make_batch_writer(bars_root, features_root, quarantine_root, summary_root, master_root, name,
+                                        coverage_root, latest_root, checks_root))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()

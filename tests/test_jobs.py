@@ -1,4 +1,4 @@
-"""End to end over versioned tables: master sync from CP949 files, plan,
+"""End to end over stored tables: master sync from CP949 files, plan,
 landed quotes, collection with late corrections, feature refresh, search."""
 
 import datetime as dt
@@ -110,7 +110,7 @@ def test_daily_as_of_only_with_summary(spark, tmp_dir):
 
 def test_features_rebuild_replace_and_keep_unmatched(spark, tmp_dir):
     from daybars.adapters import bars_from_lineitem
-    from daybars.sources.tables import changed_months, month_files, write_months
+    from daybars.sources.tables import changed_months, stored_months, write_months
 
     bars = bars_from_lineitem(load(spark, SF_SMALL, "lineitem"))
     write_months(bars, f"{tmp_dir}/bars", changed_months(bars), sort_by=["code", "date"])
@@ -119,9 +119,8 @@ def test_features_rebuild_replace_and_keep_unmatched(spark, tmp_dir):
     job_features_full(spark, f"{tmp_dir}/bars", f"{tmp_dir}/f")
     got = read_months(spark, f"{tmp_dir}/f", FEATURES)
     assert rows(got) == rows(features_full(bars))               # replaced
-    fs_counts = []
-    for m, (_, path) in month_files(spark, f"{tmp_dir}/f").items():
-        fs_counts.append(len([x for x in os.listdir(path.replace("file:", "")) if x.startswith("part-")]))
+    fs_counts = [len([x for x in os.listdir(f"{tmp_dir}/f/month={m}") if x.startswith("part-")])
+                 for m in stored_months(spark, f"{tmp_dir}/f")]
     assert max(fs_counts) <= 2
     # a month whose bars are gone loses its features
     write_months(bars.limit(0), f"{tmp_dir}/bars", ["1996-03"])
@@ -212,3 +211,101 @@ def test_collect_reads_the_landing_once(spark, tmp_dir, monkeypatch):
                              summary_root=f"{tmp_dir}/s")
     assert summary.first()["total"] == 150
     assert len(calls) == 1 and ticks.value == quote_records(bars, "2024-01-30", 1).count()
+
+
+def test_second_run_reads_no_json(spark, tmp_dir):
+    """With a landing checkpoint every file is read once in its life."""
+    from daybars.operators.planner import plan_incremental, plan_modes
+    from tests.test_plans import executed
+
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    master = spark.createDataFrame([(str(c), f"n{c}", "KOSPI", None, None) for c in range(150)], MASTER)
+    modes, plan = plan_modes(master, bars.limit(0), "2024-01-30"), plan_incremental(master, bars.limit(0), "2024-01-30")
+    early = bars.where("date < '2024-01-20'")
+    args = dict(summary_root=f"{tmp_dir}/s", coverage_root=f"{tmp_dir}/cov", landing_checkpoint=f"{tmp_dir}/ck", plan=plan)
+    quote_json_lines(quote_records(early, "2024-01-30", 1)).write.text(f"{tmp_dir}/l/1")
+    changes, summary = job_collect(spark, f"{tmp_dir}/l/*", f"{tmp_dir}/b", modes, **args)
+    assert rows(changes) == rows(early.select(*changes.columns)) and summary.first()["total"] == 150
+    got = []
+    read, _ = executed(spark, lambda: got.append(job_collect(spark, f"{tmp_dir}/l/*", f"{tmp_dir}/b", **args)))
+    assert got[0][0].count() == 0 and rows(read_months(spark, f"{tmp_dir}/b", BARS)) == rows(early)
+    quote_json_lines(quote_records(bars, "2024-01-30", 2)).write.text(f"{tmp_dir}/l/2")
+    changes, _ = job_collect(spark, f"{tmp_dir}/l/*", f"{tmp_dir}/b", **args)
+    assert rows(changes) == rows(bars.select(*changes.columns))
+    assert rows(read_months(spark, f"{tmp_dir}/b", BARS)) == rows(bars)
+
+
+def test_a_dead_run_is_given_its_files_again(spark, tmp_dir, monkeypatch):
+    from daybars.plans import jobs
+
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    quote_json_lines(quote_records(bars, "2024-01-30", 1)).write.text(f"{tmp_dir}/l")
+    real = jobs.store
+    monkeypatch.setattr(jobs, "store", lambda *a: 1 / 0)
+    args = (spark, f"{tmp_dir}/l", f"{tmp_dir}/b")
+    try:
+        job_collect(*args, landing_checkpoint=f"{tmp_dir}/ck")
+        raise AssertionError("the run should have died")
+    except Exception as e:
+        assert "division" in str(e)
+    monkeypatch.setattr(jobs, "store", real)
+    changes, _ = job_collect(*args, landing_checkpoint=f"{tmp_dir}/ck")
+    assert rows(changes) == rows(bars.select(*changes.columns))
+
+
+def test_plan_reads_one_row_a_code(spark, tmp_dir):
+    """The plan from the latest-bar table equals the plan from all bars."""
+    from daybars.sources.tables import write_table
+    from tests.test_plans import executed
+
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    master = spark.createDataFrame([(str(c), f"n{c}", "KOSPI", None, None) for c in range(150)], MASTER)
+    write_table(master, f"{tmp_dir}/m")
+    for k, part in enumerate((bars.where("date < '2024-01-20'"), bars.where("date >= '2024-01-15'"))):
+        quote_json_lines(quote_records(part, "2024-01-30", k)).write.text(f"{tmp_dir}/l{k}")
+        job_collect(spark, f"{tmp_dir}/l{k}", f"{tmp_dir}/b", latest_root=f"{tmp_dir}/latest")
+    want = rows(job_plan(spark, f"{tmp_dir}/m", f"{tmp_dir}/b", "2024-06-01"))
+    got = []
+    read, _ = executed(spark, lambda: got.append(rows(job_plan(spark, f"{tmp_dir}/m", f"{tmp_dir}/b", "2024-06-01",
+                                                              latest_root=f"{tmp_dir}/latest"))))
+    assert got[0] == want
+    assert read == 150 + bars.select("code").distinct().count()
+
+
+def test_search_reads_a_few_row_groups(spark, tmp_dir):
+    from daybars.operators.lookup import find_code, find_indexed, name_blocks, name_index
+    from daybars.plans.jobs import job_index_names
+    from daybars.schemas import NAMES
+    from daybars.sources.tables import changed_months, write_months, write_table
+    from tests.test_plans import executed
+
+    names = ["Alpha Corp", "ALPHA corp  ", "Café", "cafe", "삼성전자", "Straße", " lead", "lead", "ﬁn", "fin"] + ["Same Name"] * 8 + [f"n{i}" for i in range(500)]
+    master = spark.createDataFrame([(f"{i:04d}", n, "KOSPI", None, None) for i, n in enumerate(names)], MASTER)
+    write_table(master, f"{tmp_dir}/m", sort_by=["code"])
+    job_index_names(spark, f"{tmp_dir}/m", f"{tmp_dir}/names")
+    index = read_table(spark, f"{tmp_dir}/names", NAMES)
+    small = name_index(read_table(spark, f"{tmp_dir}/m", MASTER), per_block=3)      # equal names fill several blocks
+    master = master.coalesce(1).cache()
+    for names_table in (index, small):
+        names_table = names_table.coalesce(1).cache()
+        blocks = name_blocks(names_table).coalesce(1).cache()
+        for n, exact in [("alpha CORP", False), ("Alpha Corp", True), ("CAFÉ", False), ("strasse", False), ("fin", False), ("lead", False),
+                         ("삼성전자", True), ("same name", False), ("none", False), ("N7 ", False)]:
+            assert rows(find_indexed(names_table, blocks, n, exact)) == rows(find_code(master, n, exact))
+    plan = find_indexed(index, name_blocks(index), "n7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(name_key," in plan
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    code = F.lpad("code", 4, "0")
+    wanted = names[int(bars.agg(F.max(F.col("code").cast("int"))).first()[0])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_months(bars.withColumn("code", code), f"{tmp_dir}/b", changed_months(bars), sort_by=["code", "date"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = []
+    read, _ = executed(spark, lambda: got.append(job_search(spark, f"{tmp_dir}/m", f"{tmp_dir}/b", wanted,
+                                                           names_root=f"{tmp_dir}/names").collect()))
+    own = bars.where(code == got[0][0]["code"]).count()
+    assert len(got[0]) == own > 0
+    # whole row groups: those of the code's file and of the name's, not the tables
+    assert read < bars.count() / 2 + 600

@@ -116,7 +116,63 @@ def test_touched_refresh_streams_features_without_shuffle(spark, tmp_dir):
     lines = p.split("\n")
     scan = next(i for i, x in enumerate(lines) if "FileScan" in x and f"{tmp_dir}/f" in x)
     above = "\n".join(lines[max(0, scan - 3):scan])
-    # the large features table is filtered by a broadcast anti-join on the
-    # small touched-month set, never shuffled
-    assert "BroadcastHashJoin" in above and "LeftAnti" in above
+    # the large features table is compared with the broadcast first changed days,
+    # never shuffled
+    assert "BroadcastHashJoin" in above and "LeftOuter" in above
     assert "Exchange" not in above
+
+
+def test_touched_refresh_shuffles_changed_days_only(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from daybars.operators.features import changed_since, features_since
+
+    bars = stored_bars(spark, tmp_dir)
+    last = bars.agg(F.max("date")).first()[0]
+    since = changed_since(bars.where(F.col("date") == F.lit(last)))
+    p = plan_of(features_since(bars, since)).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hashpartitioning", p)) == 2            # the days; one row a code and task
+    assert "SortMergeJoin" not in p and "SortAggregate" not in p
+    codes, files = since.count(), spark.read.parquet(f"{tmp_dir}/bars").rdd.getNumPartitions()
+    _, moved = executed(spark, lambda: features_since(bars, since).collect())
+    assert moved <= codes * (files + 2) + 10 < bars.count()
+
+
+def test_keep_last_is_a_hash_aggregate_without_paths(spark, tmp_dir):
+    from daybars.adapters import quote_json_lines, quote_records
+    from daybars.operators.keyed import keep_last
+    from daybars.sources.quotes import bars_of, parse_responses, ranked, read_quotes, stage
+
+    bars = stored_bars(spark, tmp_dir)
+    quote_json_lines(quote_records(bars, "2024-01-30", 1)).write.text(f"{tmp_dir}/l")
+    parsed = ranked(stage(parse_responses(read_quotes(spark, f"{tmp_dir}/l"))))
+    out = keep_last(bars_of(parsed), ["code", "date"], "seq")
+    assert dict(out.dtypes)["seq"] == "bigint"
+    p = plan_of(out).split("== Initial Plan ==")[0]
+    assert "HashAggregate" in p and "SortAggregate" not in p
+    exchanged = [x for x in p.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(exchanged) == 1 and "code#" in exchanged[0] and "_f#" not in exchanged[0]
+
+
+def test_rebuild_from_buckets_shuffles_nothing_before_the_write(spark, tmp_dir):
+    from daybars.schemas import FEATURES
+    from daybars.sources.bucketed import open_bucketed, rebuild_bucketed, store_bucketed
+    from daybars.sources.tables import read_months
+    from tests.conftest import rows
+
+    bars = stored_bars(spark, tmp_dir)
+    name = "bucketed_" + re.sub(r"\W", "", tmp_dir)
+    open_bucketed(spark, name, f"{tmp_dir}/bucketed", 4)
+    store_bucketed(bars.where("date < '2024-01-20'"), name, 4)
+    store_bucketed(bars, name, 4)                                   # January again, whole
+    p = plan_of(features_full(spark.table(name)))
+    assert "Exchange" not in p and "Window" in p
+    assert rows(features_full(spark.table(name))) == rows(features_full(bars))
+    _, moved = executed(spark, lambda: features_full(spark.table(name)).write.format("noop").mode("overwrite").save())
+    assert moved == 0
+    rebuild_bucketed(spark, name, f"{tmp_dir}/f")
+    assert rows(read_months(spark, f"{tmp_dir}/f", FEATURES)) == rows(features_full(bars))
+    # another session finds the months that are stored
+    spark.sql(f"DROP TABLE {name}")
+    open_bucketed(spark, name, f"{tmp_dir}/bucketed", 4)
+    assert spark.table(name).count() == bars.count()

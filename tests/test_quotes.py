@@ -2,13 +2,13 @@ import datetime as dt
 import json
 import os
 
-
 from daybars.functions.parse import int_or_zero, num_or_zero, parse_yyyymmdd, format_yyyymmdd
 from daybars.operators.keyed import keep_last
 from daybars.schemas import QUOTE
 from daybars.sources.quotes import (
     answers_of, bars_of, parse_responses, quarantine_of, read_quotes, split_quotes,
 )
+from tests.conftest import rows
 
 D = dt.date
 
@@ -183,3 +183,28 @@ def test_int_or_zero_matches_model(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r["v"] for r in df.select(int_or_zero("s").alias("v")).collect()]
     assert got == [_int_prefix_model(t) for t in texts]
+
+
+def test_ranked_order_is_the_struct_order(spark, tmp_dir):
+    """A4: the packed arrival order sorts like (time, file, fetch, position)."""
+    from daybars.sources.quotes import ranked
+
+    rows_ = []
+    for i, (name, mtime) in enumerate([("b", 1_700_000_000), ("a", 1_700_000_100), ("c", 1_700_000_000)]):
+        p = os.path.join(tmp_dir, f"{name}.json")
+        with open(p, "w") as f:
+            for seq in (-5, 3, 10 ** 12):
+                f.write(json.dumps({"code": "A", "window_start": "20251201", "window_end": "20251203", "rt_cd": "0", "msg1": "OK",
+                                    "fetch_seq": seq, "output2": [{"stck_bsop_date": "20251203", "stck_clpr": str(k)} for k in range(3)]}) + "\n")
+        os.utime(p, (mtime, mtime))
+    parsed = parse_responses(read_quotes(spark, tmp_dir))
+    old = [(r["date"], r["close"]) for r in bars_of(parsed).orderBy("seq").collect()]
+    new = ranked(parsed)
+    assert dict(new.dtypes)["seq"] == "bigint" and new.select("seq").distinct().count() == 27
+    both = parsed.select("seq", "close").collect()
+    order = {tuple(r["seq"]): None for r in both}
+    packed = sorted((r["seq"], r["close"]) for r in new.collect())
+    assert [c for _, c in packed] == [r["close"] for r in parsed.orderBy("seq").collect()]
+    assert len(old) == 27 and len(order) == 27 and new.select("response").distinct().count() == 9
+    assert rows(answers_of(new)) == rows(answers_of(parsed))
+    assert ranked(parsed.limit(0)).count() == 0

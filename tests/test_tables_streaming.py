@@ -8,7 +8,7 @@ from daybars.adapters import bars_from_events, load, quote_json_lines, quote_rec
 from daybars.operators.features import features_full
 from daybars.schemas import BARS, FEATURES
 from daybars.sources import tables
-from daybars.sources.tables import committed_versions, read_months, read_table, write_table
+from daybars.sources.tables import read_months, read_table, write_table
 from daybars.streaming.catchup import start_catchup
 from tests.conftest import SF_SMALL, rows
 
@@ -19,84 +19,31 @@ def one_bar(spark, code="A", day=D(2025, 1, 1), close=1.0):
     return spark.createDataFrame([(code, day, 1.0, 1.0, 1.0, close, 1)], BARS)
 
 
-def test_versions_and_uncommitted_are_ignored(spark, tmp_dir):
+def test_whole_table_is_replaced_by_a_plan_that_reads_it(spark, tmp_dir):
     root = f"{tmp_dir}/bars"
     assert read_table(spark, root, BARS).count() == 0
-    assert write_table(one_bar(spark), root) == 1
-    assert write_table(one_bar(spark, close=2.0), root) == 2
-    # a killed job's folder, and one that has every file but no manifest
-    os.makedirs(f"{root}/data/dead/_temporary")
-    one_bar(spark, close=9.0).write.parquet(f"{root}/data/dead2")
-    assert committed_versions(spark, root) == [1, 2]
+    write_table(one_bar(spark), root)
+    write_table(read_table(spark, root, BARS).withColumn("close", F.col("close") + 1), root, sort_by=["code"])
     assert [r["close"] for r in read_table(spark, root, BARS).collect()] == [2.0]
-    assert [r["close"] for r in read_table(spark, root, BARS, version=1).collect()] == [1.0]
+    assert read_table(spark, root, BARS).columns == BARS.fieldNames()
 
 
-def test_reading_costs_the_same_after_many_commits(spark, tmp_dir, monkeypatch):
+def test_a_failed_write_changes_nothing(spark, tmp_dir):
     root = f"{tmp_dir}/bars"
-    looked = []
-    real = tables._read_text
-    monkeypatch.setattr(tables, "_read_text", lambda *a: looked.append(a[1]) or real(*a))
-
-    def cost():
-        looked.clear()
-        tables.month_files(spark, root)
-        return len(looked)
-    tables.write_months(one_bar(spark), root, ["2025-01"])
-    first = cost()
-    for k in range(6):
-        tables.write_months(one_bar(spark, day=D(2025, 2 + k, 1)), root, [f"2025-{2 + k:02d}"])
-    assert cost() == first == 2
-    os.remove(f"{root}/_log/_latest")           # a crash between manifest and hint
-    assert len(tables.month_files(spark, root)) == 7
-
-
-def test_interleaved_writers_on_other_months_both_stay(spark, tmp_dir):
-    root = f"{tmp_dir}/bars"
-    base = tables.write_months(one_bar(spark), root, ["2025-01"])
-    feb, mar = one_bar(spark, day=D(2025, 2, 1)), one_bar(spark, day=D(2025, 3, 1))
-    tables.write_months(feb, root, ["2025-02"], base=base)
-    tables.write_months(mar, root, ["2025-03"], base=base)          # built on the older base
-    assert rows(read_months(spark, root, BARS)) == rows(one_bar(spark).unionByName(feb).unionByName(mar))
+    both = one_bar(spark).unionByName(one_bar(spark, day=D(2025, 2, 1)))
+    tables.write_months(both, root, ["2025-01", "2025-02"])
+    poison = both.withColumn("close", F.when(F.col("date") > "2025-01-15", F.raise_error(F.lit("boom")).cast("double")).otherwise(7.0))
+    with pytest.raises(Exception, match="boom"):
+        tables.write_months(poison, root, ["2025-01", "2025-02"])
+    assert rows(read_months(spark, root, BARS)) == rows(both)
 
 
-def test_interleaved_writers_on_one_month(spark, tmp_dir, monkeypatch):
-    """The second writer finds its month changed and merges again: no row of
-    either is lost or doubled."""
+def test_writers_on_other_months_both_stay(spark, tmp_dir):
     root = f"{tmp_dir}/bars"
-    base = tables.write_months(one_bar(spark, "A"), root, ["2025-01"])
-    with pytest.raises(tables.Conflict):
-        tables.write_months(one_bar(spark, "B"), root, ["2025-01"], base=base - 1)
-    real, raced = tables.write_months, []
-
-    def race(*a, **k):
-        if not raced:                            # another writer commits in between
-            raced.append(1)
-            tables.merge_months(spark, root, one_bar(spark, "B"), ["code", "date"], BARS)
-        return real(*a, **k)
-    monkeypatch.setattr(tables, "write_months", race)
-    both = one_bar(spark, "C").unionByName(one_bar(spark, "A", close=5.0))
-    tables.merge_months(spark, root, both, ["code", "date"], BARS)
-    assert rows(read_months(spark, root, BARS), "code", "close") == [("A", 5.0), ("B", 1.0), ("C", 1.0)]
-
-
-def test_a_version_is_claimed_by_one_writer_only(spark, tmp_dir):
-    from concurrent.futures import ThreadPoolExecutor
-
-    path = f"{tmp_dir}/t/_log/0000000001.json"
-    with ThreadPoolExecutor(8) as pool:
-        won = list(pool.map(lambda k: tables._publish(spark, path, str(k)), range(8)))
-    assert won.count(True) == 1
-    assert tables._read_text(spark, path) == str(won.index(True))
-
-
-def test_whole_table_refuses_a_moved_base(spark, tmp_dir):
-    root = f"{tmp_dir}/t"
-    v = write_table(one_bar(spark, "A"), root, base=0)
-    write_table(one_bar(spark, "B"), root, base=v)
-    with pytest.raises(tables.Conflict):
-        write_table(one_bar(spark, "C"), root, base=v)
-    assert rows(read_table(spark, root, BARS), "code") == [("B",)]
+    for m in (1, 2, 3):
+        tables.merge_months(spark, root, one_bar(spark, day=D(2025, m, 1)), ["code", "date"], BARS)
+    assert tables.stored_months(spark, root) == ["2025-01", "2025-02", "2025-03"]
+    assert read_months(spark, root, BARS).count() == 3
 
 
 def test_month_files_hold_disjoint_ranges_of_codes(spark, tmp_dir):
@@ -139,96 +86,82 @@ def test_stream_catchup_late_corrections_and_features(spark, tmp_dir):
 
 def test_month_tables_rewrite_only_touched_months(spark, tmp_dir):
     from daybars.operators.keyed import upsert
-    from daybars.sources.tables import merge_months, month_files, write_months
+    from daybars.sources.tables import merge_months, write_months
+
+    def files():
+        found = read_months(spark, root, BARS).select(F.input_file_name().alias("f")).distinct().collect()
+        return {m: {r["f"] for r in found if f"month={m}/" in r["f"]} for m in tables.stored_months(spark, root)}
 
     root = f"{tmp_dir}/bars_m"
-    ev = load(spark, SF_SMALL, "events")
-    bars = bars_from_events(ev)
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
     # initial load: January 2024, plus one December bar
     dec = spark.createDataFrame([("1", D(2023, 12, 29), 1.0, 1.0, 1.0, 1.0, 1)], BARS)
-    v1 = write_months(bars.unionByName(dec), root, ["2023-12", "2024-01"], sort_by=["code", "date"])
+    write_months(bars.unionByName(dec), root, ["2023-12", "2024-01"], sort_by=["code", "date"])
     assert rows(read_months(spark, root, BARS)) == rows(bars.unionByName(dec))
+    before = files()
     # a change set in February and one January correction
     ch = spark.createDataFrame([("1", D(2024, 2, 1), 2.0, 2.0, 2.0, 2.0, 2),
                                 ("1", D(2024, 1, 2), 9.0, 9.0, 9.0, 9.0, 9)], BARS)
-    v2 = merge_months(spark, root, ch, ["code", "date"], BARS, sort_by=["code", "date"])
-    files = month_files(spark, root)
-    assert {m: v for m, (v, _) in files.items()} == {"2023-12": v1, "2024-01": v2, "2024-02": v2}
+    merge_months(spark, root, ch, ["code", "date"], BARS, sort_by=["code", "date"])
+    after = files()
+    assert after["2023-12"] == before["2023-12"] and not after["2024-01"] & before["2024-01"]
     want = upsert(bars.unionByName(dec), ch, ["code", "date"])
     assert rows(read_months(spark, root, BARS)) == rows(want)
-    # time travel and month pruning
-    assert rows(read_months(spark, root, BARS, version=v1)) == rows(bars.unionByName(dec))
     assert rows(read_months(spark, root, BARS, months=["2024-02"])) == rows(ch.where("date >= '2024-02-01'"))
     # a month rewritten empty disappears
     write_months(spark.createDataFrame([], BARS), root, ["2023-12"])
-    assert read_months(spark, root, BARS, months=["2023-12"]).count() == 0
+    assert tables.stored_months(spark, root) == ["2024-01", "2024-02"]
     assert rows(read_months(spark, root, BARS)) == rows(want.where("date >= '2024-01-01'"))
 
 
-def test_expire_versions_keeps_current_state(spark, tmp_dir):
-    from daybars.sources.tables import expire_versions, merge_months, write_months
+def test_month_summary_fills_in_missing_months(spark, tmp_dir):
+    from daybars.operators.features import month_summary
+    from daybars.sources.tables import changed_months, read_summary, write_months, write_summary
 
-    root = f"{tmp_dir}/bars_x"
-    jan, feb = one_bar(spark), one_bar(spark, day=D(2025, 2, 1))
-    write_months(jan.unionByName(feb), root, ["2025-01", "2025-02"])                                   # v1
-    ch = one_bar(spark, day=D(2025, 2, 1), close=3.0)
-    merge_months(spark, root, ch, ["code", "date"], BARS)                                                # v2: Feb
-    merge_months(spark, root, ch.withColumn("close", F.lit(4.0)), ["code", "date"], BARS)              # v3: Feb
-    want = rows(read_months(spark, root, BARS))
-    deleted = expire_versions(spark, root, keep=1)
-    # only v2's folder is out of reach; January is still in v1's
-    assert sum("/data/" in p for p in deleted) == 1 and sum("/_log/" in p for p in deleted) == 2
-    assert rows(read_months(spark, root, BARS)) == want
-    assert expire_versions(spark, root, keep=1) == []
-    assert merge_months(spark, root, jan, ["code", "date"], BARS) == 4
+    broot, sroot = f"{tmp_dir}/b", f"{tmp_dir}/s"
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    write_months(bars, broot, changed_months(bars))
+    assert rows(read_summary(spark, broot, sroot, BARS)) == rows(month_summary(bars))     # none stored yet
+    write_summary(spark, broot, sroot, changed_months(bars), BARS)
+    more = spark.createDataFrame([("1", D(2024, 2, 3), 5.0, 5.0, 5.0, 5.0, 5)], BARS)
+    tables.merge_months(spark, broot, more, ["code", "date"], BARS)                       # its summary was never written
+    assert rows(read_summary(spark, broot, sroot, BARS)) == rows(month_summary(read_months(spark, broot, BARS)))
+
+
+def test_latest_bars_follow_changes(spark, tmp_dir):
+    from daybars.operators.aggregates import latest_bar
+    from daybars.sources.tables import merge_latest, rebuild_latest
+
+    root = f"{tmp_dir}/latest"
+    merge_latest(spark, root, one_bar(spark).unionByName(one_bar(spark, "B")), BARS)
+    merge_latest(spark, root, one_bar(spark, close=5.0).unionByName(one_bar(spark, "B", D(2024, 1, 1), 9.0)), BARS)
+    assert rows(read_table(spark, root, BARS), "code", "close") == [("A", 5.0), ("B", 1.0)]     # same day replaces, older does not
+    bars = bars_from_events(load(spark, SF_SMALL, "events"))
+    tables.merge_months(spark, f"{tmp_dir}/b", bars, ["code", "date"], BARS)
+    rebuild_latest(spark, f"{tmp_dir}/b", root, BARS)
+    assert rows(read_table(spark, root, BARS)) == rows(latest_bar(bars).select(*BARS.fieldNames()))
 
 
-def test_expiry_spares_a_writer_at_work(spark, tmp_dir, monkeypatch):
-    """A writer has its files down but no manifest yet while others commit
-    and expire; afterwards it still commits."""
-    from daybars.sources.tables import expire_versions
+def test_checks_are_counted_by_the_write(spark, tmp_dir):
+    from daybars.plans.jobs import job_checks
+    from daybars.schemas import LENGTH_LIMITS
 
-    root = f"{tmp_dir}/bars"
-    for k in range(3):
-        tables.write_months(one_bar(spark, close=float(k)), root, ["2025-01"])
-    real = tables._commit
-
-    def slow(*a):
-        monkeypatch.setattr(tables, "_commit", real)
-        tables.write_months(one_bar(spark, close=7.0), root, ["2025-01"])
-        expire_versions(spark, root, keep=1)
-        return real(*a)
-    monkeypatch.setattr(tables, "_commit", slow)
-    tables.write_months(one_bar(spark, "Z", D(2025, 2, 1)), root, ["2025-02"])
-    assert rows(read_months(spark, root, BARS), "code", "close") == [("A", 7.0), ("Z", 1.0)]
-    # a folder that nobody has touched for the grace period goes
-    os.makedirs(f"{root}/data/dead")
-    os.utime(f"{root}/data/dead", (1, 1))
-    assert [p.rsplit("/", 1)[1] for p in expire_versions(spark, root, keep=9)] == ["dead"]
-
-
-def test_month_summary_is_self_healing(spark, tmp_dir):
-    from daybars.operators.features import month_summary
-    from daybars.sources.tables import (
-        changed_months, merge_months, read_months, read_summary, summary_sources, write_months,
-        write_summary,
-    )
+    root, checks = f"{tmp_dir}/c", tables.checks_of(BARS, LENGTH_LIMITS, ("volume", (1, 2)))
+    good = one_bar(spark).unionByName(one_bar(spark, "B"))
+    ran = spark.sparkContext.accumulator(0)
 
-    broot, sroot = f"{tmp_dir}/b", f"{tmp_dir}/s"
-    bars = bars_from_events(load(spark, SF_SMALL, "events"))
-    v1 = write_months(bars, broot, changed_months(bars))
-    assert summary_sources(spark, broot, sroot)[0] == []          # nothing stored yet
-    assert rows(read_summary(spark, broot, sroot, BARS)) == rows(month_summary(bars))
-    write_summary(spark, broot, sroot, changed_months(bars), v1, BARS)
-    assert summary_sources(spark, broot, sroot)[1] == []          # all months stored
-    # a merge whose summary write never happened (crash): still correct
-    ch = spark.createDataFrame([("1", D(2024, 2, 3), 5.0, 5.0, 5.0, 5.0, 5),
-                                ("1", D(2024, 1, 5), 7.0, 7.0, 7.0, 7.0, 7)], BARS)
-    merge_months(spark, broot, ch, ["code", "date"], BARS)
-    stored, stale = summary_sources(spark, broot, sroot)
-    assert len(stale) == 2 and stored == []
-    want = rows(month_summary(read_months(spark, broot, BARS)))
-    assert rows(read_summary(spark, broot, sroot, BARS)) == want
+    @F.udf("string")
+    def tick(code):
+        ran.add(1)
+        return code
+    out = tables.materialised(good.withColumn("code", tick("code")), "bars", checks, root, "r1")
+    assert rows(out) == rows(good) and ran.value == 2                # one pass wrote and counted
+    bad = one_bar(spark, "x" * 11).select("code", F.lit(None).cast("date").alias("date"), "open", "high", "low", "close",
+                                          F.lit(3).cast("bigint").alias("volume"))
+    with pytest.raises(tables.BrokenConstraint, match="null_date: 1, len_code: 1, domain_volume: 1"):
+        tables.materialised(bad, "bars", checks, root, "r2")
+    got = {r["check_name"]: (r["n_rows"], r["n_bad"]) for r in job_checks(spark, root).collect()}
+    assert got["null_date"] == got["len_code"] == got["domain_volume"] == (3, 1) and got["null_open"] == (3, 0)
 
 
 def test_stream_catchup_with_processing_time_trigger(spark, tmp_dir):
@@ -244,17 +177,34 @@ def test_stream_catchup_with_processing_time_trigger(spark, tmp_dir):
     assert rows(read_months(spark, f"{tmp_dir}/bars", BARS)) == rows(bars)
 
 
-def test_expire_whole_table_versions(spark, tmp_dir):
+def test_streamed_reject_is_planned_again(spark, tmp_dir):
+    import json
+
+    from daybars.plans.jobs import job_plan
     from daybars.schemas import MASTER
-    from daybars.sources.tables import expire_versions
-
-    root = f"{tmp_dir}/master"
-    for i in range(4):
-        write_table(spark.createDataFrame([(str(i), "n", "KOSPI", None, None)], MASTER), root)
-    before = rows(read_table(spark, root, MASTER))
-    assert sum("/data/" in p for p in expire_versions(spark, root, keep=2)) == 2
-    assert committed_versions(spark, root) == [3, 4]
-    assert rows(read_table(spark, root, MASTER)) == before
+
+    write_table(spark.createDataFrame([(c, c, "KOSPI", None, None) for c in "ABC"], MASTER), f"{tmp_dir}/m")
+    for c in "ABC":
+        tables.merge_months(spark, f"{tmp_dir}/b", one_bar(spark, c, D(2025, 3, 1)), ["code", "date"], BARS)
+    roots = dict(coverage_root=f"{tmp_dir}/cov")
+    plan = job_plan(spark, f"{tmp_dir}/m", f"{tmp_dir}/b", "2025-03-03", record=True, **roots)
+    assert {(r["code"], r["seg_start"], r["seg_end"]) for r in plan.collect()} == {(c, D(2025, 3, 2), D(2025, 3, 3)) for c in "ABC"}
+
+    def land(day, rt):          # A is answered or rejected; C is never answered
+        os.makedirs(f"{tmp_dir}/land", exist_ok=True)
+        with open(f"{tmp_dir}/land/{day}.json", "w") as f:
+            for code, ok in rt:
+                f.write(json.dumps({"code": code, "window_start": "20250302" if day == 3 else f"202503{day:02d}",
+                                    "window_end": f"202503{day:02d}", "rt_cd": "0" if ok else "1", "msg1": "",
+                                    "output2": [{"stck_bsop_date": f"202503{day:02d}"}] if ok else None}) + "\n")
+        q = start_catchup(spark, f"{tmp_dir}/land", f"{tmp_dir}/b", f"{tmp_dir}/ck", latest_root=f"{tmp_dir}/latest", **roots)
+        q.awaitTermination()
+        assert q.exception() is None
+    land(3, [("A", False), ("B", True)])
+    land(4, [("A", True), ("B", True), ("C", True)])                # newer bars move past the failures
+    again = job_plan(spark, f"{tmp_dir}/m", f"{tmp_dir}/b", "2025-03-04", **roots)
+    assert rows(again, "code", "mode", "seg_start", "seg_end") == [
+        (c, "gap", D(2025, 3, 2), D(2025, 3, 3)) for c in "AC"]
 
 
 def test_stream_quarantines_unknown_codes_and_repeats_cleanly(spark, tmp_dir):
