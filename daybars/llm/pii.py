@@ -13,14 +13,23 @@
    weighted vectors.
 4. Scores are calibrated by isotonic regression on the fold left out of
    training. A generator's threshold is the least score whose calibrated
-   share of validated candidates is at least ``PRECISION``. Candidates above
-   it that meet no base span become spans of the generator's kind; without
-   such a threshold none do.
+   share of validated candidates, (right + PRIOR[0]) / (all + sum(PRIOR)), is at
+   least ``PRECISION``: a few candidates that are all right prove as much as
+   many, and one that is wrong counts the more the fewer there are. Candidates
+   above it that meet no base span become spans of the generator's kind;
+   without such a threshold none do.
+
+As "right" means that a base span lies in a candidate, kinds that no base
+pattern validates (account numbers, local phone numbers) are proposed but hardly
+ever selected.
 
 Patterns start only at the edge of a run (or where the last match ended) and
-use possessive or bounded quantifiers, so they take linear time. Null and
-empty texts have no spans and stay as they are; repeated rows are each
-scanned; an empty corpus fits no trees.
+use possessive or bounded quantifiers. Places are running sums, overlaps running
+extremes (``_scan``), and texts are put together from blocks, so a text of n
+characters and m matches costs about n + m log m: very long texts and lists of
+contacts are processed whole. Null and empty texts have no spans and stay as they
+are; repeated rows are each scanned; an empty corpus fits no trees; columns of the
+input that have our names stay as they are.
 """
 
 from __future__ import annotations
@@ -44,7 +53,7 @@ N_BASE = 4
 # generators, in the order of the kinds after the base ones
 GENERATORS = (
     r"(?<![^\s@])[^\s@]++@[^\s@]++",
-    r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9](?:[\x20()./+-]{0,3}+[0-9]){6,40}+(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9](?:[\x20()./+-]{0,3}+[0-9]){6,}+(?![0-9A-Za-z])",
     r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?![0-9])",
     r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9])")
 CONTEXT = (r"(?i)(phone|tel|call|fax|mobile|cell)", r"(?i)(card|visa|amex|credit|debit)",
@@ -52,27 +61,41 @@ CONTEXT = (r"(?i)(phone|tel|call|fax|mobile|cell)", r"(?i)(card|visa|amex|credit
 BEFORE = 24
 FEATURES = {"generator": len(GENERATORS), "digits": 5, "gaps": 4, "plus": 2, "dots": 4, "luhn": 2, "before": 6, "domain": 2}
 MAX_VECTORS = math.prod(FEATURES.values())
-ROUNDS, RATE, PRECISION, MIN_HELD = 20, 0.3, 0.95, 20
+ROUNDS, RATE, PRECISION = 20, 0.3, 0.95
+#: Candidates that a calibrated share counts as seen before: right, wrong.
+PRIOR = (1.0, 0.05)
+BLOCK = 1_024           # characters
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running ``op`` over an array, by doubling: log n passes over it."""
+    steps = F.when(F.size(values) > 1, F.transform(
+        F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1),
+        lambda k: F.pow(F.lit(2), k).cast("int"))).otherwise(F.expr("cast(array() AS array<int>)"))
+    return F.aggregate(steps, values, lambda acc, step: F.transform(
+        acc, lambda x, i: F.when(i >= step, op(F.get(acc, i - step), x)).otherwise(x)))
+
+
 def _matches(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<start, body>> of all leftmost non-overlapping matches.
+    """array<struct<start, body, before>> of all leftmost non-overlapping
+    matches; ``before`` ends the text between a match and the one before it.
 
     ``split`` with no limit gives the text between matches, so a match
-    starts after all gaps and matches before it.
+    ends after all gaps and matches up to it.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                       lambda gap, body: F.struct(F.char_length(gap).alias("gap"), body.alias("body")))
-    none = F.expr("cast(array() AS array<struct<start:int,body:string>>)")
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        return F.when(p["body"].isNull(), acc).otherwise(F.struct(
-            (start + F.char_length(p["body"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(start.alias("start"), p["body"].alias("body")))).alias("found")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(guard, found).otherwise(none)
+                       lambda gap, body: F.struct((F.char_length(gap) + F.char_length(body)).alias("size"), body.alias("body"),
+                                                  F.right(gap, F.lit(BEFORE)).alias("before")))
+    whole = F.filter(pairs, lambda p: p["body"].isNotNull())
+    found = _let(whole, lambda p: F.zip_with(p, _scan(F.transform(p, lambda x: x["size"]), lambda a, b: a + b), lambda m, end: F.struct(
+        (end - F.char_length(m["body"])).alias("start"), m["body"].alias("body"), m["before"].alias("before"))))
+    return F.when(guard, found).otherwise(F.expr("cast(array() AS array<struct<start:int,body:string,before:string>>)"))
 
 
 def _digits(body: Column) -> Column:
@@ -102,10 +125,9 @@ def _spans(matches: Column, kind: int) -> Column:
         F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.char_length(m["body"])).alias("end")))
 
 
-def _features(text: Column, m: Column, generator: int) -> Column:
-    body = m["body"]
+def _features(m: Column, generator: int) -> Column:
+    body, before = m["body"], m["before"]
     n = F.char_length(_digits(body))
-    before = F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE)))
     context = F.lit(0)
     for k, pattern in reversed(list(enumerate(CONTEXT, 1))):
         context = F.when(before.rlike(pattern), k).otherwise(context)
@@ -120,8 +142,31 @@ def _features(text: Column, m: Column, generator: int) -> Column:
         body.rlike(r"@[^@]*[A-Za-z0-9]\.[A-Za-z]{2,}").cast("int").alias("domain"))
 
 
-def _meets(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+def _with_hits(base: Column, proposed: Column) -> Column:
+    """array<struct<start, end, f, hit>>: the proposed candidates by start, and
+    whether each meets a base span.
+
+    In order of start, a candidate meets a base span if one that starts no later
+    ends after its start, or one that starts later does so before its end.
+    """
+    far = F.lit(2_147_483_647)
+    none = F.transform(F.slice(proposed, 1, 0), lambda c: c["f"])
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("proposed"), s["end"].alias("end"),
+                                             F.get(none, F.lit(0)).alias("f"))),
+        F.transform(proposed, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("proposed"), c["end"].alias("end"),
+                                                 c["f"].alias("f")))))
+
+    def mark(s: Column) -> Column:
+        is_base = [F.transform(s, lambda x: F.when(x["proposed"] == 0, x["end"]).otherwise(F.lit(-1))),
+                   F.reverse(F.transform(s, lambda x: F.when(x["proposed"] == 0, x["start"]).otherwise(far)))]
+        ends = _let(is_base[0], lambda v: _scan(v, F.greatest))
+        starts = F.reverse(_let(is_base[1], lambda v: _scan(v, F.least)))
+        near = F.zip_with(ends, starts, lambda e, b: F.struct(e.alias("end"), b.alias("start")))
+        return F.filter(F.zip_with(s, near, lambda x, n: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["f"].alias("f"),
+            ((n["end"] > x["start"]) | (n["start"] < x["end"])).alias("hit"))), lambda x: x["f"].isNotNull())
+    return _let(both, mark)
 
 
 def candidates(docs: DataFrame, text_col: str = "text", base: str = "base", out: str = "candidates") -> DataFrame:
@@ -139,9 +184,9 @@ def candidates(docs: DataFrame, text_col: str = "text", base: str = "base", out:
     def one(column: str, generator: int) -> Column:
         return F.transform(F.col(column), lambda m: F.struct(
             m["start"].alias("start"), (m["start"] + F.char_length(m["body"])).alias("end"),
-            _features(text, m, generator).alias("f"),
-            _meets(F.col(base), m["start"], m["start"] + F.char_length(m["body"])).alias("hit")))
-    return docs.withColumn(out, F.concat(*[one(c, g) for g, c in enumerate(raw[N_BASE:])])).drop(*raw)
+            _features(m, generator).alias("f")))
+    proposed = F.concat(*[one(c, g) for g, c in enumerate(raw[N_BASE:])])
+    return docs.withColumn(out, _let(proposed, lambda c: _with_hits(F.col(base), c))).drop(*raw)
 
 
 @dataclass
@@ -190,7 +235,7 @@ def fit(found: DataFrame, column: str = "candidates") -> Model:
 
 def threshold(held: list[tuple[float, int, int]]) -> float | None:
     """Least score that isotonic regression gives PRECISION, of (score,
-    right, wrong); pools of fewer than MIN_HELD candidates prove nothing."""
+    right, wrong)."""
     pools: list[list[float]] = []            # falling scores: least score, right, wrong
     for s, right, wrong in sorted(held, reverse=True):
         if not right + wrong:
@@ -199,12 +244,12 @@ def threshold(held: list[tuple[float, int, int]]) -> float | None:
         while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or _share(pools[-2]) <= _share(pools[-1])):
             s, right, wrong = pools.pop()
             pools[-1] = [s, pools[-1][1] + right, pools[-1][2] + wrong]
-    good = [p[0] for p in pools if _share(p) >= PRECISION and p[1] + p[2] >= MIN_HELD]
+    good = [p[0] for p in pools if _share(p, *PRIOR) >= PRECISION]
     return min(good, default=None)
 
 
-def _share(pool: list[float]) -> float:
-    return pool[1] / (pool[1] + pool[2])
+def _share(pool: list[float], right: float = 0.0, wrong: float = 0.0) -> float:
+    return (pool[1] + right) / (pool[1] + pool[2] + right + wrong)
 
 
 def boost(vectors: list[dict], pos: list[int], neg: list[int]) -> tuple[list, list[float]]:
@@ -277,23 +322,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans are replaced as one, by the kind of the first. Texts
     without spans are untouched; ``n_chars`` is set anew where a text changed.
     """
-    base, cand, place, fold = (fresh(docs, c) for c in ("_base", "_candidates", "_spans", "_fold"))
-    found = candidates(docs, text_col, base, cand)
+    base, cand, place = (fresh(docs, c) for c in ("_base", "_candidates", "_spans"))
+    found = materialize(candidates(docs, text_col, base, cand), "pii-found")
     model = fit(found.select(F.col(cand).alias("candidates"), _fold().alias("fold")))
     order = F.array_sort(F.transform(spans(model, base, cand), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     marked = found.withColumn(place, order)
-    text, names = F.col(text_col), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-                      ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<string>)").alias("out"))
-    cleaned = F.aggregate(F.col(place), start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2_147_483_647))))
-    new = fresh(docs, "_text")
-    out = marked.withColumn(new, F.when(F.size(place) > 0, cleaned).otherwise(text))
+    text, new = F.col(text_col), fresh(docs, "_text")
+    out = marked.withColumn(new, F.when(F.size(place) > 0, _replaced(text, F.col(place))).otherwise(text))
     columns = []
     for c in docs.columns:
         if c == text_col:
@@ -303,3 +339,27 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         else:
             columns.append(F.col(c))
     return out.select(*columns)
+
+
+def _replaced(text: Column, place: Column) -> Column:
+    """``text`` with the spans of ``place``, sorted by start, replaced by kinds."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def cut(blocks: Column, a: Column, b: Column | None) -> Column:
+        """Characters a to b (None: the end), from the blocks that hold them."""
+        first = F.floor(a / BLOCK).cast("int")
+        if b is None:
+            return F.substring(F.array_join(F.slice(blocks, first + 1, F.size(blocks)), ""), a - first * BLOCK + 1,
+                               F.lit(2_147_483_647))
+        n = F.floor((b - 1) / BLOCK).cast("int") - first + 1
+        return F.when(b <= a, F.lit("")).otherwise(
+            F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(n, F.lit(0))), ""), a - first * BLOCK + 1, b - a))
+
+    def build(blocks: Column) -> Column:
+        def write(reach: Column) -> Column:         # how far the spans up to each go, after a 0
+            pieces = F.zip_with(place, F.slice(reach, 1, F.size(place)), lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(
+                F.concat(cut(blocks, at, s["start"]), F.element_at(names, s["kind"] + 1))))
+            return F.concat(F.array_join(pieces, ""), cut(blocks, F.element_at(reach, -1), None))
+        ends = _let(F.transform(place, lambda s: s["end"]), lambda v: _scan(v, F.greatest))
+        return _let(F.concat(F.array(F.lit(0)), ends), write)
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), build)

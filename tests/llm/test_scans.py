@@ -60,11 +60,69 @@ def test_licence_labels_and_scores(spark):
     assert got[7] == ("cc-by-nc", 1.0)
     assert got[4] == ("", 0.0)
     assert all(set(filter(None, b.split(","))) <= set(got[i][0].split(",")) for i, *_, b in licence_rows(list(enumerate(LICENCES))))
-    cut = "Permission is hereby granted free of charge, to any person obtaining a copy of"      # 2 of 16 words missing
-    one = spark.createDataFrame([(1, cut), (2, "granted free of charge to any person")], "doc_id long, text string")
+    cut = "Permission is hereby granted free of charge, to any person obtaining a copy of"
+    body = ("some code\n# ARE DISCLAIMED. Redistributions in binary form must reproduce the above copyright notice, this list of "
+            "conditions and the following disclaimer\nint main")
+    one = spark.createDataFrame([(1, cut), (2, "granted free of charge to any person"), (3, body)], "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.report(one).collect()}
-    assert got[1][0] == "mit" and 0.8 < got[1][1] < 1
+    assert got[1][0] == "mit" and 0 < got[1][1] < 1
     assert got[2] == ("", 0.0)                                                                  # no key phrase
+    assert got[3][0] == "bsd" and got[3][1] > 0.5                                               # from the body of a licence
+
+
+def licence_label_rows(texts, templates=license_scan.TEMPLATES):
+    """Labels and score from the definition: every template at every start."""
+    import math
+
+    files = [(i, words(t)) for i, t in texts]
+    vocabulary = {w for t in templates for w in words(t.words)}
+    idf = {w: math.log((len(files) + 1) / (sum(w in f for _, f in files) + 1)) for w in vocabulary}
+    out = []
+    for doc_id, f in files:
+        labels, score, have = set(), 0.0, set(f)
+        for t in templates:
+            tw, keys = words(t.words), [words(k) for k in t.keys]
+            if not any(set(k) <= have for k in keys):
+                continue
+            first = list(dict.fromkeys(tw))
+            rare = sorted((w for w in first if w in have), key=lambda w: (-idf[w], first.index(w)))[:license_scan.RARE]
+            for s in range(-len(tw), len(f)):
+                right = [0 <= s + k < len(f) and f[s + k] == w for k, w in enumerate(tw)]
+                agree = {w for k, w in enumerate(tw) if right[k] and w in rare}
+                if len(agree) < min(license_scan.AGREE, len(rare)):
+                    continue
+                at = [next(i for i in range(len(tw)) if tw[i:i + len(k)] == k) for k in keys]
+                if any(all(right[i + j] for j in range(len(k))) for i, k in zip(at, keys)) and (
+                        sum(right) >= license_scan.MIN_SCORE * len(tw) or sum(right) >= license_scan.FRAGMENT):
+                    labels.add(t.label)
+                    score = max(score, sum(right) / len(tw))
+        out.append((doc_id, ",".join(sorted(labels)), score))
+    return sorted(out, key=str)
+
+
+def test_licence_labels_match_the_definition(spark, small_docs, odd_docs):
+    import random
+
+    rng, made = random.Random(4), [(i, t) for i, t in enumerate(LICENCES)]
+    for i in range(60):                     # whole licence texts and pieces, with words lost, doubled and swapped
+        w = " ".join(rng.choice(license_scan.TEMPLATES).words for _ in range(2)).split()
+        a = rng.randrange(len(w))
+        w = w[a:a + rng.randrange(5, 90)]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w))
+            w[k:k + 1] = rng.choice([[], [w[k]] * 2, ["other"]]) or w[k:k + 1][:0]
+            w = w or ["x"]
+        made.append((100 + i, " ".join(w)))
+    for docs in (spark.createDataFrame(made, "doc_id long, text string"), small_docs,
+                 odd_docs.where("doc_id is null or doc_id not in (6, 7, 8, 9)")):
+        got = license_scan.report(docs).select("doc_id", "labels", "score").collect()
+        assert sorted(map(tuple, got), key=str) == licence_label_rows(texts_of(docs))
+
+
+def test_licence_long_text(spark):
+    text = "the mit license of this software " * 60_000
+    r = license_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_base"], r["labels"]) == (360_000, 60_000, "mit")
 
 
 def test_licence_empty_table(no_docs):
@@ -131,6 +189,55 @@ def test_base_spans(spark, odd_docs, small_docs):
     for docs in (made, short, small_docs):
         check_pii(docs)
     assert pii.report(odd_docs).count() == len(ODD)
+    r = pii.report(odd_docs).where("doc_id = 8").first()    # two runs of 20,000 digits and many "@" hold nothing valid
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) == (0, 0, 0, 0, sha(""))
+
+
+def test_many_matches_in_one_text(spark):
+    """Contact lists: places, overlaps and redaction over thousands of matches, and long runs of digits."""
+    import random
+
+    rng = random.Random(5)
+    parts = [rng.choice(["mail {0}@ex{0}.org", "ip 10.0.{1}.7", "+1 (200) 555-{0:04d}", "card 4111 1111 1111 1111", "x@y", "\U0001f600 wörds"])
+             .format(rng.randrange(10_000), rng.randrange(256)) for _ in range(3_000)]
+    text = "; ".join(parts) + " " + "7" * 60
+    docs = spark.createDataFrame([(1, text), (2, text[:50])], "doc_id long, text string")
+    check_pii(docs)
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    spans = [s.split(":") for s in pii.report(docs).where("doc_id = 1").first()["spans"].split(",")]
+    assert len(spans) > 2_000
+    out, at = [], 0
+    for a, b, _, kind in sorted((int(a), int(b), pii.KINDS.index(k), k) for k, a, b in spans):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    assert got[1] == "".join(out) + text[at:]
+
+
+def test_a_list_of_megabytes_ends(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(f"user{i}@example{i % 97}.org" for i in range(n)))], "doc_id long, text string")
+        t = time.time()
+        assert pii.redact(docs).first()["text"].count("[EMAIL]") == n
+        return time.time() - t
+    seconds(100)
+    assert seconds(160_000) < 120                           # 4.4 MB
+
+
+def test_candidates_have_no_greatest_length(spark):
+    docs = spark.createDataFrame([(1, "no " + "12 " * 30 + "x"), (2, "9" * 100_000)], "doc_id long, text string")
+    found = pii.candidates(docs).select("doc_id", F.explode("candidates").alias("c")).where("c.f.generator = 1").collect()
+    assert {(r["doc_id"], r["c"]["start"], r["c"]["end"]) for r in found} == {(1, 3, 92), (2, 0, 100_000)}
+
+
+def test_extra_spans_do_not_depend_on_the_number_of_rows(spark):
+    for n in (40, 400):
+        rows = [(i, f"see +1 (200) 555-{1000 + i} now, with 4111111111111111, order 123456{i:04d}") for i in range(n)]
+        rows.append((1000, "see +1 (605) 555-9305 4012888888881881 today"))
+        got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[7] == "card:32:48,phone:4:21" and got[1000] == "phone_like:4:21,card_like:22:38", n
 
 
 def test_pii_empty_table(no_docs):
@@ -177,8 +284,8 @@ def test_boosting_separates_and_adds_above_the_threshold():
 def test_thresholds_are_calibrated():
     assert pii.threshold([(2.0, 300, 2), (1.0, 50, 50), (0.0, 0, 400)]) == 2.0
     assert pii.threshold([(2.0, 30, 6), (1.0, 400, 2), (0.0, 0, 9)]) == 1.0       # pooled: 430 of 438
-    assert pii.threshold([(2.0, 5, 0)]) is None and pii.threshold([]) is None
-    assert pii.threshold([(2.0, 90, 10)]) is None
+    assert pii.threshold([(2.0, 5, 0)]) == 2.0 and pii.threshold([]) is None
+    assert pii.threshold([(2.0, 90, 10)]) is None and pii.threshold([(2.0, 5, 1)]) is None
 
 
 def test_candidates_beyond_the_patterns(spark):
@@ -239,3 +346,15 @@ def test_drop_and_cut(spark, odd_docs):
     cut = {r["doc_id"]: r["text"] for r in decontam.cut_spans(made, items).collect()}
     assert cut[1] == "x y" and cut[4] == "one two three" and cut[5] is None and cut[0] == ""
     assert decontam.drop_contaminated(odd_docs, items).count() == len(ODD)
+
+
+def test_cut_does_not_depend_on_slices(spark):
+    """Two items whose windows overlap by five words, in one slice and in two."""
+    w = [f"w{i}" for i in range(1, 26)]
+    items = spark.createDataFrame([(1, " ".join(w[:15])), (2, " ".join(w[10:]))], "item_id long, text string")
+    made = [(1, "start " + " ".join(w) + " end"), (1, "start " + " ".join(w) + " end"), (None, None), (2, "clean text")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    for size in (None, 20):
+        got = sorted((r["text"] or "" for r in decontam.cut_spans(docs, items, slice_bytes=size).collect()))
+        assert got == ["", "clean text", "start end", "start end"]
+    assert len(list(decontam.ngram_slices(items, slice_bytes=20))) > 1
