@@ -15,8 +15,11 @@ large as one task's input; a reader holds one compressed file at a time.
 Null urls are written as "-", blanks in urls as %20; null payloads are empty;
 rows without id sort last when the first of equal payloads is chosen; rows of
 equal id are told apart by file and offset. A damaged or cut record gives a
-row with ``error`` set and ends its file; such rows are not converted. An
-empty table gives empty archives.
+row with ``error`` set, which the conversion returns, and reading goes on at the
+next header line; only a file without a version block ends at once. Dates of
+fewer than 14 digits become the first instant that they may mean. A payload is
+read whole, however long. An empty table gives empty archives; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -73,9 +76,15 @@ def _version_block(version: int) -> str:
 
 
 def arc_records(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """Records of one ARC file; a damaged one ends it with ``error`` set."""
+    """Records of one ARC file. A damaged one gives a row with ``error`` set, and
+    reading goes on at the next line that is a header.
+
+    A length is believed if a line end or the file's end follows the record. If
+    not, the record is damaged, and what its length would have swallowed is read
+    again.
+    """
     names: list[str] = []
-    version = None
+    version, lost = None, False
     while True:
         offset, line = stream.tell(), stream.readline()
         if not line:
@@ -87,16 +96,25 @@ def arc_records(stream: io.BufferedIOBase) -> Iterator[dict]:
             fields = head.split(b" ")
         else:
             fields = head.rsplit(b" ", len(names) - 1)     # a url may hold blanks
-        if not fields[-1].isdigit() or (version is not None and len(fields) != len(names)):
-            yield {"offset": offset, "error": "bad header line"}
-            return
-        body = stream.read(int(fields[-1]))
-        if len(body) < int(fields[-1]):
-            yield {"offset": offset, "error": "shorter than declared"}
-            return
+        if not fields[-1].isdigit() or (version is not None and not _is_header(fields, names)):
+            if version is None:
+                yield {"offset": offset, "error": "no version block"}
+                return
+            if not lost:                                   # one row for all lines up to the next header
+                yield {"offset": offset, "error": "bad header line"}
+            lost = True
+            continue
+        start, size = stream.tell(), int(fields[-1])
+        body = stream.read(size)
+        if version is not None and (len(body) < size or stream.read(1) not in (b"", b"\n", b"\r")):
+            yield {"offset": offset, "error": "declared length does not fit"}
+            lost = True
+            stream.seek(start)
+            continue
+        lost = False
         if version is None:
             declared = body.split(b"\n", 1)[0].split(b" ")[0]
-            if not head.startswith(b"filedesc:") or declared not in (b"1", b"2"):
+            if len(body) < size or not head.startswith(b"filedesc:") or declared not in (b"1", b"2"):
                 yield {"offset": offset, "error": "no version block"}
                 return
             version = int(declared)
@@ -109,6 +127,14 @@ def arc_records(stream: io.BufferedIOBase) -> Iterator[dict]:
                "payload": payload}
 
 
+def _is_header(fields: list[bytes], names: list[str]) -> bool:
+    """As many fields as the version says, and a date where it must be."""
+    if len(fields) != len(names):
+        return False
+    date = fields[names.index("Archive-date")]
+    return date.isdigit() and 4 <= len(date) <= 14
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """Header (with its blank line) and payload; no header if it isn't HTTP."""
     end = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -1
@@ -195,11 +221,14 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     return _archive(spark, path, warc_records, WARC_SCHEMA, payloads)
 
 
-def arc_to_warc(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REVISIT) -> None:
-    """Convert all ARC files of a folder to WARC files in another."""
-    seen = materialize(read_arc(spark, arc, payloads=False).where("error IS NULL").select(
+def arc_to_warc(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """Convert all ARC files of a folder to WARC files in another. Returns a
+    row (file, offset, error) for every damaged place; all other records are
+    converted."""
+    read = materialize(read_arc(spark, arc, payloads=False).select(
         "file", "offset", "url", "arc_date", "payload_digest", "payload_bytes", "id",
-        _record_id().alias("record_id")), "arc-seen")
+        _record_id().alias("record_id"), "error"), "arc-seen")
+    seen = read.where("error IS NULL").drop("error")
     order = F.struct(F.col("id").isNull().alias("void"), "id", "file", "offset", "record_id")
     firsts = (seen.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
               .agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -211,6 +240,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN
     full = read_arc(spark, arc).where("error IS NULL").withColumn("record_id", _record_id())
     rows = full.join(again, "record_id", "left")
     rows.select(_warc_text().alias("value")).write.options(**_GZIP).option("lineSep", "\r\n\r\n").text(warc)
+    return read.where("error IS NOT NULL").select("file", "offset", "error")
 
 
 def _record_id() -> Column:
@@ -222,7 +252,9 @@ def _record_id() -> Column:
 
 def _warc_text() -> Column:
     revisit = F.col("refers_to").isNotNull()
-    date = F.regexp_replace("arc_date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
+    # a date of fewer than 14 digits is the first instant it may mean
+    whole = F.concat("arc_date", F.expr("substring('00000101000000', length(arc_date) + 1)"))
+    date = F.regexp_replace(whole, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
     http = F.col("http").cast("string")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload").cast("string")))
     kind = F.when(F.octet_length("http") > 0, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))
@@ -248,6 +280,9 @@ def report(pages: DataFrame, arc: str, warc: str) -> DataFrame:
     rows = materialize(read_warc(spark, warc).select(
         "id", "type", "record_id", "refers_to", "payload_bytes", "payload_digest", "error"), "warc-rows")
     origin = rows.where("type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("id").alias("first_id"))
-    return rows.join(origin, "refers_to", "left").select(
+    # only revisits have a partner; the others would all meet under the null key
+    plain = rows.where("refers_to IS NULL").withColumn("first_id", F.lit(None).cast("bigint"))
+    again = rows.where("refers_to IS NOT NULL").join(origin, "refers_to", "left").select(*plain.columns)
+    return plain.unionByName(again).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         F.col("first_id").alias("refers_to"), "error")
