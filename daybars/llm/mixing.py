@@ -16,9 +16,13 @@ A source is split into shards of about ``SHARD_DOCS`` documents, so a hot
 source never meets in one task. The tables with one row per source or shard
 are windows over that many rows.
 
-Null texts have size 0. Rows without doc_id and repeated rows are mixed like
-any other; equal rows may swap their ``taken``. If no text has a word, every
-target is 0. Columns of ``docs`` named like an added one are replaced.
+Null texts have size 0. The draw is by id and text, so rows without doc_id spread
+over the shards like any other; ties are broken by all columns, so only rows that
+are equal in every one may swap their ``taken``, and reruns agree. Copies of one
+row share a shard: that many rows, of a few numbers each, meet in its window.
+Very long texts are read once, for their size. If no text has a word, every
+target is 0. Columns of ``docs`` named like an added one are replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,9 +100,11 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and taken."""
     keep = [c for c in docs.columns if c.lower() not in ADDED]
-    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
+                          F.coalesce(F.md5(text_col), F.lit(""))))
     d = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"),
-                    n_words(F.col(text_col)).alias("size"), draw.alias("draw"))
+                    n_words(F.col(text_col)).alias("size"), draw.alias("draw"),
+                    F.xxhash64(*keep).alias("tie"))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(sizes)
     blocks = F.floor(F.col("total") / block + 0.5)
@@ -113,7 +119,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "words",
         F.least(F.col("quota") * block, F.col("words") * MAX_REPEAT).alias("want")), "mix-shards")
     d = d.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    line = Window.partitionBy("source", "shard").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "shard").orderBy("draw", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(line), F.lit(0))
     passes = F.when(F.col("words") > 0, F.floor(F.col("want") / F.col("words"))).otherwise(F.lit(0))
     rest = F.col("want") - passes * F.col("words")
