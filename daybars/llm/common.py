@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that say where each row is stored: a hash of
+    the file and the row's number in it. They are the same in every pass and
+    differ for equal rows. Rows that are not read from Parquet are written to the
+    shared folder first."""
+    file, row = fresh(docs, "_file"), fresh(docs, "_row")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialize(docs, "placed")
+    return docs.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")}), [file, row]

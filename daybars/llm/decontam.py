@@ -6,13 +6,18 @@ sequence if it is shorter. Each task numbers the words of the test set,
 slides a polynomial hash over a document's word numbers, looks the hashes up
 and verifies every hit word by word. Documents are never shuffled.
 
-The broadcast side is bounded: the test set is dealt into slices of at most
-``SLICE_BYTES`` of text, and each slice is one pass over the documents; the
-spans of several passes are merged per document.
+The broadcast side is bounded: the test set is dealt into slices of about
+``SLICE_BYTES`` of text (some 410 bytes of memory a word: 300 MB, on the driver
+and in each Python worker), one after the other. Each is a pass over the
+documents that writes the rows with hits, keyed by where the row is stored, and
+is released before the next; the spans of all passes are merged per document
+before anything is decided or cut. An item longer than a slice makes one of its own.
 
 Null or empty texts have no words and are clean; a null item text is no
 window; a window of an item without id marks words but names no item; repeated
-items count once; repeated documents are each scanned.
+items count once; repeated documents are each scanned; very long texts are scanned
+whole, in time proportional to their length; an empty table gives an empty
+result; columns of the input that have our names stay as they are.
 """
 
 from __future__ import annotations
@@ -20,17 +25,20 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from daybars.llm.common import fresh, words_of
+from daybars.llm.common import fresh, materialize, placed, words_of
 
 N = 10
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 4 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 SCAN = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -113,33 +121,42 @@ def _scanner(grams: Broadcast) -> Column:
 
 
 def ngram_slices(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N,
-                 slice_bytes: int = SLICE_BYTES) -> list[Broadcast]:
-    """Broadcast n-gram sets, each over at most about ``slice_bytes`` of text."""
+                 slice_bytes: int | None = None) -> Iterator[NgramSet]:
+    """N-gram sets, each over about ``slice_bytes`` of text, made one at a time."""
     items = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = -(-total // slice_bytes) or 1
-    sc = bench.sparkSession.sparkContext
+    parts = -(-total // (slice_bytes or SLICE_BYTES)) or 1
     part = F.pmod(F.xxhash64("item", "body"), F.lit(parts))
-    return [sc.broadcast(NgramSet([tuple(r) for r in items.where(part == i).distinct().collect()], n))
-            for i in range(parts)]
+    for i in range(parts):
+        yield NgramSet([tuple(r) for r in items.where(part == i).distinct().collect()], n)
 
 
 def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", out: str = "hits", n: int = N,
-         slice_bytes: int = SLICE_BYTES) -> DataFrame:
+         slice_bytes: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, spans, items."""
-    slices = ngram_slices(bench, n=n, slice_bytes=slice_bytes)
-    if len(slices) == 1:
-        return docs.withColumn(out, _scanner(slices[0])(F.col(text_col)))
-    marks = []
-    for s in slices:
-        marks.append(fresh(docs, f"_slice{len(marks)}"))
-        docs = docs.withColumn(marks[-1], _scanner(s)(F.col(text_col)))
-    def flat(field: str) -> Column:
-        return F.flatten(F.array(*[F.col(f"{m}.{field}") for m in marks]))
-
-    return docs.withColumn(out, F.struct(
-        F.col(f"{marks[0]}.n_words").alias("n_words"), _merge(F.array_sort(flat("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(flat("items"))).alias("items"))).drop(*marks)
+    sc, slices = docs.sparkSession.sparkContext, ngram_slices(bench, n=n, slice_bytes=slice_bytes)
+    first = next(slices)
+    second = next(slices, None)
+    if second is None:
+        return docs.withColumn(out, _scanner(sc.broadcast(first))(F.col(text_col)))
+    docs, place = placed(docs)
+    key = [F.col(c) for c in place]
+    hits = []
+    for grams in chain([first, second], slices):
+        held = sc.broadcast(grams)
+        found = docs.select(*key, _scanner(held)(F.col(text_col)).alias("h")).where(F.size("h.spans") > 0)
+        hits.append(materialize(found.select(*key, "h.spans", "h.items"), "slice-hits"))
+        held.destroy()
+    spans, items, words = (fresh(docs, c) for c in ("_spans", "_items", "_words"))
+    # one row per document with hits: small, and written, so broadcast while its size allows
+    every = materialize(reduce(DataFrame.unionByName, hits).groupBy(*place).agg(
+        _merge(F.array_sort(F.flatten(F.collect_list("spans")))).alias(spans),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items)), "all-hits")
+    none = F.array()
+    return docs.join(every, place, "left").withColumn(words, _scanner(sc.broadcast(NgramSet([], n)))(F.col(text_col))).withColumn(
+        out, F.struct(F.col(f"{words}.n_words").alias("n_words"),
+                      F.coalesce(spans, none.cast("array<struct<start:long,end:long>>")).alias("spans"),
+                      F.coalesce(items, none.cast("array<string>")).alias("items"))).drop(*place, spans, items, words)
 
 
 def _merge(spans: Column) -> Column:
@@ -155,7 +172,7 @@ def _merge(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(kind), step)
 
 
-def report(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """Per document: n_words, n_hit, n_items, the items' digest, contaminated."""
     hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return scan(docs.select("doc_id", "text"), bench, n=n, slice_bytes=slice_bytes).select(
@@ -171,28 +188,24 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFram
     return scan(docs, bench, out=mark, n=n).where(F.size(f"{mark}.spans") == 0).select(docs.columns)
 
 
-def cut_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
+def cut_spans(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """Documents with the hit words cut out of the text; clean texts untouched.
 
-    A cut runs from the first hit word of a span to its last one; what
-    stands around it is joined by one blank.
+    A cut runs from the first hit word of a span to its last one, spans as found
+    by all slices together; what stands around it is joined by one blank.
     """
-    out = docs
-    for grams in ngram_slices(bench, n=n):
-        out = out.withColumn("text", _cutter(grams)(F.col("text")))
-    return out
+    mark = fresh(docs, "_hits")
+    found = scan(docs, bench, out=mark, n=n, slice_bytes=slice_bytes)
+    return found.withColumn("text", _cut("text", f"{mark}.spans")).select(docs.columns)
 
 
-def _cutter(grams: Broadcast) -> Column:
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([cut_text(t, grams.value) for t in texts], dtype=object)
-    return cut.asNondeterministic()
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut_text(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
 
 
-def cut_text(text: str | None, grams: NgramSet) -> str | None:
-    _, spans, _ = grams.scan(text)
+def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """``text`` without the words of ``spans`` (word numbers, end exclusive)."""
     if not spans:
         return text
     places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
