@@ -8,13 +8,15 @@ the next higher one; the tables grow with the corpus and are sharded by
 n-gram. Only counts of counts reach the driver; Spark may broadcast a side of
 a join that is below its own size limit.
 
-There is one model for each fold of documents, counted on the text of the
-other folds, so that no document is scored by a model that has seen it.
-
-To score, documents are dealt into chunks of about ``CHUNK_CHARS``; the
-distinct n-grams of each chunk are joined with the tables, and each chunk is
-scored with the log probabilities that came back for it. A text crosses the
-network once.
+There is one model for each fold of the trusted documents, counted on the
+text of the other folds, so that no document is scored by a model that has
+seen it, and one (``WHOLE``) on all trusted text, for all other documents.
+
+To score, documents are dealt into chunks by their place in the files they are
+read from (file, row number, length, model); the distinct n-grams of each
+chunk are collected where the rows are read and joined with the tables, and
+each chunk is scored with the log probabilities that came back for it. A text
+crosses the network once, to meet them.
 """
 
 from __future__ import annotations
@@ -28,20 +30,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybars.llm.common import fresh, materialize
+from daybars.llm.common import fresh, materialize, placed
 
 ORDER = 4
 FOLDS = 4
 ALPHABET = 0x110000 + 1     # every code point, and the boundary
-CHUNK_CHARS = 8_000_000
+WHOLE = FOLDS               # the model that leaves nothing out
+#: Counts of counts of little text may call for no discount at all; then nothing
+#: would be left for what was never seen.
+MIN_DISCOUNT = 0.1
+#: A chunk has at most CHUNK_ROWS texts of at most SHORT characters, or half as many
+#: of twice the length, and so on: CHUNK_ROWS * SHORT characters, or one text.
+SHORT, CHUNK_ROWS = 128, 1 << 16
 _BITS = 21
 _SYMBOL = (1 << _BITS) - 1
 _LOW = 0xFFFF | 0xFFFF << _BITS | 0xFFFF << 2 * _BITS
 _PIECE = 1 << 20
 
 
-def fold_of(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
+def fold_of(doc_id: str, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.lit(f"fold{salt}"), doc_id), F.lit(FOLDS)).cast("int")
 
 
 def windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -99,7 +107,8 @@ class Lookup:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(fold, h, c, n) of (text, fold): ``fold`` is the one left out, n counts the others."""
+    """(fold, h, c, n) of (text, fold): ``fold`` is the one left out, n counts
+    the others; ``WHOLE`` counts all."""
     schema = pa.schema([("own", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
     def batch(own: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -123,8 +132,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
     rows = texts.select("text", "fold").mapInArrow(count, "own int, h long, c long, n long")
     every = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), *[
         F.coalesce(F.sum(F.when(F.col("own") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(FOLDS)])
-    left = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), (F.col("n") - F.col(f"n{f}")).alias("n"))
-                               for f in range(FOLDS)]))
+    models = [F.struct(F.lit(f).alias("fold"), (F.col("n") - F.col(f"n{f}")).alias("n")) for f in range(FOLDS)]
+    left = F.explode(F.array(*models, F.struct(F.lit(WHOLE).alias("fold"), F.col("n").alias("n"))))
     return every.select("h", "c", left.alias("x")).select("x.fold", "h", "c", "x.n").where("n > 0")
 
 
@@ -146,11 +155,11 @@ def _discount(counts: DataFrame) -> Column:
     seen = {r["fold"]: [r[f"n{k}"] for k in (1, 2, 3, 4)] for r in counts.groupBy("fold").agg(
         *[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()}
     by_fold = []
-    for f in range(FOLDS):
+    for f in range(FOLDS + 1):
         n = seen.get(f, [0] * 4)
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
         by_fold.append(F.array(*[
-            F.lit(min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5).cast("double") for k in (1, 2, 3)]))
+            F.lit(min(k, max(MIN_DISCOUNT, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5).cast("double") for k in (1, 2, 3)]))
     return F.array(*by_fold)[F.col("fold")][(F.least(F.col("n"), F.lit(3)) - 1).cast("int")]
 
 
@@ -178,44 +187,61 @@ def probabilities(tables: dict[int, DataFrame], wanted: DataFrame) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, tables: dict[int, DataFrame], name: str) -> DataFrame:
-    """``docs`` with the perplexity of ``text`` as column ``name``."""
-    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    per_fold = -(-chars // (CHUNK_CHARS * FOLDS)) or 1
+def _chunk_of(file: str, row: str, fold: Column) -> Column:
+    """The chunk of a row; its last three bits are the model. It follows from
+    where the row is stored, so it is the same in every pass, and equal rows lie
+    apart."""
+    size = F.ceil(F.log2(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(SHORT)) / SHORT)).cast("int")
+    rows = F.greatest(F.floor(F.lit(float(CHUNK_ROWS)) / F.pow(F.lit(2.0), size)), F.lit(1))
+    place = F.xxhash64(file, size, F.floor(F.col(row) / rows), fold)
+    return F.shiftleft(F.shiftright(place, 3), 3).bitwiseOR(fold.cast("long"))
+
+
+def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: Column, place: list[str] | None = None) -> DataFrame:
+    """``docs`` with the perplexity of ``text`` as column ``name``, by the model
+    that ``fold`` names. ``place`` names the columns of :func:`placed`, if
+    ``docs`` has them; they are dropped."""
+    if place is None:
+        docs, place = placed(docs)
+    columns = [c for c in docs.columns if c not in place]
     chunk = fresh(docs, "_chunk")
-    at = F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "text"), F.lit(per_fold)) * FOLDS + fold_of("doc_id")
-    dealt = docs.withColumn(chunk, at.cast("long")).repartition(per_fold * FOLDS, chunk)
-    columns = docs.columns
+    dealt = docs.withColumn(chunk, _chunk_of(*place, fold)).select(*columns, chunk)
     asked_schema = pa.schema([("chunk", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
 
-    def ask(table: pa.Table) -> pa.Table:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for t in table.column("text"):
-            text = t.as_py()
-            for w in windows(text) if text else ():
-                held.append(w)
-                size += len(w[0])
-                if size > _PIECE:
-                    parts.append(distinct(*map(np.concatenate, zip(*held)))[:2])
-                    held, size = [], 0
-        parts += [distinct(*map(np.concatenate, zip(*held)))[:2]] if held else []
-        if not parts:
-            return asked_schema.empty_table()
-        h, c, _ = distinct(*map(np.concatenate, zip(*parts)))
-        own = np.full(len(h), table.column(chunk)[0].as_py(), np.int64)
-        return pa.Table.from_arrays([pa.array(own), pa.array(h), pa.array(c)], schema=asked_schema)
+    def emit(own: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, c, _ = distinct(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), own, np.int64)), pa.array(h), pa.array(c)], schema=asked_schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each chunk, once for each task that has rows of it."""
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        loose: dict[int, int] = {}                      # windows since a chunk was last reduced to distinct ones
+        for b in batches:
+            for text, own in zip(b.column(0), b.column(1).to_pylist()):
+                text = text.as_py()
+                for w in windows(text) if text else ():
+                    held.setdefault(own, []).append(w)
+                    loose[own] = loose.get(own, 0) + len(w[0])
+                    if loose[own] > _PIECE:
+                        held[own], loose[own] = [distinct(*map(np.concatenate, zip(*held[own])))[:2]], 0
+                if sum(loose.values()) > 8 * _PIECE:    # many chunks with a little each
+                    for k in held:
+                        held[k], loose[k] = [distinct(*map(np.concatenate, zip(*held[k])))[:2]], 0
+                    if sum(len(x[0][0]) for x in held.values()) > 8 * _PIECE:
+                        for k in list(held):
+                            yield emit(k, held.pop(k))
+        for k in list(held):
+            yield emit(k, held.pop(k))
 
     def apply(table: pa.Table, got: pa.Table) -> pa.Table:
         look = Lookup(*(got.column(x).to_numpy() for x in ("h", "c", "logp"))) if got.num_rows else None
         values = [look.perplexity(t.as_py()) if look else None for t in table.column("text")]
         return table.select(columns).append_column(name, pa.array(values, pa.float64()))
 
-    asked = materialize(dealt.groupBy(chunk).applyInArrow(ask, "chunk long, h long, c long"), "kn-asked")
-    asked = asked.withColumn("fold", (F.col("chunk") % FOLDS).cast("int"))
+    asked = materialize(dealt.select("text", chunk).mapInArrow(ask, "chunk long, h long, c long"), "kn-asked")
+    asked = asked.withColumn("fold", F.col("chunk").bitwiseAND(F.lit(7)).cast("int"))
     wanted = materialize(asked.select("fold", "h", "c").distinct(), "kn-wanted")
     known = materialize(probabilities(tables, wanted), "kn-known")
     back = asked.join(known, ["fold", "h", "c"]).select("chunk", "h", "c", F.log("p").alias("logp"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    schema = T.StructType([*docs.select(columns).schema.fields, T.StructField(name, T.DoubleType())])
     return dealt.groupBy(chunk).cogroup(back.groupBy("chunk")).applyInArrow(apply, schema)

@@ -1,162 +1,40 @@
 """Quality classifier: interpolated modified Kneser-Ney over code points.
 
 ``kn_model`` counts n-grams of order 4 on trusted text (labelled good and not
-toxic) and scores every document by a model of the folds it is not in, so a
-trusted document is never scored by a model that has seen it.
-
-A document is kept if its perplexity lies between two quantiles of the
-trusted documents of its language, however few. Languages without any, and
-null, use the quantiles over the trusted documents of all languages.
-
-Without trusted text there is no model and every document is kept with null
-perplexity. With trusted text in one fold only, nothing can be left out: its
-model scores every document and all with text are kept. Otherwise null and
-empty texts are rejected. Repeated rows get the same verdict; rows without id
-or with a null label train nothing.
-
-The model over 64 character classes below (``classes`` to ``perplexity``) is
-used by no query; tests hold it.
+toxic). Trusted text is left out of the model by units and four folds: a unit is a
+document, or a part of one where a language has fewer than ``UNITS`` trusted
+documents (ceil(UNITS / n) equal parts each). A unit is scored by the model of
+the folds it is not in; documents that are not trusted by the model of all trusted
+text. A document is kept if its log perplexity lies between two limits of its
+language.
+
+The limits of a language with n trusted documents are the quantiles (LOW and HIGH)
+of its units with weight n / (n + PRIOR), and for the rest what all languages
+show: below, the lesser of its own quantile and that of all units; above, the
+greater of its own quantile and its median and the HIGH quantile of all deviations from their
+language's median, widened by 1 + 1 / sqrt(n). So few trusted documents make
+wide limits and many their own, without a step. Languages without any use the
+quantiles over all units; null is a language of its own.
+
+Defined results: without trusted text of two units there is no model and every
+document is kept with null perplexity. Otherwise null and empty texts are
+rejected. The perplexity of a document of several units is that of all its symbols.
+Repeated rows get the same verdict; rows without id or with a null label train
+nothing; very long texts are scored whole, piece by piece; an empty table gives
+an empty result; columns of the input that have our names stay as they are.
 """
 
 from __future__ import annotations
 
-import math
-import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybars.llm import kn_model
-from daybars.llm.common import fresh, materialize
+from daybars.llm.common import fresh, materialize, placed
 
-CLASSES = 64
-ORDER = 4
-LOW, HIGH = 0.0005, 0.995
+LOW, HIGH, PRIOR, UNITS = 0.0005, 0.995, 100, 8
 MAX_BROADCAST_IDS = 4_000_000   # 32 MB of trusted ids; beyond, a shuffled join
-_CHUNK = 1 << 20
-
-
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """Class of every code point; 0 is the boundary and no character."""
-    out = np.full(0x110000, 62, np.uint8)
-    named = {" ": 29, "\n": 30, ".": 31, ",": 32, "!": 33, "?": 34, "'": 35, '"': 35, "-": 36,
-             "(": 37, ")": 37, "[": 37, "]": 37, "{": 37, "}": 37}
-    for c in range(128):
-        ch = chr(c)
-        out[c] = (c - 96 if "a" <= ch <= "z" else 27 if "A" <= ch <= "Z" else 28 if ch.isdigit()
-                  else named.get(ch, 38 if 32 < c < 127 else 39))
-    for c in range(128, 0x110000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "L":
-            out[c] = 40 + c % 20 if kind == "Ll" else 60 if kind == "Lu" else 61
-    return out
-
-
-def grams(text: str) -> np.ndarray:
-    """The n-gram code at every character and at the end."""
-    s = classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int32)
-    s = np.concatenate((np.zeros(ORDER - 1, np.int32), s, np.zeros(1, np.int32)))
-    code = s[:len(s) - ORDER + 1]
-    for k in range(1, ORDER):
-        code = code * CLASSES + s[k:len(s) - ORDER + 1 + k]
-    return code
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all rows of the single text column."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            held: list[np.ndarray] = []
-            for i, t in enumerate(b.column(0)):
-                held.append(grams(t.as_py()))
-                if sum(map(len, held[-64:])) > _CHUNK or i % 512 == 511 or i == b.num_rows - 1:
-                    u, n = np.unique(np.concatenate(held), return_counts=True)
-                    codes, at = np.unique(np.concatenate((codes, u)), return_inverse=True)
-                    numbers = np.bincount(at, np.concatenate((numbers, n))).astype(np.int64)
-                    held = []
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(numbers)], schema=schema)
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """Log probability of each n-gram's last class after the others.
-
-    The highest order is filled one first class at a time, so the driver
-    holds the finished table (32 MB) and pieces of 1 MB.
-    """
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = materialize(levels[k + 1].groupBy((F.col("gram") % CLASSES ** k).alias("gram"))
-                                .agg(F.count("*").alias("n")), "kn-level")
-    lower = np.full(1, 1.0 / CLASSES, np.float32)
-    for k in range(1, ORDER):
-        lower = np.concatenate(list(_probabilities(*_level(levels[k]), lower, k)))
-    table = np.empty(CLASSES ** ORDER, np.float16)
-    size = CLASSES ** (ORDER - 1)
-    for c, part in enumerate(_probabilities(*_level(levels[ORDER]), lower, ORDER)):
-        table[c * size:(c + 1) * size] = np.log(np.maximum(part, 1e-30))
-    return table
-
-
-def _probabilities(share: pd.DataFrame, back: pd.DataFrame, lower: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Interpolated probabilities of order ``k``, for each first class.
-
-    An n-gram without its first class is an n-gram of the order below, so
-    ``lower`` is the same for every first class (order 1 has no context).
-    """
-    size, contexts = CLASSES ** (k - 1), CLASSES ** max(k - 2, 0)
-    share, back = share.sort_values("gram"), back.sort_values("ctx")
-    if k == 1:
-        part = np.full(CLASSES, lower[0] * (back["back"].iloc[0] if len(back) else 1.0), np.float32)
-        part[share["gram"]] += share["share"]
-        yield part
-        return
-    grams, values = share["gram"].to_numpy(), share["share"].to_numpy(np.float32)
-    ctx, weights = back["ctx"].to_numpy(), back["back"].to_numpy(np.float32)
-    for c in range(CLASSES):
-        a, b = np.searchsorted(grams, (c * size, (c + 1) * size))
-        i, j = np.searchsorted(ctx, (c * contexts, (c + 1) * contexts))
-        weight = np.ones(contexts, np.float32)
-        weight[ctx[i:j] - c * contexts] = weights[i:j]
-        part = np.repeat(weight, CLASSES) * lower
-        part[grams[a:b] - c * size] += values[a:b]
-        yield part
-
-
-def _level(counts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Discounted share of each n-gram, and the weight each context backs off."""
-    n = [x or 0 for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in range(1, 5)]).first()]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    d = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3)]
-    size = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    rows = counts.select("gram", "n", F.floor(F.col("gram") / CLASSES).cast("long").alias("ctx"), size.alias("d"))
-    ctx = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-    share = rows.join(ctx, "ctx").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
-    back = ctx.select("ctx", (F.col("held") / F.col("total")).alias("back"))
-    return share.toArrow().to_pandas(), back.toArrow().to_pandas()
-
-
-def perplexity(text: str | None, table: np.ndarray) -> float | None:
-    """Per character, over the whole text; None without characters."""
-    if not text:
-        return None
-    total, n = 0.0, 0
-    for at in range(0, len(text), _CHUNK):
-        piece = grams(text[max(0, at - ORDER + 1):at + _CHUNK])
-        piece = piece[at - max(0, at - ORDER + 1):] if at else piece
-        piece = piece if at + _CHUNK >= len(text) else piece[:-1]
-        total += float(table[piece].sum(dtype=np.float64))
-        n += len(piece)
-    return math.exp(-total / n)
+SALTS = 16
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -166,42 +44,83 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.where("text <> ''").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+def units(trusted: DataFrame) -> DataFrame:
+    """Trusted rows (doc_id, text, parts, ...) as their parts, with the number of
+    each as ``part``; empty ones are no units."""
+    size, parts = F.length("text"), F.col("parts")
+
+    def cut(k: Column) -> Column:
+        return F.floor(size * k / parts).cast("int")
+    rows = trusted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    k = F.col("part")
+    return rows.withColumn("text", F.substring(F.col("text"), cut(k) + 1, cut(k + 1) - cut(k))).where("text <> ''")
 
 
-def scored(docs: DataFrame, ids: DataFrame, ppl: str) -> tuple[DataFrame, bool] | None:
-    """``docs`` with perplexity, and whether no document was scored by a model
-    that had seen it; None without trusted text."""
-    texts = _trusted(docs, ids).select("text", kn_model.fold_of("doc_id").alias("fold"))
-    folds = texts.select("fold").distinct().count()
-    if not folds:
-        return None
-    if folds == 1:
-        texts = texts.withColumn("fold", F.lit(-1))     # nothing is left out
-    tables = kn_model.levels(materialize(kn_model.count_grams(texts), "kn-counts"))
-    return kn_model.score(docs, tables, ppl), folds > 1
+def fold_of(salt: int) -> Column:
+    return F.pmod(kn_model.fold_of("doc_id", salt) + F.col("part"), F.lit(kn_model.FOLDS)).cast("int")
+
+
+def limits_of(held: DataFrame, langs: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Limits of every language of ``held`` (lang, x: log perplexity of units), as
+    (lang, low, high), and those of languages it does not have. ``langs`` has
+    their numbers of trusted documents."""
+    def q(*shares: float) -> Column:
+        return F.percentile_approx("x", list(shares), 100_000)
+    low, high = held.agg(q(LOW, HIGH)).first()[0]
+    own = held.groupBy("lang").agg(q(LOW, 0.5, HIGH).alias("q"))
+    own = materialize(own.join(langs.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "n", "q"),
+                      "kn-languages")
+    median = own.select(F.col("lang").alias("l"), F.col("q")[1].alias("median"))
+    off = held.join(median, F.col("lang").eqNullSafe(F.col("l"))).select((F.col("x") - F.col("median")).alias("x"))
+    spread = off.agg(q(HIGH)).first()[0][0]
+    w = F.col("n") / (F.col("n") + PRIOR)
+    wide = F.col("q")[1] + F.lit(spread) * (1 + 1 / F.sqrt("n"))
+    return own.select("lang", (w * F.col("q")[0] + (1 - w) * F.least(F.col("q")[0], F.lit(low))).alias("low"),
+                      (w * F.col("q")[2] + (1 - w) * F.greatest(F.col("q")[2], wide)).alias("high")), [low, high]
 
 
 def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with perplexity and verdict."""
+    docs, place = placed(docs)
     ids = trusted_ids(labels)
-    got = scored(docs, ids, ppl)
-    if got is None:
-        return docs.select(columns).withColumn(ppl, F.lit(None).cast("double")).withColumn(keep, F.lit(True))
-    out = materialize(got[0].select(*columns, ppl), "kn-scored")
-    if not got[1]:
-        return out.withColumn(keep, F.col(ppl).isNotNull())
-    held = out.where(F.col(ppl).isNotNull()).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    quantiles = F.percentile_approx(ppl, [LOW, HIGH], 100_000)
-    every = held.agg(quantiles).first()[0]
-    lang, lo, hi = (fresh(out, c) for c in ("_lang", "_low", "_high"))
+    trusted = docs.where("text <> ''").join(ids, F.col("doc_id") == F.col("id")).select(*place, "doc_id", "lang", "text")
     # one row per language; Spark broadcasts it while it is small
-    limits = (held.where("lang IS NOT NULL").groupBy(F.col("lang").alias(lang)).agg(quantiles.alias("q"))
-              .select(lang, F.col("q")[0].alias(lo), F.col("q")[1].alias(hi)))
-    out = out.join(materialize(limits, "kn-limits"), F.col("lang") == F.col(lang), "left")
-    good = F.col(ppl).between(F.coalesce(F.col(lo), F.lit(every[0])), F.coalesce(F.col(hi), F.lit(every[1])))
-    return out.withColumn(keep, F.coalesce(good, F.lit(False))).drop(lang, lo, hi)
+    langs = materialize(trusted.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")), "kn-trusted").withColumn(
+        "parts", F.ceil(F.lit(float(UNITS)) / F.col("n")).cast("int"))
+    named = langs.select(F.col("lang").alias("l"), "parts")
+    parts = units(trusted.join(named, F.col("lang").eqNullSafe(F.col("l"))).drop("l"))
+    folds = parts.agg(*[F.count_distinct(fold_of(k)).alias(str(k)) for k in range(SALTS)]).first()
+    # a handful of units may all fall into one fold; then the next salt is taken
+    salt = next((k for k in range(SALTS) if folds[k] > 1), None)
+    if salt is None:
+        return docs.select(columns).withColumn(ppl, F.lit(None).cast("double")).withColumn(keep, F.lit(True))
+    parts = parts.withColumn("fold", fold_of(salt))
+    tables = kn_model.levels(materialize(kn_model.count_grams(parts.select("text", "fold")), "kn-counts"))
+
+    key, l, n, fold, held = (fresh(docs, c) for c in ("_id", "_l", "_n", "_fold", "_held"))
+    marked = docs.join(ids.withColumnRenamed("id", key), F.col("doc_id") == F.col(key), "left").join(
+        named.toDF(l, n), F.col(key).isNotNull() & F.col("lang").eqNullSafe(F.col(l)), "left")
+    whole = F.col(n).isNull()
+    marked = marked.withColumn(held, ~whole).withColumn(fold, F.when(whole, F.lit(kn_model.WHOLE)).otherwise(
+        kn_model.fold_of("doc_id", salt)))
+    one = marked.where(whole | (F.col(n) == 1) | ~F.coalesce(F.col("text") != "", F.lit(False)))
+    out = materialize(kn_model.score(one.drop(key, l, n), tables, ppl, F.col(fold), place).select(*columns, ppl, held), "kn-scored")
+    seen = out.where(F.col(held) & F.col(ppl).isNotNull()).select("lang", F.log(ppl).alias("x"))
+    if not langs.where(F.col("parts") > 1).isEmpty():
+        few = parts.where(F.col("parts") > 1).select("lang", "text", "fold", *[F.col(c).alias(f"{c}_of") for c in place])
+        few = materialize(kn_model.score(few, tables, "ppl", F.col("fold")).select(
+            "lang", *[f"{c}_of" for c in place], F.log("ppl").alias("x"), (F.length("text") + 1).alias("size")), "kn-parts")
+        seen = seen.unionByName(few.select("lang", "x"))
+        of = few.groupBy(*[F.col(f"{c}_of").alias(c) for c in place]).agg(
+            F.exp(F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias(ppl))
+        cut = marked.where((F.col(n) > 1) & (F.col("text") != ""))
+        out = out.unionByName(cut.join(of, place).select(*columns, ppl, held))
+    limits, other = limits_of(materialize(seen, "kn-seen"), langs)
+    lang, low, high = (fresh(out, c) for c in ("_lang", "_low", "_high"))
+    limits = materialize(limits.toDF(lang, low, high), "kn-limits")
+    out = out.join(limits, F.col("lang").eqNullSafe(F.col(lang)), "left")
+    good = F.log(ppl).between(F.coalesce(low, F.lit(other[0])), F.coalesce(high, F.lit(other[1])))
+    return out.withColumn(keep, F.coalesce(good, F.lit(False))).drop(held, lang, low, high)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

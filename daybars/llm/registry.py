@@ -83,8 +83,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back."""
     text = "</s>[INST] ok [/INST]"
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
-    return chat.report(rows.unionByName(extra))
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return chat.report(rows.unionByName(extra.select(*[F.col(c).cast(kind) for c, kind in rows.dtypes])))
 
 
 def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,30 @@ def test_both_arc_versions_and_damage():
         assert rows[0]["url"] == "http://with blank/x" and rows[0]["id"] == -12 and rows[0]["version"] == version
         assert rows[0]["arc_date"] == "20200102030405" and rows[0]["mime"] == "text/html"
         cut = list(arc_warc.arc_records(io.BytesIO(head + good + b"\n" + good[:-9])))
-        assert [r.get("error") for r in cut] == [None, "shorter than declared"]
+        assert [r.get("error") for r in cut] == [None, "declared length does not fit"]
         bad = list(arc_warc.arc_records(io.BytesIO(head + b"no length here x\n" + good)))
-        assert [r.get("error") for r in bad] == ["bad header line"]
+        assert [r.get("error") for r in bad] == ["bad header line", None]
     assert [r["error"] for r in arc_warc.arc_records(io.BytesIO(b"http://a 1 2 3 0\n"))] == ["no version block"]
 
 
+def test_good_records_around_a_damaged_one_are_converted(spark, tmp_path):
+    """Nine records; the second declares a length that is too long, too short, or none."""
+    def record(i, size=None):
+        body = f"HTTP/1.1 200 OK\r\nX-Page-Id: {i}\r\n\r\npage {i}\nof http://x/y 1.2.3.4\n".encode()
+        return f"http://a/{i} 1.2.3.4 {'2020' if i == 3 else '20200102030405'} text/html {len(body) if size is None else size}\n".encode() + body + b"\n"
+    for k, size in enumerate((5_000, 10, 150, "x")):
+        arc, warc = tmp_path / f"arc{k}", scratch_dir(spark, "warc-damaged")
+        arc.mkdir()
+        data = arc_warc._version_block(1).encode() + b"".join(record(i, size if i == 2 else None) for i in range(1, 10))
+        (arc / "a.arc").write_bytes(data)
+        (arc / "b.arc.gz").write_bytes(gzip.compress(data))
+        errors = arc_warc.arc_to_warc(spark, str(arc), warc).collect()
+        assert sorted(r["file"] for r in errors) == ["a.arc", "b.arc.gz"], errors
+        got = arc_warc.read_warc(spark, warc).collect()
+        assert sorted(r["id"] for r in got) == sorted([1, 3, 4, 5, 6, 7, 8, 9] * 2) and not any(r["error"] for r in got)
+        assert {r["date"] for r in got if r["id"] == 3} == {"2020-01-01T00:00:00Z"}
+
+
 def test_not_http_becomes_resource(spark, tmp_path):
     arc, warc = tmp_path / "arc", scratch_dir(spark, "warc-plain")
     arc.mkdir()
@@ -229,3 +247,14 @@ def test_mixing_replaces_clashing_columns(odd_docs):
     got = mixing.mix(odd_docs.withColumn("taken", F.lit("mine")).withColumn("draw", F.lit(1)).withColumn("words", F.lit("w")))
     assert got.columns == [*odd_docs.columns, "draw", "words", *mixing.ADDED]
     assert dict(got.dtypes)["taken"] == "bigint" and got.count() == len(ODD) == len(texts_of(got))
+
+
+def test_rows_without_id_spread_and_reruns_agree(spark):
+    """20,000 rows without id, and repeated rows that differ in another column only."""
+    docs = spark.createDataFrame([(None, f"words of text {i} here", "a", i) for i in range(20_000)]
+                                 + [(5, "the same text", "b", i) for i in range(300)], "doc_id long, text string, source string, note int")
+    one = mixing.mix(docs)
+    assert sorted((r["note"], r["source"], r["taken"]) for r in one.collect()) == sorted(
+        (r["note"], r["source"], r["taken"]) for r in mixing.mix(docs.repartition(7)).collect())
+    draws = docs.where("source = 'a'").select(F.md5(F.concat(F.lit("mix-1::"), F.md5("text"))).alias("d")).distinct().count()
+    assert draws == 20_000
