@@ -12,11 +12,11 @@ There is one model for each fold of the trusted documents, counted on the
 text of the other folds, so that no document is scored by a model that has
 seen it, and one (``WHOLE``) on all trusted text, for all other documents.
 
-To score, documents are dealt into chunks by their place in the files they are
-read from (file, row number, length, model); the distinct n-grams of each
-chunk are collected where the rows are read and joined with the tables, and
-each chunk is scored with the log probabilities that came back for it. A text
-crosses the network once, to meet them.
+To score, documents are read in the order of their files and dealt into chunks
+of consecutive rows. The distinct n-grams of each chunk are collected where the
+rows are read and joined with the tables of all models, and each chunk is scored
+with the log probabilities that came back for it. A text crosses the network
+once, to meet them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybars.llm.common import fresh, materialize, placed
+from daybars.llm.common import fresh, materialize
 
 ORDER = 4
 FOLDS = 4
@@ -39,9 +39,9 @@ WHOLE = FOLDS               # the model that leaves nothing out
 #: Counts of counts of little text may call for no discount at all; then nothing
 #: would be left for what was never seen.
 MIN_DISCOUNT = 0.1
-#: A chunk has at most CHUNK_ROWS texts of at most SHORT characters, or half as many
-#: of twice the length, and so on: CHUNK_ROWS * SHORT characters, or one text.
-SHORT, CHUNK_ROWS = 128, 1 << 16
+#: A chunk ends before it has more characters or rows than this; a longer text is
+#: one of its own.
+CHUNK_CHARS, CHUNK_ROWS = 16_000_000, 1 << 16
 _BITS = 21
 _SYMBOL = (1 << _BITS) - 1
 _LOW = 0xFFFF | 0xFFFF << _BITS | 0xFFFF << 2 * _BITS
@@ -81,29 +81,29 @@ def distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Lookup:
-    """Log probabilities of the n-grams that a chunk asked for."""
+    """Log probabilities, by model, of the n-grams that a chunk asked for."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, logp: np.ndarray) -> None:
+    def __init__(self, h: np.ndarray, c: np.ndarray, logp: list[np.ndarray]) -> None:
         key = _key(h, c)
         self.small = key is not None
         if key is None:
             self.contexts = np.unique(h)
             key = self._wide(h, c)
         order = np.argsort(key)
-        self.key, self.logp = key[order], logp[order]
+        self.key, self.logp = key[order], [x[order] for x in logp]
 
     def _wide(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.contexts, h).astype(np.int64) << _BITS | c
 
-    def total(self, h: np.ndarray, c: np.ndarray) -> float:
+    def total(self, h: np.ndarray, c: np.ndarray, fold: int) -> float:
         key = _key(h, c) if self.small else self._wide(h, c)
-        return float(self.logp[np.searchsorted(self.key, key)].sum())
+        return float(self.logp[fold][np.searchsorted(self.key, key)].sum())
 
-    def perplexity(self, text: str | None) -> float | None:
+    def perplexity(self, text: str | None, fold: int) -> float | None:
         """Per symbol, over the whole text; None without characters."""
         if not text:
             return None
-        return math.exp(-sum(self.total(h, c) for h, c in windows(text)) / (len(text) + 1))
+        return math.exp(-sum(self.total(h, c, fold) for h, c in windows(text)) / (len(text) + 1))
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -187,61 +187,63 @@ def probabilities(tables: dict[int, DataFrame], wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _chunk_of(file: str, row: str, fold: Column) -> Column:
-    """The chunk of a row; its last three bits are the model. It follows from
-    where the row is stored, so it is the same in every pass, and equal rows lie
-    apart."""
-    size = F.ceil(F.log2(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(SHORT)) / SHORT)).cast("int")
-    rows = F.greatest(F.floor(F.lit(float(CHUNK_ROWS)) / F.pow(F.lit(2.0), size)), F.lit(1))
-    place = F.xxhash64(file, size, F.floor(F.col(row) / rows), fold)
-    return F.shiftleft(F.shiftright(place, 3), 3).bitwiseOR(fold.cast("long"))
-
-
-def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: Column, place: list[str] | None = None) -> DataFrame:
-    """``docs`` with the perplexity of ``text`` as column ``name``, by the model
-    that ``fold`` names. ``place`` names the columns of :func:`placed`, if
-    ``docs`` has them; they are dropped."""
-    if place is None:
-        docs, place = placed(docs)
-    columns = [c for c in docs.columns if c not in place]
-    chunk = fresh(docs, "_chunk")
-    dealt = docs.withColumn(chunk, _chunk_of(*place, fold)).select(*columns, chunk)
-    asked_schema = pa.schema([("chunk", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
-
-    def emit(own: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, c, _ = distinct(*map(np.concatenate, zip(*held)))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), own, np.int64)), pa.array(h), pa.array(c)], schema=asked_schema)
+def asked_of(docs: DataFrame, place: list[str]) -> DataFrame:
+    """(file, start, h, c): the distinct n-grams of each chunk, a chunk being the
+    rows of a file from ``start`` to the next start. Pass rows as they are read;
+    every chunk has a row, be it without text."""
+    schema = pa.schema([("file", pa.int64()), ("start", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct n-grams of each chunk, once for each task that has rows of it."""
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        loose: dict[int, int] = {}                      # windows since a chunk was last reduced to distinct ones
+        file = start = None
+        chars = rows = loose = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def emit() -> pa.RecordBatch:
+            h, c, _ = distinct(*map(np.concatenate, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, np.int64)) for x in (file, start)]
+                                              + [pa.array(h), pa.array(c)], schema=schema)
         for b in batches:
-            for text, own in zip(b.column(0), b.column(1).to_pylist()):
-                text = text.as_py()
+            for of, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = text.as_py() or ""
+                if of != file or rows == CHUNK_ROWS or chars + len(text) > CHUNK_CHARS:
+                    if file is not None:
+                        yield emit()
+                    file, start, chars, rows, loose = of, row, 0, 0, 0
+                    held = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+                chars, rows = chars + len(text), rows + 1
                 for w in windows(text) if text else ():
-                    held.setdefault(own, []).append(w)
-                    loose[own] = loose.get(own, 0) + len(w[0])
-                    if loose[own] > _PIECE:
-                        held[own], loose[own] = [distinct(*map(np.concatenate, zip(*held[own])))[:2]], 0
-                if sum(loose.values()) > 8 * _PIECE:    # many chunks with a little each
-                    for k in held:
-                        held[k], loose[k] = [distinct(*map(np.concatenate, zip(*held[k])))[:2]], 0
-                    if sum(len(x[0][0]) for x in held.values()) > 8 * _PIECE:
-                        for k in list(held):
-                            yield emit(k, held.pop(k))
-        for k in list(held):
-            yield emit(k, held.pop(k))
+                    held.append(w)
+                    loose += len(w[0])
+                    if loose > _PIECE:
+                        held, loose = [distinct(*map(np.concatenate, zip(*held)))[:2]], 0
+        if file is not None:
+            yield emit()
+    return materialize(docs.select(*place, "text").mapInArrow(ask, "file long, start long, h long, c long"), "kn-asked")
+
+
+def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: str, place: list[str], asked: DataFrame) -> DataFrame:
+    """``docs`` with the perplexity of ``text`` as column ``name``, by the model
+    that ``fold`` names. ``docs`` are rows of what ``asked`` was collected from,
+    perhaps joined since, with the columns ``place`` of ``common.placed``; these and
+    ``fold`` are dropped."""
+    file, row = place
+    columns = [c for c in docs.columns if c not in (*place, fold)]
+    key, starts, start = (fresh(docs, c) for c in ("_file_of", "_starts", "_start"))
+    # one row per file, so broadcast while its size allows
+    chunks = materialize(asked.groupBy(F.col("file").alias(key)).agg(F.sort_array(F.collect_set("start")).alias(starts)), "kn-chunks")
+    own = F.element_at(F.filter(starts, lambda s: s <= F.col(row)), -1)
+    dealt = docs.join(chunks, F.col(file) == F.col(key)).withColumn(start, own).select(*columns, fold, file, start)
+
+    models = range(FOLDS + 1)
+    wanted = materialize(asked.select("h", "c").distinct().select(F.explode(F.array(*map(F.lit, models))).alias("fold"), "h", "c"), "kn-wanted")
+    known = probabilities(tables, wanted).groupBy("h", "c").agg(
+        *[F.max(F.when(F.col("fold") == k, F.log("p"))).cast("float").alias(f"p{k}") for k in models])
+    back = asked.join(materialize(known, "kn-known"), ["h", "c"])
 
     def apply(table: pa.Table, got: pa.Table) -> pa.Table:
-        look = Lookup(*(got.column(x).to_numpy() for x in ("h", "c", "logp"))) if got.num_rows else None
-        values = [look.perplexity(t.as_py()) if look else None for t in table.column("text")]
+        columns_ = [got.column(x).to_numpy() for x in ("h", "c")]
+        look = Lookup(*columns_, [got.column(f"p{k}").to_numpy().astype(np.float64) for k in models])
+        values = [look.perplexity(t.as_py(), f) for t, f in zip(table.column("text"), table.column(fold).to_pylist())]
         return table.select(columns).append_column(name, pa.array(values, pa.float64()))
-
-    asked = materialize(dealt.select("text", chunk).mapInArrow(ask, "chunk long, h long, c long"), "kn-asked")
-    asked = asked.withColumn("fold", F.col("chunk").bitwiseAND(F.lit(7)).cast("int"))
-    wanted = materialize(asked.select("fold", "h", "c").distinct(), "kn-wanted")
-    known = materialize(probabilities(tables, wanted), "kn-known")
-    back = asked.join(known, ["fold", "h", "c"]).select("chunk", "h", "c", F.log("p").alias("logp"))
     schema = T.StructType([*docs.select(columns).schema.fields, T.StructField(name, T.DoubleType())])
-    return dealt.groupBy(chunk).cogroup(back.groupBy("chunk")).applyInArrow(apply, schema)
+    return dealt.groupBy(file, start).cogroup(back.groupBy("file", "start")).applyInArrow(apply, schema)

@@ -96,6 +96,7 @@ def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: l
         return docs.select(columns).withColumn(ppl, F.lit(None).cast("double")).withColumn(keep, F.lit(True))
     parts = parts.withColumn("fold", fold_of(salt))
     tables = kn_model.levels(materialize(kn_model.count_grams(parts.select("text", "fold")), "kn-counts"))
+    asked = kn_model.asked_of(docs, place)
 
     key, l, n, fold, held = (fresh(docs, c) for c in ("_id", "_l", "_n", "_fold", "_held"))
     marked = docs.join(ids.withColumnRenamed("id", key), F.col("doc_id") == F.col(key), "left").join(
@@ -104,11 +105,13 @@ def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: l
     marked = marked.withColumn(held, ~whole).withColumn(fold, F.when(whole, F.lit(kn_model.WHOLE)).otherwise(
         kn_model.fold_of("doc_id", salt)))
     one = marked.where(whole | (F.col(n) == 1) | ~F.coalesce(F.col("text") != "", F.lit(False)))
-    out = materialize(kn_model.score(one.drop(key, l, n), tables, ppl, F.col(fold), place).select(*columns, ppl, held), "kn-scored")
+    wanted = list(dict.fromkeys([*columns, "text", held, fold, *place]))
+    out = materialize(kn_model.score(one.select(*wanted), tables, ppl, fold, place, asked).select(*columns, ppl, held), "kn-scored")
     seen = out.where(F.col(held) & F.col(ppl).isNotNull()).select("lang", F.log(ppl).alias("x"))
     if not langs.where(F.col("parts") > 1).isEmpty():
         few = parts.where(F.col("parts") > 1).select("lang", "text", "fold", *[F.col(c).alias(f"{c}_of") for c in place])
-        few = materialize(kn_model.score(few, tables, "ppl", F.col("fold")).select(
+        few, at = placed(materialize(few, "kn-few"))
+        few = materialize(kn_model.score(few, tables, "ppl", "fold", at, kn_model.asked_of(few, at)).select(
             "lang", *[f"{c}_of" for c in place], F.log("ppl").alias("x"), (F.length("text") + 1).alias("size")), "kn-parts")
         seen = seen.unionByName(few.select("lang", "x"))
         of = few.groupBy(*[F.col(f"{c}_of").alias(c) for c in place]).agg(

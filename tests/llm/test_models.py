@@ -99,12 +99,14 @@ def test_code_points_match_the_definition(spark):
     trained = docs.where("text <> '' AND doc_id IS NOT NULL").select("text", kn_model.fold_of("doc_id").alias("fold"))
     tables = kn_model.levels(kn_model.count_grams(trained))
     whole = F.col("doc_id").isNull() | (F.col("doc_id") % 3 == 0)           # as if these were not trusted
-    got = kn_model.score(docs, tables, "ppl", F.when(whole, kn_model.WHOLE).otherwise(kn_model.fold_of("doc_id"))).collect()
+    rows, place = placed(docs)
+    marked = rows.withColumn("f", F.when(whole, kn_model.WHOLE).otherwise(kn_model.fold_of("doc_id")))
+    got = kn_model.score(marked, tables, "ppl", "f", place, kn_model.asked_of(rows, place)).collect()
     assert len(got) == len(texts) + 3
     for r in got:
         out = None if r["doc_id"] is None or r["doc_id"] % 3 == 0 else fold[r["doc_id"]]
         want = code_point_reference([t for i, t in enumerate(texts) if fold[i] != out])
-        assert r["ppl"] is None if not r["text"] else math.isclose(r["ppl"], want(r["text"]), rel_tol=1e-9)
+        assert r["ppl"] is None if not r["text"] else math.isclose(r["ppl"], want(r["text"]), rel_tol=1e-6)
 
 
 def test_scrambled_chinese_is_told_apart(spark):
@@ -171,19 +173,28 @@ def test_one_fold_is_never_all(spark):
     assert {(r["keep"], r["perplexity"]) for r in got.collect()} == {(True, None)}
 
 
-def test_repeated_rows_and_files_lie_in_many_chunks(spark, tmp_path):
-    rows = [(1, "the same row again", "en")] * 3_000 + [(2, "z" * 200_000, "en"), (3, None, "en")]
+def test_chunks_are_bounded(spark, tmp_path, monkeypatch):
+    """Repeated rows and long texts lie in many chunks, and the result is the same."""
+    from functools import partial
+
+    rows = [(1, "the same row again", "en")] * 300 + [(2, "z" * 2_000, "en"), (3, None, "en"), (4, "", "en")] + [
+        (10 + i, f"some words of text number {i}", "en") for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/d")
     docs, place = placed(spark.read.parquet(f"{tmp_path}/d"))
-    chunk = kn_model._chunk_of(*place, F.lit(kn_model.WHOLE))
-    before = kn_model.CHUNK_ROWS
-    try:
-        kn_model.CHUNK_ROWS = 1 << 8
-        n = docs.select(kn_model._chunk_of(*place, F.lit(2)).alias("c")).groupBy("c").count().collect()
-    finally:
-        kn_model.CHUNK_ROWS = before
-    assert max(r["count"] for r in n) <= 256 and len(n) >= 12 and {r["c"] & 7 for r in n} == {2}
-    assert docs.select(chunk.alias("c")).distinct().count() == 2
+    tables = kn_model.levels(kn_model.count_grams(docs.where("doc_id >= 10").select("text", kn_model.fold_of("doc_id").alias("fold"))))
+    asked = partial(kn_model.asked_of, docs, place)
+
+    def scores(found):
+        marked = docs.withColumn("f", F.lit(kn_model.WHOLE))
+        return sorted((r["doc_id"], r["ppl"] or 0) for r in kn_model.score(marked, tables, "ppl", "f", place, found).collect())
+    one = asked()
+    assert one.select("file", "start").distinct().count() == 1
+    monkeypatch.setattr(kn_model, "CHUNK_ROWS", 50)
+    by_rows = asked()
+    monkeypatch.setattr(kn_model, "CHUNK_CHARS", 500)
+    by_chars = asked()
+    assert by_rows.select("start").distinct().count() == 7 and by_chars.select("start").distinct().count() >= 13
+    assert scores(one) == scores(by_rows) == scores(by_chars) and len(scores(one)) == len(rows)
 
 
 # language ID
