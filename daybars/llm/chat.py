@@ -14,7 +14,8 @@ the empty string. Rows without conv_id form one conversation of their own.
 Unknown roles are formatted without loss and make a conversation invalid.
 An empty table gives an empty result. A conversation is one output row by
 its nature (its digest and formatted text are single values); rows are
-gathered with map-side combine.
+gathered with map-side combine. Very long texts and conversations take time
+in proportion to their length; other columns are not read.
 """
 
 from __future__ import annotations

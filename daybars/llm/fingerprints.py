@@ -14,7 +14,9 @@ Null and empty texts have fingerprint 0. The next document of a row is the
 one with the next larger doc_id (after the largest: the smallest); of
 several rows with that id, the one with the smallest text hash. A row without
 doc_id stands outside the order and is followed by the smallest id, or by
-itself if no row has an id. Equal rows get equal results, one row each.
+itself if no row has an id. Equal rows get equal results, one row each. Very
+long texts are split whole into words; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations

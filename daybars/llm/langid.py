@@ -11,7 +11,9 @@ calibrates the scores. Prediction runs in Arrow batches over whole texts.
 Training uses documents that have an id, a language and a letter. A null
 text, or one without a letter, is ``und`` with score 0. Without any training
 document every text is ``und``; with one language, that one. Repeated rows
-get the same prediction; the language of a row never enters its own.
+get the same prediction; the language of a row never enters its own. Very long
+texts are counted whole, piece by piece. An empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations

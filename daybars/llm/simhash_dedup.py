@@ -9,7 +9,9 @@ checked on the pair before the full bit count.
 
 Nulls and empty texts have fingerprint 0 and link like any other; equal rows
 share their fingerprint; a null doc_id never names a component unless no
-row of the component has an id. An empty table gives an empty result.
+row of the component has an id. Very long texts are hashed whole, slice by slice.
+An empty table gives an empty result; columns of the input that have our names
+stay as they are.
 """
 
 from __future__ import annotations
