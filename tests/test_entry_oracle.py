@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__ as E
 from daybars.adapters import TABLES
-from daybars.plans import registry
+from daybars.plans import registry, registry_incremental
 from tests.conftest import SF_SMALL
 from tools.check_oracle import digest
 
-NAMES = sorted(registry.QUERIES)
+NAMES = sorted(registry.QUERIES | registry_incremental.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(registry.oracle()) == set(NAMES) <= set(E.queries())
+    assert set(registry.oracle() | registry_incremental.oracle()) == set(NAMES) <= set(E.queries())
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
