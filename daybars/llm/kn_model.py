@@ -16,7 +16,7 @@ To score, documents are read in the order of their files and dealt into chunks
 of consecutive rows. The distinct n-grams of each chunk are collected where the
 rows are read and joined with the tables of all models, and each chunk is scored
 with the log probabilities that came back for it. A text crosses the network
-once, to meet them.
+once, to meet them, and compressed.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import arrow_udf
 
 from daybars.llm.common import fresh, materialize
 
 ORDER = 4
-FOLDS = 4
+FOLDS = 2
 ALPHABET = 0x110000 + 1     # every code point, and the boundary
 WHOLE = FOLDS               # the model that leaves nothing out
 #: Counts of counts of little text may call for no discount at all; then nothing
@@ -221,18 +223,25 @@ def asked_of(docs: DataFrame, place: list[str]) -> DataFrame:
     return materialize(docs.select(*place, "text").mapInArrow(ask, "file long, start long, h long, c long"), "kn-asked")
 
 
-def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: str, place: list[str], asked: DataFrame) -> DataFrame:
-    """``docs`` with the perplexity of ``text`` as column ``name``, by the model
-    that ``fold`` names. ``docs`` are rows of what ``asked`` was collected from,
-    perhaps joined since, with the columns ``place`` of ``common.placed``; these and
-    ``fold`` are dropped."""
+@arrow_udf(T.BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    press = zstandard.ZstdCompressor(level=3)
+    return pa.array([press.compress(t.as_py().encode()) if t.is_valid else None for t in texts], pa.binary())
+
+
+def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: str, place: list[str], asked: DataFrame,
+          columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with the perplexity of ``text`` as column ``name``, by
+    the model that ``fold`` names. ``docs`` are rows of what ``asked`` was collected
+    from, perhaps joined since, with the columns ``place`` of ``common.placed``."""
     file, row = place
-    columns = [c for c in docs.columns if c not in (*place, fold)]
+    sent = [c for c in columns if c != "text"]
+    pack = fresh(docs, "_packed")
     key, starts, start = (fresh(docs, c) for c in ("_file_of", "_starts", "_start"))
     # one row per file, so broadcast while its size allows
     chunks = materialize(asked.groupBy(F.col("file").alias(key)).agg(F.sort_array(F.collect_set("start")).alias(starts)), "kn-chunks")
     own = F.element_at(F.filter(starts, lambda s: s <= F.col(row)), -1)
-    dealt = docs.join(chunks, F.col(file) == F.col(key)).withColumn(start, own).select(*columns, fold, file, start)
+    dealt = docs.join(chunks, F.col(file) == F.col(key)).withColumn(start, own).select(*sent, _packed("text").alias(pack), fold, file, start)
 
     models = range(FOLDS + 1)
     wanted = materialize(asked.select("h", "c").distinct().select(F.explode(F.array(*map(F.lit, models))).alias("fold"), "h", "c"), "kn-wanted")
@@ -241,9 +250,12 @@ def score(docs: DataFrame, tables: dict[int, DataFrame], name: str, fold: str, p
     back = asked.join(materialize(known, "kn-known"), ["h", "c"])
 
     def apply(table: pa.Table, got: pa.Table) -> pa.Table:
-        columns_ = [got.column(x).to_numpy() for x in ("h", "c")]
-        look = Lookup(*columns_, [got.column(f"p{k}").to_numpy().astype(np.float64) for k in models])
-        values = [look.perplexity(t.as_py(), f) for t, f in zip(table.column("text"), table.column(fold).to_pylist())]
-        return table.select(columns).append_column(name, pa.array(values, pa.float64()))
+        look = Lookup(got.column("h").to_numpy(), got.column("c").to_numpy(),
+                      [got.column(f"p{k}").to_numpy().astype(np.float64) for k in models])
+        press = zstandard.ZstdDecompressor()
+        texts = [press.decompress(t.as_py()).decode() if t.is_valid else None for t in table.column(pack)]
+        values = [look.perplexity(t, f) for t, f in zip(texts, table.column(fold).to_pylist())]
+        out = [pa.array(texts, pa.string()) if c == "text" else table.column(c) for c in columns]
+        return pa.Table.from_arrays([*out, pa.array(values, pa.float64())], [*columns, name])
     schema = T.StructType([*docs.select(columns).schema.fields, T.StructField(name, T.DoubleType())])
     return dealt.groupBy(file, start).cogroup(back.groupBy("file", "start")).applyInArrow(apply, schema)

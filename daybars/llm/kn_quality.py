@@ -1,10 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney over code points.
 
 ``kn_model`` counts n-grams of order 4 on trusted text (labelled good and not
-toxic). Trusted text is left out of the model by units and four folds: a unit is a
+toxic). Trusted text is left out of the model by units and two folds: a unit is a
 document, or a part of one where a language has fewer than ``UNITS`` trusted
 documents (ceil(UNITS / n) equal parts each). A unit is scored by the model of
-the folds it is not in; documents that are not trusted by the model of all trusted
+the fold it is not in; documents that are not trusted by the model of all trusted
 text. A document is kept if its log perplexity lies between two limits of its
 language.
 
@@ -105,14 +105,15 @@ def classify(docs: DataFrame, labels: DataFrame, ppl: str, keep: str, columns: l
     marked = marked.withColumn(held, ~whole).withColumn(fold, F.when(whole, F.lit(kn_model.WHOLE)).otherwise(
         kn_model.fold_of("doc_id", salt)))
     one = marked.where(whole | (F.col(n) == 1) | ~F.coalesce(F.col("text") != "", F.lit(False)))
-    wanted = list(dict.fromkeys([*columns, "text", held, fold, *place]))
-    out = materialize(kn_model.score(one.select(*wanted), tables, ppl, fold, place, asked).select(*columns, ppl, held), "kn-scored")
+    out = materialize(kn_model.score(one, tables, ppl, fold, place, asked, [*columns, held]).select(*columns, ppl, held), "kn-scored")
     seen = out.where(F.col(held) & F.col(ppl).isNotNull()).select("lang", F.log(ppl).alias("x"))
     if not langs.where(F.col("parts") > 1).isEmpty():
         few = parts.where(F.col("parts") > 1).select("lang", "text", "fold", *[F.col(c).alias(f"{c}_of") for c in place])
         few, at = placed(materialize(few, "kn-few"))
-        few = materialize(kn_model.score(few, tables, "ppl", "fold", at, kn_model.asked_of(few, at)).select(
-            "lang", *[f"{c}_of" for c in place], F.log("ppl").alias("x"), (F.length("text") + 1).alias("size")), "kn-parts")
+        of = ["lang", *[f"{c}_of" for c in place], "size"]
+        few = few.withColumn("size", F.length("text") + 1)
+        few = materialize(kn_model.score(few, tables, "ppl", "fold", at, kn_model.asked_of(few, at), of).select(
+            *of, F.log("ppl").alias("x")), "kn-parts")
         seen = seen.unionByName(few.select("lang", "x"))
         of = few.groupBy(*[F.col(f"{c}_of").alias(c) for c in place]).agg(
             F.exp(F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias(ppl))

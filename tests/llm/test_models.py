@@ -101,7 +101,7 @@ def test_code_points_match_the_definition(spark):
     whole = F.col("doc_id").isNull() | (F.col("doc_id") % 3 == 0)           # as if these were not trusted
     rows, place = placed(docs)
     marked = rows.withColumn("f", F.when(whole, kn_model.WHOLE).otherwise(kn_model.fold_of("doc_id")))
-    got = kn_model.score(marked, tables, "ppl", "f", place, kn_model.asked_of(rows, place)).collect()
+    got = kn_model.score(marked, tables, "ppl", "f", place, kn_model.asked_of(rows, place), docs.columns).collect()
     assert len(got) == len(texts) + 3
     for r in got:
         out = None if r["doc_id"] is None or r["doc_id"] % 3 == 0 else fold[r["doc_id"]]
@@ -186,7 +186,7 @@ def test_chunks_are_bounded(spark, tmp_path, monkeypatch):
 
     def scores(found):
         marked = docs.withColumn("f", F.lit(kn_model.WHOLE))
-        return sorted((r["doc_id"], r["ppl"] or 0) for r in kn_model.score(marked, tables, "ppl", "f", place, found).collect())
+        return sorted((r["doc_id"], r["ppl"] or 0) for r in kn_model.score(marked, tables, "ppl", "f", place, found, ["doc_id", "text", "lang"]).collect())
     one = asked()
     assert one.select("file", "start").distinct().count() == 1
     monkeypatch.setattr(kn_model, "CHUNK_ROWS", 50)
