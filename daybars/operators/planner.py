@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WINDOW_DAYS = 100
 INITIAL_DAYS = 500
 MIN_DAYS, MAX_DAYS = 1, 2000
+INTERVALS_PER_TASK = 1_000_000      # of the coverage, see _uncovered
 
 
 def _date(d) -> _dt.date:
@@ -120,22 +121,35 @@ def plan_mode_counts(master: DataFrame, bars: DataFrame, as_of) -> DataFrame:
                   F.sum(n_win).cast("bigint").alias("n_windows")))
 
 
-def interval_difference(wanted: DataFrame, covered: DataFrame) -> DataFrame:
-    """(code, start, end): the days of ``wanted`` that ``covered`` does not
-    hold, as maximal intervals.
+def _signed(df: DataFrame, wanted, covers) -> DataFrame:
+    """``df`` (code, start, end) as intervals that count ``wanted`` times as wanted
+    and ``covers`` times as covered; empty ones (start > end) are gone."""
+    return (df.where(F.col("start") <= F.col("end"))
+              .select("code", "start", "end", wanted.cast("int").alias("w"), covers.cast("int").alias("c")))
 
-    Both are sets of (code, start, end), days inclusive, which may overlap,
-    touch and repeat; empty intervals (start > end) count for nothing. Every
-    interval is two signed steps; steps of one day are added up before the
-    shuffle, so repeated fetches of a hot code shrink to one row per day, and
-    running sums per code say where something is wanted and nothing covers.
+
+def _uncovered(signed: DataFrame) -> DataFrame:
+    """(code, start, end): the days that an interval of ``signed`` wants and none
+    covers, as maximal intervals.
+
+    The intervals are written, so that their number is known, and dealt out by
+    code over partitions of about ``INTERVALS_PER_TASK`` at most. The number is given as
+    such: intervals are made from a few bytes a code, so neither the size of what they
+    are made from nor their own, compressed, says how many meet in a task.
+
+    Every interval is two signed steps; steps of one day are added up first, so
+    repeated fetches shrink to one row per day, and running sums per code say
+    where something is wanted and nothing covers.
     """
-    def steps(df, w, c):
-        real = df.where(F.col("start") <= F.col("end"))
-        return (real.select("code", F.col("start").alias("day"), F.lit(w).alias("w"), F.lit(c).alias("c"))
-                    .unionByName(real.select("code", F.date_add("end", 1).alias("day"), F.lit(-w).alias("w"), F.lit(-c).alias("c"))))
-    at = (steps(wanted, 1, 0).unionByName(steps(covered, 0, 1))
-          .groupBy("code", "day").agg(F.sum("w").alias("w"), F.sum("c").alias("c")))
+    from daybars.sources.tables import counted
+
+    signed, n = counted(signed, "intervals")
+    n_tasks = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // INTERVALS_PER_TASK))
+    step = F.explode(F.array(
+        F.struct(F.col("start").alias("day"), F.col("w").alias("w"), F.col("c").alias("c")),
+        F.struct(F.date_add("end", 1).alias("day"), (-F.col("w")).alias("w"), (-F.col("c")).alias("c"))))
+    at = (signed.repartition(n_tasks, "code").select("code", step.alias("s")).select("code", "s.*")
+                .groupBy("code", "day").agg(F.sum("w").alias("w"), F.sum("c").alias("c")))
     order = Window.partitionBy("code").orderBy("day")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # after the last step nothing is wanted, so every opening has its closing
@@ -146,6 +160,16 @@ def interval_difference(wanted: DataFrame, covered: DataFrame) -> DataFrame:
                  .where("gap").select("code", "start", "end"))
 
 
+def interval_difference(wanted: DataFrame, covered: DataFrame) -> DataFrame:
+    """(code, start, end): the days of ``wanted`` that ``covered`` does not
+    hold, as maximal intervals.
+
+    Both are sets of (code, start, end), days inclusive, which may overlap,
+    touch and repeat; empty intervals (start > end) count for nothing.
+    """
+    return _uncovered(_signed(wanted, F.lit(1), F.lit(0)).unionByName(_signed(covered, F.lit(0), F.lit(1))))
+
+
 def gap_windows(ranges: DataFrame, coverage: DataFrame, mode: str = "gap") -> DataFrame:
     """Windows for every required day that no answered window covers.
 
@@ -174,9 +198,12 @@ def replan_failed(plan: DataFrame, coverage: DataFrame, master: DataFrame) -> Da
 
     ``coverage`` is (code, seg_start, seg_end, answered). Days that failed
     several times are planned once; days answered since, by whatever window,
-    are not planned again.
+    are not planned again. The codes meet the master after their windows have been
+    dealt out, not before.
     """
-    asked = coverage.join(master.select("code"), "code", "left_semi")
-    failed = asked.where(~F.col("answered")).select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
-    held = asked.where("answered").select("code", "seg_start", "seg_end").unionByName(plan.select("code", "seg_start", "seg_end"))
-    return plan.unionByName(gap_windows(failed, held).select(*plan.columns))
+    asked = coverage.where("answered IS NOT NULL").select(
+        "code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "answered")
+    planned = plan.select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    gaps = _uncovered(_signed(asked, ~F.col("answered"), F.col("answered"))
+                      .unionByName(_signed(planned, F.lit(0), F.lit(1)))).join(master.select("code"), "code", "left_semi")
+    return plan.unionByName(_windows(gaps.withColumn("mode", F.lit("gap")).select("code", "mode", "start", "end")).select(*plan.columns))

@@ -206,6 +206,17 @@ def materialised(df: DataFrame, tbl: str, checks: dict[str, Column] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, tbl: str) -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder, and its number of rows as counted by
+    the write itself."""
+    from daybars.session import scratch_dir
+
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, tbl)
+    seen = Observation(f"counted-{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(seen.get["n_rows"])
+
+
 # ------------------------------------------------------------------ features
 def refresh_feature_months(spark: SparkSession, features_root: str, bars: DataFrame,
                            changes: DataFrame, schema: StructType,

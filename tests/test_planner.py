@@ -173,3 +173,30 @@ def test_failed_stretch_of_many_days_is_cut_into_windows(spark):
     cov = spark.createDataFrame([("a", D(2025, 1, 1), D(2025, 4, 10), False, 0), ("a", D(2025, 3, 1), D(2025, 6, 8), False, 0)], COVERAGE)
     got = windows(replan_failed(plan, cov, master))["a"]
     assert got == [(D(2025, 3, 1), D(2025, 6, 8)), (D(2025, 1, 1), D(2025, 2, 28))]
+
+
+def test_intervals_meet_in_tasks_by_their_number(spark, monkeypatch):
+    """What the intervals are made from comes out of a shuffle of a few bytes,
+    which Spark takes for one task's work; its intervals are dealt out all the same."""
+    from pyspark.sql import functions as F
+
+    from daybars.operators import planner
+
+    monkeypatch.setattr(planner, "INTERVALS_PER_TASK", 500, raising=False)
+    master = spark.range(2000).select(F.col("id").cast("string").alias("code")).repartition("code")
+    never = spark.createDataFrame([], "code string, latest date")
+    plan = plan_incremental(master, None, AS_OF, never).where("i % 2 = 0")     # three of five windows
+    asked = planner._windows(master.select("code", F.lit("x").alias("mode"), F.lit(AS_OF - dt.timedelta(days=499)).alias("start"),
+                                           F.lit(AS_OF).alias("end")))
+    wanted = asked.select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    gaps = planner.interval_difference(wanted, plan.select("code", F.col("seg_start").alias("start"), F.col("seg_end").alias("end")))
+    assert gaps.rdd.getNumPartitions() == 16000 // 500
+    assert gaps.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400
+    assert gaps.groupBy("start", "end").count().count() == 2 and gaps.count() == 4000
+    coverage = asked.select("code", "seg_start", "seg_end", (F.col("i") > 1).alias("answered"))
+    replanned = planner.replan_failed(plan, coverage, master).where("mode = 'gap'")
+    assert rows_of(replanned.groupBy("i", "seg_start", "seg_end").count()) == [(0, AS_OF - dt.timedelta(days=199), AS_OF - dt.timedelta(days=100), 2000)]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
