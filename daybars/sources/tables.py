@@ -28,6 +28,10 @@ from pyspark.sql.types import StructType
 
 _MONTH, _PART = "month", "part"
 
+# Larger change sets are not sent whole to every task: their files are small, as codes
+# and dates compress, but the table in a task's memory takes some 170 bytes a row.
+BROADCAST_ROWS = 500_000
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -135,12 +139,16 @@ def merge_months(spark: SparkSession, root: str, changes: DataFrame, keys: Seque
                  sort_by: Sequence[str] | None = None, months: Iterable | None = None) -> None:
     """Keyed upsert of ``changes`` into a month-partitioned table, rewriting
     only the months the changes fall in (``months`` when the caller already
-    knows them). Pass a materialised change set (it is read more than once)."""
+    knows them). Pass a materialised change set (it is read more than once).
+    Its rows are counted (file footers): beyond ``BROADCAST_ROWS`` they meet the
+    table in a sort merge join, whatever the size of their files."""
     from daybars.operators.keyed import upsert
 
     months = changed_months(changes, date_col) if months is None else list(months)
     if months:
         old = read_months(spark, root, schema, months)
+        if changes.count() > BROADCAST_ROWS:
+            changes = changes.hint("merge")
         write_months(upsert(old, changes.select(*schema.fieldNames()), keys), root, months, date_col, sort_by)
 
 

@@ -222,3 +222,32 @@ def test_stream_quarantines_unknown_codes_and_repeats_cleanly(spark, tmp_dir):
     assert rows(stored) == rows(bars.where("code = '1'"))
     bad = spark.read.parquet(f"{tmp_dir}/q")
     assert bad.count() + stored.count() == bars.count() and {r["reason"] for r in bad.collect()} == {"unknown code"}
+
+
+def test_large_change_sets_are_not_broadcast(spark, tmp_dir, monkeypatch):
+    """By rows, not by the size of their files."""
+    from pyspark.sql import functions as F
+
+    from daybars.schemas import COVERAGE
+    from daybars.sources import tables
+
+    root, plans, write = f"{tmp_dir}/coverage", [], tables.write_months
+
+    def windows(first, n, answered):
+        day = F.lit("2025-01-01").cast("date")
+        df = spark.range(first, first + n).select(
+            F.col("id").cast("string").alias("code"), day.alias("seg_start"), F.date_add(day, 9).alias("seg_end"),
+            F.lit(answered).alias("answered"), F.lit(0).cast("bigint").alias("n_bars"))
+        return tables.materialised(df, "windows")
+
+    def seen(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args, **kw)
+    monkeypatch.setattr(tables, "write_months", seen)
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 100, raising=False)
+    keys = ["code", "seg_start", "seg_end"]
+    for first, n, answered in ((0, 300, False), (200, 101, True), (290, 20, False)):
+        tables.merge_months(spark, root, windows(first, n, answered), keys, COVERAGE, date_col="seg_end")
+    assert "Broadcast" not in plans[1] and "SortMergeJoin" in plans[1] and "Broadcast" in plans[2]
+    stored = {int(r["code"]): r["answered"] for r in tables.read_months(spark, root, COVERAGE).collect()}
+    assert stored == {k: 200 <= k < 290 for k in range(310)}
