@@ -198,5 +198,20 @@ def test_intervals_meet_in_tasks_by_their_number(spark, monkeypatch):
     assert rows_of(replanned.groupBy("i", "seg_start", "seg_end").count()) == [(0, AS_OF - dt.timedelta(days=199), AS_OF - dt.timedelta(days=100), 2000)]
 
 
+def test_gap_windows_deal_ranges_by_their_number(spark, monkeypatch):
+    """Ranges and coverage out of one small shuffle, by the plan of gaps."""
+    from pyspark.sql import functions as F
+
+    from daybars.operators import planner
+
+    monkeypatch.setattr(planner, "INTERVALS_PER_TASK", 300, raising=False)
+    master = spark.range(1500).select(F.col("id").cast("string").alias("code")).repartition("code")
+    coverage = plan_full(master, AS_OF, 200).where("i = 0").select("code", "seg_start", "seg_end")
+    gaps = planner.plan_gaps(master, coverage, AS_OF, 200)
+    assert gaps.rdd.getNumPartitions() == 3000 // 300
+    assert rows_of(gaps.groupBy("i", "seg_start", "seg_end").count()) == [
+        (0, AS_OF - dt.timedelta(days=199), AS_OF - dt.timedelta(days=100), 1500)]
+
+
 def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
